@@ -286,7 +286,7 @@ FROM series GROUP BY ALL"""),
         with_sql(MONTHLY_SQL, body="""
 SELECT location_id, variable, round_even(min(value), 2) AS min, round_even(max(value), 2) AS max, round_even(avg(value), 2) AS mean,
   round_even(median(value), 2) AS median, round_even(stddev_pop(value), 2) AS std_deviation,
-  CASE WHEN variable = 'precipitation' THEN round_even(sum(value), 2) END AS total, count(value) AS data_points FROM series GROUP BY ALL"""),
+  CASE WHEN variable = 'precipitation' THEN round_even(sum(value), 2) END AS total, count(value) AS data_points FROM series GROUP BY location_id, variable"""),
     ),
     Check(
         "uncertainty", _uncertainty,

@@ -1,5 +1,12 @@
 """All checks, in inventory order."""
 
-from checks import aggregates, joins, scans
+from checks import aggregates, joins, models, scans, trends, windows
 
-CHECKS = [*scans.CHECKS, *joins.CHECKS, *aggregates.CHECKS]
+CHECKS = [
+    *scans.CHECKS,
+    *joins.CHECKS,
+    *aggregates.CHECKS,
+    *trends.CHECKS,
+    *windows.CHECKS,
+    *models.CHECKS,
+]

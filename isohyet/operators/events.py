@@ -49,8 +49,8 @@ def consecutive_events(
         beyond.withColumn("_island", island)
         .groupBy(*KEY, "_island")
         .agg(
-            F.min("t").alias("start"),
-            F.max("t").alias("end"),
+            F.min("t").alias("start_t"),
+            F.max("t").alias("end_t"),
             F.count(F.lit(1)).alias("duration"),
             F.avg(v).alias("intensity"),
             peak.alias("peak"),
