@@ -138,25 +138,37 @@ def _axes(metric: str) -> list[Column]:
     ]
 
 
+def _squared(e: Column, at: Sequence[Column]) -> Column:
+    """Squared straight distance of a chunk element to a place, without trigonometry."""
+    total = F.lit(0.0)
+    for i, x in enumerate(at):
+        total = total + (e[f"x{i}"] - x) * (e[f"x{i}"] - x)
+    return total
+
+
 def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "haversine") -> DataFrame:
     """Exact ``k`` nearest sites per point: point_id, site_id, distance, rank.
 
     Sites are counted in a pyramid of halving cells.  The finest cell around a
     point that holds ``k`` sites bounds the answer by its diagonal, which is
     shorter than one edge of the next coarser level, so the 3-wide
-    neighbourhood there holds every true neighbour.  On the sphere the cells
+    neighbourhood there holds every true neighbour.  Each occupied small cell
+    (home) narrows this once, for all its points: whatever lies further from
+    the home's centre than the centre's k-th site plus twice the home's radius
+    cannot be among the k nearest of a point inside.  On the sphere the cells
     cut the unit sphere in three dimensions: no seam at 180 degrees, no poles.
     """
     axes = _axes(metric)
     dims = [f"c{i}" for i in range(len(axes))]
+    xs = [f"x{i}" for i in range(len(axes))]
     finest = {d: F.floor((x + 2.0) * (2**FINEST / 4.0)).cast("int") for d, x in zip(dims, axes)}
-    at = lambda d, level: F.expr(f"shiftright({d}, {FINEST} - {level})")
+    at = lambda d, level: F.expr(f"shiftright({d}, {FINEST} - ({level}))")
     levels = F.sequence(F.lit(0), F.lit(FINEST))
 
     # copies of one coordinate beyond k cannot be among the k nearest
     same_place = Window.partitionBy(*COORDS).orderBy("site_id")
     kept = sites.withColumn("_copy", F.row_number().over(same_place)).filter(F.col("_copy") <= k)
-    kept = kept.select("site_id", *COORDS).withColumns(finest)
+    kept = kept.select("site_id", *COORDS, *[x.alias(n) for n, x in zip(xs, axes)]).withColumns(finest)
     pyramid = (
         kept.groupBy(*dims)
         .agg(F.count(F.lit(1)).alias("_cnt"))
@@ -166,33 +178,67 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
         .filter(F.col("_cnt") >= k)
     )
 
-    places = points.select(*COORDS).distinct().withColumns(finest)
-    homes = places.select(*dims).distinct()
-    dense = (
-        homes.withColumn("level", F.explode(levels))
-        .select(*[F.col(d).alias(f"h_{d}") for d in dims], "level", *[at(d, "level").alias(d) for d in dims])
+    # occupied finest cells -> their dense level, home cell and search cell
+    search, home = [f"s_{d}" for d in dims], [f"h_{d}" for d in dims]
+    fine = [f"f_{d}" for d in dims]
+    cells = points.select(*COORDS).withColumns(finest).select(*dims).distinct()
+    cells = (
+        cells.withColumn("level", F.explode(levels))
+        .select(*[F.col(d).alias(f) for d, f in zip(dims, fine)], "level", *[at(d, "level").alias(d) for d in dims])
         .join(pyramid, ["level", *dims], "left")
-        .groupBy(*[f"h_{d}" for d in dims])
-        .agg(F.max(F.when(F.col("_cnt").isNotNull(), F.col("level"))).alias("_dense"))
-        .withColumn("level", F.greatest(F.lit(0), F.coalesce(F.col("_dense"), F.lit(0)) - 1))
+        .groupBy(*fine)
+        .agg(F.coalesce(F.max(F.when(F.col("_cnt").isNotNull(), F.col("level"))), F.lit(0)).alias("_dense"))
+        .withColumns(
+            {
+                "level": F.greatest(F.lit(0), F.col("_dense") - 1),
+                "home_level": F.least(F.lit(FINEST), F.col("_dense") + 2),
+            }
+        )
+        .withColumns(
+            {
+                **{s: at(f, "level") for s, f in zip(search, fine)},
+                **{h: at(f, "home_level") for h, f in zip(home, fine)},
+            }
+        )
     )
-    search = [f"s_{d}" for d in dims]
-    homes = dense.select(
-        *[F.col(f"h_{d}").alias(d) for d in dims],
-        "level",
-        *[at(f"h_{d}", "level").alias(f"s_{d}") for d in dims],
+    # geometry of a home as columns, so the folds below only read them
+    edge = 4.0 / F.pow(F.lit(2.0), F.col("home_level"))
+    mids = [f"m{i}" for i in range(len(dims))]
+    homes = cells.select("level", *search, "home_level", *home).distinct()
+    homes = homes.withColumns(
+        {"_edge": edge, **{m: (F.col(h) + 0.5) * edge - 2.0 for m, h in zip(mids, home)}}
     )
+    centre = [F.col(m) for m in mids]
+
     around = homes.select("level", *search).distinct()
     for d in dims:
         around = around.withColumn(d, F.explode(F.expr(f"sequence(s_{d} - 1, s_{d} + 1)")))
     by_level = (
         kept.withColumn("level", F.explode(levels))
-        .select("site_id", *COORDS, "level", *[at(d, "level").alias(d) for d in dims])
-        .join(around.select("level", *dims).distinct(), ["level", *dims], "left_semi")
+        .select("site_id", *COORDS, *xs, "level", *[at(d, "level").alias(d) for d in dims])
     )
-    chunks = in_chunks(by_level, ["level", *dims], ["site_id", *COORDS])
+    chunks = in_chunks(by_level, ["level", *dims], ["site_id", *COORDS, *xs])
     chunks = around.join(chunks, ["level", *dims]).select("level", *search, "chunk")
 
+    # the centre's k-th distance, from the k smallest of every chunk
+    home_key = ["home_level", *home]
+    smallest = F.slice(F.array_sort(F.transform("chunk", lambda e: _squared(e, centre))), 1, k)
+    seen = homes.join(chunks, ["level", *search])
+    reach = (
+        seen.select(*home_key, smallest.alias("_near"))
+        .groupBy(*home_key)
+        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+        .select(
+            *home_key,
+            (F.sqrt(F.element_at("_near", -1)) + edge * (len(dims) ** 0.5) * 1.000001).alias("_r"),
+        )
+        .select(*home_key, (F.col("_r") * F.col("_r")).alias("_reach"))
+    )
+    inside = F.filter("chunk", lambda e: _squared(e, centre) <= F.col("_reach"))
+    candidates = seen.join(reach, home_key).select(*home_key, inside.alias("chunk")).filter(F.size("chunk") > 0)
+    by_cell = cells.select(*fine, *home_key).join(candidates, home_key)
+    by_cell = by_cell.select(*[F.col(f).alias(d) for f, d in zip(fine, dims)], "chunk")
+
     lat, lon = F.col("lat"), F.col("lon")
 
     def scored(e: Column) -> Column:
@@ -204,15 +250,17 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
         return F.struct(d.alias("distance"), e["site_id"].alias("site_id"))
 
     top = F.slice(F.array_sort(F.transform("chunk", scored)), 1, k)
-    candidates = (
-        places.join(homes, dims)
-        .join(chunks, ["level", *search])
-        .select(*COORDS, F.inline(top))
+    found = (
+        points.select("point_id", *COORDS)
+        .withColumns(finest)
+        .join(by_cell, dims)
+        .select("point_id", F.inline(top))
     )
-    order = Window.partitionBy(*COORDS).orderBy("distance", "site_id")
-    best = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return points.select("point_id", *COORDS).join(best, COORDS).select(
-        "point_id", "site_id", "distance", "rank"
+    order = Window.partitionBy("point_id").orderBy("distance", "site_id")
+    return (
+        found.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select("point_id", "site_id", "distance", "rank")
     )
 
 
