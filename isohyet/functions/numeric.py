@@ -12,7 +12,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    # least and greatest skip NULLs, so an unknown value must be kept apart
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
@@ -21,7 +22,8 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def pooled(n: Column, total: Column, squares: Column) -> Column:
     """Population variance from a count, a sum and a sum of squares."""
-    return F.greatest(F.lit(0.0), ratio(squares, n) - ratio(total, n) * ratio(total, n))
+    var = ratio(squares, n) - ratio(total, n) * ratio(total, n)
+    return F.when(var.isNotNull(), F.greatest(F.lit(0.0), var))
 
 
 def hypot(dx: Column, dy: Column) -> Column:

@@ -57,7 +57,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
     theta = F.atan(tt / F.sqrt(v))
     mass = F.when(even, sin * series).otherwise(2.0 / math.pi * (theta + sin * series))
     exact = F.greatest(F.lit(0.0), F.lit(1.0) - mass)
-    return F.when(df >= 1, F.when(df > NORMAL_FROM_DF, normal_two_sided(tt)).otherwise(exact))
+    return F.when((df >= 1) & t.isNotNull(), F.when(df > NORMAL_FROM_DF, normal_two_sided(tt)).otherwise(exact))
 
 
 def f2_tail(f: Column, d: Column) -> Column:

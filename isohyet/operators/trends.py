@@ -85,11 +85,14 @@ def poly_trend(df: DataFrame) -> DataFrame:
             "yp2": y2 - F.col("a") * y1,
         }
     )
+    # too few distinct times for a degree: its term is 0, the lower fit stays
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    step = step.withColumns({"a": known(F.col("a")), "c1": known(F.col("c1")), "c2": known(F.col("c2"))})
     step = step.withColumn("yp3", y3 - F.col("c2") * F.col("yp2") - F.col("c1") * y1).withColumns(
         {
-            "d1": ratio(y1, s[2]),
-            "d2": ratio(F.col("yp2"), F.col("pp2")),
-            "d3": ratio(F.col("yp3"), F.col("pp3")),
+            "d1": known(ratio(y1, s[2])),
+            "d2": known(ratio(F.col("yp2"), F.col("pp2"))),
+            "d3": known(ratio(F.col("yp3"), F.col("pp3"))),
         }
     )
     rss = [F.col("syy") - F.col("d1") * y1]
