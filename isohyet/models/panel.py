@@ -24,7 +24,7 @@ from isohyet.operators.features import FORECAST_COLUMNS, PANEL_COLUMNS, TREND_CO
 from isohyet.operators.features import forecast_features, future_features, target_features, trend_features
 from isohyet.operators.forecast import agreement_confidence, trend_adjusted_forecast
 from isohyet.operators.rolling import gradient
-from isohyet.series import KEY, in_time_order
+from isohyet.series import KEY, by_series, in_time_order
 
 SEED = 42
 VERSION = "1.0"
@@ -156,7 +156,7 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
     24 feature rows get the trend-adjusted seasonal forecast instead.
     """
     rows = forecast_features(series).withColumnRenamed("value", "target").dropna(subset=FORECAST_COLUMNS + ["target"])
-    last = F.max("t").over(in_time_order().rowsBetween(-(2**31), 2**31 - 1))
+    last = F.max("t").over(by_series())
     rows = rows.withColumn("_late", F.col("t") > last - holdout)
     train = rows.filter(~F.col("_late"))
     models = {
@@ -217,7 +217,7 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
     """
     rate = gradient(series).select(*KEY, "t", F.col("gradient").alias("target"))
     rows = trend_features(series).join(rate, [*KEY, "t"]).dropna(subset=TREND_COLUMNS + ["target"])
-    last = F.max("t").over(in_time_order().rowsBetween(-(2**31), 2**31 - 1))
+    last = F.max("t").over(by_series())
     rows = rows.withColumns(
         {
             "_block": F.least(F.floor((F.col("t") - 12) * (folds + 1) / (last - 11)), F.lit(folds)),
