@@ -1,6 +1,6 @@
 """All checks, in inventory order."""
 
-from checks import aggregates, joins, models, scans, trends, windows
+from checks import aggregates, joins, landed, models, scans, trends, windows
 
 CHECKS = [
     *scans.CHECKS,
@@ -9,4 +9,5 @@ CHECKS = [
     *trends.CHECKS,
     *windows.CHECKS,
     *models.CHECKS,
+    *landed.CHECKS,
 ]

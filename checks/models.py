@@ -27,7 +27,7 @@ from checks.joins import MOVED_SQL, _exact_points
 from checks.mathsql import haversine, strength, zone
 from checks.scans import _two_variables
 from checks.spec import Check
-from checks.trends import CHOW_SQL, LINEAR_SQL, PAIRS_SQL, SEASONS_SQL
+from checks.trends import CHOW_SQL, LINEAR_SQL, PAIRS_SQL, RUNS_SQL, SEASONS_SQL, ZONED_SQL, _runs_total
 from checks.windows import FRAME, LAGS, O, SLOPE_OVER, STATS, W3, W6, W12, W24
 from isohyet.functions.zones import latitude_climatology
 from isohyet.operators import features, forecast, resample, stats, trends
@@ -300,7 +300,29 @@ FROM mann_kendall m JOIN linear l USING (location_id) JOIN texts USING (location
 SELECT m.location_id, m.variable, 'ok' AS status, m.trend_direction AS mk_trend_direction, l.slope_per_year AS lr_slope_per_year, p < 0.05 AS chow_structural_break_detected,
   CASE WHEN p < 0.05 THEN bp END AS chow_break_point, l.slope * 120 AS projected_change FROM mann_kendall m JOIN linear l USING (location_id) JOIN best USING (location_id)""").replace(",\n,", ",\n"),
     ),
-    Check("climate_indicators", _indicators, "location_id:i variable:s indicator:s value:d"),
+    Check(
+        "climate_indicators", _indicators, "location_id:i variable:s indicator:s value:d",
+        with_sql(ZONED_SQL(BUCKETS_SQL), "," + RUNS_SQL("hw", "value > hot", 3), "," + RUNS_SQL("cs", "value < cold", 3), "," + RUNS_SQL("dr", "value < dry", 6),
+                 "," + RUNS_SQL("fl", "value > wet", 2), body=f"""
+, q AS (SELECT location_id, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95,
+  coalesce(quantile_cont(value, 0.75) FILTER (WHERE value > 0), 1) AS w FROM series GROUP BY 1),
+yr AS (SELECT location_id, 10 * regr_slope(v, y) AS rate FROM (SELECT location_id, t // 12 AS y, avg(value) AS v FROM series GROUP BY ALL) GROUP BY 1),
+f AS (SELECT z.*, p10, p25, p90, p95, w, t >= 240 AS late, coalesce(value < p25, false) AS is_dry FROM zoned z JOIN q USING (location_id)),
+sp AS (SELECT location_id, count(*) FILTER (WHERE is_dry AND NOT was) / 10 AS spells FROM
+  (SELECT location_id, is_dry, coalesce(lag(is_dry) OVER (PARTITION BY location_id ORDER BY t), false) AS was FROM f WHERE late) GROUP BY 1),
+a AS (SELECT location_id, variable, stddev_pop(value) FILTER (WHERE late) - stddev_pop(value) FILTER (WHERE NOT late) AS vc,
+  100.0 * count(*) FILTER (WHERE late AND value > p90) / count(value) FILTER (WHERE late) AS hot_pc, 100.0 * count(*) FILTER (WHERE late AND value < p10) / count(value) FILTER (WHERE late) AS cold_pc,
+  1.0 * count(*) FILTER (WHERE late AND value > w) / count(value) FILTER (WHERE late) - 1.0 * count(*) FILTER (WHERE NOT late AND value > w) / count(value) FILTER (WHERE NOT late) AS wet_ch,
+  1.0 * count(*) FILTER (WHERE late AND value > p95) / count(value) FILTER (WHERE late) - 1.0 * count(*) FILTER (WHERE NOT late AND value > p95) / count(value) FILTER (WHERE NOT late) AS ext_ch,
+  count(*) FILTER (WHERE value > hot) AS hots, count(*) FILTER (WHERE value < cold) AS colds, count(*) FILTER (WHERE value > wet) AS wets, count(*) FILTER (WHERE value < dry) AS dries,
+  stddev_pop(value) / avg(value) AS cv FROM f GROUP BY 1, 2),
+m AS (SELECT a.*, rate, spells, {_runs_total('hw')} AS hw, {_runs_total('cs')} AS cs, {_runs_total('dr')} AS dr, {_runs_total('fl')} AS fl FROM a JOIN yr USING (location_id) JOIN sp USING (location_id))
+SELECT location_id, variable, unnest(['warming_rate_per_decade', 'recent_hot_percent', 'recent_cold_percent', 'variability_change', 'hot_periods', 'cold_periods', 'heat_waves', 'cold_spells']) AS indicator,
+  unnest([rate, hot_pc, cold_pc, vc, hots, colds, hw, cs]) AS value FROM m WHERE variable = 'temperature'
+UNION ALL SELECT location_id, variable, unnest(['intense_precipitation_change', 'precipitation_variability_change', 'dry_spell_frequency', 'wet_periods', 'dry_periods', 'variability_index', 'droughts', 'flood_risk_periods']),
+  unnest([100 * wet_ch, vc, spells, wets, dries, cv, dr, fl]) FROM m WHERE variable = 'precipitation'
+UNION ALL SELECT location_id, variable, unnest(['variability_change', 'extreme_frequency_change']), unnest([vc, ext_ch]) FROM m WHERE variable NOT IN ('temperature', 'precipitation')""").replace(",\n,", ",\n"),
+    ),
     Check(
         "simple_summary", _simple, "location_id:i variable:s prediction_value:d confidence:d accuracy_text:s data_points:s training_period:s",
         with_sql(MODELS_SQL, body="""

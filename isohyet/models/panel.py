@@ -24,6 +24,7 @@ from isohyet.operators.features import FORECAST_COLUMNS, PANEL_COLUMNS, TREND_CO
 from isohyet.operators.features import forecast_features, future_features, target_features, trend_features
 from isohyet.operators.forecast import agreement_confidence, trend_adjusted_forecast
 from isohyet.operators.rolling import gradient
+from isohyet.plans.base import reliable
 from isohyet.series import KEY, by_series, in_time_order
 
 SEED = 42
@@ -90,7 +91,7 @@ def _r2(model: PipelineModel, df: DataFrame, label: str) -> float:
 
 def train_panel(panel: DataFrame, sizes: Sizes = Sizes(), columns: Sequence[str] = PANEL_COLUMNS):
     """Fit the three panel models; returns (models, {name: (train R², test R²)})."""
-    rows = panel.filter(F.col("target").isNotNull())
+    rows = reliable(panel.filter(F.col("target").isNotNull()))
     train, test = hash_split(rows)
     models, scores = {}, {}
     for name, regressor in regressors(sizes).items():
@@ -157,7 +158,7 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
     """
     rows = forecast_features(series).withColumnRenamed("value", "target").dropna(subset=FORECAST_COLUMNS + ["target"])
     last = F.max("t").over(by_series())
-    rows = rows.withColumn("_late", F.col("t") > last - holdout)
+    rows = reliable(rows.withColumn("_late", F.col("t") > last - holdout))
     train = rows.filter(~F.col("_late"))
     models = {
         name: _pipeline(FORECAST_COLUMNS, r).fit(train)
@@ -224,6 +225,7 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
             "_recent": F.col("t") > last - 12,
         }
     )
+    rows = reliable(rows)
     kinds = {
         "random_forest": RandomForestRegressor(
             numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth, seed=SEED, labelCol="target"
@@ -266,7 +268,7 @@ def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = Sizes(20
     Features at t are trained on the value twelve periods later.
     """
     rows = trend_features(series).withColumn("target", F.lead("value", 12).over(in_time_order()))
-    rows = rows.dropna(subset=TREND_COLUMNS + ["target"])
+    rows = reliable(rows.dropna(subset=TREND_COLUMNS + ["target"]))
     models = {n: _pipeline(TREND_COLUMNS, r).fit(rows) for n, r in regressors(sizes).items()}
     wide = apply_models(models, future_features(series, horizon), [*KEY, "step"])
     members = F.array(*[F.col(f"p_{n}") for n in models])
@@ -293,7 +295,7 @@ def tune(
     builder = ParamGridBuilder()
     for name, values in (grid or grids[model_type]).items():
         builder = builder.addGrid(kind.getParam(name), values)
-    folded = rows.withColumn("_fold", F.pmod(F.xxhash64(*KEY, "t"), F.lit(3)).cast("int"))
+    folded = reliable(rows.withColumn("_fold", F.pmod(F.xxhash64(*KEY, "t"), F.lit(3)).cast("int")))
     search = CrossValidator(
         estimator=_pipeline(columns, kind),
         estimatorParamMaps=builder.build(),

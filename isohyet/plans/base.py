@@ -24,14 +24,19 @@ def ensure_checkpoint_dir(spark) -> None:
     sc.setCheckpointDir(shared)
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of rows that several jobs will read, such as training data."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def materialise(series: DataFrame, *extra: str) -> DataFrame:
     """Series rows kept in reliable storage for all branches of a report.
 
     Branches read this compact table instead of aggregating the facts again,
     and a lost executor re-reads files rather than the lineage.
     """
-    ensure_checkpoint_dir(series.sparkSession)
-    return series.select(*KEY, "t", "value", *extra).checkpoint()
+    return reliable(series.select(*KEY, "t", "value", *extra))
 
 
 def one_row_per_series(*frames: DataFrame) -> DataFrame:
