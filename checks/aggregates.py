@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.data import BUCKETS_SQL, MONTHLY_SQL, buckets, lat_sql, monthly, placed, with_sql
-from checks.mathsql import P_VALUE, R2, SLOPE, line, zone
+from checks.mathsql import mean_cents
 from checks.scans import _two_variables
 from checks.spec import Check
 from isohyet.operators import events, forecast, resample, rolling, stats
@@ -26,8 +26,8 @@ records AS (
   FROM series WHERE variable IN ('temperature', 'precipitation') GROUP BY 1, 2, 3
 ),
 decades AS (
-  SELECT location_id, year // 10 * 10 AS decade, round_even(avg(temperature_c), 2) AS avg_temperature,
-    coalesce(round_even(avg(precipitation_mm), 2), 0) AS avg_precipitation, count(temperature_c) AS months_count
+  SELECT location_id, year // 10 * 10 AS decade, {mean_cents('temperature_c')} AS avg_temperature,
+    coalesce({mean_cents('precipitation_mm')}, 0) AS avg_precipitation, count(temperature_c) AS months_count
   FROM records GROUP BY ALL HAVING count(temperature_c) > 0
 )"""
 

@@ -77,6 +77,8 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
-def half_even(x: str, digits: int = 0) -> str:
-    """Half-even on the decimal text of a double, like Spark's bround."""
-    return f"round_even({x}, {digits})"
+def mean_cents(x: str) -> str:
+    """Mean of 2-decimal values, half-even to 2 decimals, in whole numbers."""
+    s, n = f"CAST(sum(round({x} * 100)) AS BIGINT)", f"count({x})"
+    up = f"(2 * ({s} % {n}) > {n} OR (2 * ({s} % {n}) = {n} AND ({s} // {n}) % 2 = 1))"
+    return f"(CASE WHEN {n} > 0 THEN ({s} // {n} + CASE WHEN {up} THEN 1 ELSE 0 END) / 100.0 END)"

@@ -24,7 +24,7 @@ from checks.data import (
     with_sql,
 )
 from checks.joins import MOVED_SQL, _exact_points
-from checks.mathsql import haversine, strength, zone
+from checks.mathsql import haversine, mean_cents, zone
 from checks.scans import _two_variables
 from checks.spec import Check
 from checks.trends import CHOW_SQL, LINEAR_SQL, PAIRS_SQL, RUNS_SQL, SEASONS_SQL, ZONED_SQL, _runs_total
@@ -334,9 +334,9 @@ FROM series JOIN e USING (location_id) GROUP BY location_id, variable"""),
     Check(
         "verify_report", lambda s, d: reports.verify_report(_two_variables(s, d), 1995, 2001),
         "location_id:i points:i temp_min:d temp_max:d temp_mean:d temp_median:d temp_std:d rain_total:d decades:i temperature_change:d completeness:d quality_rating:s sufficient_for_ml:b recommendation:s",
-        with_sql(RECORDS_SQL, body="""
+        with_sql(RECORDS_SQL, body=f"""
 , w AS (SELECT location_id, count(*) AS decades, CASE WHEN count(*) >= 2 THEN arg_max(avg_temperature, decade) - arg_min(avg_temperature, decade) END AS temperature_change FROM decades GROUP BY 1)
-SELECT location_id, count(temperature_c) AS points, min(temperature_c) AS temp_min, max(temperature_c) AS temp_max, round_even(avg(temperature_c), 2) AS temp_mean, round_even(median(temperature_c), 2) AS temp_median,
+SELECT location_id, count(temperature_c) AS points, min(temperature_c) AS temp_min, max(temperature_c) AS temp_max, {mean_cents('temperature_c')} AS temp_mean, round_even(median(temperature_c), 2) AS temp_median,
   round_even(stddev_pop(temperature_c), 2) AS temp_std, coalesce(round_even(sum(precipitation_mm), 2), 0) AS rain_total, any_value(decades) AS decades, any_value(temperature_change) AS temperature_change,
   100.0 * count(temperature_c) / 84 AS completeness, CASE WHEN 100.0 * count(temperature_c) / 84 > 95 THEN 'EXCELLENT' WHEN 100.0 * count(temperature_c) / 84 > 90 THEN 'GOOD' ELSE 'FAIR' END AS quality_rating,
   false AS sufficient_for_ml, 'Consider extending to 30+ years for better accuracy' AS recommendation FROM records LEFT JOIN w USING (location_id) GROUP BY 1 HAVING count(temperature_c) > 0"""),

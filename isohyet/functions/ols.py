@@ -13,6 +13,11 @@ from isohyet.functions.pvalues import t_two_sided
 TINY = 1e-20
 
 
+def r_to_t(r: Column, n: Column) -> Column:
+    """t statistic of a correlation over n points."""
+    return r * F.sqrt((n - 2) / ((1.0 - r + TINY) * (1.0 + r + TINY)))
+
+
 @dataclass(frozen=True)
 class Line:
     """Fit expressions over centred sums of products."""
@@ -44,8 +49,7 @@ class Line:
 
     @property
     def p_value(self) -> Column:
-        r = F.sqrt(self.r2)
-        t = r * F.sqrt((self.n - 2) / ((1.0 - r + TINY) * (1.0 + r + TINY)))
+        t = r_to_t(F.sqrt(self.r2), self.n)
         return F.when((self.n > 2) & (self.sxx > 0), t_two_sided(t, (self.n - 2).cast("int")))
 
 

@@ -41,16 +41,24 @@ def t_two_sided(t: Column, df: Column) -> Column:
     steps = F.floor((df - 2) / 2).cast("int")
     head = F.when(even, F.lit(1.0)).when(df == 1, F.lit(0.0)).otherwise(F.sqrt(cos2))
 
+    # what every step needs rides in the accumulator, so a step only reads it;
+    # factors are (2k-1)/2k for even and 2k/(2k+1) for odd degrees of freedom
     def grow(acc: Column, k: Column) -> Column:
-        factor = F.when(even, (2.0 * k - 1) / (2.0 * k)).otherwise(2.0 * k / (2.0 * k + 1))
-        term = acc["term"] * factor * cos2
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        term = acc["term"] * (2.0 * k - acc["e"]) / (2.0 * k + 1.0 - acc["e"]) * acc["c2"]
+        return F.struct(
+            term.alias("term"), (acc["total"] + term).alias("total"), acc["c2"].alias("c2"), acc["e"].alias("e")
+        )
 
     # small enough to enumerate; longer series use the normal tail below
     upto = F.least(steps, F.lit(NORMAL_FROM_DF // 2))
     series = F.aggregate(
         F.when(upto >= 1, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>")),
-        F.struct(head.alias("term"), head.alias("total")),
+        F.struct(
+            head.alias("term"),
+            head.alias("total"),
+            cos2.alias("c2"),
+            F.when(even, F.lit(1.0)).otherwise(F.lit(0.0)).alias("e"),
+        ),
         grow,
         lambda acc: acc["total"],
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.labels import slope_change
 from isohyet.functions.numeric import pooled, ratio
-from isohyet.functions.ols import Line
+from isohyet.functions.ols import Line, r_to_t
 from isohyet.functions.pvalues import f2_tail, t_two_sided
 from isohyet.series import KEY, by_series, in_time_order, with_position
 
@@ -176,9 +176,13 @@ def mean_shift_scan(df: DataFrame, floor: int = 24, alpha: float = 0.05) -> Data
     var = pooled(w, F.col("b1"), F.col("b2")) + pooled(w, F.col("a1"), F.col("a2"))
     # equal sizes: pooled sample variance times 2 / w
     se = F.sqrt(var / (w - 1))
-    t = ratio(F.abs(diff), se)
-    p = F.coalesce(t_two_sided(t, (2 * w - 2).cast("int")), F.when(diff != 0, 0.0).otherwise(1.0))
-    hits = rows.select(*KEY, "t", diff.alias("_d"), p.alias("_p")).filter(F.col("_p") < alpha)
+    tested = rows.select(
+        *KEY, "t", (2 * w - 2).cast("int").alias("_dof"), diff.alias("_d"), ratio(F.abs(diff), se).alias("_t")
+    )
+    # no spread on either side: any difference is certain
+    certain = F.when(F.col("_d") != 0, 0.0).otherwise(1.0)
+    p = F.coalesce(t_two_sided(F.col("_t"), F.col("_dof")), certain)
+    hits = tested.withColumn("_p", p).filter(F.col("_p") < alpha)
     best = hits.groupBy(*KEY).agg(
         F.max_by(F.struct("t", "_d", "_p"), F.struct(F.bround(F.abs("_d"), 9), -F.col("t"))).alias("_b")
     )
@@ -208,15 +212,27 @@ def trend_change_scan(df: DataFrame, floor: int = 36, alpha: float = 0.1, min_ch
     w, pos = F.col("w"), F.col("pos")
     before = _window_line(w, pos - w, F.col("b1"), F.col("b2"), F.col("bp"))
     after = _window_line(w, pos, F.col("a1"), F.col("a2"), F.col("ap"))
-    hits = rows.select(
+    # slopes and correlations become columns first: the tail reads them often
+    lines = rows.select(
         *KEY,
         "t",
+        "w",
         before.slope.alias("_b"),
         after.slope.alias("_a"),
-        F.abs(after.slope - before.slope).alias("_d"),
-        before.p_value.alias("_pb"),
-        after.p_value.alias("_pa"),
-    ).filter((F.col("_pb") < alpha) & (F.col("_pa") < alpha) & (F.col("_d") > min_change))
+        F.sqrt(before.r2).alias("_rb"),
+        F.sqrt(after.r2).alias("_ra"),
+    )
+    lines = lines.withColumns(
+        {
+            "_d": F.abs(F.col("_a") - F.col("_b")),
+            "_tb": r_to_t(F.col("_rb"), F.col("w")),
+            "_ta": r_to_t(F.col("_ra"), F.col("w")),
+        }
+    ).filter(F.col("_d") > min_change)
+    dof = (F.col("w") - 2).cast("int")
+    hits = lines.filter(
+        (t_two_sided(F.col("_tb"), dof) < alpha) & (t_two_sided(F.col("_ta"), dof) < alpha)
+    )
     best = hits.groupBy(*KEY).agg(
         F.max_by(F.struct("t", "_b", "_a", "_d"), F.struct(F.bround("_d", 9), -F.col("t"))).alias("_x")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.numeric import clamp, percentile, ratio
+from isohyet.functions.numeric import clamp, mean_to, percentile, ratio
 from isohyet.series import KEY, PERIOD, by_series, in_time_order, whole_years, with_length
 
 PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
@@ -271,8 +271,8 @@ def decade_stats(records: DataFrame) -> DataFrame:
     return (
         records.groupBy("location_id", decade)
         .agg(
-            F.bround(F.avg(temp), 2).alias("avg_temperature"),
-            F.coalesce(F.bround(F.avg(rain), 2), F.lit(0.0)).alias("avg_precipitation"),
+            mean_to(temp, 2).alias("avg_temperature"),
+            F.coalesce(mean_to(rain, 2), F.lit(0.0)).alias("avg_precipitation"),
             F.count(temp).alias("months_count"),
         )
         .filter(F.col("months_count") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions.labels import up_or_down
-from isohyet.functions.numeric import percentile
+from isohyet.functions.numeric import mean_to, percentile
 from isohyet.functions.ols import fit
 from isohyet.functions.zones import climate_zone
 from isohyet.operators import changepoints, events, forecast, resample, rolling, stats, trends
@@ -236,7 +236,7 @@ def verify_report(series: DataFrame, start_year: int, end_year: int) -> DataFram
         F.count(t).alias("points"),
         two(F.min(t)).alias("temp_min"),
         two(F.max(t)).alias("temp_max"),
-        two(F.avg(t)).alias("temp_mean"),
+        mean_to(t, 2).alias("temp_mean"),
         two(F.percentile(t, F.lit(0.5))).alias("temp_median"),
         two(F.stddev_pop(t)).alias("temp_std"),
         F.coalesce(two(F.sum(p)), F.lit(0.0)).alias("rain_total"),
