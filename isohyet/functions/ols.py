@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions.numeric import ratio
@@ -26,6 +26,15 @@ class Line:
     sxx: Column
     syy: Column
     sxy: Column
+    staged: str | None = None
+
+    def stage(self, df: DataFrame, prefix: str) -> tuple[DataFrame, Line]:
+        """Put R² and t into columns: the tail reads them often, and a column is
+        read where an expression would be repeated."""
+        line = replace(self, staged=prefix)
+        out = df.withColumn(f"{prefix}r2", self.r2)
+        t = r_to_t(F.sqrt(F.col(f"{prefix}r2")), self.n)
+        return out.withColumn(f"{prefix}t", F.when((self.n > 2) & (self.sxx > 0), t)), line
 
     @property
     def slope(self) -> Column:
@@ -33,6 +42,8 @@ class Line:
 
     @property
     def r2(self) -> Column:
+        if self.staged:
+            return F.col(f"{self.staged}r2")
         explained = ratio(self.sxy * self.sxy, self.sxx * self.syy)
         return F.when(self.sxx > 0, F.least(F.lit(1.0), F.coalesce(explained, F.lit(0.0))))
 
@@ -49,8 +60,8 @@ class Line:
 
     @property
     def p_value(self) -> Column:
-        t = r_to_t(F.sqrt(self.r2), self.n)
-        return F.when((self.n > 2) & (self.sxx > 0), t_two_sided(t, (self.n - 2).cast("int")))
+        """Two-sided tail of the slope; call :meth:`stage` first."""
+        return t_two_sided(F.col(f"{self.staged}t"), (self.n - 2).cast("int"))
 
 
 def fit(y: Column, x: Column, prefix: str = "_") -> tuple[list[Column], Line]:

@@ -19,12 +19,12 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.checkpoint import reliable
 from isohyet.functions.numeric import clamp, ratio
 from isohyet.operators.features import FORECAST_COLUMNS, PANEL_COLUMNS, TREND_COLUMNS
 from isohyet.operators.features import forecast_features, future_features, target_features, trend_features
 from isohyet.operators.forecast import agreement_confidence, trend_adjusted_forecast
 from isohyet.operators.rolling import gradient
-from isohyet.plans.base import reliable
 from isohyet.series import KEY, by_series, in_time_order
 
 SEED = 42

@@ -181,11 +181,11 @@ def mean_shift_scan(df: DataFrame, floor: int = 24, alpha: float = 0.05) -> Data
     )
     # no spread on either side: any difference is certain
     certain = F.when(F.col("_d") != 0, 0.0).otherwise(1.0)
-    p = F.coalesce(t_two_sided(F.col("_t"), F.col("_dof")), certain)
-    hits = tested.withColumn("_p", p).filter(F.col("_p") < alpha)
-    best = hits.groupBy(*KEY).agg(
-        F.max_by(F.struct("t", "_d", "_p"), F.struct(F.bround(F.abs("_d"), 9), -F.col("t"))).alias("_b")
-    )
+    tested = tested.withColumn("_p", F.coalesce(t_two_sided(F.col("_t"), F.col("_dof")), certain))
+    # a NULL order is skipped; a filter would be pushed down and repeat the tail
+    order = F.when(F.col("_p") < alpha, F.struct(F.bround(F.abs("_d"), 9), -F.col("t")))
+    best = tested.groupBy(*KEY).agg(F.max_by(F.struct("t", "_d", "_p"), order).alias("_b"))
+    best = best.filter(F.col("_b").isNotNull())
     found = best.select(
         *KEY,
         F.col("_b.t").alias("shift_index"),
@@ -228,14 +228,16 @@ def trend_change_scan(df: DataFrame, floor: int = 36, alpha: float = 0.1, min_ch
             "_tb": r_to_t(F.col("_rb"), F.col("w")),
             "_ta": r_to_t(F.col("_ra"), F.col("w")),
         }
-    ).filter(F.col("_d") > min_change)
-    dof = (F.col("w") - 2).cast("int")
-    hits = lines.filter(
-        (t_two_sided(F.col("_tb"), dof) < alpha) & (t_two_sided(F.col("_ta"), dof) < alpha)
     )
-    best = hits.groupBy(*KEY).agg(
-        F.max_by(F.struct("t", "_b", "_a", "_d"), F.struct(F.bround("_d", 9), -F.col("t"))).alias("_x")
+    dof = (F.col("w") - 2).cast("int")
+    tested = lines.withColumns(
+        {"_pb": t_two_sided(F.col("_tb"), dof), "_pa": t_two_sided(F.col("_ta"), dof)}
     )
+    hit = (F.col("_d") > min_change) & (F.col("_pb") < alpha) & (F.col("_pa") < alpha)
+    # a NULL order is skipped; a filter would be pushed down and repeat the tails
+    order = F.when(hit, F.struct(F.bround("_d", 9), -F.col("t")))
+    best = tested.groupBy(*KEY).agg(F.max_by(F.struct("t", "_b", "_a", "_d"), order).alias("_x"))
+    best = best.filter(F.col("_x").isNotNull())
     found = best.select(
         *KEY,
         F.col("_x.t").alias("change_index"),

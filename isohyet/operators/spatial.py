@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.checkpoint import reliable
 from isohyet.functions.numeric import half_even, hypot, ratio
 from isohyet.functions.zones import climate_zone
 
@@ -201,6 +202,8 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
             }
         )
     )
+    # three branches read the occupied cells, and points are the large table
+    cells = reliable(cells)
     # geometry of a home as columns, so the folds below only read them
     edge = 4.0 / F.pow(F.lit(2.0), F.col("home_level"))
     mids = [f"m{i}" for i in range(len(dims))]

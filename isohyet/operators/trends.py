@@ -27,7 +27,7 @@ SEN_DIRECT = 2048
 
 def linear_trend(df: DataFrame, period: int = PERIOD) -> DataFrame:
     aggs, line = fit(F.col("value"), F.col("t").cast("double"))
-    out = df.groupBy(*KEY).agg(*aggs, F.stddev_pop("value").alias("_std"))
+    out, line = line.stage(df.groupBy(*KEY).agg(*aggs, F.stddev_pop("value").alias("_std")), "_")
     slope = line.slope * period
     return out.select(
         *KEY,
@@ -277,7 +277,8 @@ def mann_kendall(df: DataFrame, alpha_z: float = Z_ALPHA, slope: bool = True) ->
         ratio(s - F.signum(s.cast("double")), F.sqrt(F.col("var_s"))), F.lit(0.0)
     )
     out = base.withColumns({"z_statistic": z, "tau": ratio(s.cast("double"), n * (n - 1) / 2)})
-    z, p = F.col("z_statistic"), normal_two_sided(F.col("z_statistic"))
+    out = out.withColumn("_p", normal_two_sided(F.col("z_statistic")))
+    z, p = F.col("z_statistic"), F.col("_p")
     significant = F.abs(z) > alpha_z
     out = out.select(
         *KEY,
@@ -301,14 +302,16 @@ def extremes_trend(df: DataFrame, hot: Column, cold: Column, period: int = PERIO
     x, v = F.col("t").cast("double"), F.col("value")
     hot_aggs, hot_line = fit((v > hot).cast("double"), x, "_h")
     cold_aggs, cold_line = fit((v < cold).cast("double"), x, "_k")
-    out = df.groupBy(*KEY).agg(*hot_aggs, *cold_aggs)
+    out, hot_line = hot_line.stage(df.groupBy(*KEY).agg(*hot_aggs, *cold_aggs), "_h")
+    out, cold_line = cold_line.stage(out, "_k")
+    out = out.withColumns({"_hp": hot_line.p_value, "_kp": cold_line.p_value})
 
     def cols(line: Line, name: str) -> list[Column]:
         return [
             (line.slope * period).alias(f"{name}_slope_per_year"),
             line.r2.alias(f"{name}_r_squared"),
-            line.p_value.alias(f"{name}_p_value"),
-            F.coalesce(line.p_value < ALPHA, F.lit(False)).alias(f"{name}_significant"),
+            F.col(f"{line.staged}p").alias(f"{name}_p_value"),
+            F.coalesce(F.col(f"{line.staged}p") < ALPHA, F.lit(False)).alias(f"{name}_significant"),
             up_or_down(line.slope).alias(f"{name}_direction"),
         ]
 
@@ -325,14 +328,15 @@ def seasonal_trends(df: DataFrame, min_years: int = 5, period: int = PERIOD) ->
     )
     aggs, line = fit(F.col("season_mean"), F.col("year").cast("double"))
     out = means.groupBy(*KEY, "season").agg(*aggs, F.stddev_pop("season_mean").alias("_std"))
-    return out.filter(line.n >= min_years).select(
+    out, line = line.stage(out.filter(line.n >= min_years), "_")
+    return out.withColumn("_p", line.p_value).select(
         *KEY,
         "season",
         line.n.alias("years"),
         line.slope.alias("slope_per_year"),
         line.r2.alias("r_squared"),
-        line.p_value.alias("p_value"),
-        F.coalesce(line.p_value < ALPHA, F.lit(False)).alias("is_significant"),
+        F.col("_p").alias("p_value"),
+        F.coalesce(F.col("_p") < ALPHA, F.lit(False)).alias("is_significant"),
         trend_strength(line.slope, F.col("_std")).alias("trend_strength"),
     )
 
@@ -360,7 +364,8 @@ def decadal_comparison(df: DataFrame, recent: int = 120, min_years: int = 20, pe
     pooled = ratio((n1 - 1) * F.col("_v1") + (n2 - 1) * F.col("_v2"), dof)
     diff = F.col("recent_mean") - F.col("historical_mean")
     t = ratio(diff, F.sqrt(pooled * (ratio(F.lit(1.0), n1) + ratio(F.lit(1.0), n2))))
-    p = t_two_sided(t, dof.cast("int"))
+    out = out.withColumn("_t", t).withColumn("_p", t_two_sided(F.col("_t"), dof.cast("int")))
+    p = F.col("_p")
     return out.select(
         *KEY,
         "recent_mean",

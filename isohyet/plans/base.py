@@ -3,33 +3,14 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.checkpoint import reliable
 from isohyet.series import KEY
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """Use the cluster's shared folder; only local sessions get one of their own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="isohyet-checkpoint-")
-    sc.setCheckpointDir(shared)
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of rows that several jobs will read, such as training data."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialise(series: DataFrame, *extra: str) -> DataFrame:
     """Series rows kept in reliable storage for all branches of a report.
 
