@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites per column expression cost more than building the expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
