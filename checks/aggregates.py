@@ -16,7 +16,7 @@ from isohyet.sources.exports import monthly_records
 QS = "quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.10) AS p10, quantile_cont(value, 0.25) AS p25, " \
      "quantile_cont(value, 0.50) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.90) AS p90, quantile_cont(value, 0.95) AS p95"
 
-SKEW = "(avg(pow(value - m, 3)) / pow(stddev_pop(value), 3))"
+SKEW = "(avg(pow(value - m, 3)) / nullif(pow(stddev_pop(value), 3), 0))"
 RECORDS_SQL = f"""
 {MONTHLY_SQL.strip()},
 records AS (
@@ -385,6 +385,6 @@ FROM series JOIN q USING (location_id) GROUP BY ALL"""),
         "recency_weighted_mean", lambda s, d: stats.recency_weighted_mean(rolling.seasonal_adjusted_subset(monthly(s, d), 4, adjust=False)),
         "location_id:i variable:s weighted_mean:d",
         with_sql(SEASONAL_SQL(4), body="""
-SELECT location_id, variable, sum(exp(-1 + k / (c - 1)) * value) / sum(exp(-1 + k / (c - 1))) AS weighted_mean FROM ranked GROUP BY ALL"""),
+SELECT location_id, variable, sum(w * value) / sum(w) AS weighted_mean FROM (SELECT *, exp(-1 + coalesce(k / nullif(c - 1, 0), 0)) AS w FROM ranked) GROUP BY ALL"""),
     ),
 ]

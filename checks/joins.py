@@ -257,8 +257,8 @@ FROM points p CROSS JOIN sites s QUALIFY row_number() OVER (PARTITION BY p.point
         "expand_leads", _leads, "location_id:i variable:s lead:i month:i year:i phase:i",
         with_sql(MONTHLY_SQL, body="""
 SELECT DISTINCT location_id, variable, lead, month, year, month - 1 AS phase
-FROM series, (SELECT k AS lead, month(d) AS month, year(d) AS year FROM
- (SELECT k, DATE '2001-09-15' + CAST(30 * k AS INTEGER) AS d FROM range(1, 7) r(k)))"""),
+FROM (SELECT location_id, variable, t % 12 AS ph FROM series WHERE value IS NOT NULL AND t < 72) JOIN (SELECT k AS lead, month(d) AS month, year(d) AS year FROM
+ (SELECT k, DATE '2001-09-15' + CAST(30 * k AS INTEGER) AS d FROM range(1, 7) r(k))) l ON l.month = ph + 1"""),
     ),
     Check(
         "top_k_sites", lambda s, d: spatial.nearest_sites(points(s, d), sites(s, d), 3, "planar").withColumnRenamed("distance", "distance_km"),

@@ -160,6 +160,10 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
     last = F.max("t").over(by_series())
     rows = reliable(rows.withColumn("_late", F.col("t") > last - holdout))
     train = rows.filter(~F.col("_late"))
+    simple = trend_adjusted_forecast(series, month)
+    if train.isEmpty():  # every series is too short or has too many gaps
+        none = {c: F.lit(None).cast("double") for c in ("accuracy", "validation_mae", "validation_r2")}
+        return simple.withColumns(none)
     models = {
         name: _pipeline(FORECAST_COLUMNS, r).fit(train)
         for name, r in regressors(sizes, extra_forest=True).items()
@@ -199,8 +203,8 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
         "validation_mae",
         "validation_r2",
     )
-    simple = trend_adjusted_forecast(series, month).join(fitted.select(*KEY), KEY, "left_anti")
-    return fitted.unionByName(simple, allowMissingColumns=True)
+    rest = simple.join(fitted.select(*KEY), KEY, "left_anti")
+    return fitted.unionByName(rest, allowMissingColumns=True)
 
 
 # --- trend direction ------------------------------------------------------
