@@ -258,8 +258,8 @@ FROM mix JOIN moved USING (point_id) LEFT JOIN sp ON sp.site_id = moved.exact_id
         "hot_extremes_percent:d sample_size:i completeness:d data_span_years:i",
         with_sql(BOOT_SQL(PROBS_SQL(4), 20), "," + FC, "," + _rest(PAIRS_SQL(MONTHLY_SQL), MONTHLY_SQL), "," + _rest(LINEAR_SQL(MONTHLY_SQL), MONTHLY_SQL),
                  "," + _rest(SEASONS_SQL(MONTHLY_SQL, 6), MONTHLY_SQL), body=f"""
-, slopes AS (SELECT location_id, b, 12 * regr_slope(value, pos) AS s FROM draws GROUP BY 1, 2),
-tr AS (SELECT location_id, stddev_pop(s) AS tu FROM slopes GROUP BY 1),
+, slopes AS (SELECT location_id, b, 12 * regr_slope(value, pos) AS s, any_value(n) AS n FROM draws GROUP BY 1, 2),
+tr AS (SELECT location_id, CASE WHEN any_value(n) > 24 THEN stddev_pop(s) ELSE 0 END AS tu FROM slopes GROUP BY 1),
 d AS (SELECT s.location_id, s.variable, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, {SKEW} AS skewness, kurtosis_pop(value) AS kurtosis, {QS}, count(*) AS sample_size
   FROM (SELECT *, avg(value) OVER (PARTITION BY location_id) AS m FROM seasonal) s GROUP BY 1, 2),
 rb AS (SELECT s.location_id, avg(value) AS robust_mean FROM seasonal s JOIN d USING (location_id) WHERE value BETWEEN p25 - 1.5 * (p75 - p25) AND p75 + 1.5 * (p75 - p25) GROUP BY 1),
@@ -275,11 +275,11 @@ amp AS (SELECT location_id, max(v) - min(v) AS amplitude, arg_max(month, v) AS p
 yr AS (SELECT location_id, stddev_pop(v) AS interannual FROM (SELECT location_id, t // 12 AS y, avg(value) AS v FROM series WHERE t < 72 GROUP BY ALL) GROUP BY 1),
 hq AS (SELECT location_id, quantile_cont(value, 0.95) AS hi FROM series GROUP BY 1),
 hot AS (SELECT location_id, 100.0 * count(*) FILTER (WHERE value > hi) / count(value) AS hot_extremes_percent FROM series JOIN hq USING (location_id) GROUP BY 1),
-ws AS (SELECT location_id, slope_per_year AS winter_slope FROM seasons WHERE season = 'winter'),
+ws AS (SELECT location_id, slope_per_year AS winter_slope FROM seasons WHERE season = 'winter' AND years >= 3),
 a AS (SELECT d.*, d.p75 - d.p25 AS iqr, robust_mean, prediction, 0.6 AS prediction_confidence, p_above, mk.trend_direction AS mk_trend_direction, mk.p_value AS mk_p_value, mk.tau AS mk_tau,
   l.slope_per_year AS lr_slope_per_year, l.r_squared AS lr_r_squared, l.p_value AS lr_p_value, l.trend_strength AS lr_trend_strength, winter_slope,
   sqrt(d.std ** 2 + tu ** 2 + d.std ** 2 / sample_size) AS total_uncertainty, amplitude, peak_month, interannual, hot_extremes_percent, sample_size / 6.0 * 100 AS completeness, 6 AS data_span_years
-FROM d JOIN rb USING (location_id) JOIN fc USING (location_id) JOIN pa USING (location_id) JOIN mann_kendall mk USING (location_id) JOIN linear l USING (location_id) JOIN ws USING (location_id)
+FROM d JOIN rb USING (location_id) JOIN fc USING (location_id) JOIN pa USING (location_id) JOIN mann_kendall mk USING (location_id) JOIN linear l USING (location_id) LEFT JOIN ws USING (location_id)
 JOIN tr USING (location_id) JOIN amp USING (location_id) JOIN yr USING (location_id) JOIN hot USING (location_id))
 SELECT *, {zone(lat_sql('location_id'))} AS climate_zone, mean - 2 * total_uncertainty AS lower_95, mean + 2 * total_uncertainty AS upper_95 FROM a""").replace(",\n,", ",\n"),
     ),
