@@ -12,13 +12,13 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACE_WORD}') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {near_dedup.SHINGLE} THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - {near_dedup.SHINGLE - 2}), i -> array_to_string(ws[i:i + {near_dedup.SHINGLE - 1}], ' ')) END) AS sh FROM w
+    ELSE list_transform(range(1, len(ws) - {near_dedup.SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {near_dedup.SHINGLE - 1}], ' ')) END) AS sh FROM w
 ), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
   SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common.n >= {near_dedup.LINK_PERCENT} * (x.n + y.n - common.n)
-), both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b),
+), sides AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN size USING (doc_id) JOIN comp USING (doc_id)
@@ -55,10 +55,10 @@ WITH d AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
 ), iw AS (
   SELECT DISTINCT item_id, least(len(ws), {decontaminate.WINDOW}) AS n,
-    unnest(list_transform(range(1, len(ws) - least(len(ws), {decontaminate.WINDOW}) + 2), k -> array_to_string(ws[k:k + least(len(ws), {decontaminate.WINDOW}) - 1], ' '))) AS win
+    unnest(list_transform(range(1, len(ws) - least(len(ws), {decontaminate.WINDOW}) + 2), lambda k: array_to_string(ws[k:k + least(len(ws), {decontaminate.WINDOW}) - 1], ' '))) AS win
   FROM i WHERE len(ws) > 0
 ), dw AS (
-  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, unnest(list_transform(range(1, len(ws) - n + 2), k -> array_to_string(ws[k:k + n - 1], ' '))) AS win
+  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS win
   FROM d CROSS JOIN (SELECT DISTINCT n FROM iw)
 ), hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
 word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
@@ -71,9 +71,9 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
 QUALITY = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{SPACE_WORD}')) AS lines FROM documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SPACE_WORD}')) AS lines FROM documents
 ), win AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS k, unnest(list_transform(range(1, len(ws) - 1), k -> ws[k:k + 2])) AS w3 FROM d
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS k, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k:k + 2])) AS w3 FROM d
 ), rep AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w3) AS c FROM win) WHERE c > 1),
 repw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM rep) GROUP BY doc_id),
 line AS (
