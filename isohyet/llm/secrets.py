@@ -105,12 +105,12 @@ def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     return base.unionByName(extra.join(b, over, "left_anti"))
 
 
-def per_document(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document row with `found`: its spans (begin, rank of the kind, end), sorted; null if there are none."""
+def per_document(documents: DataFrame, digest: Column, spans: DataFrame) -> DataFrame:
+    """Every document row with `_g_found`: its spans (begin, rank of the kind, end), sorted; null if there are none."""
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     gathered = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("begin", rank.alias("rank"), "end"))).alias("found"))
     g = gathered.select(F.col("doc_id").alias("_g_doc"), F.col("digest").alias("_g_digest"), F.col("found").alias("_g_found"))
-    same = documents["doc_id"].cast("long").eqNullSafe(g["_g_doc"]) & (F.xxhash64(documents["text"]) == g["_g_digest"])
+    same = documents["doc_id"].cast("long").eqNullSafe(g["_g_doc"]) & (digest == g["_g_digest"])
     return documents.join(g, same, "left")
 
 
@@ -124,9 +124,9 @@ def secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Null and empty texts have no spans.  Rows that repeat a doc_id and text get the same result; other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
     found = F.coalesce(F.col("_g_found"), F.expr("array()"))
-    rows = per_document(docs, secret_spans(docs, scope)).select("doc_id", found.alias("found"))
+    keys = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"))  # no text in the join
+    rows = per_document(keys, keys["digest"], secret_spans(documents, scope)).select("doc_id", found.alias("found"))
     count = lambda k: F.size(F.filter("found", lambda x: x["rank"] == KINDS.index(k) + 1)).cast("long")
     return rows.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
@@ -136,7 +136,7 @@ def secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """Documents with every span replaced by a mark; overlapping spans are one.  All columns stay, n_chars follows the text."""
-    rows = per_document(documents, secret_spans(documents.select("doc_id", "text"), scope))
+    rows = per_document(documents, F.xxhash64(documents["text"]), secret_spans(documents.select("doc_id", "text"), scope))
     f = F.col("_g_found")
     # a span that begins inside the farthest end so far only extends it
     joined = F.aggregate(
