@@ -2,8 +2,7 @@
 
 The lexicon is learned from labelled documents: words, and word beginnings with many endings, that toxic
 documents have far more often than others.  It is a trie; each distinct word of a document is run through it as
-a Levenshtein automaton (states: a row of edit distances per trie node, cut off beyond the
-allowed distance), so misspelled terms are found too.  Each hit is weighed by its context: reporting verbs and quotation marks
+a Levenshtein automaton for one edit, kept as bit sets, so misspelled terms are found too.  Each hit is weighed by its context: reporting verbs and quotation marks
 around it make it a quotation, words that address the reader make it abuse.  A logistic model turns a document's hits into a score.
 """
 
@@ -15,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1
 
 
 class Trie:
@@ -49,7 +49,7 @@ class Trie:
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
-        self.weight = {**{w: x for w, x in stems.items()}, **words}
+        self.weight = {**stems, **words}
         for term, ends in [(w, self.word) for w in words] + [(s, self.stem) for s in stems]:
             at = 0
             for c in term:
@@ -60,15 +60,11 @@ class Trie:
                     self.stem.append(None)
                 at = self.children[at][c]
             ends[at] = term
-        self.edits = max(map(allowed_edits, words), default=0)
-        # an edit or two leave a term's beginning, middle or end as it is
-        self.sizes = {len(w) + d for w in words for d in range(-allowed_edits(w), allowed_edits(w) + 1)}
-        self.parts = {p for w in words for p in self._parts(w, allowed_edits(w) + 1)}
-
-    @staticmethod
-    def _parts(word: str, pieces: int) -> list[str]:
-        cut = [len(word) * i // pieces for i in range(pieces + 1)]
-        return [word[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        # an edit leaves one half of a term as it is: the word begins with the first or ends with the second
+        fuzzy = [w for w in words if allowed_edits(w)]
+        self.heads, self.tails = {w[: len(w) // 2] for w in fuzzy}, {w[len(w) // 2 :] for w in fuzzy}
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.sizes = {len(w) + d for w in fuzzy for d in (-1, 0, 1)}
 
     def exact(self, word: str) -> tuple[str, int, bool] | None:
         at, stem = 0, None
@@ -81,32 +77,39 @@ class Trie:
         return (self.word[at], 0, False) if self.word[at] else stem
 
     def find(self, word: str) -> tuple[str, int, bool] | None:
-        """(term, edits, is a stem) of the nearest term, ties to the smallest term."""
+        """(term, edits, is a stem): the term itself or a stem of it, else the smallest term one edit away."""
         if hit := self.exact(word):
             return hit
-        if not self.edits or len(word) not in self.sizes or not self._may_match(word):
+        if len(word) not in self.sizes:
+            return None
+        if not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
             return None
-        best: tuple[int, str] | None = None
-        n = len(word)
-        stack = [(0, list(range(n + 1)))]
+        return self._automaton(word)
+
+    def _automaton(self, word: str) -> tuple[str, int, bool] | None:
+        """Walk the trie with the word's Levenshtein automaton: bit i of a state says that i letters of the word are matched.
+
+        `same` has the positions reached without an edit, `once` those with one.
+        """
+        letters: dict[str, int] = {}
+        for i, c in enumerate(word):
+            letters[c] = letters.get(c, 0) | 1 << i
+        end, full = 1 << len(word), (2 << len(word)) - 1
+        best: str | None = None
+        stack = [(0, 1, 2)]
         while stack:
-            node, row = stack.pop()
+            node, same, once = stack.pop()
             term = self.word[node]
-            if term and row[n] <= allowed_edits(term) and (best is None or (row[n], term) < best):
-                best = (row[n], term)
+            if term and once & end and allowed_edits(term) and (best is None or term < best):
+                best = term
             for c, child in self.children[node].items():
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != c)))
-                if min(new) <= self.edits:
-                    stack.append((child, new))
-        return best and (best[1], best[0], False)
-
-    def _may_match(self, word: str) -> bool:
-        """By the pigeonhole principle one of the parts of a term stays whole, so it is in the word."""
-        lengths = {len(p) for p in self.parts} if not hasattr(self, "_part_lengths") else self._part_lengths
-        self._part_lengths = lengths
-        return any(word[i : i + k] in self.parts for k in lengths for i in range(len(word) - k + 1))
+                at = letters.get(c, 0)
+                same_next = (same & at) << 1
+                # a letter of the term that the word lacks, another letter, or (after the step) a letter too many
+                once_next = ((once & at) << 1 | same | same << 1 | same_next << 1) & full
+                if same_next or once_next:
+                    stack.append((child, same_next, once_next))
+        return best and (best, 1, False)
 
 
 class Words(dict):
@@ -170,6 +173,29 @@ def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield rows()
 
 
+def _surroundings(candidates):
+    """Each candidate's distinct pairs of neighbouring words, so that copies of a document count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stems = candidates.value
+        for b in batches:
+            found: set[tuple[str, bool, int, int]] = set()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                w = ["", *_WORD.findall(text.lower()), ""]
+                for i in range(1, len(w) - 1):
+                    x = w[i]
+                    terms = [(x, False)] if x in words else []
+                    terms += [(x[:k], True) for k in STEM_LENGTHS if x[:k] in stems and len(x) > k]
+                    if terms:
+                        near = xxhash.xxh3_64_intdigest(f"{w[i - 1]} {w[i + 1]}") >> 1
+                        found.update((t, s, near, toxic) for t, s in terms)
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int32())
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "stem", "near", "toxic"])
+
+    return run
+
+
 def labelled(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """(text, toxic) of about `rows` labelled documents that are not held out, chosen by a hash of the id.
 
@@ -187,26 +213,30 @@ def labelled(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 
 
 def learn_lexicon(sample: DataFrame) -> Trie:
-    """Words and stems by their share in toxic and clean documents; at most LEXICON_SIZE of each come to the driver."""
-    counts = materialised(sample.mapInArrow(_word_documents, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    """Words and stems that toxic documents have far more often, in several surroundings; at most LEXICON_SIZE of each come to the driver."""
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Trie({}, {})
+    counts = materialised(sample.mapInArrow(_word_documents, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     ratio = ((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1))
+    strong = (F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)
 
-    def strongest(rows: DataFrame, column: str) -> dict[str, float]:
-        strong = rows.withColumn("weight", F.log2(ratio)).filter((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO))
-        top = strong.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), column).limit(LEXICON_SIZE)
-        return {r[column]: r["weight"] for r in top.collect()}
+    def strongest(rows: DataFrame, column: str) -> set[str]:
+        return {r[column] for r in rows.filter(strong).orderBy(F.desc(F.log2(ratio) * F.sqrt("toxic")), column).limit(LEXICON_SIZE).collect()}
 
-    stems = counts.filter("toxic > 0 OR clean > 0").withColumn("length", F.explode(F.array(*[F.lit(k) for k in STEM_LENGTHS])))
+    stems = counts.withColumn("length", F.explode(F.array(*[F.lit(k) for k in STEM_LENGTHS])))
     stems = stems.filter(F.length("word") > F.col("length")).groupBy(F.expr("substring(word, 1, length)").alias("stem")).agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.when(F.col("toxic") > 0, 1)).alias("endings")
     )
     words = strongest(counts.filter(F.length("word") >= 4), "word")
-    beginnings = strongest(stems.filter((F.col("endings") >= MIN_ENDINGS) & (F.col("toxic") >= 4 * MIN_TOXIC)), "stem")
-    short = {s: w for s, w in beginnings.items() if not any(s[:k] in beginnings for k in range(1, len(s)))}
-    return Trie(words, short)
+    beginnings = strongest(stems.filter(F.col("endings") >= MIN_ENDINGS), "stem")
+    candidates = sample.sparkSession.sparkContext.broadcast((words, beginnings))
+    seen = sample.mapInArrow(_surroundings(candidates), "term string, stem boolean, near long, toxic int").distinct()
+    seen = seen.groupBy("term", "stem").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    kept = seen.filter(strong).select("term", "stem", F.log2(ratio).alias("weight")).collect()
+    weights = {r["term"]: r["weight"] for r in kept if r["stem"]}
+    weights = {s: w for s, w in weights.items() if not any(s[:k] in weights for k in range(1, len(s)))}
+    return Trie({r["term"]: r["weight"] for r in kept if not r["stem"] and not any(r["term"][:k] in weights for k in STEM_LENGTHS)}, weights)
 
 
 class Model:
