@@ -152,7 +152,7 @@ def _adjust(spark, sf):
 
 def _uncertainty(spark, sf):
     m = monthly(spark, sf)
-    return forecast.uncertainty(rolling.seasonal_adjusted_subset(m, 4), resample.bootstrap_trend(m, 20))
+    return forecast.uncertainty(rolling.seasonal_adjusted_subset(m, 4), resample.bootstrap_trend(m, 100))
 
 
 def _nullable(a: str, b: str) -> str:
@@ -292,7 +292,7 @@ SELECT location_id, variable, round_even(min(value), 2) AS min, round_even(max(v
         "uncertainty", _uncertainty,
         "location_id:i variable:s historical_std:d coefficient_of_variation:d trend_uncertainty:d seasonal_uncertainty:d "
         "total_uncertainty:d lower_68:d upper_68:d lower_95:d upper_95:d uncertainty_level:s",
-        with_sql(BOOT_SQL(SEASONAL_SQL(4), 20), body="""
+        with_sql(BOOT_SQL(SEASONAL_SQL(4), 100), body="""
 , slopes AS (SELECT location_id, b, 12 * regr_slope(value, pos) AS s, any_value(n) AS n FROM draws GROUP BY 1, 2),
 tr AS (SELECT location_id, CASE WHEN any_value(n) > 24 THEN stddev_pop(s) ELSE 0 END AS trend_uncertainty FROM slopes GROUP BY 1),
 u AS (SELECT location_id, variable, avg(s.value) AS m, stddev_pop(s.value) AS historical_std, stddev_pop(s.value) / avg(s.value) AS coefficient_of_variation,

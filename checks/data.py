@@ -62,7 +62,7 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
         "location_id", kind.alias("variable"), "t", "total", "orders"
     )
     cells = build_cells(facts, F.sum("total") / F.sum("orders") / 9973)
-    return complete_periods(cells.filter(F.col("t").between(0, MONTHS - 1)), MONTHS)
+    return complete_periods(cells, MONTHS)
 
 
 MONTHLY_SQL = f"""
@@ -76,10 +76,9 @@ cells AS (
 series AS (
   SELECT k.location_id,
          CASE k.location_id % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'precipitation' ELSE 'wind_speed' END AS variable,
-         r.t, c.value
-  FROM (SELECT DISTINCT location_id FROM cells) k
-  CROSS JOIN range({MONTHS}) r(t)
-  LEFT JOIN cells c ON c.location_id = k.location_id AND c.t = r.t
+         k.t, c.value
+  FROM (SELECT location_id, unnest(range(least(0, min(t)), greatest({MONTHS}, max(t) + 1))) AS t FROM cells GROUP BY location_id) k
+  LEFT JOIN cells c ON c.location_id = k.location_id AND c.t = k.t
 )"""
 
 # --- ship: quantity per return flag, complete -----------------------------
@@ -124,7 +123,7 @@ def buckets(spark: SparkSession, sf: str) -> DataFrame:
         key["i"].alias("location_id"), key["v"].alias("variable"), F.floor(at / 7200).cast("int").alias("t"), "value"
     )
     cells = facts.groupBy(*KEY, "t").agg((F.avg("value") / 1.7).alias("value"))
-    return complete_periods(cells.filter(F.col("t").between(0, BUCKETS - 1)), BUCKETS)
+    return complete_periods(cells, BUCKETS)
 
 
 _cases = lambda i: " ".join(
@@ -139,10 +138,9 @@ cells AS (
   FROM events GROUP BY ALL
 ),
 series AS (
-  SELECT k.location_id, k.variable, r.t, c.value
-  FROM (SELECT DISTINCT location_id, variable FROM cells) k
-  CROSS JOIN range({BUCKETS}) r(t)
-  LEFT JOIN cells c ON c.location_id = k.location_id AND c.t = r.t
+  SELECT k.location_id, k.variable, k.t, c.value
+  FROM (SELECT location_id, variable, unnest(range(least(0, min(t)), greatest({BUCKETS}, max(t) + 1))) AS t FROM cells GROUP BY location_id, variable) k
+  LEFT JOIN cells c ON c.location_id = k.location_id AND c.t = k.t
 )"""
 
 # --- points and sites -----------------------------------------------------

@@ -118,7 +118,7 @@ CLIMO = "(30 - 0.6 * abs(lat) + (5 + 0.3 * abs(lat)) * cos(2 * pi() * (4 - CASE
 
 
 def _probability(spark, sf):
-    out = reports.weather_probability(placed(monthly(spark, sf)), 4, replicates=20)
+    out = reports.weather_probability(placed(monthly(spark, sf)), 4, replicates=100)
     return out.withColumns({
         "p_above": F.coalesce(*[F.col("extreme_probabilities")[k] for k in ("above_hot", "above_heavy_rain", "above_windy")]),
         "winter_slope": F.col("seasonal_slopes")["winter"],
@@ -154,7 +154,7 @@ def _text(spark, sf):
     )
 
 
-DRIFT_SQL = BUCKETS_SQL.replace("r.t, c.value\n", "r.t, c.value + r.t * k.location_id / 50 AS value\n")
+DRIFT_SQL = BUCKETS_SQL.replace("k.t, c.value\n", "k.t, c.value + k.t * k.location_id / 50 AS value\n")
 TEXT_BODY = """
 , x AS (SELECT m.location_id, m.variable, is_significant, trend_direction, confidence, m.p_value, slope_per_year, r_squared, trend_strength FROM mann_kendall m JOIN linear l USING (location_id))
 SELECT location_id, variable, CASE WHEN is_significant OR abs(slope_per_year) > 0.01 THEN concat(upper(variable[1]), variable[2:], ': ', concat_ws('; ',
@@ -182,9 +182,9 @@ CHECKS = [
         with_sql(MONTHLY_SQL, body=f"SELECT * FROM ({TREND_BODY}) WHERE t >= 12"),
     ),
     Check(
-        "future_features", lambda s, d: features.future_features(placed(monthly(s, d)), 24), "location_id:i step:i " + COLS(features.TREND_COLUMNS),
+        "future_features", lambda s, d: features.future_features(placed(monthly(s, d)), 60), "location_id:i step:i " + COLS(features.TREND_COLUMNS),
         with_sql(MONTHLY_SQL, "," + RECENT_SQL, body=f"""
-SELECT *, std_12 AS variability_12, (80 + step) / 104.0 AS time_norm, {CYCLE('(80 + step) % 12', 'phase')} FROM recent CROSS JOIN range(24) r(step)""").replace(",\n,", ",\n"),
+SELECT *, std_12 AS variability_12, (80 + step) / 140.0 AS time_norm, {CYCLE('(80 + step) % 12', 'phase')} FROM recent CROSS JOIN range(60) r(step)""").replace(",\n,", ",\n"),
     ),
     Check(
         "panel_features", lambda s, d: features.panel_features(placed(monthly(s, d))), "location_id:i t:i value:d " + COLS(features.PANEL_COLUMNS),
@@ -195,8 +195,8 @@ SELECT *, std_12 AS variability_12, (80 + step) / 104.0 AS time_norm, {CYCLE('(8
         with_sql(MONTHLY_SQL, "," + RECENT_SQL, body=f"SELECT * EXCLUDE (previous), last_value AS previous, 0.8 AS time_norm, {CYCLE('4', 'phase')} FROM recent").replace(",\n,", ",\n"),
     ),
     Check(
-        "bootstrap_intervals", lambda s, d: resample.bootstrap_intervals(monthly(s, d), 12, 50), "location_id:i variable:s lead:i lower_95:d lower_80:d upper_80:d upper_95:d",
-        with_sql(BOOT_SQL(MONTHLY_SQL, 50), body="""
+        "bootstrap_intervals", lambda s, d: resample.bootstrap_intervals(monthly(s, d), 12, 100), "location_id:i variable:s lead:i lower_95:d lower_80:d upper_80:d upper_95:d",
+        with_sql(BOOT_SQL(MONTHLY_SQL, 100), body="""
 , f AS (SELECT location_id, variable, b, regr_slope(value, t) AS s, regr_intercept(value, t) AS a FROM draws GROUP BY 1, 2, 3),
 p AS (SELECT location_id, variable, lead, a + s * (80 + lead - 1) AS v FROM f CROSS JOIN range(1, 13) r(lead))
 SELECT location_id, variable, lead, quantile_cont(v, 0.025) AS lower_95, quantile_cont(v, 0.1) AS lower_80, quantile_cont(v, 0.9) AS upper_80, quantile_cont(v, 0.975) AS upper_95 FROM p GROUP BY ALL"""),
@@ -256,7 +256,7 @@ FROM mix JOIN moved USING (point_id) LEFT JOIN sp ON sp.site_id = moved.exact_id
         "prediction_confidence:d p_above:d mk_trend_direction:s mk_p_value:d mk_tau:d lr_slope_per_year:d lr_r_squared:d lr_p_value:d "
         "lr_trend_strength:s winter_slope:d total_uncertainty:d lower_95:d upper_95:d amplitude:d peak_month:i interannual:d "
         "hot_extremes_percent:d sample_size:i completeness:d data_span_years:i",
-        with_sql(BOOT_SQL(PROBS_SQL(4), 20), "," + FC, "," + _rest(PAIRS_SQL(MONTHLY_SQL), MONTHLY_SQL), "," + _rest(LINEAR_SQL(MONTHLY_SQL), MONTHLY_SQL),
+        with_sql(BOOT_SQL(PROBS_SQL(4), 100), "," + FC, "," + _rest(PAIRS_SQL(MONTHLY_SQL), MONTHLY_SQL), "," + _rest(LINEAR_SQL(MONTHLY_SQL), MONTHLY_SQL),
                  "," + _rest(SEASONS_SQL(MONTHLY_SQL, 6), MONTHLY_SQL), body=f"""
 , slopes AS (SELECT location_id, b, 12 * regr_slope(value, pos) AS s, any_value(n) AS n FROM draws GROUP BY 1, 2),
 tr AS (SELECT location_id, CASE WHEN any_value(n) > 24 THEN stddev_pop(s) ELSE 0 END AS tu FROM slopes GROUP BY 1),

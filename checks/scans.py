@@ -389,8 +389,9 @@ SELECT point_id, (lat BETWEEN 24.396308 AND 49.384358 AND lon BETWEEN -125 AND -
         "elevation_correct",
         lambda s, d: quality.elevation_correct(
             monthly(s, d),
-            table(s, d, "nation").filter("n_nationkey % 4 <> 1").select(
-                F.col("n_nationkey").cast("bigint").alias("location_id"), (F.col("n_nationkey") * 61.0).alias("elevation")
+            table(s, d, "nation").select(
+                F.col("n_nationkey").cast("bigint").alias("location_id"),
+                F.when(F.col("n_nationkey") % 4 != 1, F.col("n_nationkey") * 61.0).alias("elevation"),
             ),
         ),
         "location_id:i variable:s t:i value:d",

@@ -316,7 +316,7 @@ SELECT k.*, shift_index IS NOT NULL AS shift_detected, shift_index, shift_magnit
     Check(
         "trend_change_scan", lambda s, d: cp.trend_change_scan(buckets(s, d).withColumn("value", F.col("value") + F.sin(F.col("t") / 40.0) * 40)),
         "location_id:i variable:s trend_change_detected:b change_index:i slope_before:d slope_after:d slope_difference:d change_description:s",
-        with_sql(SCAN_SQL(BUCKETS_SQL.replace("SELECT k.location_id, k.variable, r.t, c.value", "SELECT k.location_id, k.variable, r.t, c.value + sin(r.t / 40.0) * 40 AS value"), "greatest(36, x.n // 3)"), body=f"""
+        with_sql(SCAN_SQL(BUCKETS_SQL.replace("SELECT k.location_id, k.variable, k.t, c.value", "SELECT k.location_id, k.variable, k.t, c.value + sin(k.t / 40.0) * 40 AS value"), "greatest(36, x.n // 3)"), body=f"""
 , p AS (SELECT location_id, t, xyb / xxb AS sb, xya / xxa AS sa, {_p_of('xxb', 'yyb', 'xyb')} AS pb, {_p_of('xxa', 'yya', 'xya')} AS pa FROM win),
 b AS (SELECT location_id, arg_max(t, abs(sa - sb)) AS change_index, arg_max(sb, abs(sa - sb)) AS slope_before, arg_max(sa, abs(sa - sb)) AS slope_after
   FROM p WHERE pb < 0.1 AND pa < 0.1 AND abs(sa - sb) > 0.01 GROUP BY 1),

@@ -50,7 +50,7 @@ def _holes(df):
 
 
 HOLES_SQL = MONTHLY_SQL.replace(
-    "r.t, c.value\n", "r.t, CASE WHEN NOT (r.t < 2 OR r.t % 17 < k.location_id % 5 OR r.t >= 79) THEN c.value END AS value\n"
+    "k.t, c.value\n", "k.t, CASE WHEN NOT (k.t < 2 OR k.t % 17 < k.location_id % 5 OR k.t >= 79) THEN c.value END AS value\n"
 )
 
 

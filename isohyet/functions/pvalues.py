@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
-NORMAL_FROM_DF = 10_000
-
 
 def erf(x: Column) -> Column:
     a = F.abs(x)
@@ -49,10 +47,8 @@ def t_two_sided(t: Column, df: Column) -> Column:
             term.alias("term"), (acc["total"] + term).alias("total"), acc["c2"].alias("c2"), acc["e"].alias("e")
         )
 
-    # small enough to enumerate; longer series use the normal tail below
-    upto = F.least(steps, F.lit(NORMAL_FROM_DF // 2))
     series = F.aggregate(
-        F.when(upto >= 1, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>")),
+        F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
         F.struct(
             head.alias("term"),
             head.alias("total"),
@@ -65,7 +61,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
     theta = F.atan(tt / F.sqrt(v))
     mass = F.when(even, sin * series).otherwise(2.0 / math.pi * (theta + sin * series))
     exact = F.greatest(F.lit(0.0), F.lit(1.0) - mass)
-    return F.when((df >= 1) & t.isNotNull(), F.when(df > NORMAL_FROM_DF, normal_two_sided(tt)).otherwise(exact))
+    return F.when((df >= 1) & t.isNotNull(), exact)
 
 
 def f2_tail(f: Column, d: Column) -> Column:

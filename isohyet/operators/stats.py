@@ -176,7 +176,8 @@ def exceedance_probabilities(seasonal: DataFrame) -> DataFrame:
 def adjust_probabilities(probabilities: DataFrame, predictions: DataFrame, seasonal: DataFrame) -> DataFrame:
     """Shift temperature extremes towards a prediction, then bound the total.
 
-    ``predictions`` has ``prediction`` and ``confidence`` per series.
+    ``predictions`` has ``prediction`` and ``confidence`` per series; a series without
+    one keeps its probabilities.
     """
     quantiles = percentiles(seasonal, (10, 90, 95))
     p, c = F.col("prediction"), F.col("condition")
@@ -196,8 +197,8 @@ def adjust_probabilities(probabilities: DataFrame, predictions: DataFrame, seaso
         )
     )
     shifted = (
-        probabilities.join(predictions.select(*KEY, "prediction", "confidence"), KEY)
-        .join(quantiles, KEY)
+        probabilities.join(predictions.select(*KEY, "prediction", "confidence"), KEY, "left")
+        .join(quantiles, KEY, "left")
         .withColumn(
             "_raw", F.col("probability") + F.coalesce(points * F.col("confidence"), F.lit(0.0))
         )

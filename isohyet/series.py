@@ -35,6 +35,8 @@ def build_cells(facts: DataFrame, value: Column) -> DataFrame:
 def complete_periods(cells: DataFrame, periods: int) -> DataFrame:
     """Add a NULL row for every absent period 0..periods-1 of each series.
 
+    Rows before 0 or after the last period stay, and the gaps up to them are filled too.
+
     Each row is stretched up to the next one, so there is no calendar join and
     the exchange on the series key is the one later windows need anyway.
     """
@@ -44,8 +46,8 @@ def complete_periods(cells: DataFrame, periods: int) -> DataFrame:
         *KEY,
         F.col("t").alias("_at"),
         "value",
-        F.when(first, F.lit(0)).otherwise(F.col("t")).cast("int").alias("_from"),
-        (F.coalesce(F.lead("t").over(w), F.lit(periods)) - 1).cast("int").alias("_to"),
+        F.when(first, F.least(F.lit(0), F.col("t"))).otherwise(F.col("t")).cast("int").alias("_from"),
+        F.coalesce(F.lead("t").over(w) - 1, F.greatest(F.lit(periods - 1), F.col("t"))).cast("int").alias("_to"),
     )
     return stretched.select(
         *KEY, F.explode(F.sequence("_from", "_to")).alias("t"), "value", "_at"

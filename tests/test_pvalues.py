@@ -18,7 +18,7 @@ def test_student_tail(spark, t, df, p):
     assert one(spark, t_two_sided(F.lit(t), F.lit(df))) == pytest.approx(p, abs=1e-9)
 
 
-def test_student_tail_of_long_series_is_normal(spark):
+def test_student_tail_of_long_series_is_near_normal(spark):
     assert one(spark, t_two_sided(F.lit(1.96), F.lit(50_000))) == pytest.approx(0.05, abs=1e-4)
     assert one(spark, t_two_sided(F.lit(1.96), F.lit(9_999))) == pytest.approx(0.05002, abs=1e-4)
 
@@ -36,3 +36,10 @@ def test_f_tail(spark):
 @pytest.mark.parametrize("z", [0.0, 0.5, 1.0, 1.96, 3.0, 5.0])
 def test_normal_tail(spark, z):
     assert one(spark, normal_two_sided(F.lit(z))) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-7)
+
+
+def test_t_tail_has_no_step_at_large_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(9_999,), (10_000,), (10_001,), (20_001,), (1_000_000,)], "df int")
+    p = [r[0] for r in df.orderBy("df").select(t_two_sided(F.lit(3.0), F.col("df"))).collect()]
+    assert all(a > b for a, b in zip(p[:-1], p[1:])) and p[0] - p[2] < 1e-8
+    assert abs(p[4] - 0.0026998) < 1e-6

@@ -39,3 +39,11 @@ def test_whole_years_and_months(make_series):
 def test_position_skips_missing(make_series):
     out = rows(S.with_position(make_series({(1, "a"): [None, 3, None, 4]})), "t")
     assert [(r["t"], r["pos"], r["n"]) for r in out] == [(1, 0, 2), (3, 1, 2)]
+
+
+def test_rows_outside_the_calendar_stay(spark):
+    df = spark.createDataFrame([(1, "temperature", t, float(t)) for t in (-2, 0, 2, 5, 7)], "location_id bigint, variable string, t int, value double")
+    got = {r["t"]: r["value"] for r in S.complete_periods(df, 5).collect()}
+    assert got == {t: (float(t) if t in (-2, 0, 2, 5, 7) else None) for t in range(-2, 8)}
+    inside = S.complete_periods(df.filter("t between 0 and 2"), 5)
+    assert sorted(r["t"] for r in inside.collect()) == [0, 1, 2, 3, 4]
