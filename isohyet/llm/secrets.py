@@ -94,15 +94,18 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, digest, kind, begin, end) in code points, end exclusive: base spans and linked weak candidates.
 
-    A weak candidate that overlaps a base span adds nothing and is left out.
+    A weak candidate that overlaps a base span adds nothing and is left out; overlaps are looked up by cells too, so
+    the spans of a long document never meet all others.
     """
     parts = materialised(found_parts(documents))
     base = parts.filter(F.col("kind").isin(*KINDS[:3]))
-    extra = linked(parts, scope)
-    b = base.select(F.col("doc_id").alias("b_doc"), F.col("digest").alias("b_digest"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"))
-    over = F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("digest") == F.col("b_digest"))
-    over &= (F.col("begin") < F.col("b_end")) & (F.col("b_begin") < F.col("end"))
-    return base.unionByName(extra.join(b, over, "left_anti"))
+    cell = F.explode(F.sequence(F.floor(F.col("begin") / scope), F.floor((F.col("end") - 1) / scope))).alias("cell")
+    b = base.select(F.col("doc_id").alias("b_doc"), F.col("digest").alias("b_digest"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"), cell)
+    weak = linked(parts, scope).select(*KEY, "kind", "begin", "end", cell)
+    over = weak["doc_id"].eqNullSafe(b["b_doc"]) & (weak["digest"] == b["b_digest"]) & (weak["cell"] == b["cell"])
+    over &= (weak["begin"] < b["b_end"]) & (b["b_begin"] < weak["end"])
+    free = weak.join(b, over, "left").groupBy(*KEY, "kind", "begin", "end").agg(F.count("b_begin").alias("n")).filter("n = 0").drop("n")
+    return base.unionByName(free)
 
 
 def per_document(documents: DataFrame, digest: Column, spans: DataFrame) -> DataFrame:
