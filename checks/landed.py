@@ -85,24 +85,28 @@ def _predict_panel(spark, sf):
 
 
 def _train_panel(spark, sf):
-    """Scores on training and test rows, computed from the predictions."""
+    """Scores per variable on training and test rows, computed from the predictions."""
     m = placed(monthly(spark, sf))
-    rows = features.panel_features(m).withColumnRenamed("value", "target")
+    rows = features.panel_features(m).withColumnRenamed("value", "target").dropna()
     models, _ = panel.train_panel(rows, SMALL)
-    train, test = panel.hash_split(rows.filter(F.col("target").isNotNull()))
+    train, test = panel.hash_split(rows)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    wide = panel.apply_models(models, both, ["part", "target"])
-    long = wide.select("part", "target", F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in models])))
+    wide = panel.apply_models(models, both, ["part", "variable", "target"])
+    long = wide.select("part", "variable", "target", F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in models])))
     e = F.col("p") - F.col("target")
-    return long.groupBy("part", "model").agg((1 - F.avg(e * e) / F.var_pop("target")).alias("r2"), F.count(F.lit(1)).alias("rows"))
+    return long.groupBy("part", "variable", "model").agg((1 - F.avg(e * e) / F.var_pop("target")).alias("r2"), F.count(F.lit(1)).alias("rows"))
 
 
 def _tune(spark, sf):
+    """The best model of each variable, judged per series."""
     rows = features.panel_features(placed(monthly(spark, sf))).withColumnRenamed("value", "target").dropna()
-    found = panel.tune(rows, "random_forest", features.PANEL_COLUMNS, {"numTrees": [2, 4], "maxDepth": [2, 4]})
-    best = found.bestModel
-    scored = best.transform(rows)
-    return scored.groupBy(*KEY).agg(F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
+    out = None
+    for v in panel.variables_of(rows):
+        own = rows.filter(F.col("variable") == v)
+        found = panel.tune(own, "random_forest", features.PANEL_COLUMNS, {"numTrees": [2, 4], "maxDepth": [2, 4]})
+        scored = found.bestModel.transform(own).select(*KEY, "prediction", "target")
+        out = scored if out is None else out.unionByName(scored)
+    return out.groupBy(*KEY).agg(F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
 
 
 CHECKS = [
@@ -129,19 +133,19 @@ SELECT s_name AS display_name, CAST(printf('%.2f', lat) AS DOUBLE) AS lat, CAST(
   CASE WHEN site_id % 5 <> 0 THEN value ELSE 0 END AS importance, CAST(nation AS VARCHAR) AS country, CASE WHEN site_id % 7 <> 0 THEN 'S' ELSE '' END AS state,
   '' AS city, '' AS county, '' AS postcode FROM sites"""),
     ),
-    Check("train_panel", _train_panel, "part:s model:s r2:d rows:i"),
-    Check("predict_panel", _predict_panel, "location_id:i variable:s ensemble_prediction:d prediction_std:d prediction_confidence:d"),
+    Check("train_panel", _train_panel, "part:s variable:s model:s r2:d rows:i"),
+    Check("predict_panel", _predict_panel, "location_id:i variable:s ensemble_prediction:d prediction_std:d prediction_confidence:d status:s"),
     Check(
         "train_forecast_ensemble", lambda s, d: panel.train_forecast_ensemble(placed(buckets(s, d)), 4, SMALL),
-        "location_id:i variable:s prediction:d confidence:d prediction_std:d best_model:s accuracy:d validation_mae:d validation_r2:d",
+        "location_id:i variable:s prediction:d confidence:d prediction_std:d best_model:s accuracy:d validation_mae:d validation_r2:d status:s",
     ),
     Check(
         "trend_direction_models", lambda s, d: panel.trend_direction_models(placed(buckets(s, d)), SMALL)[0],
-        "location_id:i variable:s ensemble_magnitude:d ensemble_direction:s ensemble_confidence:d best_model:s",
+        "location_id:i variable:s ensemble_magnitude:d ensemble_direction:s ensemble_confidence:d best_model:s status:s",
     ),
     Check(
         "project_models", lambda s, d: panel.project_models(placed(buckets(s, d)), 60, SMALL),
-        "location_id:i variable:s step:i ensemble_projection:d projection_uncertainty:d",
+        "location_id:i variable:s step:i ensemble_projection:d projection_uncertainty:d status:s",
     ),
     Check("tune", _tune, "location_id:i variable:s mae:d rows:i"),
 ]

@@ -1,7 +1,8 @@
-"""MLlib ensembles trained once per variable over all series.
+"""MLlib ensembles: one model per variable, over all series of that variable.
 
-Location is part of the features, so one pooled model serves every series and
-the training data stays distributed.  Extremely randomised trees and XGBoost
+Location is part of the features, so a pooled model serves every series of a variable and
+the training data stays distributed.  The distinct variables are few (a handful of measured
+quantities) and the only thing listed on the driver.  An ensemble is {model name: {variable: fitted model}}.  Extremely randomised trees and XGBoost
 have no MLlib counterpart: a second forest with another seed and feature subset
 stands in for the former, gradient-boosted trees for the latter.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -28,7 +30,7 @@ from isohyet.operators.rolling import gradient
 from isohyet.series import KEY, by_series, in_time_order
 
 SEED = 42
-VERSION = "1.0"
+VERSION = "2.0"
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ class Sizes:
 def _pipeline(columns: Sequence[str], regressor) -> Pipeline:
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(columns), outputCol="raw_features", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(columns), outputCol="raw_features", handleInvalid="keep"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
             regressor,
         ]
@@ -83,30 +85,77 @@ def hash_split(df: DataFrame, test_share: float = 0.2, seed: int = SEED) -> tupl
     return df.filter(~side), df.filter(side)
 
 
-def _r2(model: PipelineModel, df: DataFrame, label: str) -> float:
-    return RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
-        model.transform(df)
+Ensemble = dict[str, dict[str, PipelineModel]]
+
+
+def variables_of(rows: DataFrame) -> list[str]:
+    return sorted(r["variable"] for r in rows.select("variable").filter("variable IS NOT NULL").distinct().collect())
+
+
+def fit_ensemble(rows: DataFrame, columns: Sequence[str], kinds: dict) -> Ensemble:
+    """Every kind of model fitted to each variable's rows by itself; rows have no missing features or targets."""
+    found = variables_of(rows)
+    return {n: {v: _pipeline(columns, kind).fit(rows.filter(F.col("variable") == v)) for v in found} for n, kind in kinds.items()}
+
+
+def complete_features(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing features filled, with a ``status``; no row is dropped.
+
+    A missing level (a lag or mean) becomes the first known one, a missing spread or slope 0.  Without any known
+    level the status is ``no recent values`` and the row gets no prediction.
+    """
+    levels = [c for c in columns if c == "previous" or c.startswith(("lag_", "mean_"))]
+    # recent values stand before the same months of a year ago
+    known = F.coalesce(*sorted(levels, key=lambda c: c in ("lag_13", "lag_14", "lag_15", "mean_3ly")))
+    gap = F.greatest(*[F.col(c).isNull() for c in columns])
+    status = F.when(known.isNull(), "no recent values").when(gap, "filled").otherwise("complete")
+    filled = {c: F.coalesce(F.col(c), known if c in levels else F.lit(0.0)) for c in columns}
+    return features.withColumns({"status": status, **filled})
+
+
+def apply_models(models: Ensemble, features: DataFrame, keep: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """One column per model next to ``keep`` and ``status``, one row per input row; no join between model outputs.
+
+    Each row meets the models of its own variable.  A variable that was not trained gives NULL predictions and
+    the status ``no model``.
+    """
+    trained = sorted(set.intersection(*[set(m) for m in models.values()])) if models else []
+    names = [f"p_{n}" for n in models]
+    rest = features.filter(F.col("variable").isNull() | ~F.col("variable").isin(trained)) if trained else features
+    out = rest.select(*keep, F.lit("no model").alias("status"), *[F.lit(None).cast("double").alias(p) for p in names])
+    for v in trained:
+        used = columns or next(iter(models.values()))[v].stages[0].getInputCols()
+        part = complete_features(features.filter(F.col("variable") == v), used)
+        for name, by_variable in models.items():
+            scored = by_variable[v].transform(part)
+            known = F.when(F.col("status") != "no recent values", F.col("prediction"))
+            part = scored.withColumn(f"p_{name}", known).drop("prediction", "raw_features", "features")
+        out = out.unionByName(part.select(*keep, "status", *names))
+    return out
+
+
+def r2_by(scored: DataFrame, names: Sequence[str], keys: Sequence[str], label: str = "target") -> DataFrame:
+    """R² of each model's predictions per group: keys, then one column per model name; NULL where the label does not vary."""
+    y = F.col(label)
+    return scored.groupBy(*keys).agg(
+        *[(1.0 - ratio(F.avg((F.col(f"p_{n}") - y) * (F.col(f"p_{n}") - y)), F.var_pop(y))).alias(n) for n in names]
     )
 
 
-def train_panel(panel: DataFrame, sizes: Sizes = Sizes(), columns: Sequence[str] = PANEL_COLUMNS):
-    """Fit the three panel models; returns (models, {name: (train R², test R²)})."""
-    rows = reliable(panel.filter(F.col("target").isNotNull()))
-    train, test = hash_split(rows)
-    models, scores = {}, {}
-    for name, regressor in regressors(sizes).items():
-        models[name] = _pipeline(columns, regressor).fit(train)
-        scores[name] = (_r2(models[name], train, "target"), _r2(models[name], test, "target"))
-    return models, scores
+def _mean_scores(table: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """Mean of the groups' scores per model; the groups (variables, folds) are few."""
+    row = table.agg(*[F.avg(n).alias(n) for n in names]).head()
+    return {n: row[n] if row[n] is not None else 0.0 for n in names}
 
 
-def apply_models(models: dict[str, PipelineModel], features: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One column per model next to ``keep``; no join between model outputs."""
-    out = features
-    for name, model in models.items():
-        scored = model.transform(out)
-        out = scored.withColumnRenamed("prediction", f"p_{name}").drop("raw_features", "features")
-    return out.select(*keep, *[f"p_{n}" for n in models])
+def train_panel(panel: DataFrame, sizes: Sizes = Sizes(), columns: Sequence[str] = PANEL_COLUMNS):
+    """Fit the panel models per variable; returns (ensemble, {name: (train R², test R²)}), the scores as means over variables."""
+    rows = reliable(panel.dropna(subset=[*columns, "target"]))
+    train, test = hash_split(rows)
+    models = fit_ensemble(train, columns, regressors(sizes))
+    names = list(models)
+    parts = [_mean_scores(r2_by(apply_models(models, part, ["variable", "target"]), names, ["variable"]), names) for part in (train, test)]
+    return models, {n: tuple(p[n] for p in parts) for n in names}
 
 
 def _mean(values: Column) -> Column:
@@ -117,8 +166,8 @@ def _std(values: Column, mean: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values))
 
 
-def predict_panel(models: dict[str, PipelineModel], features: DataFrame) -> DataFrame:
-    """Mean over models with the confidence their agreement gives."""
+def predict_panel(models: Ensemble, features: DataFrame) -> DataFrame:
+    """Mean over models with the confidence their agreement gives; one row per input row, see ``status``."""
     wide = apply_models(models, features, KEY)
     members = F.array(*[F.col(f"p_{n}") for n in models])
     out = wide.withColumn("ensemble_prediction", _mean(members))
@@ -129,21 +178,30 @@ def predict_panel(models: dict[str, PipelineModel], features: DataFrame) -> Data
     )
 
 
-def save_models(models: dict[str, PipelineModel], spark: SparkSession, path: str, columns: Sequence[str]) -> None:
-    for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+def _folder(path: str, variable: str, name: str) -> str:
+    return f"{path}/variable={quote(variable, safe='')}/{name}"
+
+
+def save_models(models: Ensemble, spark: SparkSession, path: str, columns: Sequence[str]) -> None:
+    """One folder per variable with one per model, and metadata that names both."""
+    for name, by_variable in models.items():
+        for variable, model in by_variable.items():
+            model.write().overwrite().save(_folder(path, variable, name))
+    trained = sorted({v for by_variable in models.values() for v in by_variable})
     meta = spark.range(1).select(
         F.current_timestamp().alias("trained_at"),
         F.array(*[F.lit(n) for n in models]).alias("model_names"),
+        F.array(*[F.lit(v) for v in trained]).alias("variables"),
         F.array(*[F.lit(c) for c in columns]).alias("feature_columns"),
         F.lit(VERSION).alias("version"),
     )
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_models(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], list[str]]:
+def load_models(spark: SparkSession, path: str) -> tuple[Ensemble, list[str]]:
     meta = spark.read.json(f"{path}/metadata").head()
-    return {n: PipelineModel.load(f"{path}/{n}") for n in meta["model_names"]}, list(meta["feature_columns"])
+    models = {n: {v: PipelineModel.load(_folder(path, v, n)) for v in meta["variables"]} for n in meta["model_names"]}
+    return models, list(meta["feature_columns"])
 
 
 # --- forecasting ----------------------------------------------------------
@@ -163,11 +221,8 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
     simple = trend_adjusted_forecast(series, month)
     if train.isEmpty():  # every series is too short or has too many gaps
         none = {c: F.lit(None).cast("double") for c in ("accuracy", "validation_mae", "validation_r2")}
-        return simple.withColumns(none)
-    models = {
-        name: _pipeline(FORECAST_COLUMNS, r).fit(train)
-        for name, r in regressors(sizes, extra_forest=True).items()
-    }
+        return simple.withColumns({**none, "status": F.lit("seasonal forecast")})
+    models = fit_ensemble(train, FORECAST_COLUMNS, regressors(sizes, extra_forest=True))
     names = list(models)
     held = apply_models(models, rows.filter("_late"), [*KEY, "t", "target"])
     baseline = train.groupBy(*KEY).agg(F.avg("target").alias("_base"), F.count(F.lit(1)).alias("_rows"))
@@ -193,8 +248,10 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
     members = F.array(*[F.col(f"p_{n}") for n in names])
     best = F.array_min(F.array(*[F.struct(F.col(f"mae_{n}").alias("m"), F.lit(n).alias("n")) for n in names]))["n"]
     gain = F.coalesce(ratio(F.col("_naive") - F.col("validation_mae"), F.col("_naive")), F.lit(0.0))
-    fitted = target.filter(F.col("_rows") + holdout >= 24).select(
+    # without recent values the models have nothing to go by, and the seasonal forecast stands in
+    fitted = target.filter((F.col("_rows") + holdout >= 24) & mixed().isNotNull()).select(
         *KEY,
+        "status",
         mixed().alias("prediction"),
         clamp(F.col("validation_r2"), 0.50, 0.98).alias("confidence"),
         _std(members, _mean(members)).alias("prediction_std"),
@@ -203,7 +260,7 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(
         "validation_mae",
         "validation_r2",
     )
-    rest = simple.join(fitted.select(*KEY), KEY, "left_anti")
+    rest = simple.join(fitted.select(*KEY), KEY, "left_anti").withColumn("status", F.lit("seasonal forecast"))
     return fitted.unionByName(rest, allowMissingColumns=True)
 
 
@@ -218,18 +275,22 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
     """Predict the local rate of change; returns (per-series trend, model scores).
 
     Scores come from expanding windows over time: fold k trains on the first k
-    quarters of the feature rows and is judged on the next one.
+    parts of a series' feature rows and is judged on the next one.  Weights, confidence and best model are
+    each series' own R² over its judged rows; the returned scores are means over variables and folds.  Series without a
+    complete feature row in their last year keep a row, with the status of the models' output.
     """
     rate = gradient(series).select(*KEY, "t", F.col("gradient").alias("target"))
-    rows = trend_features(series).join(rate, [*KEY, "t"]).dropna(subset=TREND_COLUMNS + ["target"])
+    rows = trend_features(series).join(rate, [*KEY, "t"], "left")
     last = F.max("t").over(by_series())
     rows = rows.withColumns(
         {
             "_block": F.least(F.floor((F.col("t") - 12) * (folds + 1) / (last - 11)), F.lit(folds)),
             "_recent": F.col("t") > last - 12,
+            "_whole": ~F.greatest(*[F.col(c).isNull() for c in [*TREND_COLUMNS, "target"]]),
         }
     )
     rows = reliable(rows)
+    whole = rows.filter("_whole")
     kinds = {
         "random_forest": RandomForestRegressor(
             numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth, seed=SEED, labelCol="target"
@@ -239,41 +300,42 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
         ),
         "elastic_net": LinearRegression(regParam=0.1, elasticNetParam=0.5, labelCol="target"),
     }
-    models, scores, importance = {}, {}, {}
-    for name, kind in kinds.items():
-        pipe = _pipeline(TREND_COLUMNS, kind)
-        r2 = [
-            _r2(pipe.fit(rows.filter(F.col("_block") < k)), rows.filter(F.col("_block") == k), "target")
-            for k in range(1, folds + 1)
-        ]
-        models[name] = pipe.fit(rows)
-        scores[name] = sum(r2) / folds
-        fitted = models[name].stages[-1]
-        weights = fitted.featureImportances if hasattr(fitted, "featureImportances") else fitted.coefficients
-        importance[name] = [abs(float(w)) for w in weights.toArray()]
-    held = apply_models(models, rows.filter("_recent"), KEY)
-    means = held.groupBy(*KEY).agg(*[F.avg(f"p_{n}").alias(n) for n in models])
-    weight = {n: max(0.0, s) for n, s in scores.items()}
-    total = sum(weight.values()) or 1.0
-    trend = sum((F.col(n) * (weight[n] / total) for n in models), F.lit(0.0))
-    out = means.withColumn("ensemble_magnitude", trend).withColumns(
-        {
-            "ensemble_direction": _direction(F.col("ensemble_magnitude")),
-            "ensemble_confidence": F.lit(sum(weight.values()) / len(weight)),
-            "best_model": F.lit(max(scores, key=scores.get)),
-        }
-    )
-    return out, {"cv_r2": scores, "importance": importance}
+    names = list(kinds)
+    judged = None
+    for k in range(1, folds + 1):  # a variable whose fold has no rows to learn from is not judged there
+        early = fit_ensemble(whole.filter(F.col("_block") < k), TREND_COLUMNS, kinds)
+        part = apply_models(early, whole.filter(F.col("_block") == k), [*KEY, "target"], TREND_COLUMNS)
+        part = part.filter(F.col("status") != "no model").withColumn("fold", F.lit(k))
+        judged = part if judged is None else judged.unionByName(part)
+    judged = reliable(judged)
+    models = fit_ensemble(whole, TREND_COLUMNS, kinds)
+    importance = {}
+    for name, by_variable in models.items():
+        fitted = [m.stages[-1] for m in by_variable.values()]
+        weights = [f.featureImportances if hasattr(f, "featureImportances") else f.coefficients for f in fitted]
+        importance[name] = [sum(abs(float(w[i])) for w in weights) / len(weights) for i in range(len(TREND_COLUMNS))] if weights else []
+    held = apply_models(models, rows.filter("_recent"), KEY, TREND_COLUMNS)
+    means = held.groupBy(*KEY).agg(F.max("status").alias("status"), *[F.avg(f"p_{n}").alias(n) for n in names])
+    own = r2_by(judged, names, KEY).withColumnsRenamed({n: f"r2_{n}" for n in names})
+    out = means.join(own, KEY, "left")
+    weight = {n: F.greatest(F.lit(0.0), F.coalesce(f"r2_{n}", F.lit(0.0))) for n in names}
+    total = sum(weight.values(), F.lit(0.0))
+    trend = sum((F.col(n) * weight[n] for n in names), F.lit(0.0)) / F.when(total > 0, total).otherwise(1.0)
+    best = F.array_max(F.array(*[F.struct(F.col(f"r2_{n}").alias("r"), F.lit(n).alias("n")) for n in names]))["n"]
+    out = out.withColumns({"ensemble_magnitude": trend, "ensemble_confidence": total / len(names), "best_model": best})
+    out = out.withColumn("ensemble_direction", _direction(F.col("ensemble_magnitude")))
+    return out, {"cv_r2": _mean_scores(r2_by(judged, names, ["variable", "fold"]), names), "importance": importance}
 
 
 def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = Sizes(200, 8, 50, 4)) -> DataFrame:
     """Mean and spread over models of the value ``step + 1`` periods after the end.
 
-    Features at t are trained on the value twelve periods later.
+    Features at t are trained on the value twelve periods later.  Every series has all its steps; ``status`` says
+    whether its features had to be filled.
     """
     rows = trend_features(series).withColumn("target", F.lead("value", 12).over(in_time_order()))
     rows = reliable(rows.dropna(subset=TREND_COLUMNS + ["target"]))
-    models = {n: _pipeline(TREND_COLUMNS, r).fit(rows) for n, r in regressors(sizes).items()}
+    models = fit_ensemble(rows, TREND_COLUMNS, regressors(sizes))
     wide = apply_models(models, future_features(series, horizon), [*KEY, "step"])
     members = F.array(*[F.col(f"p_{n}") for n in models])
     out = wide.withColumn("ensemble_projection", _mean(members))
@@ -283,7 +345,7 @@ def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = Sizes(20
 def tune(
     rows: DataFrame, model_type: str, columns: Sequence[str] = FORECAST_COLUMNS, grid: dict | None = None
 ) -> CrossValidatorModel | None:
-    """Three-fold grid search by mean absolute error; None for unknown models."""
+    """Three-fold grid search by mean absolute error over the rows of one variable; None for unknown models."""
     # fixed values: search grids
     grids = {
         "random_forest": {"numTrees": [100, 150], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2]},
@@ -299,7 +361,8 @@ def tune(
     builder = ParamGridBuilder()
     for name, values in (grid or grids[model_type]).items():
         builder = builder.addGrid(kind.getParam(name), values)
-    folded = reliable(rows.withColumn("_fold", F.pmod(F.xxhash64(*KEY, "t"), F.lit(3)).cast("int")))
+    whole = rows.dropna(subset=[*columns, "target"])
+    folded = reliable(whole.withColumn("_fold", F.pmod(F.xxhash64(*KEY, "t"), F.lit(3)).cast("int")))
     search = CrossValidator(
         estimator=_pipeline(columns, kind),
         estimatorParamMaps=builder.build(),

@@ -93,3 +93,46 @@ def test_tune(series):
 
 def test_feature_counts():
     assert (len(features.FORECAST_COLUMNS), len(features.TREND_COLUMNS), len(features.PANEL_COLUMNS)) == (30, 15, 11)
+
+
+@pytest.fixture(scope="module")
+def two_scales(make_series):
+    """Temperatures near 10, precipitation near 1000, and a series without its last value."""
+    rng = random.Random(3)
+    wave = lambda base, size: [base + size * math.sin(2 * math.pi * t / 12) + rng.gauss(0, size / 20) for t in range(72)]
+    values = {(i, "temperature"): wave(10 + i, 5) for i in (1, 2)} | {(i, "precipitation"): wave(1000, 200) for i in (1, 2)}
+    values[(3, "temperature")] = wave(13, 5)[:-1] + [None]
+    values[(4, "temperature")] = wave(14, 5)[:-13] + [None] * 13
+    df = make_series(values)
+    return df.withColumns({"lat": F.col("location_id") * 10.0, "lon": F.col("location_id") * -5.0}).cache()
+
+
+def test_each_variable_has_its_own_model(spark, two_scales, tmp_path):
+    rows_ = features.panel_features(two_scales).withColumnRenamed("value", "target")
+    models, scores = panel.train_panel(rows_, SMALL)
+    assert all(set(m) == {"temperature", "precipitation"} for m in models.values())
+    alone, _ = panel.train_panel(rows_.filter("variable = 'temperature'"), SMALL)
+    x = features.panel_predict_features(two_scales, 6)
+    both = rows(panel.predict_panel(models, x).filter("variable = 'temperature'"), *KEY)
+    assert both == rows(panel.predict_panel(alone, x.filter("variable = 'temperature'")), *KEY)
+    panel.save_models(models, spark, str(tmp_path / "m"), features.PANEL_COLUMNS)
+    loaded, _ = panel.load_models(spark, str(tmp_path / "m"))
+    assert rows(panel.predict_panel(loaded, x), *KEY) == rows(panel.predict_panel(models, x), *KEY)
+    unseen = rows(panel.predict_panel(alone, x).filter("variable = 'precipitation'"))
+    assert len(unseen) == 2 and {(r["status"], r["ensemble_prediction"]) for r in unseen} == {("no model", None)}
+
+
+def test_no_series_vanishes(two_scales):
+    series_ = {(r["location_id"], r["variable"]) for r in two_scales.select(*KEY).distinct().collect()}
+    out = rows(panel.project_models(two_scales, 3, SMALL))
+    assert len(out) == 3 * len(series_)
+    status = {(r["location_id"], r["variable"]): r["status"] for r in out}
+    assert set(status) == series_ and status[(3, "temperature")] == "filled" and status[(4, "temperature")] == "no recent values"
+    assert status[(1, "temperature")] == "complete"
+    assert all((r["ensemble_projection"] is None) == (r["status"] == "no recent values") for r in out)
+    directions, _ = panel.trend_direction_models(two_scales, SMALL)
+    assert {(r["location_id"], r["variable"]) for r in directions.collect()} == series_
+    forecast = rows(panel.train_forecast_ensemble(two_scales, 1, SMALL))
+    assert {(r["location_id"], r["variable"]) for r in forecast} == series_ and len(forecast) == len(series_)
+    for r in forecast:
+        assert (r["prediction"] > 500) == (r["variable"] == "precipitation")
