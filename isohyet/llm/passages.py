@@ -8,6 +8,7 @@ least MIN_WORDS words are removed, with their offsets in the original text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.llm.common import materialised
+
 MIN_WORDS = 25
+HOT_DIGESTS = 1000
 # a unit ends after sentence marks or at the end of a line
 _UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 UNITS = "doc_id long, unit int, begin long, end long, words long, digest long"
@@ -63,13 +67,23 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
     first_doc_id is the document that keeps the passage's longest unit.  Null texts and null doc_ids have no
     passages.  A text that repeats a passage loses the later one; a row that repeats a doc_id and text counts once.
-    Digests are grouped with partial minima, and only those found twice are joined back, so a line that a
-    third of all documents have is a minimum per task and a join that Spark can split.
+    Digests are grouped with partial minima, and only those found twice are joined back.  A digest with at least a
+    HOT_DIGESTS-th of all repeated units (there are at most HOT_DIGESTS of them) is broadcast, so a line that a third
+    of all documents have is never one key of that join.
     """
     each = units(documents)
-    first = each.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last"))
-    twice = first.filter("first <> last").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
-    again = each.join(twice, "digest").filter("doc_id <> first_doc_id OR unit <> first_unit").drop("digest").distinct()
+    place = F.struct("doc_id", "unit")
+    first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    twice = materialised(first.filter("first <> last").select("digest", "first", "n"))
+    least = F.lit(math.ceil((twice.agg(F.sum("n")).first()[0] or 0) / HOT_DIGESTS))
+    hot = F.broadcast(twice.filter(F.col("n") >= least).select(F.col("digest").alias("h_digest"), F.col("first").alias("h_first")))
+    rest = twice.filter(F.col("n") < least).select(F.col("digest").alias("r_digest"), F.col("first").alias("r_first"))
+    marked = each.join(hot, each["digest"] == hot["h_digest"], "left")
+    # rows that have met their first place already are dealt by their own
+    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "unit")))
+    met = marked.join(rest, (F.col("key") == F.col("r_digest")) & F.col("h_digest").isNull(), "left")
+    met = met.withColumn("first", F.coalesce("h_first", "r_first")).filter(F.col("first").isNotNull() & (F.col("first") != place))
+    again = met.select("doc_id", "unit", "begin", "end", "words", F.col("first.doc_id").alias("first_doc_id")).distinct()
     order = Window.partitionBy("doc_id").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.dense_rank().over(order))
     passages = runs.groupBy("doc_id", "run").agg(

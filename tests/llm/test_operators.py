@@ -475,3 +475,14 @@ def test_toxicity(spark, no_docs):
     none = marks.limit(0)
     assert {g["score"] for g in toxicity.toxicity(df, none).collect()} == {0.5} and toxicity.reject_toxic(df, none).count() == len(rows)
     assert toxicity.toxicity(no_docs, marks).count() == 0
+
+
+def test_hot_digests_change_no_passage(spark, monkeypatch):
+    line = "the same long line stands in very many documents of this small table and has to be found in each of them but the first one "
+    rows = [(i, f"own words {i} here.\n{line}{i % 3}.\nand an end {i}" + ("\n" + line + "0" if i % 5 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[7], (60, None), (None, line)], "doc_id long, text string")
+    found = []
+    for hot in (1, 3, 10**9):
+        monkeypatch.setattr(passages, "HOT_DIGESTS", hot)
+        found.append(sorted(map(tuple, passages.repeated_passages(docs, 20).collect())))
+    assert len(found[0]) > 50 and found[0] == found[1] == found[2]
