@@ -116,8 +116,7 @@ def _asof(spark, sf):
 def _attach(spark, sf):
     base = monthly(spark, sf)
     probs = stats.describe_series(base).select(*KEY, "mean", "std")
-    few = trends.linear_trend(base.filter(F.col("location_id") % 4 != 2))
-    return reports.attach_trends(probs, few)
+    return reports.attach_trends(probs, trends.linear_trend(base))
 
 
 def _leads(spark, sf):
@@ -153,7 +152,7 @@ def _merged(spark, sf):
     base = monthly(spark, sf).groupBy(*KEY).agg(
         F.create_map(F.lit("mean"), F.avg("value"), F.lit("max"), F.max("value")).alias("indicators")
     )
-    more = monthly(spark, sf).filter(F.col("variable") == "temperature").groupBy(*KEY).agg(
+    more = monthly(spark, sf).groupBy(*KEY).agg(
         F.create_map(F.lit("max"), F.max("value") + 1, F.lit("min"), F.min("value")).alias("indicators")
     )
     out = quality.merge_indicators(base, more)
@@ -231,7 +230,7 @@ SELECT location_id, point_id, x, CASE WHEN t1 = t2 THEN v1 ELSE v1 + (x - t1) /
     Check(
         "attach_trends", _attach, "location_id:i variable:s mean:d std:d slope_per_year:d p_value:d trend_strength:s",
         with_sql(MONTHLY_SQL, body=f"""
-, fits AS (SELECT location_id, {line('value', 't')}, stddev_pop(value) AS std FROM series WHERE location_id % 4 <> 2 GROUP BY 1),
+, fits AS (SELECT location_id, {line('value', 't')}, stddev_pop(value) AS std FROM series GROUP BY 1),
 tr AS (SELECT location_id, {SLOPE} * 12 AS slope_per_year, {P_VALUE} AS p_value, {strength(f'({SLOPE} * 12)', 'std')} AS trend_strength FROM fits)
 SELECT location_id, variable, avg(value) AS mean, stddev_pop(value) AS std, coalesce(any_value(slope_per_year), 0) AS slope_per_year,
   coalesce(any_value(p_value), 1) AS p_value, coalesce(any_value(trend_strength), 'unknown') AS trend_strength
@@ -297,8 +296,8 @@ SELECT variable, count(*) AS rows, count(value) AS points, sum(value) AS total F
         with_sql(MONTHLY_SQL, body="""
 , a AS (SELECT location_id, variable, avg(value) AS m, max(value) AS hi, min(value) AS lo FROM series GROUP BY ALL)
 SELECT location_id, variable, 'mean' AS name, m AS value FROM a
-UNION ALL SELECT location_id, variable, 'max', CASE WHEN variable = 'temperature' THEN hi + 1 ELSE hi END FROM a
-UNION ALL SELECT location_id, variable, 'min', lo FROM a WHERE variable = 'temperature'"""),
+UNION ALL SELECT location_id, variable, 'max', hi + 1 FROM a
+UNION ALL SELECT location_id, variable, 'min', lo FROM a"""),
     ),
     Check(
         "stratified_points",

@@ -391,12 +391,12 @@ SELECT point_id, (lat BETWEEN 24.396308 AND 49.384358 AND lon BETWEEN -125 AND -
             monthly(s, d),
             table(s, d, "nation").select(
                 F.col("n_nationkey").cast("bigint").alias("location_id"),
-                F.when(F.col("n_nationkey") % 4 != 1, F.col("n_nationkey") * 61.0).alias("elevation"),
+                (F.col("n_nationkey") * 61.0).alias("elevation"),
             ),
         ),
         "location_id:i variable:s t:i value:d",
         with_sql(MONTHLY_SQL, body="""
-SELECT location_id, variable, t, CASE WHEN variable = 'temperature' AND location_id % 4 <> 1 AND location_id * 61.0 * 0.0065 > 1
+SELECT location_id, variable, t, CASE WHEN variable = 'temperature' AND location_id * 61.0 * 0.0065 > 1
   THEN value - location_id * 61.0 * 0.0065 ELSE value END AS value FROM series"""),
     ),
     Check(

@@ -106,51 +106,56 @@ def spline_values(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(t)
     h = np.diff(t)
     slope = np.diff(v) / h
-    m = np.zeros((n, n))
-    rhs = np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * (slope[i] - slope[i - 1])
-    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    curve = np.linalg.solve(m, rhs)
+    # tridiagonal equations of the inner curvatures; the ends follow from them
+    below, above, right = h[:-1].copy(), h[1:].copy(), 6 * np.diff(slope)
+    middle = 2 * (h[:-1] + h[1:])
+    middle[0] += h[0] * (h[0] + h[1]) / h[1]
+    above[0] -= h[0] ** 2 / h[1]
+    middle[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    below[-1] -= h[-1] ** 2 / h[-2]
+    for k in range(1, n - 2):
+        factor = below[k] / middle[k - 1]
+        middle[k] -= factor * above[k - 1]
+        right[k] -= factor * right[k - 1]
+    curve = np.zeros(n)
+    for k in range(n - 3, -1, -1):
+        curve[k + 1] = (right[k] - (above[k] * curve[k + 2] if k < n - 3 else 0.0)) / middle[k]
+    curve[0] = ((h[0] + h[1]) * curve[1] - h[0] * curve[2]) / h[1]
+    curve[-1] = ((h[-2] + h[-1]) * curve[-2] - h[-1] * curve[-3]) / h[-2]
     i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     d = at - t[i]
     first = slope[i] - h[i] * (2 * curve[i] + curve[i + 1]) / 6
     return v[i] + d * (first + d * (curve[i] / 2 + d * (curve[i + 1] - curve[i]) / (6 * h[i])))
 
 
-def _spline_fill(pdf: pd.DataFrame, max_gap: int, reach: int) -> pd.DataFrame:
+def _spline_fill(pdf: pd.DataFrame, max_gap: int) -> pd.DataFrame:
     pdf = pdf.sort_values("t").reset_index(drop=True)
     value = pdf["value"].to_numpy("float64")
     t = pdf["t"].to_numpy("float64")
-    valid = np.flatnonzero(~np.isnan(value))
+    missing = np.isnan(value)
     filled = value.copy()
-    if len(valid) >= 4:
-        missing = np.isnan(value)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], missing.view(np.int8), [0]))))
-        for lo, hi in edges.reshape(-1, 2):
-            if hi - lo <= max_gap:
-                # knots further away than ``reach`` no longer change the result
-                k = np.searchsorted(valid, lo)
-                near = valid[max(0, k - reach) : k + reach]
-                filled[lo:hi] = spline_values(t[near], value[near], t[lo:hi])
+    if (~missing).sum() >= 4:
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], missing.view(np.int8), [0])))).reshape(-1, 2)
+        short = np.zeros(len(t), bool)
+        for lo, hi in edges:
+            short[lo:hi] = hi - lo <= max_gap
+        if short.any():
+            filled[short] = spline_values(t[~missing], value[~missing], t[short])
     pdf["filled"] = filled
     return pdf
 
 
-def fill_spline(df: DataFrame, max_gap: int = 3, reach: int = 60) -> DataFrame:
+def fill_spline(df: DataFrame, max_gap: int = 3) -> DataFrame:
     """Fill short gaps with a cubic spline; linear where fewer than 4 points exist.
 
-    A spline's influence fades by about 3.7 per knot, so 60 knots on each side
-    give the global spline to double precision with bounded memory per gap.
+    One spline goes through all valid points of a series, in time and memory linear in its periods.
     """
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in KEY)
     splined = (
         df.select(*KEY, "t", "value")
         .groupBy(*KEY)
         .applyInPandas(
-            lambda pdf: _spline_fill(pdf, max_gap, reach),
+            lambda pdf: _spline_fill(pdf, max_gap),
             f"{types}, t {df.schema['t'].dataType.simpleString()}, value double, filled double",
         )
     )
@@ -203,29 +208,20 @@ def quality_fill(df: DataFrame, max_missing: int = 5, replace_flagged: bool = Fa
 def asof_interpolate(points: DataFrame, series: DataFrame) -> DataFrame:
     """Value of each series at arbitrary times, between its bracketing rows.
 
-    Both sides are stacked and ordered once, so the lookup is a window scan
-    and never a range join.  ``points`` needs KEY, ``point_id`` and ``x``.
+    Each whole period knows its bracketing rows (a table bounded by the calendar), and a point looks up the period it
+    falls in with an equi-join, so any number of points may ask one series.  ``points`` needs KEY, ``point_id`` and ``x``.
     """
-    known = series.filter(F.col("value").isNotNull()).select(
-        *KEY, F.lit(None).cast("bigint").alias("point_id"), F.col("t").cast("double").alias("x"), "value"
-    )
-    asked = points.select(
-        *KEY, F.col("point_id").cast("bigint"), F.col("x").cast("double"), F.lit(None).cast("double").alias("value")
-    )
-    both = known.unionByName(asked)
-    w = by_series().orderBy("x")
-    sample = F.when(F.col("value").isNotNull(), F.struct("x", "value"))
-    both = both.withColumns(
-        {
-            # RANGE frames include peers, so an exact hit is found on both sides
-            "_b": F.last(sample, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-            "_a": F.first(sample, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
-        }
-    ).filter(F.col("point_id").isNotNull())
+    known = series.filter(F.col("value").isNotNull()).select(*KEY, "t", "value")
+    here = F.struct(F.col("t").cast("double").alias("x"), "value")
+    spans = known.withColumn("_b", here).withColumn("_a", F.lead("_b").over(in_time_order()))
+    last = F.coalesce(F.col("_a.x").cast("bigint") - 1, F.col("t").cast("bigint"))
+    periods = spans.select(*KEY, "_b", "_a", F.explode(F.sequence(F.col("t").cast("bigint"), last)).alias("_at"))
+    asked = points.select(*KEY, F.col("point_id").cast("bigint"), F.col("x").cast("double"))
+    both = asked.withColumn("_at", F.floor("x")).join(periods, [*KEY, "_at"], "left")
     b, a, x = F.col("_b"), F.col("_a"), F.col("x")
-    weight = F.try_divide(x - b["x"], a["x"] - b["x"])
-    inside = b.isNotNull() & a.isNotNull()
-    exact = inside & (a["x"] == b["x"])
+    exact = F.coalesce(b["x"] == x, F.lit(False))
+    inside = exact | (b.isNotNull() & a.isNotNull())
+    weight = (x - b["x"]) / (a["x"] - b["x"])
     return both.select(
         *KEY,
         "point_id",

@@ -20,6 +20,7 @@ EARTH_KM = 6371.0
 CELL = 2.5
 CHUNK = 128
 FINEST = 12
+BAND = 0.01  # degrees of latitude ranked together
 COORDS = ["lat", "lon"]
 
 
@@ -354,22 +355,23 @@ def global_grid(spark, step: int = 5) -> DataFrame:
 def stratified_points(grid: DataFrame, per_zone: int = 20) -> DataFrame:
     """Every (n // per_zone)-th point of each zone in (lat, lon) order.
 
-    Ranks come from counts per latitude row plus the position inside the row, so
+    Ranks come from counts per band of latitude (at most 180 / BAND of them) plus the position inside the band, so
     the largest zone is never sorted in one task.
     """
-    rows = grid.groupBy("zone", "lat").agg(F.count(F.lit(1)).alias("_cnt"))
-    south = Window.partitionBy("zone").orderBy("lat").rowsBetween(Window.unboundedPreceding, -1)
+    banded = grid.withColumn("_band", F.floor(F.col("lat") / BAND))
+    rows = banded.groupBy("zone", "_band").agg(F.count(F.lit(1)).alias("_cnt"))
+    south = Window.partitionBy("zone").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
         {
             "_before": F.coalesce(F.sum("_cnt").over(south), F.lit(0)),
             "_n": F.sum("_cnt").over(Window.partitionBy("zone")),
         }
     )
-    inside = F.row_number().over(Window.partitionBy("zone", "lat").orderBy("lon"))
+    inside = F.row_number().over(Window.partitionBy("zone", "_band").orderBy("lat", "lon"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / per_zone))
     return (
-        grid.withColumn("_in", inside)
-        .join(rows, ["zone", "lat"])
+        banded.withColumn("_in", inside)
+        .join(rows, ["zone", "_band"])
         .filter((F.col("_before") + F.col("_in") - 1) % step == 0)
-        .drop("_in", "_cnt", "_before", "_n")
+        .select(*grid.columns)
     )

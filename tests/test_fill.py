@@ -46,13 +46,27 @@ def test_spline_reproduces_a_cubic(make_series):
     assert filled(fill.fill_spline(make_series({(1, "a"): values}))) == pytest.approx([f(t) for t in range(40)], abs=1e-8)
 
 
-def test_spline_reach_is_enough():
-    rng = np.random.default_rng(2)
-    t = np.array([i for i in range(600) if i not in (300, 301)], dtype=float)
-    v = rng.normal(size=len(t))
-    whole = fill.spline_values(t, v, np.array([300.0, 301.0]))
-    near = slice(240, 360)
-    assert fill.spline_values(t[near], v[near], np.array([300.0, 301.0])) == pytest.approx(whole, abs=1e-12)
+@pytest.mark.parametrize("n", [4, 5, 6, 40])
+def test_spline_equals_dense_equations(n):
+    rng = np.random.default_rng(n)
+    t, v = np.cumsum(rng.integers(1, 4, n)).astype(float), rng.normal(size=n)
+    h, slope = np.diff(t), np.diff(v) / np.diff(t)
+    m, rhs = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2], rhs[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (slope[i] - slope[i - 1])
+    m[0, :3], m[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+    curve = np.linalg.solve(m, rhs)
+    at = np.linspace(t[0] - 1, t[-1] + 1, 50)
+    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+    d = at - t[i]
+    want = v[i] + d * (slope[i] - h[i] * (2 * curve[i] + curve[i + 1]) / 6 + d * (curve[i] / 2 + d * (curve[i + 1] - curve[i]) / (6 * h[i])))
+    assert fill.spline_values(t, v, at) == pytest.approx(want, rel=1e-7, abs=1e-7)
+
+
+def test_long_series_with_a_gap_near_each_end(make_series):
+    f = lambda t: 3 + 0.5 * t - 0.01 * t**2
+    values = [N if t in (1, 2, 2500, 4998) else f(t) for t in range(5000)]
+    assert filled(fill.fill_spline(make_series({(1, "a"): values}))) == pytest.approx([f(t) for t in range(5000)], rel=1e-9, abs=1e-6)
 
 
 def test_spline_falls_back_to_lines(make_series):
@@ -114,3 +128,23 @@ def test_decomposition_adds_up_and_edges(make_series):
 def test_autocorrelation_of_constant_is_zero(make_series):
     out = {r["lag"]: r["autocorrelation"] for r in rows(rolling.autocorrelation(make_series({(1, "a"): [2.0] * 30}), 3))}
     assert out == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_asof_over_gaps_and_past_the_last_value(spark, make_series):
+    series = make_series({(1, "a"): [5, N, N, 11, N]})
+    asked = spark.createDataFrame([(1, "a", i, x) for i, x in enumerate([0.0, 1.0, 2.25, 3.0, 3.5, 9.0, -1.0])] + [(1, "a", 7, None)], "location_id bigint, variable string, point_id bigint, x double")
+    out = rows(fill.asof_interpolate(asked, series), "point_id")
+    assert [r["interpolated_value"] for r in out] == [5, 7, 9.5, 11, N, N, N, N]
+    assert [r["method"] for r in out] == ["exact_match", "linear_temporal", "linear_temporal", "exact_match"] + ["outside_range"] * 4
+
+
+def test_places_without_elevation_or_trend_keep_their_rows(spark, make_series):
+    from isohyet.operators import quality
+    from isohyet.plans import reports
+
+    series = make_series({(1, "temperature"): [10, 20], (2, "temperature"): [10, 20]})
+    high = spark.createDataFrame([(1, 1000.0)], "location_id bigint, elevation double")
+    assert [r["value"] for r in rows(quality.elevation_correct(series, high), "location_id", "t")] == pytest.approx([3.5, 13.5, 10, 20])
+    trend = spark.createDataFrame([(1, "temperature", 0.5, 0.01, "strong")], "location_id bigint, variable string, slope_per_year double, p_value double, trend_strength string")
+    out = rows(reports.attach_trends(series.select("location_id", "variable").distinct(), trend), "location_id")
+    assert [(r["slope_per_year"], r["p_value"], r["trend_strength"]) for r in out] == [(0.5, 0.01, "strong"), (0.0, 1.0, "unknown")]
