@@ -216,22 +216,33 @@ def _find(block):
     return find
 
 
-def find_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (pairs of first and end word, flat), items (sorted item_ids).
-
-    A null text has no words; items with a null id or without words are left out; items that repeat an id count as one.
-    """
+def _found(documents: DataFrame, shared: list[Block]) -> DataFrame:
+    """doc_id, digest of the text, n_words, spans, items: one row per document and block."""
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    parts = [rows.mapInArrow(_find(b), "doc_id long, digest long, n_words long, spans array<long>, items array<string>") for b in blocks(items, window)]
-    if len(parts) == 1:
-        return parts[0].drop("digest")
+    parts = [rows.mapInArrow(_find(b), "doc_id long, digest long, n_words long, spans array<long>, items array<string>") for b in shared]
     each = parts[0]
     for p in parts[1:]:
         each = each.unionByName(p)
-    gathered = each.groupBy("doc_id", "digest", "n_words").agg(
+    return each
+
+
+def _gathered(each: DataFrame) -> DataFrame:
+    """The spans (not merged) and items of all blocks together; one row per doc_id and text."""
+    return each.groupBy("doc_id", "digest", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("rows")
     )
-    again = gathered.withColumn("row", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int"))))
+
+
+def find_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (pairs of first and end word, flat), items (sorted item_ids).
+
+    A null text has no words; items with a null id or without words are left out; items that repeat an id count as one.
+    """
+    shared = blocks(items, window)
+    each = _found(documents, shared)
+    if len(shared) == 1:
+        return each.drop("digest")
+    again = _gathered(each).withColumn("row", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(shared)).cast("int"))))
     return again.select("doc_id", "n_words", "spans", "items").mapInArrow(_merge, "doc_id long, n_words long, spans array<long>, items array<string>")
 
 
@@ -241,14 +252,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(2, "spans", pa.array(spans, pa.list_(pa.int64())))
 
 
-def _cut(block, text_at: int, chars_at: int | None, max_share: float):
+def _cut(spans_of, text_at: int, chars_at: int | None, max_share: float, columns: int):
+    """Cuts the spans that spans_of(batch, row, text) gives with the text's number of words and their byte starts and ends."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep, changed = b.column(text_at).to_pylist(), [], []
             chars = b.column(chars_at).to_pylist() if chars_at is not None else None
             for i, t in enumerate(texts):
                 raw = None if t is None else t.encode()
-                n, spans, _, starts, ends = hits(raw, block)
+                n, spans, starts, ends = spans_of(b, i, raw)
                 keep.append(sum(e - s for s, e in spans) <= max_share * n)
                 if spans:
                     pieces, at = [], 0
@@ -259,23 +272,45 @@ def _cut(block, text_at: int, chars_at: int | None, max_share: float):
                     changed.append(i)
                     if chars:
                         chars[i] = len(texts[i])
+            own = list(b.columns[:columns])
             if changed:
-                b = b.set_column(text_at, b.schema.field(text_at), pa.array(texts, b.schema.field(text_at).type))
+                own[text_at] = pa.array(texts, b.schema.field(text_at).type)
                 if chars:
-                    b = b.set_column(chars_at, b.schema.field(chars_at), pa.array(chars, b.schema.field(chars_at).type))
-            yield b.filter(pa.array(keep, pa.bool_()))
+                    own[chars_at] = pa.array(chars, b.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(own, b.schema.names[:columns]).filter(pa.array(keep, pa.bool_()))
 
     return cut
 
 
+def _look_up(block: Block):
+    def spans_of(batch: pa.RecordBatch, row: int, raw: bytes | None):
+        n, spans, _, starts, ends = hits(raw, block)
+        return n, spans, starts, ends
+
+    return spans_of
+
+
+def _marked(batch: pa.RecordBatch, row: int, raw: bytes | None):
+    """Spans that were found before and stand in the last column."""
+    flat = batch.column(batch.num_columns - 1)[row].as_py() or []
+    hashed, starts, ends = words_of(raw)
+    return len(hashed), merged(list(zip(flat[::2], flat[1::2], strict=True))), starts, ends
+
+
 def remove_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_share: float = MAX_SHARE) -> DataFrame:
     """Documents without their hit spans; those with more than max_share of their words hit go as a whole.
 
-    All columns stay; n_chars follows the text where there is such a column.
+    All columns stay; n_chars follows the text where there is such a column.  With several blocks of items the spans
+    of all of them are found in the whole text first and cut together, so the blocks change no result.
     """
     names = documents.columns
-    chars = names.index("n_chars") if "n_chars" in names else None
-    out = documents
-    for block in blocks(items, window):
-        out = out.mapInArrow(_cut(block, names.index("text"), chars, max_share), documents.schema)
-    return out
+    where = names.index("text"), names.index("n_chars") if "n_chars" in names else None, max_share, len(names)
+    shared = blocks(items, window)
+    if len(shared) == 1:
+        return documents.mapInArrow(_cut(_look_up(shared[0]), *where), documents.schema)
+    each = _found(documents.select("doc_id", "text"), shared).filter(F.size("spans") > 0)
+    own = "_h" + "_" * max(map(len, names))  # longer than any name of the documents
+    spans = _gathered(each).select(*[F.col(c).alias(own + c) for c in ("doc_id", "digest", "spans")])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own + "doc_id")) & (F.xxhash64("text") == F.col(own + "digest"))
+    rows = documents.join(spans, same, "left").select(*names, own + "spans")
+    return rows.mapInArrow(_cut(_marked, *where), documents.schema)

@@ -188,15 +188,20 @@ def test_hits_equal_brute_force(spark, monkeypatch, block_words):
         assert (row["n_words"], hit, row["items"]) == brute_hits(texts[row["doc_id"]], items)
 
 
-def test_removed_spans(spark):
-    item = " ".join(words(1, 12))
-    texts = [f"before, {item.upper()}! after and more words to keep the share of hits low enough", item, "clean", None]
-    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
-    got = {r["doc_id"]: r for r in decontaminate.remove_hits(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+@pytest.mark.parametrize("block_words", [200_000, 5])
+def test_removed_spans(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    item, other = " ".join(words(1, 12)), [f"o{i}" for i in range(14)]
+    long = f"a b c d e f g h i j k l m n o p {' '.join(other)} q"  # hit by two items that overlap
+    texts = [f"before, {item.upper()}! after and more words to keep the share of hits low enough", item, "clean", None, long]
+    df = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, _h_spans string")
+    items = spark.createDataFrame([(1, item), (2, " ".join(other[:11])), (3, " ".join(other[3:]))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.remove_hits(df, items).collect()}
     assert got[0]["text"].startswith("before, ! after") and got[0]["n_chars"] == len(got[0]["text"])
-    assert sorted(got) == [0, 2, 3] and got[3]["text"] is None
+    assert sorted(got) == [0, 2, 3, 4] and got[3]["text"] is None and got[3]["_h_spans"] == "x"
+    assert got[4]["text"] == "a b c d e f g h i j k l m n o p  q"
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.remove_hits(df, none).count() == 4 and decontaminate.find_hits(df, none).count() == 4
+    assert decontaminate.remove_hits(df, none).count() == 5 and decontaminate.find_hits(df, none).count() == 5
 
 
 # --- 4 -----------------------------------------------------------------------
