@@ -78,6 +78,11 @@ def _idw(spark, sf):
     return spatial.idw(points(spark, sf), s.select("sample_id", "lat", "lon", "value", "nation"), ["nation"])
 
 
+def _idw_all(spark, sf):
+    s = sites(spark, sf).withColumnRenamed("site_id", "sample_id")
+    return spatial.idw(points(spark, sf), s)
+
+
 def _nearest(spark, sf):
     s = sites(spark, sf).withColumnRenamed("site_id", "sample_id")
     return spatial.nearest(points(spark, sf), s)
@@ -209,6 +214,12 @@ SELECT point_id, {zone('p.lat')} AS zone, m.site_id, m.rank FROM points p JOIN (
         with_sql(POINTS_SQL, SITES_SQL, body=f"""
 SELECT point_id, sum(value / pow(greatest({PLANAR}, 1e-10), 2)) / sum(1 / pow(greatest({PLANAR}, 1e-10), 2)) AS interpolated_value,
   count(*) AS source_points FROM points p JOIN sites s USING (nation) GROUP BY ALL"""),
+    ),
+    Check(
+        "idw_all", _idw_all, "point_id:i interpolated_value:d source_points:i",
+        with_sql(POINTS_SQL, SITES_SQL, body=f"""
+SELECT point_id, sum(value / pow(greatest({PLANAR}, 1e-10), 2)) / sum(1 / pow(greatest({PLANAR}, 1e-10), 2)) AS interpolated_value,
+  count(*) AS source_points FROM points p CROSS JOIN sites s GROUP BY ALL"""),
     ),
     Check(
         "nearest", _nearest, "point_id:i sample_id:i interpolated_value:d nearest_distance:d",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.data import BUCKETS_SQL, MONTHLY_SQL, SITES_SQL, buckets, lat_sql, lon_sql, monthly, placed, sites, with_sql
 from checks.spec import Check
+from isohyet.checkpoint import ensure_checkpoint_dir
 from isohyet.models import panel
 from isohyet.operators import features
 from isohyet.series import KEY
@@ -84,6 +87,21 @@ def _predict_panel(spark, sf):
     return panel.predict_panel(_panel_models(spark, sf), x)
 
 
+def _saved_models(spark, sf):
+    """Every series predicted by the linear models as fitted and as loaded again: whether both agree."""
+    m = placed(monthly(spark, sf))
+    rows = features.panel_features(m).withColumnRenamed("value", "target").dropna()
+    fitted = panel.fit_ensemble(rows, features.PANEL_COLUMNS, {"linear": panel.regressors()["linear"]})
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
+    panel.save_models(fitted, spark, path, features.PANEL_COLUMNS)
+    loaded, columns = panel.load_models(spark, path)
+    x = features.panel_predict_features(m, 4)
+    a = panel.apply_models(fitted, x, KEY, features.PANEL_COLUMNS).withColumnRenamed("p_linear", "before")
+    b = panel.apply_models(loaded, x, KEY, columns).withColumnRenamed("p_linear", "after")
+    return a.join(b.select(*KEY, "after"), KEY, "full").select(*KEY, F.coalesce(F.col("before") == F.col("after"), F.col("status") == "no recent values").alias("same"))
+
+
 def _train_panel(spark, sf):
     """Scores per variable on training and test rows, computed from the predictions."""
     m = placed(monthly(spark, sf))
@@ -133,6 +151,10 @@ SELECT s_name AS display_name, CAST(printf('%.2f', lat) AS DOUBLE) AS lat, CAST(
   CASE WHEN site_id % 5 <> 0 THEN value ELSE 0 END AS importance, CAST(nation AS VARCHAR) AS country, CASE WHEN site_id % 7 <> 0 THEN 'S' ELSE '' END AS state,
   '' AS city, '' AS county, '' AS postcode FROM sites"""),
     ),
+    Check(
+        "saved_models", _saved_models, "location_id:i variable:s same:b",
+        with_sql(MONTHLY_SQL, body="SELECT DISTINCT location_id, variable, true AS same FROM series"),
+    ),
     Check("train_panel", _train_panel, "part:s variable:s model:s r2:d rows:i"),
     Check("predict_panel", _predict_panel, "location_id:i variable:s ensemble_prediction:d prediction_std:d prediction_confidence:d status:s"),
     Check(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.data import (
@@ -23,6 +25,7 @@ from checks.data import (
 )
 from checks.mathsql import P_VALUE, SLOPE, haversine, line, zone
 from checks.spec import Check
+from isohyet.checkpoint import ensure_checkpoint_dir
 from isohyet.functions import zones
 from isohyet.operators import features, quality, spatial
 from isohyet.plans import reports
@@ -153,6 +156,16 @@ def _results(spark, sf):
     )
 
 
+def _write_results(spark, sf):
+    """Results of two requests, the second appended to the first, read back from the shared folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
+    m = monthly(spark, sf)
+    for part in (0, 1):
+        tables.write_results(m.filter(F.col("t") % 2 == part), path)
+    return spark.read.parquet(path)
+
+
 def _drop_expired(spark, sf):
     r = _results(spark, sf)
     both = tables.with_expiry(r.filter("kind = 'view'"), "forecast").unionByName(
@@ -276,6 +289,7 @@ SELECT o_custkey AS location_id, 'temperature' AS variable, year(o_orderdate) AS
 FROM orders QUALIFY row_number() OVER (PARTITION BY 1, year(o_orderdate), month(o_orderdate), o_custkey
   ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     ),
+    Check("write_results", _write_results, "location_id:i variable:s t:i value:d", with_sql(MONTHLY_SQL, body="SELECT location_id, variable, t, value FROM series")),
     Check(
         "drop_expired", _drop_expired, "event_id:i kind:s value:d",
         """

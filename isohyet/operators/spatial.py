@@ -19,7 +19,8 @@ from isohyet.functions.zones import climate_zone
 EARTH_KM = 6371.0
 CELL = 2.5
 CHUNK = 128
-FINEST = 12
+BLOCKS = 16  # chunks of each side that meet in one task's key
+DEPTH, DEEPER, DEEPEST = 12, 4, 28  # cells of the last level are decimetres wide
 BAND = 0.01  # degrees of latitude ranked together
 COORDS = ["lat", "lon"]
 
@@ -148,10 +149,21 @@ def _squared(e: Column, at: Sequence[Column]) -> Column:
     return total
 
 
+def _depth(kept: DataFrame, cut, k: int) -> int:
+    """Levels of the pyramid: deeper while some cell holds more sites than a chunk and k copies of a place."""
+    depth = DEPTH
+    while depth < DEEPEST:
+        fullest = kept.select(*[x.alias(d) for d, x in cut(depth).items()]).groupBy(*cut(depth)).count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= max(CHUNK, k):
+            break
+        depth += DEEPER
+    return depth
+
+
 def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "haversine") -> DataFrame:
     """Exact ``k`` nearest sites per point: point_id, site_id, distance, rank.
 
-    Sites are counted in a pyramid of halving cells.  The finest cell around a
+    Sites are counted in a pyramid of halving cells, as deep as its fullest cell asks for.  The finest cell around a
     point that holds ``k`` sites bounds the answer by its diagonal, which is
     shorter than one edge of the next coarser level, so the 3-wide
     neighbourhood there holds every true neighbour.  Each occupied small cell
@@ -163,14 +175,17 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
     axes = _axes(metric)
     dims = [f"c{i}" for i in range(len(axes))]
     xs = [f"x{i}" for i in range(len(axes))]
-    finest = {d: F.floor((x + 2.0) * (2**FINEST / 4.0)).cast("int") for d, x in zip(dims, axes)}
-    at = lambda d, level: F.expr(f"shiftright({d}, {FINEST} - ({level}))")
-    levels = F.sequence(F.lit(0), F.lit(FINEST))
+    cut = lambda depth: {d: F.floor((x + 2.0) * (2**depth / 4.0)).cast("int") for d, x in zip(dims, axes)}
 
     # copies of one coordinate beyond k cannot be among the k nearest
     same_place = Window.partitionBy(*COORDS).orderBy("site_id")
     kept = sites.withColumn("_copy", F.row_number().over(same_place)).filter(F.col("_copy") <= k)
-    kept = kept.select("site_id", *COORDS, *[x.alias(n) for n, x in zip(xs, axes)]).withColumns(finest)
+    kept = reliable(kept.select("site_id", *COORDS, *[x.alias(n) for n, x in zip(xs, axes)]))
+    depth = _depth(kept, cut, k)
+    finest = cut(depth)
+    at = lambda d, level: F.expr(f"shiftright({d}, {depth} - ({level}))")
+    levels = F.sequence(F.lit(0), F.lit(depth))
+    kept = kept.withColumns(finest)
     pyramid = (
         kept.groupBy(*dims)
         .agg(F.count(F.lit(1)).alias("_cnt"))
@@ -193,7 +208,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
         .withColumns(
             {
                 "level": F.greatest(F.lit(0), F.col("_dense") - 1),
-                "home_level": F.least(F.lit(FINEST), F.col("_dense") + 2),
+                "home_level": F.least(F.lit(depth), F.col("_dense") + 2),
             }
         )
         .withColumns(
@@ -217,8 +232,10 @@ def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metric: str = "ha
     around = homes.select("level", *search).distinct()
     for d in dims:
         around = around.withColumn(d, F.explode(F.expr(f"sequence(s_{d} - 1, s_{d} + 1)")))
+    # at most one number per level; sites enter only those levels
+    used = sorted(r["level"] for r in cells.select("level").distinct().collect())
     by_level = (
-        kept.withColumn("level", F.explode(levels))
+        kept.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")))
         .select("site_id", *COORDS, *xs, "level", *[at(d, "level").alias(d) for d in dims])
     )
     chunks = in_chunks(by_level, ["level", *dims], ["site_id", *COORDS, *xs])
@@ -284,17 +301,36 @@ def nearest(points: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def idw(points: DataFrame, samples: DataFrame, by: Sequence[str], floor: float = 1e-10) -> DataFrame:
-    """Inverse squared distance mean over all samples of the point's ``by`` group."""
-    chunks = in_chunks(samples, by, ["sample_id", *COORDS, "value"])
-    lat, lon = F.col("lat"), F.col("lon")
+def idw(points: DataFrame, samples: DataFrame, by: Sequence[str] = (), floor: float = 1e-10) -> DataFrame:
+    """Inverse squared distance mean over all samples of the point's ``by`` group, or over all samples without ``by``.
 
-    def weight(e: Column) -> Column:
-        d = F.greatest(hypot(e["lat"] - lat, e["lon"] - lon), F.lit(floor))
-        return 1.0 / (d * d)
-
-    sums = fold(F.col("chunk"), num=lambda e: weight(e) * e["value"], den=weight, cnt=lambda e: F.lit(1.0))
-    partial = points.join(chunks, list(by)).select("point_id", sums.alias("_s"))
+    Points and samples both travel as chunks, and the chunks of a group are dealt over a grid of keys with about
+    BLOCKS of each side, so one group is many tasks and no pair of rows is shuffled.
+    """
+    by = list(by)
+    if not by:
+        by = ["_all"]
+        points, samples = (x.withColumn("_all", F.lit(0)) for x in (points, samples))
+    left = in_chunks(points, by, ["point_id", *COORDS], CHUNK).withColumnRenamed("chunk", "_points")
+    right = in_chunks(samples, by, ["sample_id", *COORDS, "value"], CHUNK)
+    parts = lambda rows, name: rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCKS).cast("int").alias(name))
+    sizes = parts(left, "_rows").join(parts(right, "_cols"), by)
+    dealt = lambda chunk, n: F.pmod(F.xxhash64(chunk), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, by).withColumn("_row", dealt("_points", "_rows")).withColumn("_col", every("_cols"))
+    right = right.join(sizes, by).withColumn("_col", dealt("chunk", "_cols")).withColumn("_row", every("_rows"))
+
+    def sums(p: Column) -> Column:
+        def weight(e: Column) -> Column:
+            d = F.greatest(hypot(e["lat"] - p["lat"], e["lon"] - p["lon"]), F.lit(floor))
+            return 1.0 / (d * d)
+
+        own = fold(F.col("chunk"), num=lambda e: weight(e) * e["value"], den=weight, cnt=lambda e: F.lit(1.0))
+        return F.struct(p["point_id"].alias("point_id"), own.alias("_s"))
+
+    key = [*by, "_row", "_col"]
+    met = left.select(*key, "_points").join(right.select(*key, "chunk"), key)
+    partial = met.select(F.inline(F.transform("_points", sums)))
     return partial.groupBy("point_id").agg(
         ratio(F.sum("_s.num"), F.sum("_s.den")).alias("interpolated_value"),
         F.sum("_s.cnt").cast("bigint").alias("source_points"),
