@@ -4,6 +4,8 @@ A unit is a sentence of a line (a line without sentence ends is one unit), norma
 spaces.  Digests are grouped globally; the occurrence with the smallest (doc_id, place) stays and
 the others are repeats.  Repeats that follow one another in a document make a passage, and passages of at
 least MIN_WORDS words are removed, with their offsets in the original text.
+
+`shared_passages` does not depend on sentence ends: it finds every run of SHARED_WORDS words that also stands earlier.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialised
+from isohyet.llm.common import hash_ranges, materialised
 
 MIN_WORDS = 25
 HOT_DIGESTS = 1000
+SHARED_WORDS = 50
 # a unit ends after sentence marks or at the end of a line
 _UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 UNITS = "doc_id long, unit int, begin long, end long, words long, digest long"
@@ -93,6 +97,108 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     return passages.filter(F.col("n_words") >= min_words).drop("run")
 
 
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("own", pa.bool_())])
+
+
+class _Words:
+    """The words of a text (A-Z lowered, ASCII white space between them) and digests of k of them in a row."""
+
+    def __init__(self, text: str):
+        raw = np.frombuffer(text.encode().lower(), np.uint8)
+        inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+        first, last = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        self.n, self.begin, self.end = len(first), points[first], points[last]
+        # the words with single spaces between them
+        self.data = np.append(raw, np.uint8(32))
+        self.data[:-1][_SPACE[raw]] = 32
+        self.data = self.data[np.append(inside[1:-1], False) | inside[:-1]]
+        self.stops = np.cumsum(last - first + 1) - 1
+        self.starts = self.stops - (last - first)
+
+    def digests(self, k: int) -> np.ndarray:
+        return hash_ranges(self.data, self.starts[: self.n - k + 1], self.stops[k - 1 :])
+
+
+def _anchor_of(words: _Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `size` words where the least digest of half as many words in it begins, and these digests.
+
+    Equal windows have equal anchors, so a window can only stand twice if its anchor does.
+    """
+    digests = words.digests(size // 2)
+    rows = np.lib.stride_tricks.sliding_window_view(digests, size - size // 2 + 1)
+    return np.arange(len(rows)) + rows.argmin(1), digests
+
+
+def _anchors(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if (words := _Words(text)).n >= size:
+                    anchor, digests = _anchor_of(words, size)
+                    at = np.unique(anchor)
+                    out.append((np.full(len(at), doc), at, digests[at].view(np.int64)))
+            if out:
+                doc, at, digest = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(digest)], ["doc_id", "at", "digest"])
+
+    return run
+
+
+def _windows(size: int):
+    """Windows whose anchor stands twice; `own` if the same text has the window before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, anchors in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "anchors")), strict=True):
+                words = _Words(text)
+                if words.n < size:
+                    continue
+                at = np.flatnonzero(np.isin(_anchor_of(words, size)[0], anchors))
+                digest = words.digests(size)[at].view(np.int64)
+                own = np.ones(len(at), bool)
+                own[np.unique(digest, return_index=True)[1]] = False
+                columns = (np.full(len(at), doc), at, words.begin[at], words.end[at + size - 1], digest, own)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, WINDOWS, strict=True)], schema=WINDOWS)
+
+    return run
+
+
+def _met(each: DataFrame) -> DataFrame:
+    """Rows whose digest has several rows, with the smallest doc_id that has it; common digests are broadcast as above."""
+    twice = materialised(each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    least = F.lit(math.ceil((twice.agg(F.sum("n")).first()[0] or 0) / HOT_DIGESTS))
+    hot = F.broadcast(twice.filter(F.col("n") >= least).select(F.col("digest").alias("h_digest"), F.col("first").alias("h_first")))
+    rest = twice.filter(F.col("n") < least).select(F.col("digest").alias("r_digest"), F.col("first").alias("r_first"))
+    marked = each.join(hot, each["digest"] == hot["h_digest"], "left")
+    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "at")))
+    met = marked.join(rest, (F.col("key") == F.col("r_digest")) & F.col("h_digest").isNull(), "left")
+    return met.withColumn("first", F.coalesce("h_first", "r_first")).filter("first IS NOT NULL").drop("h_digest", "h_first", "r_digest", "r_first", "key")
+
+
+def shared_passages(documents: DataFrame, words: int = SHARED_WORDS) -> DataFrame:
+    """One row per passage to remove: doc_id, begin, end (code points, end exclusive), n_words, first_doc_id.
+
+    A passage is a longest run of words in which each lies in a window of `words` words that stands in a document of smaller
+    doc_id or earlier in the same text, wherever sentences end.  first_doc_id is the smallest doc_id with such a window.
+    Only windows whose anchor (see `_anchor_of`) stands twice are compared, about one digest in 13 words is for all texts.
+    """
+    rows = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    anchors = rows.mapInArrow(_anchors(words), "doc_id long, at int, digest long")
+    hits = materialised(_met(anchors).groupBy("doc_id").agg(F.collect_set("at").alias("anchors")))
+    each = rows.join(hits, "doc_id").mapInArrow(_windows(words), "doc_id long, at int, begin int, end int, digest long, own boolean")
+    again = _met(each).filter("own OR first < doc_id")
+    order = Window.partitionBy("doc_id").orderBy("at")
+    runs = again.withColumn("new", (F.col("at") - F.lag("at").over(order) > words).cast("int"))
+    runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(order))
+    return runs.groupBy("doc_id", "run").agg(
+        F.min("begin").cast("long").alias("begin"), F.max("end").cast("long").alias("end"),
+        (F.max("at") - F.min("at") + words).cast("long").alias("n_words"), F.min("first").alias("first_doc_id"),
+    ).drop("run")
+
+
 def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Documents without the passages; what is left keeps its order, and the passages have the original offsets."""
     spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))

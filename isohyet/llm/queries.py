@@ -56,6 +56,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_rules, op5_token_counts,
-        op6_best_fit_packing, op7_secret_scans, op8_language_id, op9_substring_dedup, op10_toxicity,
+        op6_best_fit_packing, op7_secret_scans, op8_language_id, op9_substring_dedup, op9_shared_passages, op10_toxicity,
     )
 }

@@ -491,3 +491,45 @@ def test_hot_digests_change_no_passage(spark, monkeypatch):
         monkeypatch.setattr(passages, "HOT_DIGESTS", hot)
         found.append(sorted(map(tuple, passages.repeated_passages(docs, 20).collect())))
     assert len(found[0]) > 50 and found[0] == found[1] == found[2]
+
+
+def brute_shared(texts, size):
+    """(doc_id, begin, end, words) of the runs of words in windows that stand earlier, by looking at every window."""
+    seen, out = set(), []
+    for doc, text in sorted(texts):
+        found = list(re.finditer(r"[^ \t\n\r\x0b\x0c]+", text))
+        w = [m[0].encode().lower() for m in found]
+        covered = set()
+        for i in range(len(w) - size + 1):
+            window = tuple(w[i : i + size])
+            if window in seen:
+                covered.update(range(i, i + size))
+            seen.add(window)
+        for i in sorted(covered):
+            if i - 1 not in covered:
+                j = i
+                while j + 1 in covered:
+                    j += 1
+                out.append((doc, found[i].start(), found[j].end(), j - i + 1))
+    return sorted(out)
+
+
+def test_shared_passages_do_not_need_sentence_ends(spark, no_docs):
+    passage = [f"é{x}," if i % 7 else f"{x};" for i, x in enumerate(words(70, 58, 5000))]
+    own = lambda seed, n: words(seed, n, 5000)
+    texts = [
+        (1, " ".join([*own(71, 40), *passage, *own(72, 40)])),
+        (2, " ".join(["Ünrelated", *own(73, 33)]) + "\n\t" + "  ".join([*passage, *own(74, 12)]).upper().replace("É", "é")),
+        (3, " ".join([*own(75, 5), *passage[:49], *own(76, 5)])),  # too short
+        (4, " ".join([*own(77, 5), *passage[4:54], *own(78, 5), *passage[4:54]])),
+        (5, " ".join(own(79, 30) * 4)), (6, "x " * 200), (7, "short"), (8, ""), (9, " ".join(own(71, 20) + passage[:50] + own(72, 60))),
+    ]
+    near = own(80, 600)
+    texts += [(10 + k, " ".join([*near[: 90 * k], f"changed{k}", *near[90 * k + 1 :]])) for k in range(6)]
+    df = spark.createDataFrame([*texts, texts[1], (20, None), (None, texts[0][1])], "doc_id long, text string")
+    got = passages.shared_passages(df)
+    want = brute_shared(texts, passages.SHARED_WORDS)
+    assert sorted((r["doc_id"], r["begin"], r["end"], r["n_words"]) for r in got.collect()) == want
+    assert {w[0] for w in want} >= {2, 4, 9, 11} and 3 not in {w[0] for w in want}
+    assert not passages.repeated_passages(df.filter("doc_id IN (1, 2)")).count()  # sentences alone miss it
+    assert passages.shared_passages(no_docs).count() == 0
