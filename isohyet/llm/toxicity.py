@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled documents: words, and word beginnings with many endings, that toxic
 documents have far more often than others.  It is a trie; each distinct word of a document is run through it as
-a Levenshtein automaton for one edit, kept as bit sets, so misspelled terms are found too.  Each hit is weighed by its context: reporting verbs and quotation marks
+a Levenshtein automaton, kept as bit sets, so misspelled terms are found too, also those below a beginning: one edit
+from four letters on and two from eight.  Each hit is weighed by its context: reporting verbs and quotation marks
 around it make it a quotation, words that address the reader make it abuse.  A logistic model turns a document's hits into a score.
 """
 
@@ -39,7 +40,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
 class Trie:
@@ -60,11 +61,14 @@ class Trie:
                     self.stem.append(None)
                 at = self.children[at][c]
             ends[at] = term
-        # an edit leaves one half of a term as it is: the word begins with the first or ends with the second
-        fuzzy = [w for w in words if allowed_edits(w)]
-        self.heads, self.tails = {w[: len(w) // 2] for w in fuzzy}, {w[len(w) // 2 :] for w in fuzzy}
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
-        self.sizes = {len(w) + d for w in fuzzy for d in (-1, 0, 1)}
+        # of one part more than the edits one is left as it is: the word begins with the first, ends with the last or has
+        # the middle one of three
+        fuzzy = [(w, len(w) // (allowed_edits(w) + 1)) for w in words if allowed_edits(w)]
+        self.heads = {w[:k] for w, k in fuzzy}
+        self.tails = {w[(len(w) - k if allowed_edits(w) == 2 else k) :] for w, k in fuzzy}
+        self.middles = {w[k : len(w) - k] for w, k in fuzzy if allowed_edits(w) == 2}
+        self.head_sizes, self.tail_sizes, self.middle_sizes = (sorted(set(map(len, x))) for x in (self.heads, self.tails, self.middles))
+        self.sizes = {n for w, _ in fuzzy for n in range(len(w) - allowed_edits(w), len(w) + allowed_edits(w) + 1)}
 
     def exact(self, word: str) -> tuple[str, int, bool] | None:
         at, stem = 0, None
@@ -74,42 +78,48 @@ class Trie:
                 return stem
             if self.stem[at]:
                 stem = (self.stem[at], 0, True)
-        return (self.word[at], 0, False) if self.word[at] else stem
+        return stem or (self.word[at] and (self.word[at], 0, False))
 
     def find(self, word: str) -> tuple[str, int, bool] | None:
-        """(term, edits, is a stem): the term itself or a stem of it, else the smallest term one edit away."""
+        """(term, edits, is a stem): a stem of the word or the term itself, else the nearest term within its edits, the smallest of equals."""
         if hit := self.exact(word):
             return hit
         if len(word) not in self.sizes:
             return None
-        if not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
+        if not (
+            any(word[:k] in self.heads for k in self.head_sizes)
+            or any(word[-k:] in self.tails for k in self.tail_sizes)
+            or any(word[i : i + k] in self.middles for k in self.middle_sizes for i in range(1, len(word) - k + 1))
+        ):
             return None
         return self._automaton(word)
 
     def _automaton(self, word: str) -> tuple[str, int, bool] | None:
         """Walk the trie with the word's Levenshtein automaton: bit i of a state says that i letters of the word are matched.
 
-        `same` has the positions reached without an edit, `once` those with one.
+        `same` has the positions reached without an edit, `once` those with one and `twice` those with two.
         """
         letters: dict[str, int] = {}
         for i, c in enumerate(word):
             letters[c] = letters.get(c, 0) | 1 << i
         end, full = 1 << len(word), (2 << len(word)) - 1
-        best: str | None = None
-        stack = [(0, 1, 2)]
+        best: tuple[int, str] | None = None
+        stack = [(0, 1, 2, 4 & full)]
         while stack:
-            node, same, once = stack.pop()
-            term = self.word[node]
-            if term and once & end and allowed_edits(term) and (best is None or term < best):
-                best = term
+            node, same, once, twice = stack.pop()
+            if term := self.word[node]:
+                distance = 1 if once & end else 2 if twice & end else 3
+                if distance <= allowed_edits(term) and (best is None or (distance, term) < best):
+                    best = distance, term
             for c, child in self.children[node].items():
                 at = letters.get(c, 0)
                 same_next = (same & at) << 1
                 # a letter of the term that the word lacks, another letter, or (after the step) a letter too many
                 once_next = ((once & at) << 1 | same | same << 1 | same_next << 1) & full
-                if same_next or once_next:
-                    stack.append((child, same_next, once_next))
-        return best and (best, 1, False)
+                twice_next = ((twice & at) << 1 | once | once << 1 | once_next << 1) & full
+                if same_next or once_next or twice_next:
+                    stack.append((child, same_next, once_next, twice_next))
+        return best and (best[1], best[0], False)
 
 
 class Words(dict):
@@ -228,7 +238,7 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     stems = stems.filter(F.length("word") > F.col("length")).groupBy(F.expr("substring(word, 1, length)").alias("stem")).agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.when(F.col("toxic") > 0, 1)).alias("endings")
     )
-    words = strongest(counts.filter(F.length("word") >= 4), "word")
+    words = strongest(counts, "word")
     beginnings = strongest(stems.filter(F.col("endings") >= MIN_ENDINGS), "stem")
     candidates = sample.sparkSession.sparkContext.broadcast((words, beginnings))
     seen = sample.mapInArrow(_surroundings(candidates), "term string, stem boolean, near long, toxic int").distinct()
@@ -236,7 +246,7 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     kept = seen.filter(strong).select("term", "stem", F.log2(ratio).alias("weight")).collect()
     weights = {r["term"]: r["weight"] for r in kept if r["stem"]}
     weights = {s: w for s, w in weights.items() if not any(s[:k] in weights for k in range(1, len(s)))}
-    return Trie({r["term"]: r["weight"] for r in kept if not r["stem"] and not any(r["term"][:k] in weights for k in STEM_LENGTHS)}, weights)
+    return Trie({r["term"]: r["weight"] for r in kept if not r["stem"]}, weights)
 
 
 class Model:

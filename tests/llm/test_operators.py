@@ -450,6 +450,17 @@ def test_automaton_equals_edit_distance():
             assert (hit and (hit[1], hit[0])) == want, w
 
 
+def test_misspelled_terms_below_a_stem(spark):
+    ends = ["aire", "ante", "oque", "iste", "eurs", "esse"]
+    rows = [(" ".join([*words(i, 30), *([f"vequ{ends[i // 4 % 6]}", "zog"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
+    trie = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert trie.find("vequaire") == ("vequ", 0, True) and trie.find("vwquaire") == ("vequaire", 1, False) and trie.find("zog") == ("zog", 0, False)
+    learned = toxicity.Trie({"vequaire": 2.0, "scum": 1.0, "worthless": 1.0}, {"vequ": 2.0})
+    assert learned.find("vequaire") == ("vequ", 0, True)
+    assert learned.find("vwquaire") == ("vequaire", 1, False) and learned.find("vwquarie") is None
+    assert learned.find("scvm") == ("scum", 1, False) and learned.find("wrothless") == ("worthless", 2, False)
+
+
 def test_context_separates_quotation():
     words_ = toxicity.Words(toxicity.Trie({"idiot": 5.0}, {}))
     plain, quoted, abuse = (toxicity.features(t, words_)[0] for t in ("that idiot there", 'he said "idiot" there', "you idiot there"))
