@@ -11,12 +11,15 @@ from isohyet.llm import decontaminate, near_dedup, packing, secrets, toxicity
 from isohyet.llm.common import table
 
 
+NEAR_PERCENT = 80  # the 85 of op1 is that query's own contract
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.dedup(docs)
+    return near_dedup.dedup(docs, NEAR_PERCENT)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

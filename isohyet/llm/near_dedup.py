@@ -5,7 +5,8 @@ Signatures are split into CHUNKS chunks.  By the pigeonhole principle two signat
 that differ in at most CHUNKS * (ERRORS + 1) - 1 positions agree in some chunk up to
 ERRORS positions, so with ERRORS = 1 every chunk is indexed once for each position left out: all pairs
 under that distance share a key.  At a similarity of 0.85 the distance has mean 9.6 and
-standard deviation 2.9, far below the 21 guaranteed here.
+standard deviation 2.9, far below the 21 guaranteed here.  Below LINK_PERCENT the WIDE scheme guarantees 29: at 0.8 the
+mean is 12.8 and the standard deviation 3.2.
 
 Equal shingle sets are one class and enter once.  Within each key, signatures are compared and a
 spanning forest of the pairs under the distance goes on; its components are the candidate groups.  Groups are then
@@ -16,6 +17,7 @@ emitted, so rows stay linear while every link has been looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,18 @@ from isohyet.llm.common import Forest, components, materialised, mix, shingle_se
 
 SHINGLE = 5
 POSITIONS, CHUNKS, ERRORS = 64, 11, 1
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+DISTANCE = CHUNKS * (ERRORS + 1) - 1  # at LINK_PERCENT and above
+WIDE = (10, 2)  # chunks and errors for links below LINK_PERCENT
 BUCKET_BLOCK = 2048  # signatures of a key that are compared at once
 SET_BLOCK = 262_144  # shingles of a candidate group that are compared at once
 LINK_PERCENT = 85
 
 FACTORS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
-BOUNDS = np.linspace(0, POSITIONS, CHUNKS + 1).round().astype(int)
+
+
+def _distance(chunks: int, errors: int) -> int:
+    """The signature distance up to which all pairs share a key."""
+    return chunks * (errors + 1) - 1
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -65,23 +72,28 @@ def signatures(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every chunk once for each position left out: chunk, position and the other bytes in 64 bits."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, POSITIONS).astype(np.uint64)
-        keys = np.empty((POSITIONS, n), np.uint64)
-        for c, (a, b) in enumerate(zip(BOUNDS[:-1], BOUNDS[1:], strict=True)):
-            for out in range(a, b):
-                key = np.full(n, (c << 8) | (out - a), np.uint64)
-                for p in range(a, b):
-                    if p != out:
+def _keys(chunks: int, errors: int):
+    bounds = np.linspace(0, POSITIONS, chunks + 1).round().astype(int)
+    left_out = [(c, n, out) for c in range(chunks) for n, out in enumerate(combinations(range(bounds[c], bounds[c + 1]), errors))]
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every chunk once for each choice of positions left out: chunk, choice and the other bytes in 64 bits."""
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, POSITIONS).astype(np.uint64)
+            keys = np.empty((len(left_out), n), np.uint64)
+            for i, (c, choice, out) in enumerate(left_out):
+                key = np.full(n, (c << 8) | choice, np.uint64)
+                for p in range(bounds[c], bounds[c + 1]):
+                    if p not in out:
                         key = (key << np.uint64(8)) | sig[:, p]
-                keys[out] = key
-        ids = batch.column("id").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, POSITIONS))], ["key", "id"])
+                keys[i] = key
+            ids = batch.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, len(left_out)))], ["key", "id"])
+
+    return keys_of
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,71 +128,74 @@ def _far(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (sig != other).sum(-1)
 
 
-def _forest_of_bucket(sig: np.ndarray, block: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs within DISTANCE between two blocks of a key."""
+def _forest_of_bucket(sig: np.ndarray, block: np.ndarray, lo: int, hi: int, distance: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs within the distance between two blocks of a key."""
     left = np.flatnonzero(block == lo)
     right = np.flatnonzero(block == hi)
     forest, edges = Forest(len(sig)), []
     for i in left:
-        near = right[_far(sig[right], sig[i]) <= DISTANCE]
+        near = right[_far(sig[right], sig[i]) <= distance]
         for j in near.tolist():
             if i != j and forest.join(int(i), j):
                 edges.append((int(i), j))
     return edges
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of the spanning forests; input is sorted by key, lo, hi."""
-
-    def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def solve(rows: pa.Table):
-        ids = rows.column("id").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-        key, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
-        lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
-        new = np.ones(len(ids), bool)
-        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-        far = _far(sig, sig[first]) > DISTANCE
-        odd = np.zeros(len(ids), bool)
-        odd[first[far | (lo != hi)]] = True  # not a star around the first: all pairs are compared
-        star = ~odd[first] & ~new
-        yield out(ids[first[star]], ids[star])
-        ends = np.append(np.flatnonzero(new)[1:], len(ids))
-        a, b = [], []
-        for s, e in zip(np.flatnonzero(new), ends, strict=True):
-            if odd[s] and e - s > 1:
-                for i, j in _forest_of_bucket(sig[s:e], block[s:e], lo[s], hi[s]):
-                    a.append(ids[s + i])
-                    b.append(ids[s + j])
-        if a:
-            yield out(a, b)
-
-    held: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, lo, hi = (batch.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        same = (key == key[-1]) & (lo == lo[-1]) & (hi == hi[-1])
-        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if held and cut:
-            yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield from solve(pa.Table.from_batches([batch.slice(0, cut)]))
-        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "lo", "hi")):
+def _near(distance: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (a, b) of the spanning forests; input is sorted by key, lo, hi."""
+
+        def out(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        def solve(rows: pa.Table):
+            ids = rows.column("id").to_numpy()
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            key, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
+            lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+            new = np.ones(len(ids), bool)
+            new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+            far = _far(sig, sig[first]) > distance
+            odd = np.zeros(len(ids), bool)
+            odd[first[far | (lo != hi)]] = True  # not a star around the first: all pairs are compared
+            star = ~odd[first] & ~new
+            yield out(ids[first[star]], ids[star])
+            ends = np.append(np.flatnonzero(new)[1:], len(ids))
+            a, b = [], []
+            for s, e in zip(np.flatnonzero(new), ends, strict=True):
+                if odd[s] and e - s > 1:
+                    for i, j in _forest_of_bucket(sig[s:e], block[s:e], lo[s], hi[s], distance):
+                        a.append(ids[s + i])
+                        b.append(ids[s + j])
+            if a:
+                yield out(a, b)
+
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi = (batch.column(c).to_numpy() for c in ("key", "lo", "hi"))
+            same = (key == key[-1]) & (lo == lo[-1]) & (hi == hi[-1])
+            cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if held and cut:
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from solve(pa.Table.from_batches([batch.slice(0, cut)]))
+            elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "lo", "hi")):
+                yield from solve(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
             yield from solve(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield from solve(pa.Table.from_batches(held))
+
+    return near
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all classes (id, sig) whose signatures differ in at most DISTANCE positions."""
-    keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
+def candidate_edges(classes: DataFrame, scheme: tuple[int, int] = (CHUNKS, ERRORS)) -> DataFrame:
+    """Edges (a, b) that connect all classes (id, sig) whose signatures are within the scheme's distance."""
+    keys = classes.select("id", "sig").mapInArrow(_keys(*scheme), "key long, id long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, block int")
     shared = materialised(shared)
@@ -188,7 +203,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     blocks = shared.join(large, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
     pairs = blocks.select("key", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = pairs.join(classes.select("id", "sig"), "id")
-    near = rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near, "a long, b long")
+    near = rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near(_distance(*scheme)), "a long, b long")
     return near
 
 
@@ -270,7 +285,7 @@ def near_duplicates(documents: DataFrame, percent: int = LINK_PERCENT) -> DataFr
     )
     # a doc_id that is repeated with several texts stands for each of them, so its classes are compared as one node
     nodes = classes
-    groups = components(candidate_edges(nodes))
+    groups = components(candidate_edges(nodes, (CHUNKS, ERRORS) if percent >= LINK_PERCENT else WIDE))
     found = components(links(documents, nodes, groups, percent))
     named = classes.join(found, "id", "left").filter("copies > 1 OR component IS NOT NULL")
     named = named.select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("component_id"))

@@ -117,6 +117,30 @@ def test_index_finds_every_pair_under_the_distance(spark):
                 assert found[i] == found[j]
 
 
+def test_stage_links_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k in range(40):
+        base = words(900 + k, 300, 5000)
+        changed = base.copy()
+        for i in range(3, 300, 300 // (5 + k % 4)):
+            changed[i] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed))]
+    sets = brute_sets([t for _, t in rows])
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert any(0.8 <= x < 0.85 for x in share) and any(x < 0.8 for x in share)
+    want = {2 * k for k in range(40)} | {2 * k + 1 for k, x in enumerate(share) if x < 0.8}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()} == want
+    r = np.random.default_rng(6)
+    one = r.integers(0, 256, near_dedup.POSITIONS, dtype=np.uint8)
+    two = one.copy()
+    two[r.choice(near_dedup.POSITIONS, 29, replace=False)] += 1
+    pair = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(two))], "id long, sig binary")
+    assert near_dedup.candidate_edges(pair, near_dedup.WIDE).count() and not near_dedup.candidate_edges(pair).count()
+
+
 def test_links_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SET_BLOCK", 300)
     base = words(9, 100)
