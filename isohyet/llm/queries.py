@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isohyet.llm import chat, decontaminate, language, near_dedup, packing, passages, quality, secrets, tokens, toxicity
+from isohyet.llm import (
+    chat, decontaminate, exact_dedup, language, near_dedup, packing, passages, quality, repair, secrets, tokens, toxicity,
+)
 from isohyet.llm.common import table
 
 
@@ -64,10 +66,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.structure_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_rules, op5_token_counts,
         op6_best_fit_packing, op7_secret_scans, op8_language_id, op9_substring_dedup, op9_shared_passages, op10_toxicity,
+        op12_exact_dedup, op13_structure_repair,
     )
 }

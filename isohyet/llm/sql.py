@@ -141,6 +141,69 @@ SELECT doc_id, min(b) AS "begin", max(e) AS "end", count(*) AS n_units, CAST(sum
 FROM again GROUP BY doc_id, run HAVING sum(words) >= {passages.MIN_WORDS}
 """
 
+COPIES = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+# an automaton over the states of the grammar (0 nothing yet, 1 after s, 2 after u, 3 after a), one row of the conversation at a time
+REPAIR = """
+WITH RECURSIVE entry AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS id
+  FROM conversations
+), kinds AS (
+  SELECT n.*, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(id, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind
+  FROM named n, entry
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last
+  FROM damaged
+), rows AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), ins(p, m, cost, edits, said) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+    (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+), op(m, q, cost, edit, initial, role) AS (
+  VALUES (0, 0, 3, 'D', '', ''), (1, 1, 3, 'D', '', ''), (2, 2, 3, 'D', '', ''), (3, 3, 3, 'D', '', ''),
+    (0, 1, 0, 'K', 's', ''), (0, 2, 0, 'K', 'u', ''), (1, 2, 0, 'K', 'u', ''), (3, 2, 0, 'K', 'u', ''), (2, 3, 0, 'K', 'a', ''),
+    (0, 2, 2, 'R', '', 'user'), (1, 2, 2, 'R', '', 'user'), (3, 2, 2, 'R', '', 'user'), (2, 3, 2, 'R', '', 'assistant')
+), step AS (
+  SELECT p, q, ins.cost + op.cost AS cost, edits || edit AS edits, said, edit, initial, role FROM ins JOIN op USING (m)
+), dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, {'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])} AS best FROM conversations
+  UNION ALL
+  SELECT dp.conv_id, r.i, step.q, min({
+    'cost': best.cost + step.cost + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END, 'audit': best.audit || edits,
+    'said': list_concat(best.said, CAST(step.said AS VARCHAR[]), CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || text] ELSE [step.role || ':' || text] END)})
+  FROM dp JOIN rows r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1
+  JOIN step ON step.p = st AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (edit <> 'K' OR step.initial = r.initial)
+  GROUP BY dp.conv_id, r.i, step.q
+), done AS (
+  SELECT conv_id, i, min({'cost': best.cost + ins.cost, 'audit': best.audit || ins.edits, 'said': list_concat(best.said, CAST(ins.said AS VARCHAR[]))}) AS best
+  FROM dp JOIN ins ON ins.p = st AND ins.m IN (0, 3) GROUP BY conv_id, i
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT done.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM done LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM done.conv_id WHERE done.i = coalesce(n, 0)
+"""
+
 SQL = {
     "op1_minhash_near_dedup": NEAR,
     "op2_chat_formatting": CHAT,
@@ -148,4 +211,6 @@ SQL = {
     "op4_quality_rules": QUALITY,
     "op7_secret_scans": SECRETS,
     "op9_substring_dedup": PASSAGES,
+    "op12_exact_dedup": COPIES,
+    "op13_structure_repair": REPAIR,
 }
