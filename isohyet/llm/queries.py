@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from isohyet.llm import (
-    chat, decontaminate, exact_dedup, language, near_dedup, packing, passages, quality, repair, secrets, tokens, toxicity,
+    chat, decontaminate, exact_dedup, language, near_dedup, packing, passages, quality, repair, secrets, tokens, toxicity, whitening,
 )
 from isohyet.llm.common import table
 
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_rules, op5_token_counts,
         op6_best_fit_packing, op7_secret_scans, op8_language_id, op9_substring_dedup, op9_shared_passages, op10_toxicity,
-        op12_exact_dedup, op13_structure_repair,
+        op11_embedding_whitening, op12_exact_dedup, op13_structure_repair,
     )
 }
