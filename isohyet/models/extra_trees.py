@@ -1,0 +1,491 @@
+"""Extremely randomised trees of all groups, grown together.
+
+A node draws a random threshold for each of a few random features and takes the best of them.  All draws are hashes of (seed,
+group, tree, node, feature), and rows get their bootstrap weights from hashes of their keys, so a tree does not depend on
+how rows are spread or on retries.  Targets are whole millionths of their group's spread while trees grow, which makes all sums exact.
+
+Nodes with more than LOCAL_ROWS rows are split level by level: tasks send ranges, then sums beside the drawn thresholds, per
+(group, tree, node), and Spark adds them.  A smaller node's rows go to one task, which grows the whole subtree.  The tops above such
+subtrees are the only part that the driver and all tasks hold: at most two nodes per LOCAL_ROWS rows and tree.  The subtrees
+("pieces") are a table, and rows meet the pieces they fall into there.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from isohyet.checkpoint import reliable
+from isohyet.models.grouped import GROUP, matrix, runs, with_vector
+
+# rows that one task takes to grow a subtree, and rows that meet one piece in a task
+LOCAL_ROWS = 1 << 15
+# trees of a small group that are grown from one copy of its rows
+BLOCK = 25
+UNITS = 1_000_000
+ROOT = 1
+
+
+@dataclass(frozen=True)
+class ExtraTrees:
+    """``features`` per split (None: the square root of their number); ``share_weights`` trees in a row share one bootstrap."""
+
+    trees: int = 500
+    depth: int = 25
+    features: int | None = None
+    bootstrap: bool = True
+    share_weights: int = 1
+    seed: int = 42
+
+    def fit_groups(self, rows: DataFrame, columns: Sequence[str], label: str = "target", keys: Sequence[str] = ("location_id", "t")) -> Forest:
+        return grow(self, rows, columns, label, keys)
+
+
+# --- draws ------------------------------------------------------------------
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def uniform(seed: int, group: int, *keys) -> np.ndarray:
+    """Numbers in [0, 1) from integers that broadcast against each other."""
+    with np.errstate(over="ignore"):
+        h = _mix(np.array([seed, group & (1 << 64) - 1], np.uint64))
+        h = _mix(h[:1] * np.uint64(3) + h[1:])
+        for k in keys:
+            h = _mix(h * np.uint64(5) + np.asarray(k).astype(np.int64).view(np.uint64))
+    return (h >> np.uint64(11)) * 2.0**-53
+
+
+# chances of 0, 1, 2, ... draws of a row among as many draws as there are rows
+_POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1, 1, 2, 3, 4, 5, 6, 7, 8, 9])])
+
+
+def weights_of(s: ExtraTrees, group: int, tree: int, row: np.ndarray) -> np.ndarray:
+    if not s.bootstrap:
+        return np.ones(len(row), np.int64)
+    return np.searchsorted(_POISSON, uniform(s.seed + 1, group, np.int64(tree // s.share_weights), row), side="right")
+
+
+def thresholds(s: ExtraTrees, group: int, tree: int, nodes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(thresholds, whether the feature takes part) per node and feature; constant features never do."""
+    d = low.shape[1]
+    at = np.arange(d)[None, :]
+    u = uniform(s.seed + 2, group, np.int64(tree), nodes[:, None], at)
+    cut = low + u * (high - low)
+    cut = np.where(cut >= high, low, cut)
+    order = np.where(low < high, uniform(s.seed + 3, group, np.int64(tree), nodes[:, None], at), 2.0)
+    k = min(d, s.features or max(1, int(np.sqrt(d))))
+    least = np.partition(order, k - 1, axis=1)[:, k - 1 : k]
+    return cut, (order <= least) & (order < 1.5)
+
+
+# --- one level --------------------------------------------------------------
+
+
+def spans(x: np.ndarray, y: np.ndarray, w: np.ndarray, node: np.ndarray):
+    """Nodes, their first rows in node order, and per node: ranges of the features, weight, sum, least and largest target."""
+    nodes, first = np.unique(node, return_index=True)
+    return (
+        nodes, first, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), np.add.reduceat(w, first),
+        np.add.reduceat(w * y, first), np.minimum.reduceat(y, first), np.maximum.reduceat(y, first),
+    )
+
+
+def beside(x: np.ndarray, y: np.ndarray, w: np.ndarray, first: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and sum of targets at or below each threshold; rows in node order."""
+    where = np.zeros(len(x), np.int64)
+    where[first[1:]] = 1
+    left = x <= cut[np.cumsum(where)]
+    return np.add.reduceat(left * w[:, None], first), np.add.reduceat(left * (w * y)[:, None], first)
+
+
+def choose(n: np.ndarray, total: np.ndarray, left_n: np.ndarray, left_total: np.ndarray, takes_part: np.ndarray) -> np.ndarray:
+    """The feature whose two sides differ most, the first of equal ones; -1 without any."""
+    right_n, right_total = n[:, None] - left_n, total[:, None] - left_total
+    fine = takes_part & (left_n > 0) & (right_n > 0)
+    score = left_total.astype(float) ** 2 / np.maximum(left_n, 1) + right_total.astype(float) ** 2 / np.maximum(right_n, 1)
+    score = np.where(fine, score, -1.0)
+    best = score.argmax(1)
+    return np.where(score[np.arange(len(best)), best] >= 0, best, -1)
+
+
+def grow_subtree(s: ExtraTrees, group: int, tree: int, root: int, x: np.ndarray, y: np.ndarray, w: np.ndarray):
+    """Nodes below and with ``root``: (node, feature or -1, threshold, weight, sum of targets)."""
+    node, out = np.full(len(x), root, np.int64), []
+    while len(node):
+        order = np.argsort(node, kind="stable")
+        x, y, w, node = x[order], y[order], w[order], node[order]
+        nodes, first, low, high, n, total, y_low, y_high = spans(x, y, w, node)
+        cut, takes_part = thresholds(s, group, tree, nodes, low, high)
+        left_n, left_total = beside(x, y, w, first, cut)
+        feature = choose(n, total, left_n, left_total, takes_part)
+        feature[(y_low == y_high) | (n < 2) | (nodes >= 1 << s.depth)] = -1
+        at = np.arange(len(nodes))
+        threshold = np.where(feature >= 0, cut[at, feature], 0.0)
+        out.append((nodes, feature, threshold, n, total))
+        where = np.searchsorted(nodes, node)
+        live = feature[where] >= 0
+        x, y, w, node, where = x[live], y[live], w[live], node[live], where[live]
+        node = 2 * node + (x[np.arange(len(x)), feature[where]] > threshold[where])
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+
+
+# --- descending -------------------------------------------------------------
+
+
+class Nodes:
+    """Nodes of one tree (or subtree) that rows descend."""
+
+    def __init__(self, node: np.ndarray, feature: np.ndarray, threshold: np.ndarray, value: np.ndarray):
+        order = np.argsort(node)
+        self.node, self.feature, self.threshold, self.value = node[order], feature[order], threshold[order], value[order]
+        self.children = np.stack([self._find(2 * self.node), self._find(2 * self.node + 1)])
+
+    def _find(self, node: np.ndarray) -> np.ndarray:
+        """Indexes of nodes, -1 for those that are elsewhere."""
+        if not len(self.node):
+            return np.full(len(node), -1)
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        return np.where(self.node[at] == node, at, -1)
+
+    def places(self, x: np.ndarray, root: int) -> np.ndarray:
+        """Index of the leaf of each row; rows that leave these nodes are -1 minus the node they go to."""
+        start = int(self._find(np.array([root]))[0])
+        if start < 0:
+            return np.full(len(x), -1 - root, np.int64)
+        at, inside = np.full(len(x), start, np.int64), np.arange(len(x))
+        while len(inside):
+            inside = inside[self.feature[at[inside]] >= 0]
+            i = at[inside]
+            right = (x[inside, self.feature[i]] > self.threshold[i]).astype(np.int64)
+            there = self.children[right, i]
+            at[inside] = np.where(there >= 0, there, -1 - (2 * self.node[i] + right))
+            inside = inside[there >= 0]
+        return at
+
+
+Tops = dict[int, dict[int, Nodes]]
+
+
+# --- fitting ----------------------------------------------------------------
+
+_PIECE = f"{GROUP} string, g long, tree int, node long, trees array<int>, nodes array<long>, features array<int>, thresholds array<double>, leaves array<double>"
+_ROW = f"{GROUP} string, g long, tree int, node long, row long, y long, center double, scale double, x array<double>"
+
+
+def _prepared(rows: DataFrame, columns: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+    """Rows with their vector, key hash and target in whole units about their group's centre."""
+    known = with_vector(rows, columns, F.col(GROUP), F.xxhash64(F.col(GROUP)).alias("g"), F.xxhash64(*keys).alias("row"), F.col(label).cast("double").alias("_y"))
+    known = known.filter(f"{GROUP} IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_y) AND NOT exists(x, c -> c IS NULL OR isnan(c))")
+    known = reliable(known)
+    by_group = known.groupBy(F.col(GROUP).alias("_v")).agg(
+        ((F.max("_y") + F.min("_y")) / 2).alias("center"), F.greatest((F.max("_y") - F.min("_y")) / 2, F.lit(1e-300)).alias("scale")
+    )
+    both = known.join(by_group, known[GROUP] == by_group["_v"])
+    y = F.round((F.col("_y") - F.col("center")) / F.col("scale") * UNITS).cast("long")
+    return reliable(both.select(GROUP, "g", "row", y.alias("y"), "center", "scale", "x"))
+
+
+def _each_tree(b: pa.RecordBatch, s: ExtraTrees, tops: Tops, width: int):
+    """(group, tree, row indexes, vectors, leaf places, nodes) of a batch's rows in the trees of large groups."""
+    g = b.column("g").to_numpy()
+    x = matrix(b.column("x"), width)
+    for group in np.unique(g):
+        if int(group) in tops:
+            at = np.flatnonzero(g == group)
+            for tree in range(s.trees):
+                top = tops[int(group)][tree]
+                yield int(group), tree, at, x[at], top.places(x[at], ROOT)
+
+
+def _level(s: ExtraTrees, tops: Tops, open_nodes: dict, width: int, cuts: dict | None):
+    """Partial ranges of the open nodes, or partial sums beside their thresholds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y_all, row = b.column("y").to_numpy(), b.column("row").to_numpy()
+            out = []
+            for group, tree, at, x, place in _each_tree(b, s, tops, width):
+                node = -1 - place
+                w = weights_of(s, group, tree, row[at])
+                live = np.flatnonzero((place < 0) & (w > 0) & np.isin(node, open_nodes.get((group, tree), [])))
+                live = live[np.argsort(node[live], kind="stable")]
+                if not len(live):
+                    continue
+                part = x[live], y_all[at[live]], w[live], node[live]
+                if cuts is None:
+                    nodes, _, low, high, n, total, y_low, y_high = spans(*part)
+                    out += [(group, tree, *v) for v in zip(nodes.tolist(), n.tolist(), total.tolist(), y_low.tolist(), y_high.tolist(), low.tolist(), high.tolist(), strict=True)]
+                else:
+                    nodes, first = np.unique(part[3], return_index=True)
+                    known = cuts[group, tree]
+                    left_n, left_total = beside(*part[:3], first, known[1][np.searchsorted(known[0], nodes)])
+                    out += [(group, tree, *v) for v in zip(nodes.tolist(), left_n.tolist(), left_total.tolist(), strict=True)]
+            if out:
+                schema = _RANGES if cuts is None else _SIDES
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+_KEYS = [("g", pa.int64()), ("tree", pa.int32()), ("node", pa.int64())]
+_RANGES = pa.schema([*_KEYS, ("n", pa.int64()), ("total", pa.int64()), ("y_low", pa.int64()), ("y_high", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+_SIDES = pa.schema([*_KEYS, ("left_n", pa.list_(pa.int64())), ("left_total", pa.list_(pa.int64()))])
+
+
+def _elements(kind, name: str, width: int) -> F.Column:
+    return F.array(*[kind(F.col(name)[j]) for j in range(width)]).alias(name)
+
+
+def _grow_tops(s: ExtraTrees, rows: DataFrame, width: int, large: list[int]) -> Tops:
+    """Splits of all nodes with more than LOCAL_ROWS rows, level by level over all groups and trees.
+
+    A level is two passes over the rows: the ranges of the open nodes, then the sums beside their thresholds.
+    """
+    found: dict = {(g, t): [] for g in large for t in range(s.trees)}
+    open_nodes: dict = {k: np.array([ROOT]) for k in found}
+    rows = rows.filter(F.col("g").isin(large))
+    pack = lambda v: Nodes(*(np.array([r[i] for r in v], k) for i, k in enumerate((np.int64, np.int64, float, float))))
+    tops = lambda: {g: {t: pack(found[g, t]) for t in range(s.trees)} for g in large}
+    while open_nodes:
+        now = tops()
+        ranges = rows.mapInArrow(_level(s, now, open_nodes, width, None), "g long, tree int, node long, n long, total long, y_low long, y_high long, low array<double>, high array<double>")
+        keys = ["g", "tree", "node"]
+        ranges = ranges.groupBy(*keys).agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high"),
+            _elements(F.min, "low", width), _elements(F.max, "high", width),
+        ).orderBy(*keys).collect()
+        by_tree: dict = {}
+        for r in ranges:
+            by_tree.setdefault((r["g"], r["tree"]), []).append(r)
+        cuts = {}
+        for k, v in by_tree.items():
+            nodes = np.array([r["node"] for r in v])
+            cuts[k] = (nodes, *thresholds(s, *k, nodes, np.array([r["low"] for r in v]), np.array([r["high"] for r in v])))
+        sides = rows.mapInArrow(_level(s, now, open_nodes, width, cuts), "g long, tree int, node long, left_n array<long>, left_total array<long>")
+        sides = sides.groupBy(*keys).agg(_elements(F.sum, "left_n", width), _elements(F.sum, "left_total", width)).collect()
+        beside_of = {(r["g"], r["tree"], r["node"]): r for r in sides}
+        open_nodes = {}
+        for k, v in by_tree.items():
+            nodes, cut, takes_part = cuts[k]
+            mine = [beside_of[*k, r["node"]] for r in v]
+            n, total = np.array([r["n"] for r in v]), np.array([r["total"] for r in v])
+            left_n = np.array([r["left_n"] for r in mine])
+            feature = choose(n, total, left_n, np.array([r["left_total"] for r in mine]), takes_part)
+            feature[np.array([r["y_low"] == r["y_high"] for r in v]) | (n < 2) | (nodes >= 1 << s.depth)] = -1
+            for i, node in enumerate(nodes.tolist()):
+                j = int(feature[i])
+                found[k].append((node, j, float(cut[i, j]) if j >= 0 else 0.0, total[i] / n[i]))
+                for child, size in ((2 * node, left_n[i, j]), (2 * node + 1, n[i] - left_n[i, j])) if j >= 0 else ():
+                    if size > LOCAL_ROWS:
+                        open_nodes.setdefault(k, []).append(child)
+        open_nodes = {k: np.array(v) for k, v in open_nodes.items()}
+    return tops()
+
+
+def _to_pieces(s: ExtraTrees, tops: Tops, width: int):
+    """Rows of large groups once per tree, with the small node they fall into; rows in leaves of the tops are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, tree, at, _, place in _each_tree(b, s, tops, width):
+                small = np.flatnonzero(place < 0)
+                part = b.take(pa.array(at[small]))
+                columns = {n: part.column(n) for n in part.schema.names}
+                columns |= {"tree": pa.array(np.full(len(small), tree, np.int32)), "node": pa.array(-1 - place[small])}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _dealt(s: ExtraTrees, rows: DataFrame, tops: Tops, width: int) -> DataFrame:
+    """Rows with the (tree, node) of the pieces they belong to: a block of whole trees in small groups."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1), F.lit(BLOCK))).alias("tree")
+    out = rows.filter(~F.col("g").isin(list(tops))).select("*", tree).withColumn("node", F.lit(ROOT).cast("long"))
+    if tops:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", tree int, node long"
+        out = out.unionByName(rows.filter(F.col("g").isin(list(tops))).mapInArrow(_to_pieces(s, tops, width), schema))
+    return out
+
+
+def _grow_pieces(s: ExtraTrees, width: int, large: frozenset):
+    def run(table: pa.Table) -> pa.Table:
+        group, first, root = (table.column(c)[0].as_py() for c in ("g", "tree", "node"))
+        order = np.argsort(table.column("row").to_numpy(), kind="stable")
+        x = matrix(table.column("x"), width)[order]
+        y, row = table.column("y").to_numpy()[order], table.column("row").to_numpy()[order]
+        center, scale = table.column("center")[0].as_py(), table.column("scale")[0].as_py()
+        trees, parts = [], []
+        for tree in range(first, min(first + BLOCK, s.trees)) if group not in large else [first]:
+            w = weights_of(s, group, tree, row)
+            drawn = w > 0 if (w > 0).any() else np.ones(len(w), bool)
+            part = grow_subtree(s, group, tree, root, x[drawn], y[drawn], np.maximum(w[drawn], 1))
+            parts.append(part)
+            trees.append(np.full(len(part[0]), tree, np.int32))
+        node, feature, threshold, n, total = (np.concatenate(c) for c in zip(*parts, strict=True))
+        value = center + scale / UNITS * (total / n)
+        columns = [
+            [table.column(GROUP)[0].as_py()], [group], [first], [root], [np.concatenate(trees).tolist()], [node.tolist()], [feature.tolist()], [threshold.tolist()], [value.tolist()],
+        ]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        names = [p.split()[0] for p in _PIECE.split(", ")]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def grow(s: ExtraTrees, rows: DataFrame, columns: Sequence[str], label: str = "target", keys: Sequence[str] = ("location_id", "t")) -> Forest:
+    """Fit the trees of every group; ``keys`` name a row inside its group.  Rows with a missing feature or target are left out."""
+    width = len(columns)
+    ready = _prepared(rows, columns, label, keys)
+    sizes = ready.groupBy("g").agg(F.count("*").alias("n"), F.first("center").alias("center"), F.first("scale").alias("scale"))
+    # only groups of more than LOCAL_ROWS rows are listed
+    big = {r["g"]: (r["center"], r["scale"]) for r in sizes.filter(F.col("n") > LOCAL_ROWS).collect()}
+    tops = _grow_tops(s, ready, width, sorted(big)) if big else {}
+    for g, (center, scale) in big.items():
+        for top in tops[g].values():
+            top.value = center + scale / UNITS * top.value
+    dealt = _dealt(s, ready, tops, width)
+    pieces = dealt.groupBy("g", "tree", "node").applyInArrow(_grow_pieces(s, width, frozenset(big)), _PIECE)
+    names = ready.select(GROUP).distinct()
+    return Forest(s, tuple(columns), tops, reliable(pieces), reliable(names))
+
+
+# --- the model --------------------------------------------------------------
+
+_IN_BAG = "id long, member int, total double"
+
+
+def _predict_pieces(s: ExtraTrees, width: int):
+    """Sums of the trees' values per row and member; pieces stand before the rows that fall into them.
+
+    Memory holds one piece and one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, piece, root = None, {}, ROOT
+        for b in batches:
+            keys = [b.column(c).to_numpy() for c in ("g", "tree", "node", "salt")]
+            for begin, end in runs(keys, b.num_rows):
+                part, key = b.slice(begin, end - begin), tuple(int(k[begin]) for k in keys)
+                if key != held:
+                    held, piece, root = key, {}, key[2]
+                    if part.column("trees")[0].is_valid:
+                        p = part.slice(0, 1)
+                        tree, node, feature, threshold, value = (np.array(p.column(c)[0].values) for c in ("trees", "nodes", "features", "thresholds", "leaves"))
+                        piece = {int(t): Nodes(*(v[tree == t] for v in (node, feature, threshold, value))) for t in np.unique(tree)}
+                        part = part.slice(1)
+                if not part.num_rows or not piece:
+                    continue
+                x, ids = matrix(part.column("x"), width), part.column("id").to_numpy()
+                members: dict = {}
+                for t, nodes in piece.items():
+                    member = t // s.share_weights
+                    members[member] = members.get(member, 0.0) + nodes.value[nodes.places(x, root)]
+                for member, total in members.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), member, np.int32)), pa.array(total)], ["id", "member", "total"])
+
+    return run
+
+
+def _predict_tops(s: ExtraTrees, tops: Tops, width: int):
+    """Values of rows that end in a leaf of a top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            for group, tree, at, _, place in _each_tree(b, s, tops, width):
+                leaf = np.flatnonzero(place >= 0)
+                if len(leaf):
+                    member = pa.array(np.full(len(leaf), tree // s.share_weights, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[leaf]]), member, pa.array(tops[group][tree].value[place[leaf]])], ["id", "member", "total"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees of every group: the tops of large groups here, everything below them as rows of ``pieces``."""
+
+    settings: ExtraTrees
+    columns: tuple[str, ...]
+    tops: Tops
+    pieces: DataFrame
+    names: DataFrame
+
+    def groups(self) -> DataFrame:
+        return self.names
+
+    def members(self, rows: DataFrame, row_id: str) -> DataFrame:
+        """(id, member, prediction): mean over the trees that share a bootstrap, for rows of known groups.
+
+        Rows are dealt by the piece they fall into; a piece that many rows meet is dealt several times, LOCAL_ROWS rows each.
+        """
+        s, width = self.settings, len(self.columns)
+        x = with_vector(rows, self.columns, F.xxhash64(F.col(GROUP)).alias("g"), F.col(row_id).cast("long").alias("id"))
+        x = reliable(x.filter("NOT exists(x, c -> c IS NULL OR isnan(c))"))
+        counts = x.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / LOCAL_ROWS).cast("int").alias("salts"))
+        salted = _dealt(s, x, self.tops, width)
+        salted = salted.join(counts, salted["g"] == counts["_g"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("_g", "salts")
+        pieces = self.pieces.drop(GROUP).join(counts, self.pieces["g"] == counts["_g"])
+        pieces = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("_g", "salts")
+        both = pieces.unionByName(salted, allowMissingColumns=True)
+        keys = ["g", "tree", "node", "salt"]
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = both.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("trees").isNull())
+        sums = both.mapInArrow(_predict_pieces(s, width), _IN_BAG)
+        if self.tops:
+            sums = sums.unionByName(x.filter(F.col("g").isin(list(self.tops))).mapInArrow(_predict_tops(s, self.tops, width), _IN_BAG))
+        # sums of whole billionths do not depend on their order
+        mean = F.sum(F.col("total").cast("decimal(38,9)")).cast("double") / F.lit(float(s.share_weights))
+        return sums.groupBy("id", "member").agg(mean.alias("prediction"))
+
+    def add(self, rows: DataFrame, out: str) -> DataFrame:
+        """Rows with the mean over all trees as ``out``, NULL for groups without trees or rows with missing features."""
+        numbered = reliable(rows.withColumn("_row_id", F.monotonically_increasing_id()))
+        each = self.members(numbered, "_row_id")
+        share = F.lit(self.settings.share_weights / self.settings.trees)
+        total = each.groupBy(F.col("id").alias("_id")).agg((F.sum(F.col("prediction").cast("decimal(38,9)")).cast("double") * share).alias(out))
+        return numbered.join(total, numbered["_row_id"] == total["_id"], "left").drop("_row_id", "_id")
+
+    def importance(self) -> list[float]:
+        """Share of the splits that use each feature, over all groups."""
+        used = self.pieces.select(F.explode("features").alias("f")).filter("f >= 0").groupBy("f").count().collect()
+        out = np.zeros(len(self.columns))
+        for r in used:
+            out[r["f"]] += r["count"]
+        for trees in self.tops.values():
+            for top in trees.values():
+                out += np.bincount(top.feature[top.feature >= 0], minlength=len(out))
+        return (out / max(out.sum(), 1.0)).tolist()
+
+    def save(self, path: str) -> None:
+        """The pieces and names as Parquet, the settings and tops as JSON rows."""
+        spark = self.pieces.sparkSession
+        self.pieces.write.mode("overwrite").parquet(f"{path}/pieces")
+        self.names.write.mode("overwrite").parquet(f"{path}/names")
+        tops = [
+            (g, t, top.node.tolist(), top.feature.tolist(), top.threshold.tolist(), top.value.tolist()) for g, trees in self.tops.items() for t, top in trees.items()
+        ]
+        kinds = "g long, tree int, node array<long>, feature array<long>, threshold array<double>, value array<double>"
+        spark.createDataFrame(tops, kinds).write.mode("overwrite").parquet(f"{path}/tops")
+        spark.createDataFrame([(json.dumps({"settings": asdict(self.settings), "columns": self.columns}),)], "value string").write.mode("overwrite").text(f"{path}/settings")
+
+    @staticmethod
+    def load(spark, path: str) -> Forest:
+        meta = json.loads(spark.read.text(f"{path}/settings").first()["value"])
+        tops: Tops = {}
+        for r in spark.read.parquet(f"{path}/tops").collect():
+            arrays = (np.array(r["node"], np.int64), np.array(r["feature"], np.int64), np.array(r["threshold"], float), np.array(r["value"], float))
+            tops.setdefault(r["g"], {})[r["tree"]] = Nodes(*arrays)
+        return Forest(ExtraTrees(**meta["settings"]), tuple(meta["columns"]), tops, spark.read.parquet(f"{path}/pieces"), spark.read.parquet(f"{path}/names"))
