@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from checks.data import BUCKETS_SQL, MONTHLY_SQL, SITES_SQL, buckets, lat_sql, lon_sql, monthly, placed, sites, with_sql
 from checks.spec import Check
 from isohyet.checkpoint import ensure_checkpoint_dir
+from checks.models import TREND_BODY
 from isohyet.models import panel
+from isohyet.models.linear import Linear
 from isohyet.operators import features
 from isohyet.series import KEY
 from isohyet.sources import readers
 
-# small ensembles keep the check short; the library defaults are larger
-SMALL = panel.Sizes(10, 5, 10, 4)
-
 
 def _monthly_json(spark, sf):
     """Service responses as JSON text, one per nation and half-decade, with annual entries."""
@@ -79,7 +78,7 @@ def _places(spark, sf):
 def _panel_models(spark, sf):
     m = placed(monthly(spark, sf))
     rows = features.panel_features(m).withColumnRenamed("value", "target")
-    return panel.train_panel(rows, SMALL)[0]
+    return panel.train_panel(rows)[0]
 
 
 def _predict_panel(spark, sf):
@@ -88,25 +87,50 @@ def _predict_panel(spark, sf):
 
 
 def _saved_models(spark, sf):
-    """Every series predicted by the linear models as fitted and as loaded again: whether both agree."""
+    """Every series predicted by all panel models as fitted and as loaded again: whether they agree."""
     m = placed(monthly(spark, sf))
-    rows = features.panel_features(m).withColumnRenamed("value", "target").dropna()
-    fitted = panel.fit_ensemble(rows, features.PANEL_COLUMNS, {"linear": panel.regressors()["linear"]})
+    fitted = _panel_models(spark, sf)
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
     panel.save_models(fitted, spark, path, features.PANEL_COLUMNS)
     loaded, columns = panel.load_models(spark, path)
     x = features.panel_predict_features(m, 4)
-    a = panel.apply_models(fitted, x, KEY, features.PANEL_COLUMNS).withColumnRenamed("p_linear", "before")
-    b = panel.apply_models(loaded, x, KEY, columns).withColumnRenamed("p_linear", "after")
-    return a.join(b.select(*KEY, "after"), KEY, "full").select(*KEY, F.coalesce(F.col("before") == F.col("after"), F.col("status") == "no recent values").alias("same"))
+    a = panel.apply_models(fitted, x, KEY, features.PANEL_COLUMNS)
+    b = panel.apply_models(loaded, x, KEY, columns).select(*KEY, *[F.col(f"p_{n}").alias(f"q_{n}") for n in loaded])
+    same = [F.coalesce(F.col(f"p_{n}") == F.col(f"q_{n}"), F.col("status") == "no recent values") for n in fitted]
+    return a.join(b, KEY, "full").select(*KEY, F.least(*[s.cast("int") for s in same]).cast("boolean").alias("same"))
+
+
+def _linear_models(spark, sf):
+    """Weights of the panel features in the line of each variable."""
+    rows = features.panel_features(placed(monthly(spark, sf))).withColumnRenamed("value", "target").dropna()
+    table = Linear().fit_groups(rows, features.PANEL_COLUMNS).table
+    names = F.array(*[F.lit(c) for c in features.PANEL_COLUMNS])
+    each = F.inline(F.arrays_zip(names.alias("feature"), F.col("weights").alias("weight")))
+    return table.select("variable", "n", "intercept", each)
+
+
+_X = features.PANEL_COLUMNS
+_GRAM = ", ".join("[" + ", ".join(f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))" for b in [*_X, "value"]) + "]" for a in _X)
+# elimination without pivots: the matrix of correlations is positive definite
+LINEAR_SQL = with_sql(f"RECURSIVE {MONTHLY_SQL.strip()}", body=f"""
+, x AS (SELECT * FROM ({TREND_BODY}) WHERE t >= 12 AND value + {' + '.join(_X)} IS NOT NULL),
+stats AS (SELECT variable, count(*) AS n, avg(value) AS my, stddev_pop(value) AS sy, [{', '.join(f'avg({c})' for c in _X)}] AS mx,
+  [{', '.join(f'stddev_pop({c})' for c in _X)}] AS sx, [{_GRAM}] AS m FROM x GROUP BY variable),
+steps AS (
+  SELECT variable, 0 AS k, m FROM stats
+  UNION ALL
+  SELECT variable, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM steps WHERE k < {len(_X)}),
+done AS (SELECT s.*, list_transform(steps.m, lambda r, i: r[{len(_X) + 1}] * s.sy / s.sx[i]) AS w FROM steps JOIN stats s USING (variable) WHERE k = {len(_X)})
+SELECT variable, n, my - list_sum(list_transform(w, lambda v, i: v * mx[i])) AS intercept, unnest([{', '.join(f"'{c}'" for c in _X)}]) AS feature, unnest(w) AS weight FROM done""")
 
 
 def _train_panel(spark, sf):
     """Scores per variable on training and test rows, computed from the predictions."""
     m = placed(monthly(spark, sf))
     rows = features.panel_features(m).withColumnRenamed("value", "target").dropna()
-    models, _ = panel.train_panel(rows, SMALL)
+    models, _ = panel.train_panel(rows)
     train, test = panel.hash_split(rows)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     wide = panel.apply_models(models, both, ["part", "variable", "target"])
@@ -116,15 +140,12 @@ def _train_panel(spark, sf):
 
 
 def _tune(spark, sf):
-    """The best model of each variable, judged per series."""
+    """The best candidate of each variable over the whole grid, its score and its fit per series."""
     rows = features.panel_features(placed(monthly(spark, sf))).withColumnRenamed("value", "target").dropna()
-    out = None
-    for v in panel.variables_of(rows):
-        own = rows.filter(F.col("variable") == v)
-        found = panel.tune(own, "random_forest", features.PANEL_COLUMNS, {"numTrees": [2, 4], "maxDepth": [2, 4]})
-        scored = found.bestModel.transform(own).select(*KEY, "prediction", "target")
-        out = scored if out is None else out.unionByName(scored)
-    return out.groupBy(*KEY).agg(F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
+    found = panel.tune(rows, "random_forest", features.PANEL_COLUMNS)
+    score = found.scores.select("variable", "candidate", F.col("mae").alias("cv_mae"))
+    fit = found.predict(rows).groupBy(*KEY, "candidate").agg(F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
+    return fit.join(score, ["variable", "candidate"])
 
 
 CHECKS = [
@@ -153,21 +174,26 @@ SELECT s_name AS display_name, CAST(printf('%.2f', lat) AS DOUBLE) AS lat, CAST(
     ),
     Check(
         "saved_models", _saved_models, "location_id:i variable:s same:b",
-        with_sql(MONTHLY_SQL, body="SELECT DISTINCT location_id, variable, true AS same FROM series"),
+        with_sql(MONTHLY_SQL, body="SELECT DISTINCT location_id, variable, true AS same FROM series"), heavy=True,
+    ),
+    Check("linear_models", _linear_models, "variable:s n:i intercept:d feature:s weight:d", LINEAR_SQL),
+    Check("train_panel", _train_panel, "part:s variable:s model:s r2:d rows:i", heavy=True),
+    Check("predict_panel", _predict_panel, "location_id:i variable:s ensemble_prediction:d prediction_std:d prediction_confidence:d status:s", heavy=True),
+    Check(
+        "train_forecast_ensemble", lambda s, d: panel.train_forecast_ensemble(placed(buckets(s, d)), 4),
+        "location_id:i variable:s prediction:d confidence:d prediction_std:d best_model:s accuracy:d validation_mae:d validation_r2:d status:s", heavy=True,
     ),
-    Check("train_panel", _train_panel, "part:s variable:s model:s r2:d rows:i"),
-    Check("predict_panel", _predict_panel, "location_id:i variable:s ensemble_prediction:d prediction_std:d prediction_confidence:d status:s"),
     Check(
-        "train_forecast_ensemble", lambda s, d: panel.train_forecast_ensemble(placed(buckets(s, d)), 4, SMALL),
-        "location_id:i variable:s prediction:d confidence:d prediction_std:d best_model:s accuracy:d validation_mae:d validation_r2:d status:s",
+        "trend_direction_models", lambda s, d: panel.trend_direction_models(placed(buckets(s, d)))[0],
+        "location_id:i variable:s ensemble_magnitude:d ensemble_direction:s ensemble_confidence:d best_model:s status:s", heavy=True,
     ),
     Check(
-        "trend_direction_models", lambda s, d: panel.trend_direction_models(placed(buckets(s, d)), SMALL)[0],
-        "location_id:i variable:s ensemble_magnitude:d ensemble_direction:s ensemble_confidence:d best_model:s status:s",
+        "project_models", lambda s, d: panel.project_models(placed(buckets(s, d)), 60),
+        "location_id:i variable:s step:i ensemble_projection:d projection_uncertainty:d status:s", heavy=True,
     ),
     Check(
-        "project_models", lambda s, d: panel.project_models(placed(buckets(s, d)), 60, SMALL),
-        "location_id:i variable:s step:i ensemble_projection:d projection_uncertainty:d status:s",
+        "tree_intervals", lambda s, d: panel.tree_intervals(placed(buckets(s, d))),
+        "location_id:i variable:s lead:i status:s lower_95:d lower_80:d upper_80:d upper_95:d", heavy=True,
     ),
-    Check("tune", _tune, "location_id:i variable:s mae:d rows:i"),
+    Check("tune", _tune, "location_id:i variable:s candidate:i cv_mae:d mae:d rows:i", heavy=True),
 ]

@@ -19,6 +19,8 @@ class Check:
     run: Callable[[SparkSession, str], DataFrame]
     columns: str
     sql: str | None = None
+    # takes minutes whatever the data; its parts have unit tests at small sizes
+    heavy: bool = False
 
     @property
     def typed(self) -> list[tuple[str, str]]:

@@ -1,28 +1,25 @@
-"""MLlib ensembles: one model per variable, over all series of that variable.
+"""Ensembles: one model per variable, over all series of that variable.
 
 Location is part of the features, so a pooled model serves every series of a variable and
-the training data stays distributed.  The distinct variables are few (a handful of measured
-quantities) and the only thing listed on the driver.  An ensemble is {model name: {variable: fitted model}}.  Extremely randomised trees and XGBoost
-have no MLlib counterpart: a second forest with another seed and feature subset
-stands in for the former, gradient-boosted trees for the latter.
+the training data stays distributed.  All kinds of models fit all variables in one pass (`models.linear`, `models.trees`); nothing is
+listed or looped over on the driver.  An ensemble is {model name: fitted model}.  XGBoost has no counterpart
+besides boosted trees.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import quote
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.checkpoint import reliable
 from isohyet.functions.numeric import clamp, ratio
+from isohyet.models.linear import Linear, LinearModels
+from isohyet.models.trees import Forest, boosted_trees, extra_trees, random_forest
 from isohyet.operators.features import FORECAST_COLUMNS, PANEL_COLUMNS, TREND_COLUMNS
 from isohyet.operators.features import forecast_features, future_features, target_features, trend_features
 from isohyet.operators.forecast import agreement_confidence, trend_adjusted_forecast
@@ -33,50 +30,41 @@ SEED = 42
 VERSION = "2.0"
 
 
+# fits that run at the same time; each is a chain of small jobs
+FITS = 4
+# trees that grow until their nodes are pure; node numbers have 62 bits
+DEEPEST = 60
+
+
 @dataclass(frozen=True)
 class Sizes:
-    """Tree counts and depths; the defaults suit pooled data, see README."""
+    """Tree counts and depths."""
 
-    forest_trees: int = 200
-    forest_depth: int = 12
-    boost_rounds: int = 100
-    boost_depth: int = 5
+    forest_trees: int
+    forest_depth: int
+    boost_rounds: int
+    boost_depth: int
 
 
-def _pipeline(columns: Sequence[str], regressor) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(columns), outputCol="raw_features", handleInvalid="keep"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            regressor,
-        ]
-    )
+FORECAST_SIZES = Sizes(500, 25, 400, 8)
+PANEL_SIZES = Sizes(200, DEEPEST, 200, 3)
+DIRECTION_SIZES = Sizes(100, DEEPEST, 100, 3)
+PROJECTION_SIZES = Sizes(200, DEEPEST, 200, 3)
 
 
-def regressors(sizes: Sizes = Sizes(), label: str = "target", extra_forest: bool = False) -> dict:
-    common = {"featuresCol": "features", "labelCol": label}
-    out = {
-        "random_forest": RandomForestRegressor(
-            numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth, seed=SEED, **common
-        ),
-        "gradient_boost": GBTRegressor(
-            maxIter=sizes.boost_rounds, maxDepth=sizes.boost_depth, seed=SEED, stepSize=0.1, **common
-        ),
-    }
+def regressors(sizes: Sizes = PANEL_SIZES, extra_forest: bool = False) -> dict:
+    """Kinds of models by name."""
     if extra_forest:
-        out["random_forest"] = out["random_forest"].setFeatureSubsetStrategy("sqrt")
-        out["gradient_boost"] = out["gradient_boost"].setStepSize(0.02).setSubsamplingRate(0.8)
-        out["extra_forest"] = RandomForestRegressor(
-            numTrees=sizes.forest_trees,
-            maxDepth=sizes.forest_depth,
-            seed=SEED + 1,
-            featureSubsetStrategy="sqrt",
-            subsamplingRate=0.7,
-            **common,
-        )
-    else:
-        out["linear"] = LinearRegression(regParam=0.0, **common)
-    return out
+        return {
+            "random_forest": random_forest(sizes.forest_trees, sizes.forest_depth, None, SEED),
+            "gradient_boost": boosted_trees(sizes.boost_rounds, sizes.boost_depth, 0.02, SEED, subsample=0.8, least=3),
+            "extra_forest": extra_trees(sizes.forest_trees, sizes.forest_depth, SEED),
+        }
+    return {
+        "random_forest": random_forest(sizes.forest_trees, sizes.forest_depth, 0, SEED),
+        "gradient_boost": boosted_trees(sizes.boost_rounds, sizes.boost_depth, 0.1, SEED),
+        "linear": Linear(),
+    }
 
 
 def hash_split(df: DataFrame, test_share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -85,17 +73,14 @@ def hash_split(df: DataFrame, test_share: float = 0.2, seed: int = SEED) -> tupl
     return df.filter(~side), df.filter(side)
 
 
-Ensemble = dict[str, dict[str, PipelineModel]]
-
-
-def variables_of(rows: DataFrame) -> list[str]:
-    return sorted(r["variable"] for r in rows.select("variable").filter("variable IS NOT NULL").distinct().collect())
+Ensemble = dict[str, Forest | LinearModels]
 
 
 def fit_ensemble(rows: DataFrame, columns: Sequence[str], kinds: dict) -> Ensemble:
     """Every kind of model fitted to each variable's rows by itself; rows have no missing features or targets."""
-    found = variables_of(rows)
-    return {n: {v: _pipeline(columns, kind).fit(rows.filter(F.col("variable") == v)) for v in found} for n, kind in kinds.items()}
+    with ThreadPoolExecutor(FITS) as pool:
+        fitted = pool.map(lambda kind: kind.fit_groups(rows, columns), kinds.values())
+        return dict(zip(kinds, fitted, strict=True))
 
 
 def complete_features(features: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,24 +99,21 @@ def complete_features(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def apply_models(models: Ensemble, features: DataFrame, keep: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """One column per model next to ``keep`` and ``status``, one row per input row; no join between model outputs.
+    """One column per model next to ``keep`` and ``status``, one row per input row.
 
     Each row meets the models of its own variable.  A variable that was not trained gives NULL predictions and
     the status ``no model``.
     """
-    trained = sorted(set.intersection(*[set(m) for m in models.values()])) if models else []
-    names = [f"p_{n}" for n in models]
-    rest = features.filter(F.col("variable").isNull() | ~F.col("variable").isin(trained)) if trained else features
-    out = rest.select(*keep, F.lit("no model").alias("status"), *[F.lit(None).cast("double").alias(p) for p in names])
-    for v in trained:
-        used = columns or next(iter(models.values()))[v].stages[0].getInputCols()
-        part = complete_features(features.filter(F.col("variable") == v), used)
-        for name, by_variable in models.items():
-            scored = by_variable[v].transform(part)
-            known = F.when(F.col("status") != "no recent values", F.col("prediction"))
-            part = scored.withColumn(f"p_{name}", known).drop("prediction", "raw_features", "features")
-        out = out.unionByName(part.select(*keep, "status", *names))
-    return out
+    if not models:
+        return features.select(*keep, F.lit("no model").alias("status"))
+    rows = complete_features(features, list(columns or next(iter(models.values())).columns))
+    for name, model in models.items():
+        rows = model.add(rows, f"p_{name}")
+        known = model.groups().select(F.col("variable").alias("_known"))
+        rows = rows.join(known, rows["variable"] == known["_known"], "left")
+        rows = rows.withColumn("status", F.when(F.col("_known").isNotNull(), F.col("status")).otherwise("no model")).drop("_known")
+    known = ~F.col("status").isin("no model", "no recent values")
+    return rows.select(*keep, "status", *[F.when(known, F.col(f"p_{n}")).alias(f"p_{n}") for n in models])
 
 
 def r2_by(scored: DataFrame, names: Sequence[str], keys: Sequence[str], label: str = "target") -> DataFrame:
@@ -148,7 +130,7 @@ def _mean_scores(table: DataFrame, names: Sequence[str]) -> dict[str, float]:
     return {n: row[n] if row[n] is not None else 0.0 for n in names}
 
 
-def train_panel(panel: DataFrame, sizes: Sizes = Sizes(), columns: Sequence[str] = PANEL_COLUMNS):
+def train_panel(panel: DataFrame, sizes: Sizes = PANEL_SIZES, columns: Sequence[str] = PANEL_COLUMNS):
     """Fit the panel models per variable; returns (ensemble, {name: (train R², test R²)}), the scores as means over variables."""
     rows = reliable(panel.dropna(subset=[*columns, "target"]))
     train, test = hash_split(rows)
@@ -178,20 +160,14 @@ def predict_panel(models: Ensemble, features: DataFrame) -> DataFrame:
     )
 
 
-def _folder(path: str, variable: str, name: str) -> str:
-    return f"{path}/variable={quote(variable, safe='')}/{name}"
-
-
 def save_models(models: Ensemble, spark: SparkSession, path: str, columns: Sequence[str]) -> None:
-    """One folder per variable with one per model, and metadata that names both."""
-    for name, by_variable in models.items():
-        for variable, model in by_variable.items():
-            model.write().overwrite().save(_folder(path, variable, name))
-    trained = sorted({v for by_variable in models.values() for v in by_variable})
+    """One folder per model, with all variables, and metadata that names them."""
+    for name, model in models.items():
+        model.save(f"{path}/{name}")
     meta = spark.range(1).select(
         F.current_timestamp().alias("trained_at"),
         F.array(*[F.lit(n) for n in models]).alias("model_names"),
-        F.array(*[F.lit(v) for v in trained]).alias("variables"),
+        F.array(*[F.lit(type(m).__name__) for m in models.values()]).alias("model_kinds"),
         F.array(*[F.lit(c) for c in columns]).alias("feature_columns"),
         F.lit(VERSION).alias("version"),
     )
@@ -200,14 +176,15 @@ def save_models(models: Ensemble, spark: SparkSession, path: str, columns: Seque
 
 def load_models(spark: SparkSession, path: str) -> tuple[Ensemble, list[str]]:
     meta = spark.read.json(f"{path}/metadata").head()
-    models = {n: {v: PipelineModel.load(_folder(path, v, n)) for v in meta["variables"]} for n in meta["model_names"]}
-    return models, list(meta["feature_columns"])
+    kinds = {k.__name__: k for k in (Forest, LinearModels)}
+    named = zip(meta["model_names"], meta["model_kinds"], strict=True)
+    return {n: kinds[kind].load(spark, f"{path}/{n}") for n, kind in named}, list(meta["feature_columns"])
 
 
 # --- forecasting ----------------------------------------------------------
 
 
-def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = Sizes(), holdout: int = 12) -> DataFrame:
+def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = FORECAST_SIZES, holdout: int = 12) -> DataFrame:
     """Next-period forecast per series with validated model weights.
 
     Models see all series except their last ``holdout`` periods; those give
@@ -271,7 +248,7 @@ def _direction(x: Column) -> Column:
     return F.when(x > 0.01, "increasing").when(x < -0.01, "decreasing").otherwise("stable")
 
 
-def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3), folds: int = 3):
+def trend_direction_models(series: DataFrame, sizes: Sizes = DIRECTION_SIZES, folds: int = 3):
     """Predict the local rate of change; returns (per-series trend, model scores).
 
     Scores come from expanding windows over time: fold k trains on the first k
@@ -292,13 +269,8 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
     rows = reliable(rows)
     whole = rows.filter("_whole")
     kinds = {
-        "random_forest": RandomForestRegressor(
-            numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth, seed=SEED, labelCol="target"
-        ),
-        "gradient_boost": GBTRegressor(
-            maxIter=sizes.boost_rounds, maxDepth=sizes.boost_depth, seed=SEED, labelCol="target"
-        ),
-        "elastic_net": LinearRegression(regParam=0.1, elasticNetParam=0.5, labelCol="target"),
+        **{n: k for n, k in regressors(sizes).items() if n != "linear"},
+        "elastic_net": Linear(0.1, 0.5),
     }
     names = list(kinds)
     judged = None
@@ -309,11 +281,7 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
         judged = part if judged is None else judged.unionByName(part)
     judged = reliable(judged)
     models = fit_ensemble(whole, TREND_COLUMNS, kinds)
-    importance = {}
-    for name, by_variable in models.items():
-        fitted = [m.stages[-1] for m in by_variable.values()]
-        weights = [f.featureImportances if hasattr(f, "featureImportances") else f.coefficients for f in fitted]
-        importance[name] = [sum(abs(float(w[i])) for w in weights) / len(weights) for i in range(len(TREND_COLUMNS))] if weights else []
+    importance = {n: m.importance() for n, m in models.items()}
     held = apply_models(models, rows.filter("_recent"), KEY, TREND_COLUMNS)
     means = held.groupBy(*KEY).agg(F.max("status").alias("status"), *[F.avg(f"p_{n}").alias(n) for n in names])
     own = r2_by(judged, names, KEY).withColumnsRenamed({n: f"r2_{n}" for n in names})
@@ -327,7 +295,7 @@ def trend_direction_models(series: DataFrame, sizes: Sizes = Sizes(100, 5, 50, 3
     return out, {"cv_r2": _mean_scores(r2_by(judged, names, ["variable", "fold"]), names), "importance": importance}
 
 
-def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = Sizes(200, 8, 50, 4)) -> DataFrame:
+def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = PROJECTION_SIZES) -> DataFrame:
     """Mean and spread over models of the value ``step + 1`` periods after the end.
 
     Features at t are trained on the value twelve periods later.  Every series has all its steps; ``status`` says
@@ -342,33 +310,86 @@ def project_models(series: DataFrame, horizon: int = 60, sizes: Sizes = Sizes(20
     return out.withColumn("projection_uncertainty", _std(members, F.col("ensemble_projection")))
 
 
-def tune(
-    rows: DataFrame, model_type: str, columns: Sequence[str] = FORECAST_COLUMNS, grid: dict | None = None
-) -> CrossValidatorModel | None:
-    """Three-fold grid search by mean absolute error over the rows of one variable; None for unknown models."""
-    # fixed values: search grids
-    grids = {
-        "random_forest": {"numTrees": [100, 150], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2]},
-        "gradient_boost": {"maxIter": [100, 150], "maxDepth": [5, 7, 10], "stepSize": [0.05, 0.1]},
-    }
-    kinds = {
-        "random_forest": RandomForestRegressor(labelCol="target", seed=SEED),
-        "gradient_boost": GBTRegressor(labelCol="target", seed=SEED),
-    }
-    if model_type not in kinds:
+# --- intervals of refitted trees --------------------------------------------
+
+
+def tree_intervals(series: DataFrame, horizon: int = 12, replicates: int = 100, trees: int = 10, depth: int = DEEPEST, seed: int = SEED) -> DataFrame:
+    """Intervals of extremely randomised trees refitted on redrawn rows, per coming period.
+
+    Rows are redrawn by hashed Poisson weights, ``trees`` trees for each of the replicates, and all replicates grow from one
+    written frame.  Features at t are trained on the value twelve periods later, as in `project_models`.
+    """
+    rows = trend_features(series).withColumn("target", F.lead("value", 12).over(in_time_order()))
+    rows = rows.dropna(subset=TREND_COLUMNS + ["target"])
+    model = extra_trees(replicates * trees, depth, seed, share_weights=trees).fit_groups(rows, TREND_COLUMNS)
+    future = complete_features(future_features(series, horizon), TREND_COLUMNS)
+    future = reliable(future.withColumn("_id", F.monotonically_increasing_id()))
+    each = model.members(future.filter("status <> 'no recent values'"), "_id")
+    shares = {"lower_95": 0.025, "lower_80": 0.1, "upper_80": 0.9, "upper_95": 0.975}
+    bounds = each.groupBy(F.col("id").alias("_row")).agg(F.percentile("prediction", F.array(*[F.lit(p) for p in shares.values()])).alias("_b"))
+    out = future.join(bounds, future["_id"] == bounds["_row"], "left")
+    return out.select(*KEY, (F.col("step") + 1).alias("lead"), "status", *[F.col("_b")[i].alias(n) for i, n in enumerate(shares)])
+
+
+# --- search -----------------------------------------------------------------
+
+# fixed values: search grids
+GRIDS = {
+    "random_forest": {"trees": [100, 150], "depth": [10, 15, 20], "least": [2, 5]},
+    "gradient_boost": {"trees": [100, 150], "depth": [5, 7, 10], "rate": [0.05, 0.1]},
+}
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """``scores``: variable, candidate, mae; ``best``: variable, candidate; models of each variable's best candidate."""
+
+    candidates: list[dict]
+    scores: DataFrame
+    best: DataFrame
+    models: dict[int, Forest]
+
+    def predict(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
+        """Rows with the prediction of their variable's best candidate."""
+        chosen = rows.join(self.best, "variable")
+        parts = [m.add(chosen.filter(F.col("candidate") == i), out) for i, m in self.models.items()]
+        total = parts[0]
+        for p in parts[1:]:
+            total = total.unionByName(p)
+        return total
+
+
+def tune(rows: DataFrame, model_type: str, columns: Sequence[str] = FORECAST_COLUMNS, grid: dict | None = None, folds: int = 3) -> Tuned | None:
+    """Grid search by mean absolute error over hashed folds, for every variable by itself; None for unknown models.
+
+    A candidate is fitted once: (variable, fold) is the group, and a row trains the models of the folds that it is not in.
+    """
+    makers = {"random_forest": lambda **k: random_forest(features=None, seed=SEED, **k), "gradient_boost": lambda **k: boosted_trees(seed=SEED, **k)}
+    if model_type not in makers:
         return None
-    kind = kinds[model_type]
-    builder = ParamGridBuilder()
-    for name, values in (grid or grids[model_type]).items():
-        builder = builder.addGrid(kind.getParam(name), values)
-    whole = rows.dropna(subset=[*columns, "target"])
-    folded = reliable(whole.withColumn("_fold", F.pmod(F.xxhash64(*KEY, "t"), F.lit(3)).cast("int")))
-    search = CrossValidator(
-        estimator=_pipeline(columns, kind),
-        estimatorParamMaps=builder.build(),
-        evaluator=RegressionEvaluator(labelCol="target", metricName="mae"),
-        numFolds=3,
-        foldCol="_fold",
-        seed=SEED,
-    )
-    return search.fit(folded)
+    chosen = grid or GRIDS[model_type]
+    candidates = [dict(zip(chosen, values, strict=True)) for values in itertools.product(*chosen.values())]
+    whole = rows.dropna(subset=[*columns, "target", "variable"])
+    whole = reliable(whole.withColumns({"_fold": F.pmod(F.xxhash64(*KEY, "t"), F.lit(folds)).cast("int"), "_variable": F.col("variable")}))
+    named = lambda fold: F.concat_ws("/", fold.cast("string"), F.col("_variable"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_out")
+    train = whole.select("*", others).filter("_out <> _fold").withColumn("variable", named(F.col("_out")))
+    train, held = reliable(train), whole.withColumn("variable", named(F.col("_fold")))
+
+    def judge(i: int) -> DataFrame:
+        scored = makers[model_type](**candidates[i]).fit_groups(train, columns).add(held, "_p")
+        error = scored.groupBy(F.col("_variable").alias("variable"), "_fold").agg(F.avg(F.abs(F.col("_p") - F.col("target"))).alias("mae"))
+        return reliable(error.groupBy("variable").agg(F.avg("mae").alias("mae")).withColumn("candidate", F.lit(i)))
+
+    with ThreadPoolExecutor(FITS) as pool:
+        judged = list(pool.map(judge, range(len(candidates))))
+    scores = judged[0]
+    for s in judged[1:]:
+        scores = scores.unionByName(s)
+    best = reliable(scores.groupBy("variable").agg(F.min_by("candidate", F.struct(F.bround("mae", 9), "candidate")).alias("candidate")))
+    used = sorted(r["candidate"] for r in best.select("candidate").distinct().collect())
+    models = {}
+    for i in used:
+        mine = whole.drop("_fold", "_variable").join(best.filter(F.col("candidate") == i).select("variable"), "variable", "left_semi")
+        models[i] = makers[model_type](**candidates[i]).fit_groups(mine, columns)
+    return Tuned(candidates, scores, best, models)

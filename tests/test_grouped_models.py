@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.models import extra_trees, linear
-from isohyet.models.extra_trees import ExtraTrees
+from isohyet.models import linear, trees
+from isohyet.models.trees import Trees
 
 COLUMNS = ["a", "b", "c", "flat"]
 
@@ -83,74 +83,94 @@ def brute_tree(s, g, tree, x, y, w, node=1):
     """One node at a time: {node: (feature, threshold, value)}."""
     n, total = int(w.sum()), int((w * y).sum())
     low, high = x.min(0), x.max(0)
-    cut, takes_part = extra_trees.thresholds(s, g, tree, np.array([node]), low[None], high[None])
+    cut, takes_part = trees.thresholds(s, g, tree, np.array([node]), low[None], high[None])
     best = None
     if y.min() < y.max() and n >= 2 and node < 1 << s.depth:
         for j in range(x.shape[1]):
-            left = x[:, j] <= cut[0, j]
-            if takes_part[0, j] and left.any() and not left.all():
-                a, b = w[left].sum(), w[~left].sum()
-                score = float((w * y)[left].sum()) ** 2 / a + float((w * y)[~left].sum()) ** 2 / b
-                if best is None or score > best[0]:
-                    best = (score, j, left)
+            for c in range(s.bins - 1) if s.bins else [cut[0, j]]:
+                left = x[:, j] <= c
+                if takes_part[0, j] and left.any() and not left.all():
+                    a, b = w[left].sum(), w[~left].sum()
+                    score = float((w * y)[left].sum()) ** 2 / a + float((w * y)[~left].sum()) ** 2 / b
+                    if best is None or score > best[0]:
+                        best = (score, j, left, float(c))
     if best is None:
         return {node: (-1, 0.0, total / n)}
-    _, j, left = best
-    out = {node: (j, float(cut[0, j]), total / n)}
+    _, j, left, c = best
+    out = {node: (j, c, total / n)}
     out |= brute_tree(s, g, tree, x[left], y[left], w[left], 2 * node)
     return out | brute_tree(s, g, tree, x[~left], y[~left], w[~left], 2 * node + 1)
 
 
+def leaf(nodes, row):
+    at = 1
+    while nodes[at][0] >= 0:
+        at = 2 * at + int(row[nodes[at][0]] > nodes[at][1])
+    return nodes[at][2]
+
+
 def brute_forest(spark, s, rows, data):
-    """Predictions {(variable, location_id, t): [value per tree]}."""
+    """Predictions {(variable, location_id, t): [value per tree]}; a boosted sum has its start as first value."""
     hashes = {(r["variable"], r["location_id"], r["t"]): (r["g"], r["h"]) for r in data.select("variable", "location_id", "t", F.xxhash64("variable").alias("g"), F.xxhash64("location_id", "t").alias("h")).collect()}
     out = {}
     for v in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == v), key=lambda r: hashes[r[:3]][1])
         x, t = np.array([r[3:7] for r in mine]), np.array([r[7] for r in mine])
+        if s.bins:
+            # an edge is the smallest value with at least its share of the rows at or below
+            edges = [sorted({float(np.sort(c)[max(math.ceil(i / s.bins * len(c)), 1) - 1]) for i in range(1, s.bins)}) for c in x.T]
+            x = np.array([[float(sum(e < a for e in edges[j])) for j, a in enumerate(row)] for row in x])
         center, scale = (t.max() + t.min()) / 2, (t.max() - t.min()) / 2
-        y = np.floor((t - center) / scale * extra_trees.UNITS + 0.5).astype(np.int64)
+        y = np.floor((t - center) / scale * trees.UNITS + 0.5).astype(np.int64)
         g, key = hashes[mine[0][:3]][0], np.array([hashes[r[:3]][1] for r in mine])
-        values = np.zeros((len(mine), s.trees))
+        f = np.full(len(mine), y.sum() / len(y)) if s.rate else np.zeros(len(mine))
+        values = [center + scale / trees.UNITS * f] if s.rate else []
         for tree in range(s.trees):
-            w = extra_trees.weights_of(s, g, tree, key)
-            nodes = brute_tree(s, g, tree, x[w > 0], y[w > 0], w[w > 0])
-            for i, row in enumerate(x):
-                at = 1
-                while nodes[at][0] >= 0:
-                    at = 2 * at + int(row[nodes[at][0]] > nodes[at][1])
-                values[i, tree] = center + scale / extra_trees.UNITS * nodes[at][2]
-        out |= {r[:3]: values[i] for i, r in enumerate(mine)}
+            w = trees.weights_of(s, g, tree, key)
+            nodes = brute_tree(s, g, tree, x[w > 0], np.rint(y - f).astype(np.int64)[w > 0], w[w > 0])
+            found = np.array([leaf(nodes, row) for row in x])
+            if s.rate:
+                f = f + s.rate * found
+            values.append(scale / trees.UNITS * (s.rate * found) if s.rate else center + scale / trees.UNITS * found)
+        out |= {r[:3]: np.array([c[i] for c in values]) for i, r in enumerate(mine)}
     return out
 
 
-@pytest.mark.parametrize("local", [1 << 15, 25])
-def test_forest_equals_one_node_at_a_time(spark, monkeypatch, tmp_path, local):
-    monkeypatch.setattr(extra_trees, "LOCAL_ROWS", local)
-    monkeypatch.setattr(extra_trees, "BLOCK", 3)
-    s = ExtraTrees(trees=7, depth=6, seed=5)
+KINDS = {
+    "extra": Trees(trees=7, depth=6, seed=5),
+    "forest": Trees(trees=7, depth=6, features=0, seed=5, bins=8),
+    "boosted": Trees(trees=5, depth=3, features=0, bootstrap=False, seed=5, bins=8, rate=0.3, subsample=0.8),
+}
+
+
+@pytest.mark.parametrize("local", [1 << 15, 40])
+@pytest.mark.parametrize("kind", KINDS)
+def test_trees_equal_one_node_at_a_time(spark, monkeypatch, tmp_path, kind, local):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", local)
+    monkeypatch.setattr(trees, "BLOCK", 3)
+    s = KINDS[kind]
     rows = rows_of(4)
     data = frame(spark, rows)
     forest = s.fit_groups(data, COLUMNS)
-    assert bool(forest.tops) == (local == 25)
+    assert bool(forest.tops) == (local == 40)
     want = brute_forest(spark, s, rows, data)
     forest.save(str(tmp_path / "f"))
-    for model in (forest, extra_trees.Forest.load(spark, str(tmp_path / "f"))):
+    for model in (forest, trees.Forest.load(spark, str(tmp_path / "f"))):
         got = {tuple(r)[:3]: r["p"] for r in model.add(data, "p").select("variable", "location_id", "t", "p").collect()}
         assert set(got) == set(want)
-        assert max(abs(got[k] - want[k].mean()) for k in want) < 1e-7
-    numbered = data.withColumn("id", F.col("location_id") * 1000 + F.col("t"))
-    each = forest.members(numbered, "id").collect()
-    assert len(each) == 7 * len(rows)
-    for r in each:
-        key = (f"v{r['id'] // 1000}", r["id"] // 1000, r["id"] % 1000)
-        assert abs(r["prediction"] - want[key][r["member"]]) < 1e-7
+        assert max(abs(got[k] - (want[k].sum() if s.rate else want[k].mean())) for k in want) < 1e-7
+    if not s.rate:
+        each = forest.members(data.withColumn("id", F.col("location_id") * 1000 + F.col("t")), "id").collect()
+        assert len(each) == 7 * len(rows)
+        for r in each:
+            key = (f"v{r['id'] // 1000}", r["id"] // 1000, r["id"] % 1000)
+            assert abs(r["prediction"] - want[key][r["member"]]) < 1e-7
 
 
 def test_forest_learns_and_leaves_gaps(spark):
     rows = rows_of(6, 2, 300)
     data = frame(spark, rows)
-    forest = ExtraTrees(trees=40, depth=25).fit_groups(data.filter("t % 5 > 0").unionByName(data.limit(1).withColumn("a", F.lit(None).cast("double"))), COLUMNS)
+    forest = Trees(trees=40, depth=25).fit_groups(data.filter("t % 5 > 0").unionByName(data.limit(1).withColumn("a", F.lit(None).cast("double"))), COLUMNS)
     held = data.filter("t % 5 = 0")
     odd = held.limit(1).withColumn("variable", F.lit("new")).unionByName(held.limit(1).withColumn("a", F.lit(None).cast("double")))
     out = forest.add(held.unionByName(odd), "p").collect()
@@ -163,7 +183,7 @@ def test_forest_learns_and_leaves_gaps(spark):
 
 
 def test_bootstrap_weights_are_poisson(spark):
-    w = extra_trees.weights_of(ExtraTrees(), 1, 3, np.arange(200_000))
+    w = trees.weights_of(Trees(), 1, 3, np.arange(200_000))
     for k in range(4):
         assert (w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.005)
-    assert (extra_trees.weights_of(ExtraTrees(share_weights=5), 1, 3, np.arange(100)) == extra_trees.weights_of(ExtraTrees(share_weights=5), 1, 0, np.arange(100))).all()
+    assert (trees.weights_of(Trees(share_weights=5), 1, 3, np.arange(100)) == trees.weights_of(Trees(share_weights=5), 1, 0, np.arange(100))).all()

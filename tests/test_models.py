@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isohyet.models import panel
 from isohyet.operators import features
-from isohyet.series import KEY
+from isohyet.series import KEY, in_time_order
 from tests.conftest import rows
 
 SMALL = panel.Sizes(5, 4, 5, 3)
@@ -86,11 +87,44 @@ def test_projection(series):
 
 def test_tune(series):
     rows_ = features.panel_features(series).withColumnRenamed("value", "target")
-    best = panel.tune(rows_, "random_forest", features.PANEL_COLUMNS, {"numTrees": [2, 4], "maxDepth": [2, 4]})
-    assert len(best.avgMetrics) == 4
+    both = rows_.unionByName(rows_.withColumn("variable", F.lit("other")))
+    found = panel.tune(both, "random_forest", features.PANEL_COLUMNS, {"trees": [2, 4], "depth": [1, 4]})
+    assert len(found.candidates) == 4 and found.scores.count() == 8
+    scores = {(r["variable"], r["candidate"]): r["mae"] for r in found.scores.collect()}
+    for r in found.best.collect():
+        assert scores[r["variable"], r["candidate"]] == min(scores[r["variable"], i] for i in range(4))
+        assert found.candidates[r["candidate"]]["depth"] == 4
+    whole = both.dropna()
+    assert found.predict(whole).filter("prediction IS NOT NULL").count() == whole.count()
+    boosted = panel.tune(rows_, "gradient_boost", features.PANEL_COLUMNS, {"trees": [2, 20], "depth": [2], "rate": [0.1]})
+    assert [boosted.candidates[r["candidate"]]["trees"] for r in boosted.best.collect()] == [20]
     assert panel.tune(rows_, "nothing") is None
 
 
+def test_tree_intervals_are_as_wide_as_with_redrawn_rows(make_series):
+    from isohyet.models import trees
+
+    rng = random.Random(5)
+    df = make_series({(1, "a"): [10 + 3 * math.sin(t / 2) + rng.gauss(0, 2) for t in range(120)]}).withColumns({"lat": F.lit(1.0), "lon": F.lit(2.0)})
+    got = rows(panel.tree_intervals(df, 4, 60, 5), "lead")
+    assert [r["lead"] for r in got] == [1, 2, 3, 4]
+    assert all(r["lower_95"] <= r["lower_80"] <= r["upper_80"] <= r["upper_95"] for r in got)
+    frame = features.trend_features(df).withColumn("target", F.lead("value", 12).over(in_time_order())).dropna().toPandas()
+    x, y = frame[features.TREND_COLUMNS].to_numpy(float), np.round(frame["target"].to_numpy() * 1e6).astype(np.int64)
+    future = features.future_features(df, 4).orderBy("step").toPandas()[features.TREND_COLUMNS].to_numpy(float)
+    draws, s = np.random.default_rng(1), trees.extra_trees(300, 60)
+    found = np.zeros((60, 4))
+    for b in range(60):
+        w = np.bincount(draws.integers(0, len(y), len(y)), minlength=len(y))
+        for tree in range(5 * b, 5 * b + 5):
+            part = trees.grow_subtree(s, 7, tree, 1, x[w > 0], y[w > 0], w[w > 0])
+            nodes = trees.Nodes(part[0], part[1], part[2], part[4] / part[3] / 1e6)
+            found[b] += nodes.value[nodes.places(future, 1)] / 5
+    width = np.percentile(found, 90, axis=0) - np.percentile(found, 10, axis=0)
+    mine = np.array([r["upper_80"] - r["lower_80"] for r in got])
+    assert 0.6 < mine.mean() / width.mean() < 1.6
+
+
 def test_feature_counts():
     assert (len(features.FORECAST_COLUMNS), len(features.TREND_COLUMNS), len(features.PANEL_COLUMNS)) == (30, 15, 11)
 
@@ -110,7 +144,7 @@ def two_scales(make_series):
 def test_each_variable_has_its_own_model(spark, two_scales, tmp_path):
     rows_ = features.panel_features(two_scales).withColumnRenamed("value", "target")
     models, scores = panel.train_panel(rows_, SMALL)
-    assert all(set(m) == {"temperature", "precipitation"} for m in models.values())
+    assert all({r["variable"] for r in m.groups().collect()} == {"temperature", "precipitation"} for m in models.values())
     alone, _ = panel.train_panel(rows_.filter("variable = 'temperature'"), SMALL)
     x = features.panel_predict_features(two_scales, 6)
     both = rows(panel.predict_panel(models, x).filter("variable = 'temperature'"), *KEY)
