@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import hash_ranges
+from isohyet.llm.common import hash_ranges, materialised
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # words of a block of items; a larger benchmark makes more blocks, each read by all documents
@@ -252,8 +252,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(2, "spans", pa.array(spans, pa.list_(pa.int64())))
 
 
-def _cut(spans_of, text_at: int, chars_at: int | None, max_share: float, columns: int):
-    """Cuts the spans that spans_of(batch, row, text) gives with the text's number of words and their byte starts and ends."""
+def _cut(spans_of, again: bool, text_at: int, chars_at: int | None, max_share: float, columns: int):
+    """Cuts the spans that spans_of(batch, row, text) gives with the text's number of words and their byte starts and ends;
+    ``again`` until there are none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,13 +263,18 @@ def _cut(spans_of, text_at: int, chars_at: int | None, max_share: float, columns
             for i, t in enumerate(texts):
                 raw = None if t is None else t.encode()
                 n, spans, starts, ends = spans_of(b, i, raw)
-                keep.append(sum(e - s for s, e in spans) <= max_share * n)
-                if spans:
+                before, gone = n, 0
+                while spans:
                     pieces, at = [], 0
                     for s, e in spans:
                         pieces.append(raw[at : starts[s]])
-                        at = ends[e - 1]
-                    texts[i] = b"".join([*pieces, raw[at:]]).decode()
+                        at, gone = ends[e - 1], gone + e - s
+                    raw = b"".join([*pieces, raw[at:]])
+                    # what a cut brings together may be a hit again
+                    n, spans, starts, ends = spans_of(b, i, raw) if again else (n, [], starts, ends)
+                keep.append(gone <= max_share * before)
+                if gone:
+                    texts[i] = raw.decode()
                     changed.append(i)
                     if chars:
                         chars[i] = len(texts[i])
@@ -300,17 +306,23 @@ def _marked(batch: pa.RecordBatch, row: int, raw: bytes | None):
 def remove_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_share: float = MAX_SHARE) -> DataFrame:
     """Documents without their hit spans; those with more than max_share of their words hit go as a whole.
 
-    All columns stay; n_chars follows the text where there is such a column.  With several blocks of items the spans
-    of all of them are found in the whole text first and cut together, so the blocks change no result.
+    All columns stay; n_chars follows the text where there is such a column.  Where a cut brings the parts of a passage
+    together they are cut too, so `find_hits` finds nothing in the result.  With several blocks of items the spans
+    of all of them are found in the whole text first and cut together, and the texts are read again until no block has a
+    hit.  Null texts and repeated rows stay; an empty table stays empty.
     """
     names = documents.columns
     where = names.index("text"), names.index("n_chars") if "n_chars" in names else None, max_share, len(names)
     shared = blocks(items, window)
     if len(shared) == 1:
-        return documents.mapInArrow(_cut(_look_up(shared[0]), *where), documents.schema)
-    each = _found(documents.select("doc_id", "text"), shared).filter(F.size("spans") > 0)
+        return documents.mapInArrow(_cut(_look_up(shared[0]), True, *where), documents.schema)
     own = "_h" + "_" * max(map(len, names))  # longer than any name of the documents
-    spans = _gathered(each).select(*[F.col(c).alias(own + c) for c in ("doc_id", "digest", "spans")])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own + "doc_id")) & (F.xxhash64("text") == F.col(own + "digest"))
-    rows = documents.join(spans, same, "left").select(*names, own + "spans")
-    return rows.mapInArrow(_cut(_marked, *where), documents.schema)
+    now = documents
+    while True:
+        each = materialised(_found(now.select("doc_id", "text"), shared).filter(F.size("spans") > 0))
+        if each.isEmpty():
+            return now
+        spans = _gathered(each).select(*[F.col(c).alias(own + c) for c in ("doc_id", "digest", "spans")])
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(own + "doc_id")) & (F.xxhash64("text") == F.col(own + "digest"))
+        rows = now.join(spans, same, "left").select(*names, own + "spans")
+        now = materialised(rows.mapInArrow(_cut(_marked, False, *where), documents.schema))

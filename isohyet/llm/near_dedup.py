@@ -278,7 +278,11 @@ def near_duplicates(documents: DataFrame, percent: int = LINK_PERCENT) -> DataFr
     repeated row is returned as often as it comes in.  A null doc_id takes no part in
     links: its component_id is null and it is kept.  Extra columns are ignored.
     """
-    sigs = materialised(signatures(documents))
+    return _marked(documents, signatures(documents), percent)
+
+
+def _marked(documents: DataFrame, sigs: DataFrame, percent: int, *names: str) -> DataFrame:
+    sigs = materialised(sigs)
     usable = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialised(
         usable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
@@ -292,14 +296,30 @@ def near_duplicates(documents: DataFrame, percent: int = LINK_PERCENT) -> DataFr
     out = sigs.drop("sig").join(named, ["n_shingles", "h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", *names, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
+def _named_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures with the digest of the raw text."""
+    for batch in batches:
+        for out in _signatures(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column("digest")], [*out.schema.names, "digest"])
+
+
 def dedup(documents: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """The documents that stay: the one with the smallest doc_id of each component, each once."""
-    kept = near_duplicates(documents, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = documents.filter(F.col("doc_id").isNotNull())
-    stay = named.join(kept, named["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay: of each component those with its smallest doc_id, each text of a doc_id once.
+
+    A doc_id that comes with several texts keeps those that are no copies of an earlier document.  Rows with a null doc_id all
+    stay.  All columns stay as they are.
+    """
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+    sigs = rows.mapInArrow(_named_signatures, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, digest long")
+    kept = _marked(documents, sigs, percent, "digest").filter("kept AND doc_id IS NOT NULL")
+    own = "_k" + "_" * max(map(len, documents.columns))  # longer than any name of the documents
+    kept = kept.select(F.col("doc_id").alias(own + "id"), F.col("digest").alias(own + "text")).distinct()
+    named = documents.filter(F.col("doc_id").isNotNull()).withColumn(own + "digest", F.xxhash64("text"))
+    same = (named["doc_id"].cast("long") == kept[own + "id"]) & (named[own + "digest"] == kept[own + "text"])
+    stay = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", own + "digest"]).drop(own + "digest")
     return stay.unionByName(documents.filter(F.col("doc_id").isNull()))

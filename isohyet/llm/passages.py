@@ -27,7 +27,7 @@ HOT_DIGESTS = 1000
 SHARED_WORDS = 50
 # a unit ends after sentence marks or at the end of a line
 _UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
-UNITS = "doc_id long, unit int, begin long, end long, words long, digest long"
+UNITS = "doc_id long, copy long, unit int, begin long, end long, words long, digest long"
 
 
 def units_of(text: str) -> list[tuple[int, int, int, int]]:
@@ -43,16 +43,16 @@ def units_of(text: str) -> list[tuple[int, int, int, int]]:
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in UNITS.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     out: list[list] = [[] for _ in names]
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for doc, copy, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
             for i, unit in enumerate(units_of(text)):
-                for column, x in zip(out, (doc, i, *unit), strict=True):
+                for column, x in zip(out, (doc, copy, i, *unit), strict=True):
                     column.append(x)
             if len(out[0]) > 50_000:
                 yield rows()
@@ -60,23 +60,28 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    rows = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+
+
 def units(documents: DataFrame) -> DataFrame:
-    """All units of all texts, with their digests."""
-    rows = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_units, UNITS)
+    """All units of all texts, with their digests; `copy` tells apart the texts of one doc_id."""
+    return _texts(documents).mapInArrow(_units, UNITS)
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per passage to remove: doc_id, begin, end (code points, end exclusive), n_units, n_words, first_doc_id.
+    """One row per passage to remove: doc_id, copy, begin, end (code points, end exclusive), n_units, n_words, first_doc_id.
 
-    first_doc_id is the document that keeps the passage's longest unit.  Null texts and null doc_ids have no
+    `copy` is the xxhash64 of the text: a doc_id that comes with several texts has its own passages in each, and of equal doc_ids the
+    text with the smaller hash counts as earlier.  first_doc_id is the document that keeps the passage's longest unit.  Null texts and null doc_ids have no
     passages.  A text that repeats a passage loses the later one; a row that repeats a doc_id and text counts once.
     Digests are grouped with partial minima, and only those found twice are joined back.  A digest with at least a
     HOT_DIGESTS-th of all repeated units (there are at most HOT_DIGESTS of them) is broadcast, so a line that a third
     of all documents have is never one key of that join.
     """
     each = units(documents)
-    place = F.struct("doc_id", "unit")
+    place = F.struct("doc_id", "copy", "unit")
     first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     twice = materialised(first.filter("first <> last").select("digest", "first", "n"))
     least = F.lit(math.ceil((twice.agg(F.sum("n")).first()[0] or 0) / HOT_DIGESTS))
@@ -84,13 +89,13 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     rest = twice.filter(F.col("n") < least).select(F.col("digest").alias("r_digest"), F.col("first").alias("r_first"))
     marked = each.join(hot, each["digest"] == hot["h_digest"], "left")
     # rows that have met their first place already are dealt by their own
-    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "unit")))
+    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "copy", "unit")))
     met = marked.join(rest, (F.col("key") == F.col("r_digest")) & F.col("h_digest").isNull(), "left")
     met = met.withColumn("first", F.coalesce("h_first", "r_first")).filter(F.col("first").isNotNull() & (F.col("first") != place))
-    again = met.select("doc_id", "unit", "begin", "end", "words", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("unit")
+    again = met.select("doc_id", "copy", "unit", "begin", "end", "words", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    order = Window.partitionBy("doc_id", "copy").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.dense_rank().over(order))
-    passages = runs.groupBy("doc_id", "run").agg(
+    passages = runs.groupBy("doc_id", "copy", "run").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"),
         F.max(F.struct("words", "first_doc_id"))["first_doc_id"].alias("first_doc_id"),
     )
@@ -98,7 +103,7 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
 
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("own", pa.bool_())])
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("own", pa.bool_())])
 
 
 class _Words:
@@ -135,14 +140,15 @@ def _anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc, copy, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
                 if (words := _Words(text)).n >= size:
                     anchor, digests = _anchor_of(words, size)
                     at = np.unique(anchor)
-                    out.append((np.full(len(at), doc), at, digests[at].view(np.int64)))
+                    out.append((np.full(len(at), doc), np.full(len(at), copy), at, digests[at].view(np.int64)))
             if out:
-                doc, at, digest = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(digest)], ["doc_id", "at", "digest"])
+                doc, copies, at, digest = (np.concatenate(c) for c in zip(*out, strict=True))
+                columns = [pa.array(doc, pa.int64()), pa.array(copies, pa.int64()), pa.array(at.astype(np.int32)), pa.array(digest)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "at", "digest"])
 
     return run
 
@@ -152,7 +158,7 @@ def _windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, anchors in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "anchors")), strict=True):
+            for doc, copy, text, anchors in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copy", "text", "anchors")), strict=True):
                 words = _Words(text)
                 if words.n < size:
                     continue
@@ -160,7 +166,7 @@ def _windows(size: int):
                 digest = words.digests(size)[at].view(np.int64)
                 own = np.ones(len(at), bool)
                 own[np.unique(digest, return_index=True)[1]] = False
-                columns = (np.full(len(at), doc), at, words.begin[at], words.end[at + size - 1], digest, own)
+                columns = (np.full(len(at), doc), np.full(len(at), copy), at, words.begin[at], words.end[at + size - 1], digest, own)
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, WINDOWS, strict=True)], schema=WINDOWS)
 
     return run
@@ -173,40 +179,47 @@ def _met(each: DataFrame) -> DataFrame:
     hot = F.broadcast(twice.filter(F.col("n") >= least).select(F.col("digest").alias("h_digest"), F.col("first").alias("h_first")))
     rest = twice.filter(F.col("n") < least).select(F.col("digest").alias("r_digest"), F.col("first").alias("r_first"))
     marked = each.join(hot, each["digest"] == hot["h_digest"], "left")
-    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "at")))
+    marked = marked.withColumn("key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "copy", "at")))
     met = marked.join(rest, (F.col("key") == F.col("r_digest")) & F.col("h_digest").isNull(), "left")
     return met.withColumn("first", F.coalesce("h_first", "r_first")).filter("first IS NOT NULL").drop("h_digest", "h_first", "r_digest", "r_first", "key")
 
 
 def shared_passages(documents: DataFrame, words: int = SHARED_WORDS) -> DataFrame:
-    """One row per passage to remove: doc_id, begin, end (code points, end exclusive), n_words, first_doc_id.
+    """One row per passage to remove: doc_id, copy (as above), begin, end (code points, end exclusive), n_words, first_doc_id.
 
     A passage is a longest run of words in which each lies in a window of `words` words that stands in a document of smaller
     doc_id or earlier in the same text, wherever sentences end.  first_doc_id is the smallest doc_id with such a window.
     Only windows whose anchor (see `_anchor_of`) stands twice are compared, about one digest in 13 words is for all texts.
     """
-    rows = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    anchors = rows.mapInArrow(_anchors(words), "doc_id long, at int, digest long")
-    hits = materialised(_met(anchors).groupBy("doc_id").agg(F.collect_set("at").alias("anchors")))
-    each = rows.join(hits, "doc_id").mapInArrow(_windows(words), "doc_id long, at int, begin int, end int, digest long, own boolean")
+    rows = _texts(documents)
+    anchors = rows.mapInArrow(_anchors(words), "doc_id long, copy long, at int, digest long")
+    hits = materialised(_met(anchors).groupBy("doc_id", "copy").agg(F.collect_set("at").alias("anchors")))
+    each = rows.join(hits, ["doc_id", "copy"]).mapInArrow(_windows(words), "doc_id long, copy long, at int, begin int, end int, digest long, own boolean")
     again = _met(each).filter("own OR first < doc_id")
-    order = Window.partitionBy("doc_id").orderBy("at")
+    order = Window.partitionBy("doc_id", "copy").orderBy("at")
     runs = again.withColumn("new", (F.col("at") - F.lag("at").over(order) > words).cast("int"))
     runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(order))
-    return runs.groupBy("doc_id", "run").agg(
+    return runs.groupBy("doc_id", "copy", "run").agg(
         F.min("begin").cast("long").alias("begin"), F.max("end").cast("long").alias("end"),
         (F.max("at") - F.min("at") + words).cast("long").alias("n_words"), F.min("first").alias("first_doc_id"),
     ).drop("run")
 
 
 def remove_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """Documents without the passages; what is left keeps its order, and the passages have the original offsets."""
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    s = spans.select(F.col("doc_id").alias("_s_doc"), "_spans")
-    rows = documents.join(s, documents["doc_id"] == s["_s_doc"], "left")
+    """Documents without the passages; what is left keeps its order, and the passages have the original offsets.
+
+    Passages belong to a text (doc_id and `copy`), so other texts of the same doc_id stay whole.  Nulls, repeated rows and other
+    columns stay as they are.
+    """
+    names = documents.columns
+    # no column of the documents has a name that is used here
+    rows = documents.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)])
+    spans = passages.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
+    s = spans.select(F.col("doc_id").alias("_s_doc"), F.col("copy").alias("_s_copy"), "_spans")
+    met = rows.join(s, (rows["doc_id"].cast("long") == s["_s_doc"]) & (F.xxhash64(rows["text"]) == s["_s_copy"]), "left")
     at, text = F.col("_spans"), F.col("text")
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     pieces = F.transform(at, lambda x, i: cut(F.coalesce(F.get(at, i - 1)["end"], F.lit(0).cast("bigint")), x["begin"]))
     clean = F.concat(F.array_join(pieces, ""), cut(F.element_at(at, -1)["end"], F.length(text)))
-    out = rows.withColumn("text", F.when(at.isNotNull(), clean).otherwise(text))
-    return out.select(*[out[c] for c in documents.columns])
+    out = met.withColumn("text", F.when(at.isNotNull(), clean).otherwise(text))
+    return out.select(*rows.columns).toDF(*names)

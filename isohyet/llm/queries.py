@@ -55,11 +55,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("copy")
 
 
 def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.shared_passages(table(spark, sf_dir, "documents"))
+    return passages.shared_passages(table(spark, sf_dir, "documents")).drop("copy")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

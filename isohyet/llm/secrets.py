@@ -138,7 +138,13 @@ def secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """Documents with every span replaced by a mark; overlapping spans are one.  All columns stay, n_chars follows the text."""
+    """Documents with every span replaced by a mark; overlapping spans are one.  All columns stay, n_chars follows the text.
+
+    Null and empty texts and repeated rows stay as they are.
+    """
+    names = documents.columns
+    # no column of the documents has a name that is used here
+    documents = documents.toDF(*[n if n in ("doc_id", "text", "n_chars") else f"c{i}" for i, n in enumerate(names)])
     rows = per_document(documents, F.xxhash64(documents["text"]), secret_spans(documents.select("doc_id", "text"), scope))
     f = F.col("_g_found")
     # a span that begins inside the farthest end so far only extends it
@@ -158,4 +164,4 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) ->
     out = rows.withColumn("text", clean)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(f.isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[out[c] for c in documents.columns])
+    return out.select(*[out[c] for c in documents.columns]).toDF(*names)

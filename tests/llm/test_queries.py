@@ -6,7 +6,6 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from isohyet.llm import near_dedup
 from isohyet.llm.queries import QUERIES
 from isohyet.llm.sql import SQL
 from tests.llm.test_operators import brute_base, brute_hits, brute_sets
@@ -50,7 +49,7 @@ def test_pipeline_stages(spark, tmp_path):
             for i, a in enumerate(kept):
                 for b in kept[:i]:
                     n = len(sets[a] & sets[b])
-                    assert not n or 100 * n < near_dedup.LINK_PERCENT * len(sets[a] | sets[b])
+                    assert not n or 100 * n < corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b])
         if name == "decontaminate":
             for i, t in before.items():
                 n, hit, _ = brute_hits(t, items)
