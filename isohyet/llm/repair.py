@@ -297,18 +297,19 @@ def faults(rows: DataFrame) -> DataFrame:
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     fault = (
         F.when(F.col("gone"), F.lit(None).cast("string")).when(last == "", "blank")
-        .when(F.row_number().over(same) > 1, "duplicate").when(~last.isin(".", "!", "?"), "truncated")
+        .when(F.col("nth") > 1, "duplicate").when(~last.isin(".", "!", "?"), "truncated")
     )
-    return dealt.withColumn("fault", fault).drop("digest")
+    return dealt.withColumn("nth", F.row_number().over(same)).withColumn("fault", fault).drop("digest")
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+def _sorted(rows: DataFrame, *last: str) -> DataFrame:
+    return rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", *last)
 
 
 def repair_audits(rows: DataFrame) -> DataFrame:
     """One row per conversation of rows with faults: gaps, counts of faults, illegal neighbours, the cheapest repair."""
-    return _sorted(faults(rows)).mapInArrow(_repair, RESULT)
+    # of equal rows the one that is no duplicate comes first
+    return _sorted(faults(rows), "nth").mapInArrow(_repair, RESULT)
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
