@@ -157,13 +157,14 @@ def _text(spark, sf):
 DRIFT_SQL = BUCKETS_SQL.replace("k.t, c.value\n", "k.t, c.value + k.t * k.location_id / 50 AS value\n")
 TEXT_BODY = """
 , x AS (SELECT m.location_id, m.variable, is_significant, trend_direction, confidence, m.p_value, slope_per_year, r_squared, trend_strength FROM mann_kendall m JOIN linear l USING (location_id))
-SELECT location_id, variable, CASE WHEN is_significant OR abs(slope_per_year) > 0.01 THEN concat(upper(variable[1]), variable[2:], ': ', concat_ws('; ',
-    CASE WHEN is_significant THEN concat('Mann-Kendall test shows ', confidence, ' confidence ', trend_direction, ' trend') END,
-    CASE WHEN abs(slope_per_year) > 0.01 THEN printf('Linear trend: %.3f units/year (%s)', abs(slope_per_year), trend_strength) END))
-  ELSE concat('No significant trends detected in ', variable) END AS summary,
-  CASE WHEN trend_direction = 'no trend' THEN concat('No significant trend detected (variability: ', trend_strength, ')')
-    ELSE printf('%s trend detected: %.3f units per year (%s strength)', CASE WHEN trend_direction = 'increasing' AND slope_per_year > 0 THEN 'Warming'
-      WHEN trend_direction = 'decreasing' AND slope_per_year < 0 THEN 'Cooling' WHEN trend_direction = 'increasing' THEN 'Increasing' ELSE 'Decreasing' END, abs(slope_per_year), trend_strength) END AS description,
+SELECT location_id, variable, concat(variable, ' - ', CASE WHEN is_significant OR abs(slope_per_year) > 0.01 THEN concat_ws(', ',
+    CASE WHEN abs(slope_per_year) > 0.01 THEN printf('fitted line moves by %.3f a year, %s', abs(slope_per_year), trend_strength) END,
+    CASE WHEN is_significant THEN concat('rank test finds it ', trend_direction, ' (confidence ', confidence, ')') END)
+  ELSE 'nothing stands out' END) AS summary,
+  CASE WHEN trend_direction = 'no trend' THEN concat('steady, spread ', trend_strength)
+    ELSE printf('%s by %.3f a year (%s)', CASE WHEN trend_direction = 'increasing' AND slope_per_year > 0 THEN 'rises'
+      WHEN trend_direction = 'decreasing' AND slope_per_year < 0 THEN 'falls' WHEN trend_direction = 'increasing' THEN 'ranks go up, line falls'
+      ELSE 'ranks go down, line rises' END, abs(slope_per_year), trend_strength) END AS description,
   CASE WHEN is_significant THEN (1 - p_value + r_squared) / 2 ELSE r_squared END AS confidence_score FROM x"""
 
 _rest = lambda sql, base: sql.replace(base.strip() + ",", "").strip()
@@ -339,6 +340,6 @@ FROM series JOIN e USING (location_id) GROUP BY location_id, variable"""),
 SELECT location_id, count(temperature_c) AS points, min(temperature_c) AS temp_min, max(temperature_c) AS temp_max, {mean_cents('temperature_c')} AS temp_mean, round_even(median(temperature_c), 2) AS temp_median,
   round_even(stddev_pop(temperature_c), 2) AS temp_std, coalesce(round_even(sum(precipitation_mm), 2), 0) AS rain_total, any_value(decades) AS decades, any_value(temperature_change) AS temperature_change,
   100.0 * count(temperature_c) / 84 AS completeness, CASE WHEN 100.0 * count(temperature_c) / 84 > 95 THEN 'EXCELLENT' WHEN 100.0 * count(temperature_c) / 84 > 90 THEN 'GOOD' ELSE 'FAIR' END AS quality_rating,
-  false AS sufficient_for_ml, 'Consider extending to 30+ years for better accuracy' AS recommendation FROM records LEFT JOIN w USING (location_id) GROUP BY 1 HAVING count(temperature_c) > 0"""),
+  false AS sufficient_for_ml, '23 more years wanted for training' AS recommendation FROM records LEFT JOIN w USING (location_id) GROUP BY 1 HAVING count(temperature_c) > 0"""),
     ),
 ]

@@ -337,8 +337,8 @@ SELECT f.*, n_name AS location_name FROM f JOIN nation ON n_nationkey = location
         "id:i valid:b reason:s",
         """
 SELECT p_partkey AS id, abs(p_partkey % 230 - 115) <= 85 AND abs(p_partkey % 400 - 200) <= 180 AS valid,
-  CASE WHEN abs(p_partkey % 230 - 115) <= 85 AND abs(p_partkey % 400 - 200) <= 180 THEN 'Valid location'
-       ELSE 'No weather data available for this location' END AS reason FROM part""",
+  CASE WHEN abs(p_partkey % 230 - 115) <= 85 AND abs(p_partkey % 400 - 200) <= 180 THEN 'served'
+       ELSE 'outside the served latitudes' END AS reason FROM part""",
     ),
     Check(
         "valid_request", _valid_request, "id:i problems:s",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from isohyet.series import KEY, PERIOD, by_series, in_time_order, whole_years, w
 
 ALPHA = 0.05
 Z_ALPHA = 1.959963984540054
-SEN_DIRECT = 2048
+SEN_BLOCK = 1 << 20  # pairwise slopes a task holds at a time
 
 
 def linear_trend(df: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -210,48 +211,62 @@ def kendall_score(df: DataFrame) -> DataFrame:
     )
 
 
-def _count_falls(y: np.ndarray) -> int:
-    """Pairs i<j with y[j] < y[i], by merging sorted halves of doubling width."""
-    total, width, n = 0, 1, len(y)
-    y = y.copy()
-    while width < n:
-        for lo in range(0, n - width, 2 * width):
-            left, right = y[lo : lo + width], y[lo + width : lo + 2 * width]
-            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            y[lo : lo + 2 * width] = np.sort(y[lo : lo + 2 * width], kind="stable")
-        width *= 2
-    return total
-
-
-def _kth_slope(t: np.ndarray, x: np.ndarray, k: int) -> float:
-    """k-th smallest pairwise slope: bisect on how many slopes lie below."""
-    low, high = -1.0, 1.0
-    while _count_falls(x - low * t) > k:
-        low *= 4
-    while _count_falls(x - high * t) <= k:
-        high *= 4
-    for _ in range(200):
-        mid = (low + high) / 2
-        if mid in (low, high):
-            break
-        if _count_falls(x - mid * t) <= k:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def median_pair_slope(t: np.ndarray, x: np.ndarray) -> float:
-    """Median over all pairs of (x_j - x_i) / (t_j - t_i), in linear memory when long."""
-    n = len(x)
-    if n < 2:
+def _slope_keys(t: np.ndarray, x: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """All pairwise slopes as unsigned integers of the same order, about ``block`` at a time."""
+    first, n = 0, len(x)
+    while first < n - 1:
+        rows = min(n - 1 - first, max(1, block // (n - 1 - first)))
+        own, later = slice(first, first + rows), slice(first + 1, n)
+        once = ~np.tri(rows, n - 1 - first, -1, dtype=bool)  # a row begins at its own next point
+        rise, run = (x[None, later] - x[own, None])[once], (t[None, later] - t[own, None])[once]
+        bits = (rise / run + 0.0).view(np.int64)
+        yield (bits ^ ((bits >> 63) | np.int64(-(2**63)))).view(np.uint64)
+        first += rows
+
+
+def _slope_of(key: int) -> float:
+    bits = key ^ (2**63 if key >> 63 else 2**64 - 1)
+    return float(np.array(bits, np.uint64).view(np.float64))
+
+
+def _slopes_at(t: np.ndarray, x: np.ndarray, k: int, block: int) -> list[float]:
+    """Pairwise slopes of the ranks k - 1 and k (from 0); only the k-th if the other is not at hand.
+
+    Each pass counts the slopes by 16 more leading bits of their keys, until those that share all bits so far with
+    the k-th fit into one block.
+    """
+    prefix = below = shift = 0
+    inside, known = len(x) * (len(x) - 1) // 2, 0
+    while inside > block and known < 64:
+        shift = np.uint64(48 - known)
+        counts = np.zeros(1 << 16, np.int64)
+        for keys in _slope_keys(t, x, block):
+            digits = keys >> shift
+            if known:
+                digits = digits[(digits >> np.uint64(16)) == prefix] & np.uint64(0xFFFF)
+            counts += np.bincount(digits.astype(np.int64), minlength=1 << 16)
+        upto = np.cumsum(counts)
+        digit = int(np.searchsorted(upto, k - below, side="right"))
+        below, inside = below + int(upto[digit] - counts[digit]), int(counts[digit])
+        prefix, known = np.uint64((int(prefix) << 16) | digit), known + 16
+    if known == 64:  # all that are left are equal
+        return [_slope_of(int(prefix))] * (2 if k > below else 1)
+    found = np.concatenate([keys[(keys >> shift) == prefix] if known else keys for keys in _slope_keys(t, x, block)])
+    ranks = [r for r in (k - 1 - below, k - below) if r >= 0]
+    found.partition(ranks)
+    return [_slope_of(int(found[r])) for r in ranks]
+
+
+def median_pair_slope(t: np.ndarray, x: np.ndarray, block: int = SEN_BLOCK) -> float:
+    """Median over all pairs of (x_j - x_i) / (t_j - t_i), the same bits whatever the block; memory holds blocks only."""
+    pairs = len(x) * (len(x) - 1) // 2
+    if not pairs:
         return math.nan
-    if n <= SEN_DIRECT:
-        i, j = np.triu_indices(n, 1)
-        return float(np.median((x[j] - x[i]) / (t[j] - t[i])))
-    pairs = n * (n - 1) // 2
-    upper = _kth_slope(t, x, pairs // 2)
-    return upper if pairs % 2 else (upper + _kth_slope(t, x, pairs // 2 - 1)) / 2
+    slopes = _slopes_at(t, x, pairs // 2, block)
+    if pairs % 2:
+        return slopes[-1]
+    lower = slopes[0] if len(slopes) == 2 else _slopes_at(t, x, pairs // 2 - 1, block)[-1]
+    return (lower + slopes[-1]) / 2
 
 
 def sen_slope(df: DataFrame) -> DataFrame:
@@ -477,50 +492,41 @@ def trend_summary_text(
     ml_direction: Column | None = None,
     ml_confidence: Column | None = None,
 ) -> Column:
-    """One sentence from the parts that pass their own threshold."""
-    parts = [
+    """What each test found, if it passes its own threshold, as one line of text."""
+    found = [
         F.when(
-            mk_significant,
-            F.format_string("Mann-Kendall test shows %s confidence %s trend", mk_confidence, mk_direction),
+            F.abs(slope_per_year) > 0.01,
+            F.format_string("fitted line moves by %.3f a year, %s", F.abs(slope_per_year), strength),
         ),
         F.when(
-            F.abs(slope_per_year) > 0.01,
-            F.format_string("Linear trend: %.3f units/year (%s)", F.abs(slope_per_year), strength),
+            mk_significant,
+            F.format_string("rank test finds it %s (confidence %s)", mk_direction, mk_confidence),
         ),
     ]
+    if change_point is not None:
+        found.append(F.when(change_point, "its level breaks at some period"))
     if ml_direction is not None:
-        parts.append(
+        found.append(
             F.when(
                 ml_confidence > 0.6,
-                F.format_string(
-                    "ML ensemble confirms %s trend (confidence: %.2f)", ml_direction, ml_confidence
-                ),
+                F.format_string("learned models expect it %s (%.0f%%)", ml_direction, ml_confidence * 100),
             )
         )
-    if change_point is not None:
-        parts.append(F.when(change_point, "Significant change point detected in time series"))
-    text = F.concat_ws("; ", *parts)
-    title = F.initcap(variable)
-    return F.when(
-        text == "", F.concat(F.lit("No significant trends detected in "), variable)
-    ).otherwise(F.concat(title, F.lit(": "), text))
+    text = F.concat_ws(", ", *found)
+    return F.concat(variable, F.lit(" - "), F.when(text == "", "nothing stands out").otherwise(text))
 
 
 def trend_description(direction: Column, slope_per_year: Column, strength: Column) -> Column:
-    """Short description; agreeing slopes are worded as warming or cooling."""
-    word = (
-        F.when(direction == "increasing", F.when(slope_per_year > 0, "Warming").otherwise("Increasing"))
-        .when(direction == "decreasing", F.when(slope_per_year < 0, "Cooling").otherwise("Decreasing"))
-    )
-    return F.coalesce(
+    """Rate and strength in a few words; a slope that agrees with the rank test is a rise or a fall."""
+    rate = F.format_string("%.3f a year (%s)", F.abs(slope_per_year), strength)
+    return (
         F.when(
-            word.isNotNull(),
-            F.format_string(
-                "%s trend detected: %.3f units per year (%s strength)",
-                word,
-                F.abs(slope_per_year),
-                strength,
-            ),
-        ),
-        F.format_string("No significant trend detected (variability: %s)", strength),
+            direction == "increasing",
+            F.concat(F.when(slope_per_year > 0, "rises by ").otherwise("ranks go up, line falls by "), rate),
+        )
+        .when(
+            direction == "decreasing",
+            F.concat(F.when(slope_per_year < 0, "falls by ").otherwise("ranks go down, line rises by "), rate),
+        )
+        .otherwise(F.concat(F.lit("steady, spread "), strength))
     )

@@ -138,4 +138,4 @@ def test_reports_keep_every_series(make_series):
     assert set(trends) == {1, 2, 3, 4}
     assert trends[4]["status"] == "insufficient_data" and trends[1]["status"] == "ok"
     fast = {r["location_id"]: r for r in rows(reports.climate_trends(df, "fast"))}
-    assert "chow_break_point" not in fast[1] and fast[1]["summary"].startswith("Temperature: Mann-Kendall")
+    assert "chow_break_point" not in fast[1] and fast[1]["summary"].startswith("temperature - ")
