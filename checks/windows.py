@@ -147,7 +147,28 @@ FROM series s LEFT JOIN est USING (location_id, t)"""),
 SELECT s.location_id, s.variable, s.t, s.value, gap_size, CASE WHEN gap_size <= 3 THEN avg(s.value) OVER (PARTITION BY s.location_id, s.t % 12) ELSE s.value END AS filled
 FROM series s LEFT JOIN est USING (location_id, t)"""),
     ),
-    Check("fill_spline", lambda s, d: fill.fill_spline(_holes(monthly(s, d))), "location_id:i variable:s t:i value:d filled:d"),
+    Check(
+        "fill_spline", lambda s, d: fill.fill_spline(_holes(monthly(s, d))), "location_id:i variable:s t:i value:d filled:d",
+        with_sql(FILL_SQL(HOLES_SQL, 80), body="""
+, p AS (SELECT location_id, t, value AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY location_id) AS n, lead(t) OVER w - t AS h,
+    (lead(value) OVER w - value) / (lead(t) OVER w - t) AS s FROM series WHERE value IS NOT NULL WINDOW w AS (PARTITION BY location_id ORDER BY t)),
+q AS (SELECT location_id, i, n, lag(h) OVER w AS a, h AS b, 6 * (s - lag(s) OVER w) AS r FROM p WHERE n >= 4 WINDOW w AS (PARTITION BY location_id ORDER BY i) QUALIFY i BETWEEN 1 AND n - 2),
+e AS (SELECT location_id, i, n, CASE WHEN i = n - 2 THEN a - b * b / a ELSE a END AS below, CASE WHEN i = 1 THEN b - a * a / b ELSE b END AS above, r,
+    2 * (a + b) + CASE WHEN i = 1 THEN a * (a + b) / b ELSE 0 END + CASE WHEN i = n - 2 THEN b * (a + b) / a ELSE 0 END AS middle FROM q),
+down AS (SELECT location_id, i, n, CAST(middle AS DOUBLE) AS middle, CAST(above AS DOUBLE) AS above, CAST(r AS DOUBLE) AS r FROM e WHERE i = 1
+  UNION ALL SELECT e.location_id, e.i, e.n, e.middle - e.below / d.middle * d.above, e.above, e.r - e.below / d.middle * d.r
+  FROM down d JOIN e ON e.location_id = d.location_id AND e.i = d.i + 1),
+up AS (SELECT location_id, i, r / middle AS c FROM down WHERE i = n - 2
+  UNION ALL SELECT d.location_id, d.i, (d.r - d.above * u.c) / d.middle FROM up u JOIN down d ON d.location_id = u.location_id AND d.i = u.i - 1),
+cv AS (SELECT p.*, CASE WHEN p.i = 0 THEN ((h + lead(h) OVER w) * lead(c) OVER w - h * lead(c, 2) OVER w) / lead(h) OVER w
+    WHEN p.i = n - 1 THEN ((lag(h, 2) OVER w + lag(h) OVER w) * lag(c) OVER w - lag(h) OVER w * lag(c, 2) OVER w) / lag(h, 2) OVER w ELSE c END AS c
+  FROM p LEFT JOIN up ON up.location_id = p.location_id AND up.i = p.i WINDOW w AS (PARTITION BY p.location_id ORDER BY p.i)),
+seg AS (SELECT location_id, i, n, t AS t1, lead(t) OVER w AS t2, v, h, s, c AS c1, lead(c) OVER w AS c2 FROM cv WINDOW w AS (PARTITION BY location_id ORDER BY i))
+SELECT s.location_id, s.variable, s.t, s.value, CASE WHEN s.value IS NULL AND gap_size <= 3
+  THEN coalesce(v + (s.t - t1) * (g.s - h * (2 * c1 + c2) / 6 + (s.t - t1) * (c1 / 2 + (s.t - t1) * (c2 - c1) / (6 * h))), estimate) ELSE s.value END AS filled
+FROM series s LEFT JOIN est USING (location_id, t)
+LEFT JOIN seg g ON g.location_id = s.location_id AND g.i <= g.n - 2 AND (s.t >= t1 OR g.i = 0) AND (s.t < t2 OR g.i = g.n - 2)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
     Check("quality_fill", lambda s, d: fill.quality_fill(_flagged(s, d)), QUALITY_COLS, with_sql(FILL_SQL(FLAGGED_SQL(False), 80), body=QUALITY_BODY)),
     Check(
         "quality_fill_replacing", lambda s, d: fill.quality_fill(_flagged(s, d), replace_flagged=True), QUALITY_COLS,

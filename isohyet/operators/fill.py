@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +23,18 @@ def find_gaps(df: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
+def _neighbours(df: DataFrame, curve: bool = False) -> DataFrame:
     """For each row the nearest valid points on both sides, two deep.
 
     Columns ``before``/``after`` are struct(t, v, t2, v2); the second pair is
-    the valid point beyond the first, used to extrapolate at the ends.
+    the valid point beyond the first, used to extrapolate at the ends.  With
+    ``curve`` both points also carry that column, as c and c2.
     """
     past = in_time_order().rowsBetween(Window.unboundedPreceding, -1)
     ahead = in_time_order().rowsBetween(1, Window.unboundedFollowing)
     valid = F.col("value").isNotNull()
-    point = F.when(valid, F.struct(F.col("t").alias("t"), F.col("value").alias("v")))
+    fields = {"t": "t", "v": "value"} | ({"c": "curve"} if curve else {})
+    point = F.when(valid, F.struct(*[F.col(c).alias(f) for f, c in fields.items()]))
     out = with_length(df).withColumn("_p", point)
     out = out.withColumns(
         {
@@ -47,10 +47,8 @@ def _neighbours(df: DataFrame) -> DataFrame:
         return F.when(
             valid,
             F.struct(
-                F.col("t").alias("t"),
-                F.col("value").alias("v"),
-                F.col(f"{beyond}.t").alias("t2"),
-                F.col(f"{beyond}.v").alias("v2"),
+                *[F.col(c).alias(f) for f, c in fields.items()],
+                *[F.col(f"{beyond}.{f}").alias(f"{f}2") for f in fields],
             ),
         )
 
@@ -101,69 +99,92 @@ def fill_seasonal(df: DataFrame, max_gap: int = 3, period: int = PERIOD) -> Data
     return out.drop("before", "after", "n")
 
 
-def spline_values(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline with not-a-knot ends through (t, v), evaluated at ``at``."""
-    n = len(t)
-    h = np.diff(t)
-    slope = np.diff(v) / h
-    # tridiagonal equations of the inner curvatures; the ends follow from them
-    below, above, right = h[:-1].copy(), h[1:].copy(), 6 * np.diff(slope)
-    middle = 2 * (h[:-1] + h[1:])
-    middle[0] += h[0] * (h[0] + h[1]) / h[1]
-    above[0] -= h[0] ** 2 / h[1]
-    middle[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
-    below[-1] -= h[-1] ** 2 / h[-2]
-    for k in range(1, n - 2):
-        factor = below[k] / middle[k - 1]
-        middle[k] -= factor * above[k - 1]
-        right[k] -= factor * right[k - 1]
-    curve = np.zeros(n)
-    for k in range(n - 3, -1, -1):
-        curve[k + 1] = (right[k] - (above[k] * curve[k + 2] if k < n - 3 else 0.0)) / middle[k]
-    curve[0] = ((h[0] + h[1]) * curve[1] - h[0] * curve[2]) / h[1]
-    curve[-1] = ((h[-2] + h[-1]) * curve[-2] - h[-1] * curve[-3]) / h[-2]
-    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    d = at - t[i]
-    first = slope[i] - h[i] * (2 * curve[i] + curve[i + 1]) / 6
-    return v[i] + d * (first + d * (curve[i] / 2 + d * (curve[i + 1] - curve[i]) / (6 * h[i])))
-
-
-def _spline_fill(pdf: pd.DataFrame, max_gap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("t").reset_index(drop=True)
-    value = pdf["value"].to_numpy("float64")
-    t = pdf["t"].to_numpy("float64")
-    missing = np.isnan(value)
-    filled = value.copy()
-    if (~missing).sum() >= 4:
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], missing.view(np.int8), [0])))).reshape(-1, 2)
-        short = np.zeros(len(t), bool)
-        for lo, hi in edges:
-            short[lo:hi] = hi - lo <= max_gap
-        if short.any():
-            filled[short] = spline_values(t[~missing], value[~missing], t[short])
-    pdf["filled"] = filled
-    return pdf
+def _with_curvature(df: DataFrame) -> DataFrame:
+    """(KEY, t, value, curve): second derivatives at the valid points of the spline with not-a-knot ends through them.
+
+    The equations of the inner points are tridiagonal: one fold over a series' points eliminates downwards, one
+    solves upwards.  ``curve`` is null in series of fewer than four valid points.
+    """
+    cell = F.struct(F.col("t").alias("t"), F.col("value").cast("double").alias("v"))
+    series = df.groupBy(*KEY).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    series = series.withColumn("p", F.filter("cells", lambda x: x["v"].isNotNull()))
+    p, n = F.col("p"), F.size("p")
+    enough = n >= 4
+    between = lambda f: F.when(enough, F.transform(F.sequence(F.lit(0), n - 2), lambda i: f(F.get(p, i), F.get(p, i + 1))))
+    series = series.withColumn("h", between(lambda a, b: (b["t"] - a["t"]).cast("double")))
+    series = series.withColumn("s", between(lambda a, b: (b["v"] - a["v"]) / (b["t"] - a["t"])))
+    h, s = lambda i: F.get("h", i), lambda i: F.get("s", i)
+
+    def equation(k: Column) -> Column:
+        a, b, first, last = h(k), h(k + 1), k == 0, k == n - 3
+        return F.struct(
+            F.when(last, a - b * b / a).otherwise(a).alias("below"),
+            (2 * (a + b) + F.when(first, a * (a + b) / b).otherwise(0.0) + F.when(last, b * (a + b) / a).otherwise(0.0)).alias("middle"),
+            F.when(first, b - a * a / b).otherwise(b).alias("above"),
+            (6 * (s(k + 1) - s(k))).alias("right"),
+        )
+
+    series = series.withColumn("e", F.when(enough, F.transform(F.sequence(F.lit(0), n - 3), equation)))
+
+    def down(done: Column, e: Column) -> Column:
+        up = F.element_at(done, -1)
+        factor = e["below"] / up["middle"]
+        left = F.struct(
+            (e["middle"] - factor * up["above"]).alias("middle"), e["above"].alias("above"), (e["right"] - factor * up["right"]).alias("right")
+        )
+        return F.concat(done, F.array(left))
+
+    nothing = F.array(F.struct(F.lit(1.0).alias("middle"), F.lit(0.0).alias("above"), F.lit(0.0).alias("right")))
+    series = series.withColumn("e", F.aggregate("e", nothing, down))
+    solve = lambda done, e: F.concat(done, F.array((e["right"] - e["above"] * F.element_at(done, -1)) / e["middle"]))
+    # upwards from the last inner point; the leading entries of both folds stand for no equation
+    series = series.withColumn("c", F.aggregate(F.reverse(F.slice("e", 2, F.greatest(n - 2, F.lit(0)))), F.array(F.lit(0.0)), solve))
+    inner = F.reverse(F.slice("c", 2, F.greatest(n - 2, F.lit(0))))
+    series = series.withColumn("c", F.when(enough, inner))
+    c = lambda i: F.get("c", i)
+    ends = (
+        ((h(F.lit(0)) + h(F.lit(1))) * c(F.lit(0)) - h(F.lit(0)) * c(F.lit(1))) / h(F.lit(1)),
+        ((h(n - 3) + h(n - 2)) * c(n - 3) - h(n - 2) * c(n - 4)) / h(n - 3),
+    )
+    series = series.withColumn("c", F.concat(F.array(ends[0]), F.col("c"), F.array(ends[1])))
+    point = lambda x, curve: F.struct(x["t"].alias("t"), x["v"].alias("value"), curve.cast("double").alias("curve"))
+    return series.select(
+        *KEY,
+        F.inline(F.concat(
+            F.transform("p", lambda x, i: point(x, F.get("c", i))),
+            F.transform(F.filter("cells", lambda x: x["v"].isNull()), lambda x: point(x, F.lit(None))),
+        )),
+    )
+
+
+def _spline_estimate() -> Column:
+    """The cubic between the neighbours; beyond the ends that of the first or last two points."""
+    b, a = F.col("before"), F.col("after")
+
+    def cubic(t1, v1, c1, t2, v2, c2) -> Column:
+        h, d = t2 - t1, F.col("t") - t1
+        first = (v2 - v1) / h - h * (2 * c1 + c2) / 6
+        return v1 + d * (first + d * (c1 / 2 + d * (c2 - c1) / (6 * h)))
+
+    near, far = ("t", "v", "c"), ("t2", "v2", "c2")
+    return (
+        F.when(b.isNull(), cubic(*[a[x] for x in near], *[a[x] for x in far]))
+        .when(a.isNull(), cubic(*[b[x] for x in far], *[b[x] for x in near]))
+        .otherwise(cubic(*[b[x] for x in near], *[a[x] for x in near]))
+    )
 
 
 def fill_spline(df: DataFrame, max_gap: int = 3) -> DataFrame:
     """Fill short gaps with a cubic spline; linear where fewer than 4 points exist.
 
-    One spline goes through all valid points of a series, in time and memory linear in its periods.
+    One spline goes through all valid points of a series.  The windows that read its curvatures keep the exchange on
+    the series key of the aggregate that finds them.
     """
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in KEY)
-    splined = (
-        df.select(*KEY, "t", "value")
-        .groupBy(*KEY)
-        .applyInPandas(
-            lambda pdf: _spline_fill(pdf, max_gap),
-            f"{types}, t {df.schema['t'].dataType.simpleString()}, value double, filled double",
-        )
-    )
-    rows = _neighbours(splined).withColumn("_gap", _gap_size())
+    rows = _neighbours(_with_curvature(df), curve=True).withColumn("_gap", _gap_size())
     few = F.count("value").over(by_series()) < 4
-    linear = F.when(F.col("_gap") <= max_gap, linear_estimate()).otherwise(F.col("value"))
-    out = rows.withColumn("filled", F.when(few, linear).otherwise(F.nanvl("filled", F.lit(None).cast("double"))))
-    return out.drop("before", "after", "n", "_gap")
+    estimate = F.when(few, linear_estimate()).otherwise(_spline_estimate())
+    out = rows.withColumn("filled", F.when(F.col("_gap") <= max_gap, estimate).otherwise(F.col("value")))
+    return out.drop("before", "after", "n", "_gap", "curve")
 
 
 def quality_fill(df: DataFrame, max_missing: int = 5, replace_flagged: bool = False) -> DataFrame:

@@ -47,20 +47,27 @@ def test_spline_reproduces_a_cubic(make_series):
 
 
 @pytest.mark.parametrize("n", [4, 5, 6, 40])
-def test_spline_equals_dense_equations(n):
+def test_spline_equals_dense_equations(make_series, n):
     rng = np.random.default_rng(n)
-    t, v = np.cumsum(rng.integers(1, 4, n)).astype(float), rng.normal(size=n)
-    h, slope = np.diff(t), np.diff(v) / np.diff(t)
+    t, v = np.cumsum(rng.integers(1, 4, n)), rng.normal(size=n)
+    h, slope = np.diff(t).astype(float), np.diff(v) / np.diff(t)
     m, rhs = np.zeros((n, n)), np.zeros(n)
     for i in range(1, n - 1):
         m[i, i - 1 : i + 2], rhs[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (slope[i] - slope[i - 1])
     m[0, :3], m[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
     curve = np.linalg.solve(m, rhs)
-    at = np.linspace(t[0] - 1, t[-1] + 1, 50)
+    at = np.arange(t[-1] + 3)
     i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     d = at - t[i]
     want = v[i] + d * (slope[i] - h[i] * (2 * curve[i] + curve[i + 1]) / 6 + d * (curve[i] / 2 + d * (curve[i + 1] - curve[i]) / (6 * h[i])))
-    assert fill.spline_values(t, v, at) == pytest.approx(want, rel=1e-7, abs=1e-7)
+    known = dict(zip(t.tolist(), v.tolist()))
+    got = filled(fill.fill_spline(make_series({(1, "a"): [known.get(x, N) for x in at.tolist()]}), 5))
+    assert got == pytest.approx(want, rel=1e-7, abs=1e-7)
+
+
+def test_spline_stays_on_the_jvm_with_one_exchange(make_series):
+    plan = fill.fill_spline(make_series({(1, "a"): [1, N, 3, 4, 9]}))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_long_series_with_a_gap_near_each_end(make_series):
