@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from isohyet.llm.common import materialised
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 2
+SPECIAL_TEXT, SPECIAL_ID = "<|endoftext|>", 50256  # the JSON file's one added token; the file of ranks has none
 CACHED_WORDS = 200_000  # per worker; the cache starts afresh beyond it, which changes no result
 
 _THREE_SPACES = re.compile(r"\s\s\s")
@@ -24,7 +27,7 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Byte-level BPE over a public vocabulary of ranks (the same ids as the JSON file of that name).
 
-    Words repeat, so each word's ids are kept.  A space before a word always begins a new
+    SPECIAL_TEXT is one id wherever it stands, as that file has it.  Words repeat, so each word's ids are kept.  A space before a word always begins a new
     pre-token, so a text may be cut there; only in runs of three or more white-space characters may a
     pre-token span such a cut, and those texts are encoded as a whole.
     """
@@ -48,6 +51,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if SPECIAL_TEXT in text:
+            return np.array(SPECIAL_ID, "<u4").tobytes().join(map(self._plain, text.split(SPECIAL_TEXT)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _THREE_SPACES.search(text):
             return np.array(self._encode(text), "<u4").tobytes()
         if len(self._words) > CACHED_WORDS:
@@ -86,23 +94,31 @@ def length_histogram(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
     return each.groupBy("length").agg(F.sum("documents").alias("documents"))
 
 
-def suffix_sums(histogram: DataFrame, band: int = 1024) -> DataFrame:
+def suffix_sums(histogram: DataFrame, band: int = 256) -> DataFrame:
     """Per length: documents and tokens at least that long, and the tokens left if all are cut there.
 
-    Sums run inside bands of lengths and over the bands' totals, so no task sees all lengths.
+    The histogram is kept once.  Sums run inside bands of about `band` lengths each and over the bands' totals; borders are
+    quantiles of the lengths, so no task sees all lengths however unevenly they lie.  An empty histogram has no rows;
+    a length must stand in one row only, as length_histogram gives it.
     """
-    h = histogram.withColumn("band", F.floor(F.col("length") / band)).withColumn("tokens", F.col("length") * F.col("documents"))
-    bands = h.groupBy("band").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
+    kept = materialised(histogram.select("length", "documents"))
+    bands = max(1, -(-kept.count() // band))
+    at = F.lit([i / bands for i in range(1, bands)]).cast("array<double>")
+    borders = kept.agg(F.percentile_approx("length", at, 100 * bands)).first()[0] if bands > 1 else []
+    # the first border that a length does not exceed
+    which = F.size(F.filter(F.lit(sorted(set(borders or []))).cast("array<bigint>"), lambda x: x < F.col("length")))
+    h = kept.withColumn("band", which).withColumn("tokens", F.col("length") * F.col("documents"))
+    totals = h.groupBy("band").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     below = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    bands = bands.select(
+    totals = totals.select(
         "band", F.coalesce(F.sum("d").over(above), zero).alias("d_above"), F.coalesce(F.sum("t").over(above), zero).alias("t_above"),
         F.coalesce(F.sum("d").over(below), zero).alias("d_below"), F.coalesce(F.sum("t").over(below), zero).alias("t_below"),
     )
     up = Window.partitionBy("band").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("band").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
-    out = h.join(bands, "band").select(
+    out = h.join(totals, "band").select(
         "length", "documents", "tokens",
         (F.sum("documents").over(up) + F.col("d_above")).alias("documents_from"), (F.sum("tokens").over(up) + F.col("t_above")).alias("tokens_from"),
         (F.coalesce(F.sum("documents").over(down), zero) + F.col("d_below")).alias("documents_below"),
@@ -112,15 +128,24 @@ def suffix_sums(histogram: DataFrame, band: int = 1024) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Per context limit: documents and tokens in all, documents longer, tokens left when cut, from the suffix sums alone."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(x,) for x in sorted(set(limits))], "context_limit long")
-    total = sums.agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-    over = [F.sum(F.when(F.col("length") > x, F.col("documents"))).alias(f"d{x}") for x in sorted(set(limits))]
-    cut = [F.sum(F.least("length", F.lit(x)) * F.col("documents")).alias(f"t{x}") for x in sorted(set(limits))]
-    one = total.join(sums.agg(*over, *cut))
-    pick = lambda p: F.coalesce(*[F.when(F.col("context_limit") == x, F.col(f"{p}{x}")) for x in sorted(set(limits))], F.lit(0))
-    return wanted.join(one).select("context_limit", "documents", "tokens", pick("d").alias("longer"), pick("t").alias("truncated_tokens"))
+    """Per context limit: documents and tokens in all, documents longer, tokens left when cut.
+
+    Each is read from the suffix sums of the first length beyond the limit, in one pass for all limits; nothing is summed again.
+    """
+    wanted = sorted(set(limits))
+    sums_at = F.struct("documents_from", "tokens_below")
+    beyond = [F.min_by(sums_at, F.when(F.col("length") > x, F.col("length"))).alias(f"_{i}") for i, x in enumerate(wanted)]
+    one = sums.agg(
+        F.max(F.col("documents_below") + F.col("documents_from")).alias("documents"), F.max(F.col("tokens_below") + F.col("tokens_from")).alias("tokens"), *beyond
+    )
+
+    def row(i: int, x: int):
+        first, limit = F.col(f"_{i}"), F.lit(x).cast("bigint")
+        cut = F.coalesce(first["tokens_below"] + limit * first["documents_from"], F.col("tokens"), F.lit(0).cast("bigint"))
+        longer = F.coalesce(first["documents_from"], F.lit(0).cast("bigint"))
+        return F.struct(limit.alias("context_limit"), F.col("documents").alias("documents"), F.col("tokens").alias("tokens"), longer.alias("longer"), cut.alias("truncated_tokens"))
+
+    return one.select(F.inline(F.array(*[row(i, x) for i, x in enumerate(wanted)])))
 
 
 def length_quantile(sums: DataFrame, share: float) -> DataFrame:

@@ -262,11 +262,10 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-TRICKY = ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n \nb", "x\t y", "it's 'll we'LL", "<|endoftext|> x", "é ü  z", "12 345  6", "end ", "\n", "a \n\n  b", "漢字 かな", "​ x", "😀 😀"]
+TRICKY = ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n \nb", "x\t y", "it's 'll we'LL", "<|endoftext|> x", "a <|endoftext|><|endoftext|>  b c<|endoftext|>", "   x<|endoftext|>   y", "<|endoftext|", "é ü  z", "12 345  6", "end ", "\n", "a \n\n  b", "漢字 かな", "​ x", "😀 😀"]
 
 
 def test_word_cache_equals_tokenizer(reference_ids):
@@ -291,6 +290,20 @@ def test_histogram_answers(spark, docs, no_docs, reference_ids):
     assert tokens.suffix_sums(tokens.length_histogram(no_docs)).count() == 0
 
 
+def test_suffix_sums_of_uneven_and_no_lengths(spark):
+    lengths = [*range(1, 60), *(10**k for k in range(3, 9))]
+    histogram = spark.createDataFrame([(x, 1 + x % 5) for x in lengths], "length long, documents long")
+    for band in (1, 7, 1000):
+        got = {r["length"]: r for r in tokens.suffix_sums(histogram, band).collect()}
+        assert sorted(got) == sorted(lengths)
+        for x in lengths:
+            assert got[x]["tokens_from"] == sum(y * (1 + y % 5) for y in lengths if y >= x)
+            assert got[x]["truncated_tokens"] == sum(min(x, y) * (1 + y % 5) for y in lengths)
+    none = tokens.suffix_sums(histogram.limit(0))
+    assert none.count() == 0
+    assert [tuple(r) for r in tokens.at_limits(none, [5]).collect()] == [(5, None, None, 0, 0)]
+
+
 def test_packing(docs, no_docs, reference_ids):
     ids = {}
     for r in docs.select("doc_id", "text").collect():
