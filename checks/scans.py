@@ -174,6 +174,18 @@ def _drop_expired(spark, sf):
     return tables.drop_expired(both, F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
+def _stored_results(spark, sf):
+    """Stored, stored again in part, expired on the stored table, and what comes back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    both = tables.with_expiry(_results(spark, sf), "probability")
+    tables.store_results(both.filter("kind <> 'view'"), path, ["event_id"])
+    tables.store_results(both, path, ["event_id"])
+    tables.expire_results(spark, path, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    tables.store_results(both.filter(F.col("expires_at") >= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")), path, ["event_id"])
+    return spark.read.parquet(path)
+
+
 def _expired_count(spark, sf):
     both = tables.with_expiry(_results(spark, sf), "probability")
     return tables.expired_count(both, F.lit("2024-01-15").cast("timestamp_ntz"))
@@ -295,6 +307,12 @@ FROM orders QUALIFY row_number() OVER (PARTITION BY 1, year(o_orderdate), month(
         """
 SELECT event_id, event_type AS kind, value FROM events
 WHERE NOT (ts + to_seconds(CASE WHEN event_type = 'view' THEN 43200 ELSE 86400 END) < TIMESTAMP '2024-01-15')""",
+    ),
+    Check(
+        "stored_results", _stored_results, "event_id:i kind:s value:d expires_on:s",
+        """
+SELECT event_id, event_type AS kind, value, CAST(CAST(ts + to_seconds(86400) AS DATE) AS VARCHAR) AS expires_on FROM events
+WHERE ts IS NULL OR ts + to_seconds(86400) >= TIMESTAMP '2024-01-15 12:00:00'""",
     ),
     Check(
         "expired_count", _expired_count, "deleted:i",

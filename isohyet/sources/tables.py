@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from isohyet.checkpoint import reliable
 
 PLACE_KEY = ["latitude", "longitude"]
 HISTORY_KEY = ["location_id", "variable", "year", "month"]
@@ -77,6 +82,70 @@ def write_results(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("va
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table below ``path``, or None while nothing has been stored there; its day is a date even if all are null."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not any(f.getPath().getName().startswith("expires_on=") for f in files.listStatus(folder)):
+        return None
+    return spark.read.parquet(path).withColumn("expires_on", F.col("expires_on").cast("date"))
+
+
+def store_results(new: DataFrame, path: str, request: Sequence[str] = ("request_id",)) -> None:
+    """Append results to a table partitioned by the day they expire; a request that is stored already changes nothing.
+
+    ``request`` names the columns that identify a result; ``new`` has ``expires_at`` too.  Of rows of one request in
+    ``new`` the one with the smallest values stays; a null in the request is a value like any other.  Only the
+    request columns of the days that ``new`` falls on are read.  One writer at a time; after a failure the same call
+    again completes the work.
+    """
+    spark = new.sparkSession
+    others = [c for c in new.columns if c not in request]
+    maps = [c for c in others if isinstance(new.schema[c].dataType, T.MapType)]
+    # maps have no order of their own
+    rank = F.struct(*[F.to_json(c) if c in maps else F.col(c) for c in others])
+    once = new.groupBy(*request).agg(F.min_by(F.struct(*others), rank).alias("_row")).select(*request, "_row.*")
+    once = reliable(once.withColumn("expires_on", F.to_date("expires_at")))
+    old = _stored(spark, path)
+    if old is not None:
+        days = F.broadcast(once.select(F.col("expires_on").alias("_day")).distinct())  # one row a day
+        known = old.join(days, F.col("expires_on").eqNullSafe(F.col("_day")), "left_semi")
+        known = known.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(request)])
+        same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(request)]
+        once = once.join(known, same, "left_anti")
+    # a day with most of the rows is split over tasks
+    once.select(*new.columns, "expires_on").hint("rebalance", "expires_on").write.mode("append").partitionBy("expires_on").parquet(path)
+
+
+def expire_results(spark: SparkSession, path: str, now: Column) -> int:
+    """Delete what expired before ``now`` from a table of ``store_results``; returns how many rows.
+
+    Days that are over go as whole folders; of the day of ``now`` the rows that stay are written anew, in place of that
+    partition alone.  Other days are not read.  Rows without an expiry stay.  The same call again deletes nothing more.
+    """
+    old = _stored(spark, path)
+    if old is None:
+        return 0
+    moment = spark.range(1).select(now.cast(old.schema["expires_at"].dataType).alias("at"), F.to_date(now).alias("day")).first()
+    at, day = F.lit(moment["at"]), F.lit(moment["day"])
+    over = old.filter(F.col("expires_on") < day).groupBy("expires_on").count().collect()  # one row a day
+    deleted, folders = sum(r["count"] for r in over), [r["expires_on"] for r in over]
+    stay, gone = split_expired(old.filter(F.col("expires_on") == day), at)
+    expired = gone.count()
+    if expired:
+        stay = reliable(stay)
+        if stay.isEmpty():
+            folders.append(moment["day"])
+        else:
+            columns = [c for c in stay.columns if c != "expires_on"]
+            out = stay.select(*columns, "expires_on").hint("rebalance", "expires_on")
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("expires_on").parquet(path)
+    for d in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/expires_on={d.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return deleted + expired
+
+
 def write_history(df: DataFrame, path: str, buckets: int | None = None) -> None:
     """History as Parquet by variable, clustered by location inside each file."""
     out = df.repartition(buckets, "variable", "location_id") if buckets else df.repartition("variable", "location_id")

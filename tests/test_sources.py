@@ -80,6 +80,31 @@ def test_results_round_trip(spark, tmp_path):
     assert tables.expired_count(back, now).first()["deleted"] == 2
 
 
+def test_stored_results_expire_in_place(spark, tmp_path):
+    path = str(tmp_path / "s")
+    kind = "request_id string, v double, detail map<string,double>, created_at timestamp_ntz"
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    made = [("a", 1.0, {"x": 1.0}, at(1)), ("b", 2.0, None, at(2, 1)), ("c", None, {}, at(2, 23)), (None, 4.0, None, at(5)), ("e", 5.0, None, None)]
+    new = tables.with_expiry(spark.createDataFrame([*made, made[0], ("b", 3.0, None, at(2, 1))], kind), "probability")
+    read = lambda: sorted((r["request_id"] or "", r["v"]) for r in spark.read.parquet(path).collect())
+    assert tables.expire_results(spark, path, F.lit("2024-01-03")) == 0
+    for _ in range(2):  # the second time changes nothing
+        tables.store_results(new, path)
+        assert read() == [("", 4.0), ("a", 1.0), ("b", 2.0), ("c", None), ("e", 5.0)]
+    now = F.lit("2024-01-03 12:00:00").cast("timestamp_ntz")
+    assert [tables.expire_results(spark, path, now) for _ in range(2)] == [2, 0]
+    assert read() == [("", 4.0), ("c", None), ("e", 5.0)]
+    assert tables.expire_results(spark, path, F.lit("2024-01-03 23:30:00").cast("timestamp_ntz")) == 1  # the day's last row
+    assert sorted(x.name for x in (tmp_path / "s").glob("expires_on=*")) == ["expires_on=2024-01-06", "expires_on=__HIVE_DEFAULT_PARTITION__"]
+    tables.store_results(new.filter("request_id = 'a'"), path)
+    assert read() == [("", 4.0), ("a", 1.0), ("e", 5.0)]
+    assert tables.expire_results(spark, path, F.lit("2025-01-01").cast("timestamp_ntz")) == 2
+    assert read() == [("e", 5.0)]
+    tables.store_results(new.filter("v = 5"), path)
+    tables.store_results(new.limit(0), path)
+    assert read() == [("e", 5.0)]
+
+
 def test_history_table_is_partitioned(spark, tmp_path):
     df = spark.range(100).select(
         (F.col("id") % 5).alias("location_id"), F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("variable"),
