@@ -23,7 +23,6 @@ from isohyet.llm.common import materialised
 from isohyet.llm.language import held_out
 
 LABELLED_ROWS = 50_000  # about so many labelled rows are learned from, chosen by a hash
-LEXICON_SIZE = 5_000  # strongest terms kept
 MIN_TOXIC = 5  # toxic documents a term has to occur in
 MIN_RATIO = 15.0  # times the share of toxic documents over that of others
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -223,7 +222,10 @@ def labelled(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 
 
 def learn_lexicon(sample: DataFrame) -> Trie:
-    """Words and stems that toxic documents have far more often, in several surroundings; at most LEXICON_SIZE of each come to the driver."""
+    """Words and stems that toxic documents have far more often, in several surroundings.
+
+    All terms of that evidence are kept; each stands in MIN_TOXIC toxic documents of the bounded sample, which bounds how many come to the driver.
+    """
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Trie({}, {})
@@ -231,15 +233,15 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     ratio = ((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1))
     strong = (F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)
 
-    def strongest(rows: DataFrame, column: str) -> set[str]:
-        return {r[column] for r in rows.filter(strong).orderBy(F.desc(F.log2(ratio) * F.sqrt("toxic")), column).limit(LEXICON_SIZE).collect()}
+    def strong_ones(rows: DataFrame, column: str) -> set[str]:
+        return {r[column] for r in rows.filter(strong).select(column).collect()}
 
     stems = counts.withColumn("length", F.explode(F.array(*[F.lit(k) for k in STEM_LENGTHS])))
     stems = stems.filter(F.length("word") > F.col("length")).groupBy(F.expr("substring(word, 1, length)").alias("stem")).agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.when(F.col("toxic") > 0, 1)).alias("endings")
     )
-    words = strongest(counts, "word")
-    beginnings = strongest(stems.filter(F.col("endings") >= MIN_ENDINGS), "stem")
+    words = strong_ones(counts, "word")
+    beginnings = strong_ones(stems.filter(F.col("endings") >= MIN_ENDINGS), "stem")
     candidates = sample.sparkSession.sparkContext.broadcast((words, beginnings))
     seen = sample.mapInArrow(_surroundings(candidates), "term string, stem boolean, near long, toxic int").distinct()
     seen = seen.groupBy("term", "stem").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
@@ -286,7 +288,7 @@ def _sample_features(trie):
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """Model from a bounded sample of labelled rows; of each only its features come to the driver."""
-    sample = labelled(documents, labels, rows)
+    sample = materialised(labelled(documents, labels, rows))  # read by four jobs
     trie = learn_lexicon(sample)
     shared = documents.sparkSession.sparkContext.broadcast(trie)
     got = sample.mapInArrow(_sample_features(shared), "x array<double>, toxic int").toArrow()
