@@ -30,6 +30,7 @@ from checks.spec import Check
 from checks.trends import CHOW_SQL, LINEAR_SQL, PAIRS_SQL, RUNS_SQL, SEASONS_SQL, ZONED_SQL, _runs_total
 from checks.windows import FRAME, LAGS, O, SLOPE_OVER, STATS, W3, W6, W12, W24
 from isohyet.functions.zones import latitude_climatology
+from isohyet.models import panel
 from isohyet.operators import features, forecast, resample, stats, trends
 from isohyet.plans import reports
 from isohyet.plans.base import materialise
@@ -169,7 +170,34 @@ SELECT location_id, variable, concat(variable, ' - ', CASE WHEN is_significant O
 
 _rest = lambda sql, base: sql.replace(base.strip() + ",", "").strip()
 
+# the other features of a row without gaps are sums of these, which elimination without pivots cannot take
+STEP_COLUMNS = [*[f"lag_{k}" for k in range(1, 13)], "month_sin", "month_cos", "month_norm", "std_12", "range_12"]
+_STEP_GRAM = ", ".join(
+    "[" + ", ".join(f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))" for b in [*STEP_COLUMNS, "value"]) + "]" for a in STEP_COLUMNS
+)
+STEP_SQL = with_sql(f"RECURSIVE {MONTHLY_SQL.strip()}", body=f"""
+, f AS (SELECT * FROM ({FEATURES_BODY}) WHERE t >= 12),
+x AS (SELECT * FROM f WHERE value + {' + '.join(STEP_COLUMNS)} IS NOT NULL),
+stats AS (SELECT variable, k, avg(value) AS my, stddev_pop(value) AS sy, [{', '.join(f'avg({c})' for c in STEP_COLUMNS)}] AS mx,
+  [{', '.join(f'stddev_pop({c})' for c in STEP_COLUMNS)}] AS sx, [{_STEP_GRAM}] AS m FROM x JOIN range(68, 80) r(k) ON t < k GROUP BY variable, k),
+steps AS (
+  SELECT variable, k, 0 AS i, m FROM stats
+  UNION ALL
+  SELECT variable, k, i + 1, list_transform(m, lambda r, p: CASE WHEN p = i + 1 THEN list_transform(r, lambda v: v / m[i + 1][i + 1])
+    ELSE list_transform(r, lambda v, j: v - r[i + 1] * m[i + 1][j] / m[i + 1][i + 1]) END) FROM steps WHERE i < {len(STEP_COLUMNS)}),
+done AS (SELECT s.*, list_transform(steps.m, lambda r, i: r[{len(STEP_COLUMNS) + 1}] * s.sy / s.sx[i]) AS w
+  FROM steps JOIN stats s ON s.variable = steps.variable AND s.k = steps.k WHERE i = {len(STEP_COLUMNS)}),
+past AS (SELECT location_id, t, avg(value) OVER (PARTITION BY location_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean FROM series)
+SELECT f.location_id, f.variable, f.t, f.value AS actual,
+  coalesce(my + {' + '.join(f'w[{i + 1}] * ({c} - mx[{i + 1}])' for i, c in enumerate(STEP_COLUMNS))}, mean) AS prediction
+FROM f JOIN past ON past.location_id = f.location_id AND past.t = f.t LEFT JOIN done ON done.variable = f.variable AND done.k = f.t WHERE f.t >= 68 AND f.value IS NOT NULL""")
+
+
 CHECKS = [
+    Check(
+        "walk_forward_linear", lambda s, d: panel.walk_forward_linear(placed(monthly(s, d)), columns=STEP_COLUMNS),
+        "location_id:i variable:s t:i prediction:d actual:d", STEP_SQL,
+    ),
     Check(
         "forecast_features", lambda s, d: features.forecast_features(placed(monthly(s, d))), "location_id:i t:i value:d " + COLS(features.FORECAST_COLUMNS),
         with_sql(MONTHLY_SQL, body=f"SELECT * FROM ({FEATURES_BODY}) WHERE t >= 12"),

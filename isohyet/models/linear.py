@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.checkpoint import reliable
@@ -51,6 +51,27 @@ def _products(width: int):
     return run
 
 
+def _part(n: int, sums: pa.ListScalar, width: int) -> tuple:
+    """(n, mean, scatter) from a row of sums."""
+    flat = np.array(sums.values)
+    mean, scatter = flat[: width + 1], np.zeros((width + 1, width + 1))
+    scatter[np.triu_indices(width + 1)] = flat[width + 1 :]
+    return n, mean, scatter + np.triu(scatter, 1).T
+
+
+def _together(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    both, off = a[0] + b[0], b[1] - a[1]
+    return both, a[1] + off * (b[0] / both), a[2] + b[2] + np.outer(off, off) * (a[0] * b[0] / both)
+
+
+def _row(name: str, part: tuple) -> pa.RecordBatch:
+    n, mean, scatter = part
+    flat = np.concatenate([mean, scatter[np.triu_indices(len(mean))]])
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([flat.tolist()], pa.list_(pa.float64()))], [GROUP, "n", "sums"])
+
+
 def moments(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """(group, n, mean of (x, y), scatter as an upper triangle): one exchange of one matrix per task and group.
 
@@ -63,33 +84,52 @@ def moments(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts come sorted by group; memory holds one matrix."""
-        now = None
-
-        def row():
-            flat = np.concatenate([now[2], now[3][np.triu_indices(width + 1)]])
-            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([flat.tolist()], pa.list_(pa.float64()))], [GROUP, "n", "sums"])
-
+        group, now = None, None
         for b in batches:
             for name, n, sums in zip(b.column(GROUP).to_pylist(), b.column("n").to_pylist(), b.column("sums"), strict=True):
-                flat = np.array(sums.values)
-                mean, scatter = flat[: width + 1], np.zeros((width + 1, width + 1))
-                scatter[np.triu_indices(width + 1)] = flat[width + 1 :]
-                scatter = scatter + np.triu(scatter, 1).T
-                if now is not None and now[0] != name:
-                    yield row()
+                if now is not None and group != name:
+                    yield _row(group, now)
                     now = None
-                if now is None:
-                    now = (name, n, mean, scatter)
-                else:
-                    both, off = now[1] + n, mean - now[2]
-                    now = (name, both, now[2] + off * (n / both), now[3] + scatter + np.outer(off, off) * (now[1] * n / both))
+                group, now = name, _together(now, _part(n, sums, width))
         if now is not None:
-            yield row()
+            yield _row(group, now)
 
     dealt = parts.repartition(GROUP).sortWithinPartitions(GROUP, "n", F.col("sums")[0])
     return dealt.mapInArrow(add, f"{GROUP} string, n long, sums array<double>")
 
 
+def at_cut(cut: Column) -> Column:
+    """Group of a variable's rows that lie between two cuts; 0 stands for all before the first."""
+    return F.when(F.col(GROUP).isNotNull(), F.format_string("%06d:%s", cut, F.col(GROUP)))
+
+
+def before_cuts(parts: DataFrame, cuts: int, width: int) -> DataFrame:
+    """Moments of all rows before each cut 1..cuts, from the moments of the rows between them.
+
+    Each cut adds its rows' matrix to the one before, so no row is read again; a task holds one matrix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now, due = None, None, 1
+
+        def upto(last: int) -> Iterator[pa.RecordBatch]:
+            for k in range(due, last + 1):
+                if now is not None:
+                    yield _row(f"{k:06d}:{group}", now)
+
+        for b in batches:
+            for name, cut, n, sums in zip(b.column("name").to_pylist(), b.column("cut").to_pylist(), b.column("n").to_pylist(), b.column("sums"), strict=True):
+                if name != group:
+                    yield from upto(cuts)
+                    group, now, due = name, None, 1
+                yield from upto(cut)
+                now, due = _together(now, _part(n, sums, width)), max(due, cut + 1)
+        yield from upto(cuts)
+
+    each = parts.select(F.expr(f"substring({GROUP}, 8)").alias("name"), F.expr(f"cast(substring({GROUP}, 1, 6) AS int)").alias("cut"), "n", "sums")
+    return each.repartition("name").sortWithinPartitions("name", "cut").mapInArrow(run, f"{GROUP} string, n long, sums array<double>")
+
+
 def least_squares(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     """Weights of least norm for standardised features."""
     values, basis = np.linalg.eigh(gram)
@@ -119,13 +159,16 @@ class Linear:
     share: float = 0.5
 
     def fit_groups(self, rows: DataFrame, columns: Sequence[str], label: str = "target") -> LinearModels:
+        return self.from_moments(moments(rows, columns, label), columns)
+
+    def from_moments(self, sums: DataFrame, columns: Sequence[str]) -> LinearModels:
         width, penalty, share = len(columns), self.penalty, self.share
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for name, n, sums in zip(b.column(GROUP).to_pylist(), b.column("n").to_pylist(), b.column("sums"), strict=True):
-                    flat = np.array(sums.values)
+                for name, n, flat in zip(b.column(GROUP).to_pylist(), b.column("n").to_pylist(), b.column("sums"), strict=True):
+                    flat = np.array(flat.values)
                     mean, scatter = flat[: width + 1], np.zeros((width + 1, width + 1))
                     scatter[np.triu_indices(width + 1)] = flat[width + 1 :] / n
                     scatter = scatter + np.triu(scatter, 1).T
@@ -143,7 +186,7 @@ class Linear:
                     names = [x.split()[0] for x in COEFFICIENTS.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        return LinearModels(reliable(moments(rows, columns, label).mapInArrow(solve, COEFFICIENTS)), tuple(columns))
+        return LinearModels(reliable(sums.mapInArrow(solve, COEFFICIENTS)), tuple(columns))
 
 
 @dataclass(frozen=True)

@@ -13,18 +13,19 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.checkpoint import reliable
 from isohyet.functions.numeric import clamp, ratio
-from isohyet.models.linear import Linear, LinearModels
+from isohyet.models.grouped import GROUP
+from isohyet.models.linear import Linear, LinearModels, at_cut, before_cuts, moments
 from isohyet.models.trees import Forest, boosted_trees, extra_trees, random_forest
 from isohyet.operators.features import FORECAST_COLUMNS, PANEL_COLUMNS, TREND_COLUMNS
 from isohyet.operators.features import forecast_features, future_features, target_features, trend_features
 from isohyet.operators.forecast import agreement_confidence, trend_adjusted_forecast
 from isohyet.operators.rolling import gradient
-from isohyet.series import KEY, by_series, in_time_order
+from isohyet.series import KEY, by_series, in_time_order, with_length
 
 SEED = 42
 VERSION = "2.0"
@@ -241,6 +242,30 @@ def train_forecast_ensemble(series: DataFrame, month: int, sizes: Sizes = FORECA
     return fitted.unionByName(rest, allowMissingColumns=True)
 
 
+def walk_forward_linear(
+    series: DataFrame, horizon: int = 12, model: Linear = Linear(), columns: Sequence[str] = tuple(FORECAST_COLUMNS)
+) -> DataFrame:
+    """One-step forecasts of each series' last ``horizon`` periods by the model of its variable refitted before each.
+
+    The model for the k-th of them knows the rows of every series of the variable up to its own k-th held period.  The rows
+    are read once: every cut adds its matrix of products to the one before.  Where a feature is missing or nothing was
+    learned, the mean of the series so far stands in.  Series shorter than ``horizon`` + 24 periods have no rows.
+    """
+    eligible = with_length(series).filter(F.col("n") >= horizon + 24)
+    so_far = F.avg("value").over(in_time_order().rowsBetween(Window.unboundedPreceding, -1))
+    held = F.col("t") >= F.col("n") - horizon
+    last = eligible.withColumn("_mean", so_far).filter(held & F.col("value").isNotNull()).select(*KEY, "t", "_mean")
+    rows = with_length(forecast_features(eligible.drop("n")))
+    cut = F.greatest(F.col("t") - F.col("n") + horizon + 1, F.lit(0)).cast("int")
+    rows = reliable(rows.select(*KEY, "t", "value", cut.alias("_cut"), *columns))
+    parts = moments(rows.withColumn(GROUP, at_cut(F.col("_cut"))), columns, "value")
+    models = model.from_moments(before_cuts(parts, horizon, len(columns)), columns)
+    ahead = rows.filter("_cut > 0").withColumns({"_name": F.col(GROUP), GROUP: at_cut(F.col("_cut"))})
+    ahead = models.add(ahead, "prediction").withColumn(GROUP, F.col("_name"))
+    out = last.join(ahead, [*KEY, "t"])
+    return out.select(*KEY, "t", F.coalesce("prediction", "_mean").alias("prediction"), F.col("value").alias("actual"))
+
+
 # --- trend direction ------------------------------------------------------
 
 

@@ -187,3 +187,31 @@ def test_bootstrap_weights_are_poisson(spark):
     for k in range(4):
         assert (w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.005)
     assert (trees.weights_of(Trees(share_weights=5), 1, 3, np.arange(100)) == trees.weights_of(Trees(share_weights=5), 1, 0, np.arange(100))).all()
+
+
+# --- refitted before each held period ---------------------------------------
+
+
+def test_walk_forward_equals_refitting_before_each_period(spark):
+    from isohyet.models.panel import walk_forward_linear
+    from isohyet.operators.features import forecast_features
+
+    r = random.Random(5)
+    lengths = {(1, "a"): 60, (2, "a"): 48, (3, "a"): 90, (1, "b"): 40, (2, "b"): 15, (4, None): 50}
+    data = [(i, v, t, None if (i, t) in ((1, 57), (3, 88)) else 10 * math.sin(t / 2) + i + r.gauss(0, 1), float(i), 2.0) for (i, v), n in lengths.items() for t in range(n)]
+    df = spark.createDataFrame(data, "location_id long, variable string, t int, value double, lat double, lon double").repartition(3)
+    columns, horizon = ["lag_1", "lag_2", "month_sin", "std_12"], 6
+    got = {(g["location_id"], g["variable"], g["t"]): g["prediction"] for g in walk_forward_linear(df, horizon, columns=columns).collect()}
+    known = [f for f in forecast_features(df).collect() if (f["location_id"], f["variable"]) in lengths]
+    end = lambda f: lengths[f["location_id"], f["variable"]]
+    held = [f for f in known if f["t"] >= end(f) - horizon and f["value"] is not None and end(f) >= horizon + 24 and f["variable"]]
+    assert set(got) == {(f["location_id"], f["variable"], f["t"]) for f in held}
+    for f in held:
+        step = f["t"] - end(f)
+        old = [g for g in known if g["variable"] == f["variable"] and end(g) >= horizon + 24 and g["t"] - end(g) < step and None not in [g["value"], *[g[c] for c in columns]]]
+        x = np.array([[1.0, *[g[c] for c in columns]] for g in old])
+        w = np.linalg.lstsq(x, np.array([g["value"] for g in old]), rcond=None)[0]
+        now = [f[c] for c in columns]
+        past = [d[3] for d in data if d[:2] == (f["location_id"], f["variable"]) and d[2] < f["t"] and d[3] is not None]
+        want = np.mean(past) if None in now else w[0] + np.dot(w[1:], now)
+        assert got[f["location_id"], f["variable"], f["t"]] == pytest.approx(want, abs=1e-8)
