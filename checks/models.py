@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
+from checks import aggregates as aggregate_checks
+from checks import trends as trend_checks
 from checks.aggregates import BOOT_SQL, FORECAST_SQL, MODELS_SQL, PROBS_SQL, QS, RECORDS_SQL, SEASONAL_SQL, SKEW, _skill
 from checks.data import (
     BUCKETS_SQL,
@@ -27,7 +30,7 @@ from checks.joins import MOVED_SQL, _exact_points
 from checks.mathsql import haversine, mean_cents, zone
 from checks.scans import _two_variables
 from checks.spec import Check
-from checks.trends import CHOW_SQL, LINEAR_SQL, PAIRS_SQL, RUNS_SQL, SEASONS_SQL, ZONED_SQL, _runs_total
+from checks.trends import CUSUM_SQL, LINEAR_SQL, PAIRS_SQL, RECURRENCE_SQL, RUNS_SQL, SCAN_SQL, SEASONS_SQL, ZONED_SQL, _runs_total
 from checks.windows import FRAME, LAGS, O, SLOPE_OVER, STATS, W3, W6, W12, W24
 from isohyet.functions.zones import latitude_climatology
 from isohyet.models import panel
@@ -118,18 +121,25 @@ def _spatial(spark, sf):
 CLIMO = "(30 - 0.6 * abs(lat) + (5 + 0.3 * abs(lat)) * cos(2 * pi() * (4 - CASE WHEN lat >= 0 THEN 7 ELSE 1 END) / 12))"
 
 
+SEASON_NAMES = ["winter", "spring", "summer", "autumn"]
+CONDITIONS = [
+    "above_very_hot", "above_hot", "below_cold", "below_very_cold", "above_heavy_rain", "above_very_heavy_rain", "below_dry", "above_windy", "above_very_windy",
+]
+
+
+def _spread(df, name: str, keys):
+    """One column per key of a map column."""
+    return df.withColumns({f"{name}_{k}": F.col(name)[k] for k in keys})
+
+
 def _probability(spark, sf):
     out = reports.weather_probability(placed(monthly(spark, sf)), 4, replicates=100)
-    return out.withColumns({
-        "p_above": F.coalesce(*[F.col("extreme_probabilities")[k] for k in ("above_hot", "above_heavy_rain", "above_windy")]),
-        "winter_slope": F.col("seasonal_slopes")["winter"],
-    })
+    return _spread(_spread(out, "extreme_probabilities", CONDITIONS), "seasonal_slopes", SEASON_NAMES)
 
 
 def _trend_report(mode):
     def run(spark, sf):
-        out = reports.climate_trends(placed(buckets(spark, sf)), mode)
-        return out.withColumn("summer_slope", F.col("seasonal_slopes")["summer"])
+        return _spread(reports.climate_trends(placed(buckets(spark, sf)), mode), "seasonal_slopes", SEASON_NAMES)
 
     return run
 
@@ -156,16 +166,17 @@ def _text(spark, sf):
 
 
 DRIFT_SQL = BUCKETS_SQL.replace("k.t, c.value\n", "k.t, c.value + k.t * k.location_id / 50 AS value\n")
+DESCRIPTION_SQL = """CASE WHEN trend_direction = 'no trend' THEN concat('steady, spread ', trend_strength)
+    ELSE printf('%s by %.3f a year (%s)', CASE WHEN trend_direction = 'increasing' AND slope_per_year > 0 THEN 'rises'
+      WHEN trend_direction = 'decreasing' AND slope_per_year < 0 THEN 'falls' WHEN trend_direction = 'increasing' THEN 'ranks go up, line falls'
+      ELSE 'ranks go down, line rises' END, abs(slope_per_year), trend_strength) END"""
 TEXT_BODY = """
 , x AS (SELECT m.location_id, m.variable, is_significant, trend_direction, confidence, m.p_value, slope_per_year, r_squared, trend_strength FROM mann_kendall m JOIN linear l USING (location_id))
 SELECT location_id, variable, concat(variable, ' - ', CASE WHEN is_significant OR abs(slope_per_year) > 0.01 THEN concat_ws(', ',
     CASE WHEN abs(slope_per_year) > 0.01 THEN printf('fitted line moves by %.3f a year, %s', abs(slope_per_year), trend_strength) END,
     CASE WHEN is_significant THEN concat('rank test finds it ', trend_direction, ' (confidence ', confidence, ')') END)
   ELSE 'nothing stands out' END) AS summary,
-  CASE WHEN trend_direction = 'no trend' THEN concat('steady, spread ', trend_strength)
-    ELSE printf('%s by %.3f a year (%s)', CASE WHEN trend_direction = 'increasing' AND slope_per_year > 0 THEN 'rises'
-      WHEN trend_direction = 'decreasing' AND slope_per_year < 0 THEN 'falls' WHEN trend_direction = 'increasing' THEN 'ranks go up, line falls'
-      ELSE 'ranks go down, line rises' END, abs(slope_per_year), trend_strength) END AS description,
+  """ + DESCRIPTION_SQL + """ AS description,
   CASE WHEN is_significant THEN (1 - p_value + r_squared) / 2 ELSE r_squared END AS confidence_score FROM x"""
 
 _rest = lambda sql, base: sql.replace(base.strip() + ",", "").strip()
@@ -193,6 +204,128 @@ SELECT f.location_id, f.variable, f.t, f.value AS actual,
 FROM f JOIN past ON past.location_id = f.location_id AND past.t = f.t LEFT JOIN done ON done.variable = f.variable AND done.k = f.t WHERE f.t >= 68 AND f.value IS NOT NULL""")
 
 
+
+def _sql_of(checks, name: str, was: str = "", base: str = "", rows: str = "series") -> str:
+    """The SQL of an operator's own check, over other facts or over other rows of the same."""
+    sql = next(c.sql for c in checks.CHECKS if c.name == name)
+    head, cut, body = sql.partition(was.strip()) if was else ("", "", sql)
+    assert not was or cut, name
+    return head + (base or was).strip() + (re.sub(r"\bseries\b", rows, body) if rows != "series" else body)
+
+
+def _joined(first: str, parts: list[tuple[str, str, str]], columns: str = "") -> str:
+    """One row per series: ``first`` and, from each (alias, SQL, columns), the named columns, with the alias before them after a colon."""
+    chosen = [c for _, _, cols in parts for c in cols.split(", ")]
+    joins = "\n".join(f"LEFT JOIN ({sql}) {alias} USING (location_id, variable)" for alias, sql, _ in parts)
+    return f"SELECT location_id, variable, {', '.join(chosen)}{columns} FROM ({first}) place\n{joins}"
+
+
+def _under(alias: str, columns: str, prefix: str = "") -> str:
+    return ", ".join(f"{alias}.{c} AS {prefix}{c}" for c in columns.split())
+
+
+def _seasons_sql(base: str, years: int, least: int) -> str:
+    wide = ", ".join(f"max(slope_per_year) FILTER (WHERE season = '{x}') AS seasonal_slopes_{x}" for x in SEASON_NAMES)
+    return with_sql(SEASONS_SQL(base, years), body=f"SELECT location_id, variable, {wide} FROM seasons WHERE years >= {least} GROUP BY ALL")
+
+
+_BEST_SQL = """SELECT location_id, variable, degree AS best_degree, r_squared AS best_r_squared, aic AS best_aic FROM poly
+QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY aic, degree) = 1"""
+_SLOPES_AT = """SELECT location_id, variable, CASE WHEN n <= 36 THEN 'insufficient_data' WHEN square > 0 THEN 'accelerating' WHEN square < 0 THEN 'decelerating' ELSE 'linear' END AS trend_type,
+  CASE WHEN n <= 36 THEN 0 ELSE square END AS acceleration, n > 36 AND abs(square) > 0.001 AS curvature_significant FROM poly WHERE degree = 2"""
+
+
+def _trend_report_sql(full: bool) -> str:
+    """All columns of the trend report of the two-hour series, from each operator's own SQL."""
+    b, t = BUCKETS_SQL, trend_checks
+    turning = _sql_of(t, "trend_change_scan")
+    turning = re.sub(r"c\.value \+ sin\(k\.t / 40\.0\) \* 40 AS value", "c.value", turning)
+    parts = [
+        ("mk", _sql_of(t, "mann_kendall"), _under("mk", "trend_direction is_significant p_value tau sen_slope confidence", "mk_")),
+        ("lr", _sql_of(t, "linear_trend", MONTHLY_SQL, b), _under("lr", "slope_per_year r_squared p_value trend_strength", "lr_")),
+        ("se", _seasons_sql(b, 30, 5), ", ".join(f"seasonal_slopes_{x}" for x in SEASON_NAMES)),
+        ("de", _sql_of(t, "decadal_comparison"), _under("de", "difference p_value is_significantly_different", "decadal_")),
+        ("pr", _sql_of(t, "project_linear", MONTHLY_SQL, b).replace("(80 + h", "(360 + h"), _under("pr", "projected_change projected_mean uncertainty_range")),
+        ("zo", _sql_of(t, "zone_context", MONTHLY_SQL, b), _under("zo", "climate_zone expected_low expected_high anomaly_threshold")),
+    ]
+    if full:
+        parts += [
+            ("po", with_sql(RECURRENCE_SQL(b), body=_BEST_SQL), _under("po", "best_degree best_r_squared best_aic")),
+            ("cu", CUSUM_SQL(b, 2.5), _under("cu", "change_point_detected change_point_index", "cusum_")),
+            ("va", _sql_of(t, "variance_scan", MONTHLY_SQL, b), _under("va", "change_detected variance_ratio", "variance_")),
+            ("sh", _sql_of(t, "mean_shift_scan"), _under("sh", "shift_detected shift_index shift_magnitude", "shift_")),
+            ("sl", turning, _under("sl", "trend_change_detected change_index", "slope_")),
+            ("ch", _sql_of(t, "chow_scan", SHIP_SQL, b), _under("ch", "structural_break_detected break_point", "chow_")),
+        ]
+    change = "CASE WHEN cusum_change_point_detected THEN 'its level breaks at some period' END" if full else "NULL"
+    counted = with_sql(b, body=f"SELECT location_id, variable, count(value) AS points, any_value({lat_sql('location_id')}) AS lat FROM series GROUP BY 1, 2")
+    texts = f"""concat_ws(', ', CASE WHEN abs(lr_slope_per_year) > 0.01 THEN printf('fitted line moves by %.3f a year, %s', abs(lr_slope_per_year), lr_trend_strength) END,
+  CASE WHEN mk_is_significant THEN concat('rank test finds it ', mk_trend_direction, ' (confidence ', mk_confidence, ')') END, {change})"""
+    score = f"list_avg(list_filter([CASE WHEN mk_is_significant THEN 1 - mk_p_value END, lr_r_squared, {'best_r_squared' if full else 'NULL'}], lambda x: x IS NOT NULL))"
+    return f"""SELECT *, 'ok' AS status, concat(variable, ' - ', CASE WHEN words = '' THEN 'nothing stands out' ELSE words END) AS summary, {score} AS confidence_score
+FROM (SELECT *, {texts} AS words FROM ({_joined(counted, parts, ', place.points, place.lat')}) AS joined) AS worded"""
+
+
+TREND_REPORT = (
+    "location_id:i variable:s points:i lat:d mk_trend_direction:s mk_is_significant:b mk_p_value:d mk_tau:d mk_sen_slope:d mk_confidence:s lr_slope_per_year:d "
+    "lr_r_squared:d lr_p_value:d lr_trend_strength:s seasonal_slopes_winter:d seasonal_slopes_spring:d seasonal_slopes_summer:d seasonal_slopes_autumn:d "
+    "decadal_difference:d decadal_p_value:d decadal_is_significantly_different:b projected_change:d projected_mean:d uncertainty_range:d climate_zone:s "
+    "expected_low:d expected_high:d anomaly_threshold:d status:s summary:s confidence_score:d"
+)
+FULL_REPORT = TREND_REPORT + (
+    " best_degree:i best_r_squared:d best_aic:d cusum_change_point_detected:b cusum_change_point_index:i variance_change_detected:b variance_variance_ratio:d "
+    "shift_shift_detected:b shift_shift_index:i shift_shift_magnitude:d slope_trend_change_detected:b slope_change_index:i chow_structural_break_detected:b chow_break_point:i"
+)
+
+
+def _probability_sql() -> str:
+    """All columns of the probability report of April of the monthly series, from each operator's own SQL."""
+    a, t, m = aggregate_checks, trend_checks, MONTHLY_SQL
+    april = SEASONAL_SQL(4)
+    likely = ", ".join(f"max(probability) FILTER (WHERE condition = '{c}') AS extreme_probabilities_{c}" for c in CONDITIONS)
+    described = "mean median std min max skewness kurtosis p5 p10 p25 p50 p75 p90 p95"
+    parts = [
+        ("ds", _sql_of(a, "describe_series", m, april, "seasonal"), _under("ds", described)),
+        ("ro", _sql_of(a, "robust_stats", BUCKETS_SQL, april, "seasonal"), _under("ro", "iqr robust_mean coefficient_of_variation")),
+        ("fo", with_sql(april, "," + FC, body="SELECT fc.*, variable FROM fc JOIN (SELECT DISTINCT location_id, variable FROM seasonal) USING (location_id)").replace(",\n,", ",\n"),
+         "fo.prediction, 0.6 AS prediction_confidence"),
+        ("ad", f"SELECT location_id, variable, {likely} FROM ({_sql_of(a, 'adjust_probabilities')}) AS adjusted GROUP BY ALL",
+         ", ".join(f"extreme_probabilities_{c}" for c in CONDITIONS)),
+        ("mk", _sql_of(t, "mann_kendall", BUCKETS_SQL, m), _under("mk", "trend_direction is_significant p_value tau z_statistic", "mk_")),
+        ("lr", _sql_of(t, "linear_trend"), _under("lr", "slope_per_year r_squared p_value standard_error trend_strength", "lr_")),
+        ("po", with_sql(RECURRENCE_SQL(m), body=_SLOPES_AT), _under("po", "trend_type acceleration curvature_significant", "poly_")),
+        ("se", _seasons_sql(m, 6, 3), ", ".join(f"seasonal_slopes_{x}" for x in SEASON_NAMES)),
+        ("cu", _sql_of(t, "cusum"), _under("cu", "change_point_detected change_point_index change_magnitude", "cusum_")),
+        ("rz", _sql_of(t, "rolling_zscore_change"), _under("rz", "change_point_detected change_point_index", "rolling_")),
+        ("ha", _sql_of(t, "variance_halves"), _under("ha", "variance_ratio variance_change_detected", "halves_")),
+        ("un", _sql_of(a, "uncertainty"),
+         _under("un", "trend_uncertainty seasonal_uncertainty total_uncertainty uncertainty_level lower_68 upper_68 lower_95 upper_95")),
+        ("pf", _sql_of(a, "seasonal_profile"), _under("pf", "amplitude peak_month trough_month seasonality_strength")),
+        ("iv", _sql_of(a, "interannual_variability", BUCKETS_SQL, m).replace("FROM series GROUP BY ALL", "FROM series WHERE t < 72 GROUP BY ALL"), "iv.interannual"),
+        ("ef", _sql_of(a, "extreme_frequency", BUCKETS_SQL, m), _under("ef", "hot_extremes_percent cold_extremes_percent extreme_threshold_hot extreme_threshold_cold")),
+        ("sa", with_sql(april, body="SELECT location_id, variable, count(*) AS sample_size FROM seasonal GROUP BY ALL"), "sa.sample_size"),
+    ]
+    place = with_sql(m, body=f"""SELECT location_id, variable, any_value({lat_sql('location_id')}) AS lat, any_value({lon_sql('location_id')}) AS lon, count(*) AS periods,
+  any_value({zone(lat_sql('location_id'))}) AS climate_zone FROM series GROUP BY 1, 2""")
+    words = DESCRIPTION_SQL
+    for name in ("trend_direction", "slope_per_year", "trend_strength"):
+        words = re.sub(rf"\b{name}\b", ("mk_" if name == "trend_direction" else "lr_") + name, words)
+    return f"""SELECT *, {words} AS trend_description, 100.0 * sample_size / (periods // 12) AS completeness, periods // 12 AS data_span_years
+FROM ({_joined(place, parts, ', place.lat, place.lon, place.periods, place.climate_zone')}) AS joined"""
+
+
+PROBABILITY_REPORT = (
+    "location_id:i variable:s lat:d lon:d periods:i climate_zone:s mean:d median:d std:d min:d max:d skewness:d kurtosis:d p5:d p10:d p25:d p50:d p75:d p90:d p95:d "
+    "iqr:d robust_mean:d coefficient_of_variation:d prediction:d prediction_confidence:d " + " ".join(f"extreme_probabilities_{c}:d" for c in CONDITIONS) +
+    " mk_trend_direction:s mk_is_significant:b mk_p_value:d mk_tau:d mk_z_statistic:d lr_slope_per_year:d lr_r_squared:d lr_p_value:d lr_standard_error:d "
+    "lr_trend_strength:s poly_trend_type:s poly_acceleration:d poly_curvature_significant:b " + " ".join(f"seasonal_slopes_{x}:d" for x in SEASON_NAMES) +
+    " cusum_change_point_detected:b cusum_change_point_index:i cusum_change_magnitude:d rolling_change_point_detected:b rolling_change_point_index:i "
+    "halves_variance_ratio:d halves_variance_change_detected:b trend_uncertainty:d seasonal_uncertainty:d total_uncertainty:d uncertainty_level:s lower_68:d "
+    "upper_68:d lower_95:d upper_95:d amplitude:d peak_month:i trough_month:i seasonality_strength:s interannual:d hot_extremes_percent:d "
+    "cold_extremes_percent:d extreme_threshold_hot:d extreme_threshold_cold:d sample_size:i trend_description:s completeness:d data_span_years:i"
+)
+
+
 CHECKS = [
     Check(
         "walk_forward_linear", lambda s, d: panel.walk_forward_linear(placed(monthly(s, d)), columns=STEP_COLUMNS),
@@ -279,56 +412,9 @@ FROM mix JOIN moved USING (point_id) LEFT JOIN sp ON sp.site_id = moved.exact_id
         "trend_texts", _text, "location_id:i variable:s summary:s description:s confidence_score:d",
         with_sql(PAIRS_SQL(DRIFT_SQL), "," + _rest(LINEAR_SQL(DRIFT_SQL), DRIFT_SQL), body=TEXT_BODY).replace(",\n,", ",\n"),
     ),
-    Check(
-        "weather_probability", _probability,
-        "location_id:i variable:s climate_zone:s mean:d median:d std:d skewness:d kurtosis:d p5:d p95:d iqr:d robust_mean:d prediction:d "
-        "prediction_confidence:d p_above:d mk_trend_direction:s mk_p_value:d mk_tau:d lr_slope_per_year:d lr_r_squared:d lr_p_value:d "
-        "lr_trend_strength:s winter_slope:d total_uncertainty:d lower_95:d upper_95:d amplitude:d peak_month:i interannual:d "
-        "hot_extremes_percent:d sample_size:i completeness:d data_span_years:i",
-        with_sql(BOOT_SQL(PROBS_SQL(4), 100), "," + FC, "," + _rest(PAIRS_SQL(MONTHLY_SQL), MONTHLY_SQL), "," + _rest(LINEAR_SQL(MONTHLY_SQL), MONTHLY_SQL),
-                 "," + _rest(SEASONS_SQL(MONTHLY_SQL, 6), MONTHLY_SQL), body=f"""
-, slopes AS (SELECT location_id, b, 12 * regr_slope(value, pos) AS s, any_value(n) AS n FROM draws GROUP BY 1, 2),
-tr AS (SELECT location_id, CASE WHEN any_value(n) > 24 THEN stddev_pop(s) ELSE 0 END AS tu FROM slopes GROUP BY 1),
-d AS (SELECT s.location_id, s.variable, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, {SKEW} AS skewness, kurtosis_pop(value) AS kurtosis, {QS}, count(*) AS sample_size
-  FROM (SELECT *, avg(value) OVER (PARTITION BY location_id) AS m FROM seasonal) s GROUP BY 1, 2),
-rb AS (SELECT s.location_id, avg(value) AS robust_mean FROM seasonal s JOIN d USING (location_id) WHERE value BETWEEN p25 - 1.5 * (p75 - p25) AND p75 + 1.5 * (p75 - p25) GROUP BY 1),
-raw AS (SELECT p.location_id, p.condition, p.probability + 0.6 * CASE
-    WHEN prediction > q.p95 THEN CASE condition WHEN 'above_very_hot' THEN 25 WHEN 'above_hot' THEN 15 ELSE 0 END
-    WHEN prediction > q.p90 THEN CASE condition WHEN 'above_very_hot' THEN 10 WHEN 'above_hot' THEN 20 ELSE 0 END
-    WHEN prediction < q.p10 THEN CASE condition WHEN 'below_cold' THEN 20 WHEN 'below_very_cold' THEN 15 ELSE 0 END ELSE 0 END AS r
-  FROM probs p JOIN fc USING (location_id) JOIN q USING (location_id)),
-adj AS (SELECT location_id, condition, greatest(0.1, CASE WHEN total > 80 THEN r * 80 / total ELSE r END) AS p FROM (SELECT *, sum(r) OVER (PARTITION BY location_id) AS total FROM raw)),
-pa AS (SELECT location_id, p AS p_above FROM adj WHERE condition IN ('above_hot', 'above_heavy_rain', 'above_windy')),
-mm AS (SELECT location_id, t % 12 + 1 AS month, avg(value) AS v FROM series WHERE t < 72 GROUP BY ALL),
-amp AS (SELECT location_id, max(v) - min(v) AS amplitude, arg_max(month, v) AS peak_month FROM mm GROUP BY 1),
-yr AS (SELECT location_id, stddev_pop(v) AS interannual FROM (SELECT location_id, t // 12 AS y, avg(value) AS v FROM series WHERE t < 72 GROUP BY ALL) GROUP BY 1),
-hq AS (SELECT location_id, quantile_cont(value, 0.95) AS hi FROM series GROUP BY 1),
-hot AS (SELECT location_id, 100.0 * count(*) FILTER (WHERE value > hi) / count(value) AS hot_extremes_percent FROM series JOIN hq USING (location_id) GROUP BY 1),
-ws AS (SELECT location_id, slope_per_year AS winter_slope FROM seasons WHERE season = 'winter' AND years >= 3),
-a AS (SELECT d.*, d.p75 - d.p25 AS iqr, robust_mean, prediction, 0.6 AS prediction_confidence, p_above, mk.trend_direction AS mk_trend_direction, mk.p_value AS mk_p_value, mk.tau AS mk_tau,
-  l.slope_per_year AS lr_slope_per_year, l.r_squared AS lr_r_squared, l.p_value AS lr_p_value, l.trend_strength AS lr_trend_strength, winter_slope,
-  sqrt(d.std ** 2 + tu ** 2 + d.std ** 2 / sample_size) AS total_uncertainty, amplitude, peak_month, interannual, hot_extremes_percent, sample_size / 6.0 * 100 AS completeness, 6 AS data_span_years
-FROM d JOIN rb USING (location_id) JOIN fc USING (location_id) JOIN pa USING (location_id) JOIN mann_kendall mk USING (location_id) JOIN linear l USING (location_id) LEFT JOIN ws USING (location_id)
-JOIN tr USING (location_id) JOIN amp USING (location_id) JOIN yr USING (location_id) JOIN hot USING (location_id))
-SELECT *, {zone(lat_sql('location_id'))} AS climate_zone, mean - 2 * total_uncertainty AS lower_95, mean + 2 * total_uncertainty AS upper_95 FROM a""").replace(",\n,", ",\n"),
-    ),
-    Check(
-        "climate_trends_fast", _trend_report("fast"),
-        "location_id:i variable:s points:i status:s summary:s confidence_score:d mk_trend_direction:s mk_p_value:d mk_sen_slope:d lr_slope_per_year:d lr_p_value:d summer_slope:d projected_change:d climate_zone:s",
-        with_sql(PAIRS_SQL(BUCKETS_SQL), "," + _rest(LINEAR_SQL(BUCKETS_SQL), BUCKETS_SQL), "," + _rest(SEASONS_SQL(BUCKETS_SQL, 30), BUCKETS_SQL), body=f"""
-, texts AS ({TEXT_BODY.strip().lstrip(',').strip().replace('x AS (SELECT', 'WITH x AS (SELECT', 1)})
-SELECT m.location_id, m.variable, m.points, 'ok' AS status, texts.summary, texts.confidence_score, m.trend_direction AS mk_trend_direction, m.p_value AS mk_p_value, m.sen_slope AS mk_sen_slope,
-  l.slope_per_year AS lr_slope_per_year, l.p_value AS lr_p_value, s.slope_per_year AS summer_slope, l.slope * 120 AS projected_change, {zone(lat_sql('m.location_id'))} AS climate_zone
-FROM mann_kendall m JOIN linear l USING (location_id) JOIN texts USING (location_id) JOIN seasons s ON s.location_id = m.location_id AND s.season = 'summer'""").replace(",\n,", ",\n"),
-    ),
-    Check(
-        "climate_trends", _trend_report("full"),
-        "location_id:i variable:s status:s mk_trend_direction:s lr_slope_per_year:d chow_structural_break_detected:b chow_break_point:i projected_change:d",
-        with_sql(PAIRS_SQL(BUCKETS_SQL), "," + _rest(LINEAR_SQL(BUCKETS_SQL), BUCKETS_SQL), "," + _rest(CHOW_SQL(BUCKETS_SQL), BUCKETS_SQL), body="""
-, best AS (SELECT location_id, arg_max(break_point, f_statistic) AS bp, min(p_value) AS p FROM chow GROUP BY 1)
-SELECT m.location_id, m.variable, 'ok' AS status, m.trend_direction AS mk_trend_direction, l.slope_per_year AS lr_slope_per_year, p < 0.05 AS chow_structural_break_detected,
-  CASE WHEN p < 0.05 THEN bp END AS chow_break_point, l.slope * 120 AS projected_change FROM mann_kendall m JOIN linear l USING (location_id) JOIN best USING (location_id)""").replace(",\n,", ",\n"),
-    ),
+    Check("weather_probability", _probability, PROBABILITY_REPORT, _probability_sql()),
+    Check("climate_trends_fast", _trend_report("fast"), TREND_REPORT, _trend_report_sql(False)),
+    Check("climate_trends", _trend_report("full"), FULL_REPORT, _trend_report_sql(True)),
     Check(
         "climate_indicators", _indicators, "location_id:i variable:s indicator:s value:d",
         with_sql(ZONED_SQL(BUCKETS_SQL), "," + RUNS_SQL("hw", "value > hot", 3), "," + RUNS_SQL("cs", "value < cold", 3), "," + RUNS_SQL("dr", "value < dry", 6),

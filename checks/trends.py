@@ -62,6 +62,17 @@ poly AS (
   FROM fits
 )"""
 
+# monic orthogonal polynomials of the series' own periods by the three-term recurrence, gaps or not
+RECURRENCE_SQL = lambda base: f"""
+{base.strip()},
+r0 AS (SELECT location_id, variable, CAST(t AS DOUBLE) AS t, value - avg(value) OVER g AS c, t - avg(t) OVER g AS p1 FROM series WHERE value IS NOT NULL WINDOW g AS (PARTITION BY location_id)),
+r1 AS (SELECT *, (t - sum(t * p1 * p1) OVER g / sum(p1 * p1) OVER g) * p1 - sum(p1 * p1) OVER g / count(*) OVER g AS p2 FROM r0 WINDOW g AS (PARTITION BY location_id)),
+r2 AS (SELECT *, (t - sum(t * p2 * p2) OVER g / sum(p2 * p2) OVER g) * p2 - sum(p2 * p2) OVER g / sum(p1 * p1) OVER g * p1 AS p3 FROM r1 WINDOW g AS (PARTITION BY location_id)),
+r3 AS (SELECT location_id, variable, count(*) AS n, sum(c * c) AS tss, sum(c * p2) / sum(p2 * p2) AS square, sum(c * p1) ** 2 / sum(p1 * p1) AS g1,
+  sum(c * p2) ** 2 / sum(p2 * p2) AS g2, sum(c * p3) ** 2 / sum(p3 * p3) AS g3 FROM r2 GROUP BY 1, 2),
+degrees AS (SELECT *, d AS degree, tss - g1 - CASE WHEN d >= 2 THEN g2 ELSE 0 END - CASE WHEN d >= 3 THEN g3 ELSE 0 END AS rss FROM r3 CROSS JOIN range(1, 4) r(d)),
+poly AS (SELECT location_id, variable, degree, square, n, 1 - rss / tss AS r_squared, n * ln(rss / n) + 2 * (degree + 1) AS aic FROM degrees)"""
+
 PAIRS_SQL = lambda base: f"""
 {base.strip()},
 v AS (SELECT * FROM series WHERE value IS NOT NULL),
