@@ -267,10 +267,11 @@ SELECT location_id, variable, count(*) AS years, stddev_pop(v) AS interannual FR
     Check(
         "warming_between_decades",
         lambda s, d: stats.warming_between_decades(stats.decade_stats(monthly_records(_two_variables(s, d), 1995)), 7),
-        "location_id:i decades:i temperature_change:d warming_rate:d",
+        "location_id:i decades:i temperature_change:d warming_rate:d warming_trend:s",
         with_sql(RECORDS_SQL, body="""
 SELECT location_id, count(*) AS decades, CASE WHEN count(*) >= 2 THEN arg_max(avg_temperature, decade) - arg_min(avg_temperature, decade) END AS temperature_change,
-  CASE WHEN count(*) >= 2 THEN round_even((arg_max(avg_temperature, decade) - arg_min(avg_temperature, decade)) / 7, 3) END AS warming_rate
+  CASE WHEN count(*) >= 2 THEN round_even((arg_max(avg_temperature, decade) - arg_min(avg_temperature, decade)) / 7, 3) END AS warming_rate,
+  CASE WHEN count(*) >= 2 THEN printf('%s%.2f°C over %d years (%.3f°C/year)', CASE WHEN temperature_change > 0 THEN '+' ELSE '' END, temperature_change, 7, warming_rate) ELSE 'N/A' END AS warming_trend
 FROM decades GROUP BY 1"""),
     ),
     Check(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.data import (
@@ -24,6 +27,7 @@ from checks.data import (
 from checks.mathsql import P_VALUE, SLOPE, haversine, line, strength, zone
 from checks.scans import GRID_LINES_SQL, OUTLOOK_SQL, _outlooks, grid
 from checks.spec import Check
+from isohyet.checkpoint import ensure_checkpoint_dir
 from isohyet.operators import events, fill, forecast, quality, spatial, stats, trends
 from isohyet.plans import reports
 from isohyet.series import KEY
@@ -137,14 +141,24 @@ def _places(spark, sf):
     )
 
 
-def _strongest(spark, sf):
-    """First of the largest values, as every scan picks its winner."""
-    df = monthly(spark, sf)
-    v = F.when(F.col("value").isNotNull(), F.round("value", 0))
-    return df.groupBy(*KEY).agg(
-        F.max_by("t", F.when(v.isNotNull(), F.struct(v, -F.col("t")))).alias("largest_at"),
-        F.min_by("t", F.when(v.isNotNull(), F.struct(v, F.col("t")))).alias("smallest_at"),
-    )
+MISSPELT = ["suplier#000000017", "Supplier#00000042", "suppleir#000000003"]
+
+
+def _misspelt(spark, sf):
+    """The index is written once; every search reads its own trigrams of it."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/places-{uuid.uuid4().hex}"
+    spatial.write_place_index(_places(spark, sf), path)
+    found = [spatial.search_place_index(spark.read.parquet(path), x, 7).withColumn("asked", F.lit(x)) for x in MISSPELT]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+GRAMS_SQL = lambda name: f"list_distinct(list_transform(range(1, length({name}) + 2), lambda i: substr('  ' || lower({name}) || ' ', i, 3)))"
+
+
+def _idw_sources(spark, sf):
+    s = sites(spark, sf).withColumnRenamed("site_id", "sample_id")
+    return spatial.idw_sources(points(spark, sf), s, 4)
 
 
 def _head(spark, sf):
@@ -275,7 +289,7 @@ FROM (SELECT location_id, variable, t % 12 AS ph FROM series WHERE value IS NOT
         "point_id:i site_id:i distance_km:d rank:i", KNN_SQL(3, PLANAR),
     ),
     Check(
-        "strongest_point", _strongest, "location_id:i variable:s largest_at:i smallest_at:i",
+        "strongest_point", lambda s, d: stats.strongest_points(monthly(s, d).withColumn("value", F.round("value", 0))), "location_id:i variable:s largest_at:i smallest_at:i",
         with_sql(MONTHLY_SQL, body="""
 SELECT location_id, variable, arg_min(t, t) FILTER (WHERE v = hi) AS largest_at, arg_min(t, t) FILTER (WHERE v = lo) AS smallest_at
 FROM (SELECT *, round(value, 0) AS v, max(round(value, 0)) OVER (PARTITION BY location_id) AS hi,
@@ -290,6 +304,22 @@ FROM (SELECT *, round(value, 0) AS v, max(round(value, 0)) OVER (PARTITION BY lo
         with_sql(SITES_SQL, body="""
 SELECT site_id AS place_id, s_name AS display_name, value AS importance FROM sites WHERE contains(lower(s_name), '#00000001')
 ORDER BY value DESC, s_name, site_id LIMIT 10"""),
+    ),
+    Check(
+        "search_places_misspelt", _misspelt, "asked:s place_id:i display_name:s importance:d similarity:d",
+        with_sql(SITES_SQL, body=f"""
+, asked AS (SELECT unnest({MISSPELT}) AS asked),
+g AS (SELECT *, {GRAMS_SQL('asked')} AS a, {GRAMS_SQL('s_name')} AS b FROM asked CROSS JOIN sites),
+x AS (SELECT asked, site_id AS place_id, s_name AS display_name, value AS importance, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM g)
+SELECT * FROM x WHERE similarity >= 0.3
+QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, importance DESC, display_name, place_id) <= 7"""),
+    ),
+    Check(
+        "idw_sources", _idw_sources, "point_id:i sample_id:i value:d distance:d weight:d rank:i",
+        with_sql(POINTS_SQL, SITES_SQL, body=f"""
+, near AS (SELECT point_id, site_id AS sample_id, value, {PLANAR} AS distance, row_number() OVER (PARTITION BY point_id ORDER BY {PLANAR}, site_id) AS rank
+  FROM points p CROSS JOIN sites s QUALIFY rank <= 4)
+SELECT *, pow(greatest(distance, 1e-10), -2) / sum(pow(greatest(distance, 1e-10), -2)) OVER (PARTITION BY point_id) AS weight FROM near"""),
     ),
     Check(
         "union_all",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from checks.data import BUCKETS_SQL, MONTHLY_SQL, SITES_SQL, buckets, lat_sql, lon_sql, monthly, placed, sites, with_sql
 from checks.spec import Check
 from isohyet.checkpoint import ensure_checkpoint_dir
-from checks.models import TREND_BODY
+from checks.models import FULL_REPORT, PROBABILITY_REPORT, SEASON_NAMES, TREND_BODY, _spread, spread_probability
 from isohyet.models import panel
 from isohyet.models.linear import Linear
 from isohyet.operators import features
+from isohyet.plans import trained
 from isohyet.series import KEY
 from isohyet.sources import readers
 
@@ -195,5 +196,13 @@ SELECT s_name AS display_name, CAST(printf('%.2f', lat) AS DOUBLE) AS lat, CAST(
         "tree_intervals", lambda s, d: panel.tree_intervals(placed(buckets(s, d))),
         "location_id:i variable:s lead:i status:s lower_95:d lower_80:d upper_80:d upper_95:d", heavy=True,
     ),
+    Check(
+        "weather_probability_trained", lambda s, d: spread_probability(trained.trained_weather_probability(placed(monthly(s, d)), 4)),
+        PROBABILITY_REPORT + " best_model:s accuracy:d validation_mae:d validation_r2:d status:s", heavy=True,
+    ),
+    Check(
+        "climate_trends_trained", lambda s, d: _spread(trained.trained_climate_trends(placed(buckets(s, d))), "seasonal_slopes", SEASON_NAMES),
+        FULL_REPORT + " ml_ensemble_direction:s ml_ensemble_confidence:d", heavy=True,
+    ),
     Check("tune", _tune, "location_id:i variable:s candidate:i cv_mae:d mae:d rows:i", heavy=True),
 ]

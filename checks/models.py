@@ -132,9 +132,12 @@ def _spread(df, name: str, keys):
     return df.withColumns({f"{name}_{k}": F.col(name)[k] for k in keys})
 
 
+def spread_probability(report):
+    return _spread(_spread(report, "extreme_probabilities", CONDITIONS), "seasonal_slopes", SEASON_NAMES)
+
+
 def _probability(spark, sf):
-    out = reports.weather_probability(placed(monthly(spark, sf)), 4, replicates=100)
-    return _spread(_spread(out, "extreme_probabilities", CONDITIONS), "seasonal_slopes", SEASON_NAMES)
+    return spread_probability(reports.weather_probability(placed(monthly(spark, sf)), 4, replicates=100))
 
 
 def _trend_report(mode):

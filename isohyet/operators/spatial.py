@@ -32,9 +32,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def in_chunks(rows: DataFrame, by: Sequence[str], payload: Sequence[str], size: int = CHUNK) -> DataFrame:
-    """Arrays of about ``size`` rows per ``by`` group; a hot group gets many chunks."""
+def in_chunks(rows: DataFrame, by: Sequence[str], payload: Sequence[str], size: int = CHUNK, one_group: bool = False) -> DataFrame:
+    """Arrays of about ``size`` rows per ``by`` group; a hot group gets many chunks.
+
+    ``one_group`` says that ``by`` has one value, so the counts are one row that goes to all tasks and no row is moved for it.
+    """
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = F.broadcast(counts) if one_group else counts
     spread = F.expr(f"pmod(xxhash64({', '.join(payload)}), cast(ceil(_cnt / {size}) as bigint))")
     return (
         rows.join(counts, list(by))
@@ -307,14 +311,15 @@ def idw(points: DataFrame, samples: DataFrame, by: Sequence[str] = (), floor: fl
     Points and samples both travel as chunks, and the chunks of a group are dealt over a grid of keys with about
     BLOCKS of each side, so one group is many tasks and no pair of rows is shuffled.
     """
-    by = list(by)
-    if not by:
+    by, one_group = list(by), not by
+    if one_group:
         by = ["_all"]
         points, samples = (x.withColumn("_all", F.lit(0)) for x in (points, samples))
-    left = in_chunks(points, by, ["point_id", *COORDS], CHUNK).withColumnRenamed("chunk", "_points")
-    right = in_chunks(samples, by, ["sample_id", *COORDS, "value"], CHUNK)
+    left = in_chunks(points, by, ["point_id", *COORDS], CHUNK, one_group).withColumnRenamed("chunk", "_points")
+    right = in_chunks(samples, by, ["sample_id", *COORDS, "value"], CHUNK, one_group)
     parts = lambda rows, name: rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCKS).cast("int").alias(name))
-    sizes = parts(left, "_rows").join(parts(right, "_cols"), by)
+    one_row = F.broadcast if one_group else lambda rows: rows
+    sizes = one_row(parts(left, "_rows").join(one_row(parts(right, "_cols")), by))
     dealt = lambda chunk, n: F.pmod(F.xxhash64(chunk), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.join(sizes, by).withColumn("_row", dealt("_points", "_rows")).withColumn("_col", every("_cols"))
@@ -337,6 +342,17 @@ def idw(points: DataFrame, samples: DataFrame, by: Sequence[str] = (), floor: fl
     )
 
 
+def idw_sources(points: DataFrame, samples: DataFrame, k: int = 5, floor: float = 1e-10) -> DataFrame:
+    """The ``k`` nearest samples of each point with their distances in degrees and their shares of the inverse squared weights."""
+    near = nearest_sites(points, samples.withColumnRenamed("sample_id", "site_id"), k, "planar")
+    inverse = F.pow(F.greatest(F.col("distance"), F.lit(floor)), F.lit(-2))
+    share = inverse / F.sum(inverse).over(Window.partitionBy("point_id"))
+    values = samples.select(F.col("sample_id").alias("site_id"), "value")
+    return near.withColumn("weight", share).join(values, "site_id").select(
+        "point_id", F.col("site_id").alias("sample_id"), "value", "distance", "weight", "rank"
+    )
+
+
 def exact_site(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Left join on equal coordinates, compared as decimals."""
     key = lambda: [
@@ -378,6 +394,44 @@ def search_places(places: DataFrame, text: str, limit: int = 5) -> DataFrame:
     ).limit(limit)
 
 
+def trigrams(name: Column) -> Column:
+    """Distinct runs of three characters of the lower-cased name, with two blanks before it and one behind."""
+    padded = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+
+
+def place_index(places: DataFrame) -> DataFrame:
+    """One row per place and trigram of its name; places without a name have none."""
+    named = places.filter(F.col("display_name").isNotNull()).select("place_id", "display_name", "importance").distinct()
+    grams = named.withColumn("_grams", trigrams(F.col("display_name")))
+    return grams.select("place_id", "display_name", "importance", F.size("_grams").alias("grams"), F.explode("_grams").alias("gram"))
+
+
+def write_place_index(places: DataFrame, path: str) -> None:
+    """The index sorted by trigram, so that a search reads only row groups that hold its own; a frequent trigram fills many files."""
+    ordered = place_index(places).repartitionByRange("gram", "place_id").sortWithinPartitions("gram", "place_id")
+    ordered.write.mode("overwrite").parquet(path)
+
+
+def search_place_index(index: DataFrame, text: str, limit: int = 5, least: float = 0.3) -> DataFrame:
+    """Places whose names share most trigrams with ``text``, so typing errors are forgiven; ties go to the more important.
+
+    ``similarity`` is shared over all distinct trigrams of both; places below ``least`` are left out.
+    """
+    padded = f"  {text.lower()} "
+    wanted = sorted({padded[i : i + 3] for i in range(len(padded) - 2)})
+    shared = index.filter(F.col("gram").isin(wanted)).groupBy("place_id", "display_name", "importance", "grams").agg(
+        F.count(F.lit(1)).alias("_shared")
+    )
+    found = shared.withColumn("similarity", F.col("_shared") / (F.col("grams") + len(wanted) - F.col("_shared")))
+    return (
+        found.filter(F.col("similarity") >= least)
+        .orderBy(F.desc("similarity"), F.desc("importance"), "display_name", "place_id")
+        .limit(limit)
+        .select("place_id", "display_name", "importance", "similarity")
+    )
+
+
 def global_grid(spark, step: int = 5) -> DataFrame:
     """Points every ``step`` degrees between 85 south and 85 north, with zone labels."""
     from isohyet.functions.zones import zone_modifier

@@ -81,6 +81,16 @@ def robust_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def strongest_points(df: DataFrame) -> DataFrame:
+    """Periods of each series' largest and smallest value, the first of equals; null where a series has no value."""
+    v = F.col("value")
+    known = lambda score: F.when(v.isNotNull(), score)
+    return df.groupBy(*KEY).agg(
+        F.max_by("t", known(F.struct(v, -F.col("t")))).alias("largest_at"),
+        F.min_by("t", known(F.struct(v, F.col("t")))).alias("smallest_at"),
+    )
+
+
 def return_periods(df: DataFrame, values: Sequence[float]) -> DataFrame:
     """How many periods pass, on average, until each value is reached again."""
     v = F.col("value")

@@ -170,3 +170,31 @@ def test_no_series_vanishes(two_scales):
     assert {(r["location_id"], r["variable"]) for r in forecast} == series_ and len(forecast) == len(series_)
     for r in forecast:
         assert (r["prediction"] > 500) == (r["variable"] == "precipitation")
+
+
+def test_trained_reports(series):
+    from isohyet.plans import reports, trained
+
+    plain = {(r["location_id"], r["variable"]): r for r in rows(reports.weather_probability(series, 6, replicates=20))}
+    predicted = {(r["location_id"], r["variable"]): r for r in rows(panel.train_forecast_ensemble(series, 6, SMALL))}
+    out = rows(trained.trained_weather_probability(series, 6, SMALL, 20))
+    assert len(out) == len(plain) == 5
+    changed = {"prediction", "prediction_confidence", "extreme_probabilities", "best_model", "accuracy", "validation_mae", "validation_r2", "status"}
+    for r in out:
+        key = r["location_id"], r["variable"]
+        assert {k: v for k, v in r.items() if k not in changed} == {k: v for k, v in plain[key].items() if k not in changed}
+        assert r["prediction"] == pytest.approx(predicted[key]["prediction"]) and r["status"] == predicted[key]["status"]
+        assert r["prediction_confidence"] == pytest.approx(predicted[key]["confidence"])
+    assert {r["status"] for r in out if r["location_id"] == 9} == {"seasonal forecast"}
+
+    learned = {r["location_id"]: r for r in rows(panel.trend_direction_models(series, SMALL, 2)[0])}
+    plain = {r["location_id"]: r for r in rows(reports.climate_trends(series, "fast"))}
+    out = rows(trained.trained_climate_trends(series, "fast", SMALL, 2))
+    assert len(out) == 5
+    for r in out:
+        base, ml = plain[r["location_id"]], learned.get(r["location_id"])
+        assert r["ml_ensemble_direction"] == (ml and ml["ensemble_direction"]) and r["mk_tau"] == base["mk_tau"]
+        if r["status"] == "ok":
+            parts = [1 - base["mk_p_value"]] * base["mk_is_significant"] + [base["lr_r_squared"]] + [ml["ensemble_confidence"]]
+            assert r["confidence_score"] == pytest.approx(sum(parts) / len(parts))
+            assert ("learned models expect it" in r["summary"]) == (ml["ensemble_confidence"] > 0.6)
