@@ -60,14 +60,19 @@ class Trie:
                     self.stem.append(None)
                 at = self.children[at][c]
             ends[at] = term
-        # of one part more than the edits one is left as it is: the word begins with the first, ends with the last or has
-        # the middle one of three
-        fuzzy = [(w, len(w) // (allowed_edits(w) + 1)) for w in words if allowed_edits(w)]
-        self.heads = {w[:k] for w, k in fuzzy}
-        self.tails = {w[(len(w) - k if allowed_edits(w) == 2 else k) :] for w, k in fuzzy}
-        self.middles = {w[k : len(w) - k] for w, k in fuzzy if allowed_edits(w) == 2}
-        self.head_sizes, self.tail_sizes, self.middle_sizes = (sorted(set(map(len, x))) for x in (self.heads, self.tails, self.middles))
-        self.sizes = {n for w, _ in fuzzy for n in range(len(w) - allowed_edits(w), len(w) + allowed_edits(w) + 1)}
+        # of one part more than the edits one is left as it is, and it moves by no more than the edits: (begin, length) of such
+        # a part in words of each size, and the strings that can stand there
+        self.parts: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for term in words:
+            n, size = allowed_edits(term), len(term)
+            cuts = [size * i // (n + 1) for i in range(n + 2)]
+            for other in range(size - n, size + n + 1) if n else ():
+                places = self.parts.setdefault(other, {})
+                for begin, end in zip(cuts, cuts[1:]):
+                    # edits before the part move it, edits behind it change the rest
+                    for moved in {0} if begin == 0 else {other - size} if end == size else range(-n, n + 1):
+                        if abs(moved) + abs(other - size - moved) <= n and begin + moved >= 0:
+                            places.setdefault((begin + moved, end - begin), set()).add(term[begin:end])
 
     def exact(self, word: str) -> tuple[str, int, bool] | None:
         at, stem = 0, None
@@ -83,15 +88,10 @@ class Trie:
         """(term, edits, is a stem): a stem of the word or the term itself, else the nearest term within its edits, the smallest of equals."""
         if hit := self.exact(word):
             return hit
-        if len(word) not in self.sizes:
-            return None
-        if not (
-            any(word[:k] in self.heads for k in self.head_sizes)
-            or any(word[-k:] in self.tails for k in self.tail_sizes)
-            or any(word[i : i + k] in self.middles for k in self.middle_sizes for i in range(1, len(word) - k + 1))
-        ):
-            return None
-        return self._automaton(word)
+        places = self.parts.get(len(word))
+        if places and any(word[i : i + k] in strings for (i, k), strings in places.items()):
+            return self._automaton(word)
+        return None
 
     def _automaton(self, word: str) -> tuple[str, int, bool] | None:
         """Walk the trie with the word's Levenshtein automaton: bit i of a state says that i letters of the word are matched.
