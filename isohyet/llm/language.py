@@ -1,17 +1,19 @@
 """Operator 8: language identification by prediction by partial matching.
 
-Each language has a context tree over bytes of order ORDER with escape method C and full exclusions.  Trees
-are built once from counts of all (ORDER + 1)-byte strings of the learning texts and frozen; a text's
-code length under each is then exact.  Every order-ORDER context of any tree gets a row of code
-lengths per language, so scoring is two look-ups per byte.
+Each language has a context tree over bytes of order ORDER with escape method C and full exclusions.  A tree is its counts
+of all (ORDER + 1)-byte strings of the learning texts, all of which are kept; frozen, they give the exact code length of every
+byte after its context.  Spark works these out for the strings that occur in the documents, one task per context's last two bytes and
+block of languages, and brings them to the documents, which travel in parts of bounded size.  Neither the counts nor the trees come to the
+driver, and any number of languages works in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +21,26 @@ from isohyet.llm.common import materialised
 
 ORDER = 3
 START = b"\n" * ORDER  # stands before every text
-MIN_SHARE = 1e-5  # strings below this share of a language's bytes are not kept: at most 1 / MIN_SHARE per language
-MAX_LANGUAGES = 200
+LANGUAGES = 64  # languages that are scored at a time
 CHUNK_BYTES = 1 << 22  # texts are counted and scored in batches of about so many bytes
+PART_BYTES = 1 << 25  # documents that meet the code lengths of their strings in one task
 
 
-def _gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _strings(texts: Sequence[bytes]) -> np.ndarray:
+    """The 4-byte string that ends at each byte of the texts, as numbers, in their order."""
     data = np.frombuffer(b"".join(START + t for t in texts), np.uint8).astype(np.uint32)
     gram = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    # strings that run into the next text's start marks are not counted
+    # strings that run into the next text's start marks are left out
     ends = np.cumsum([len(t) + ORDER for t in texts])
     inside = np.ones(len(gram), bool)
     for k in range(ORDER):
         at = ends[:-1] - ORDER + k
         inside[at[at < len(gram)]] = False
-    return np.unique(gram[inside], return_counts=True)
+    return gram[inside]
+
+
+def _gram_counts(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(_strings(texts), return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,131 +80,178 @@ def gram_counts(learning: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """Context tree of one language: counts of symbols after each context up to ORDER bytes."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.after: dict[bytes, dict[int, int]] = {}
-        for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
-            string = g.to_bytes(4, "big")
-            for k in range(ORDER + 1):
-                row = self.after.setdefault(string[ORDER - k : ORDER], {})
-                row[string[ORDER]] = row.get(string[ORDER], 0) + n
-
-    def bits(self, context: bytes) -> np.ndarray:
-        """Code lengths of all 256 bytes after a context: escape from the longest known suffix down, excluding what was seen."""
-        out = np.full(256, np.nan)
-        cost, seen = 0.0, np.zeros(256, bool)
-        for k in range(len(context), -1, -1):
-            row = self.after.get(context[len(context) - k :])
-            if not row:
-                continue
-            new = {s: n for s, n in row.items() if not seen[s]}
-            if not new:
-                continue
-            total = sum(new.values()) + len(new)
-            for s, n in new.items():
-                out[s] = cost - np.log2(n / total)
-                seen[s] = True
-            cost -= np.log2(len(new) / total)
-        rest = int((~seen).sum())
-        if rest:
-            out[~seen] = cost + np.log2(rest)
-        return out
-
-
-class Model:
-    """Frozen trees as arrays: which row a 3-byte context has, and code lengths [language][row, byte class]."""
-
-    def __init__(self, trees: dict[str, Tree]):
-        self.languages = sorted(trees)
-        if not trees:
-            return
-        symbols = sorted({s for t in trees.values() for s in t.after.get(b"", {})})
-        # bytes that no tree knows cost the same everywhere in a row: one class stands for all of them
-        self.classes = np.zeros(256, np.int64)
-        other = [s for s in range(256) if s not in set(symbols)]
-        for i, s in enumerate(symbols):
-            self.classes[s] = i + (1 if other else 0)
-        stand_for = ([other[0]] if other else []) + symbols
-        self.width = len(stand_for)
-        contexts = {c for t in trees.values() for c in t.after if len(c) == ORDER}
-        pairs = {c[1:] for c in contexts} | {c for t in trees.values() for c in t.after if len(c) == 2}
-        singles = {c for t in trees.values() for c in t.after if len(c) == 1}
-        rows = [b"", *sorted(singles), *sorted(pairs), *sorted(contexts)]
-        number = {c: i for i, c in enumerate(rows)}
-        # one row per context; a context that no tree knows uses its longest known suffix
-        self.first = np.zeros(256, np.int32)
-        for s in range(256):
-            self.first[s] = number.get(bytes([s]), 0)
-        known = sorted(pairs)
-        self.pair = np.full(65536, -1, np.int32)
-        for i, c in enumerate(known):
-            self.pair[int.from_bytes(c, "big")] = i
-        self.pair_row = np.array([number[c] for c in known] or [0], np.int32)
-        self.triple = np.tile(self.pair_row[:, None], (1, 256)).astype(np.int32)
-        for c in contexts:
-            self.triple[self.pair[int.from_bytes(c[1:], "big")], c[0]] = number[c]
-        self.cost = np.stack([np.stack([trees[x].bits(c)[stand_for] for c in rows]).astype(np.float32).ravel() for x in self.languages])
-
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text (row) under each language (column)."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        out = np.zeros((len(texts), len(self.languages)))
-        data = np.frombuffer(b"".join(START + t for t in texts), np.uint8)
-        begins = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
-        wide = data.astype(np.int32)
-        pair = self.pair[(wide[1:-2] << 8) | wide[2:-1]]
-        row = np.where(pair >= 0, self.triple[pair, wide[:-3]], self.first[wide[2:-1]])
-        at = row.astype(np.int64) * self.width + self.classes[wide[3:]]
-        full = np.flatnonzero(sizes)
-        # each text's bytes are the places begin .. begin + size - 1 of `at`
-        cuts = np.empty(2 * len(full), np.int64)
-        cuts[::2], cuts[1::2] = begins[full], begins[full] + sizes[full]
-        cuts[-1:] = np.minimum(cuts[-1:], len(at))
-        for k in range(len(self.languages)):
-            bits = np.concatenate([self.cost[k][at].astype(np.float64), [0.0]])
-            out[full, k] = np.add.reduceat(bits, cuts)[::2]
-        return out
-
-
-def fit(learning: DataFrame, min_share: float = MIN_SHARE) -> Model:
-    """Trees from the counts of all learning texts; only strings above min_share come to the driver, at most 1 / min_share per language."""
-    counts = materialised(gram_counts(learning))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    if totals.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    kept = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * F.lit(min_share)).select("lang", "gram", "n").toPandas()
-    return Model({lang: Tree(g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in kept.groupby("lang")})
+def code_lengths(counts: Sequence[np.ndarray]) -> np.ndarray:
+    """Bits of every byte, from counts of the bytes after contexts of rising order, each the end of the next.
+
+    Arrays are (contexts, 256), or (1, 256) where all contexts share it.  From the longest context down, a byte that was seen costs
+    its share; others cost an escape and are looked for below among the bytes not seen yet.
+    """
+    unknown = 256 - np.count_nonzero(counts[0], axis=1)[:, None]
+    bits = np.log2(np.maximum(unknown, 1.0))
+    for order, n in enumerate(counts):
+        longer = counts[order + 1] > 0 if order + 1 < len(counts) else False
+        new = (n > 0) & ~np.asarray(longer)
+        distinct = new.sum(1, keepdims=True)
+        total = np.maximum((n * new).sum(1, keepdims=True) + distinct, 1.0)
+        own = np.log2(total) - np.log2(np.maximum(n, 1.0))
+        escape = np.where(distinct > 0, np.log2(total) - np.log2(np.maximum(distinct, 1.0)), 0.0)
+        bits = np.where(new, own, escape + bits)
+    return bits
+
+
+class Short:
+    """Counts of single bytes and of pairs of bytes per language: at most 65,536 numbers each."""
+
+    def __init__(self, rows: pa.Table):
+        k, pair, n = (rows[c].to_numpy() for c in ("k", "pair", "n"))
+        order = np.lexsort((pair, k))
+        self.key, self.n = (k[order].astype(np.int64) << 16) | pair[order], n[order]
+
+    def _between(self, low: int, high: int) -> np.ndarray:
+        a, b = np.searchsorted(self.key, (low, high))
+        return np.bincount(self.key[a:b] & 255, weights=self.n[a:b], minlength=256)[None]
+
+    def after(self, k: int, byte: int) -> np.ndarray:
+        return self._between(k << 16 | byte << 8, (k << 16 | byte << 8) + 256)
+
+    def anywhere(self, k: int) -> np.ndarray:
+        return self._between(k << 16, (k + 1) << 16)
+
+
+def _costs(short, languages: int):
+    """Code lengths of the wanted strings of one pair of bytes under one block of languages."""
+
+    def run(key, wanted: pa.Table, known: pa.Table) -> pa.Table:
+        first, pair = key[0].as_py() * LANGUAGES, key[1].as_py()
+        grams = wanted["gram"].to_numpy()
+        rows, at = np.unique(grams >> 24, return_inverse=True)
+        place = np.full(256, -1)
+        place[rows] = np.arange(len(rows))
+        k, string, n = (known[c].to_numpy() for c in ("k", "gram", "n"))
+        begin, byte = place[string >> 24], string & 255
+        out = np.empty((len(grams), min(LANGUAGES, languages - first)), np.float32)
+        for j in range(out.shape[1]):
+            mine = k == first + j
+            both = np.bincount(byte[mine], weights=n[mine], minlength=256)[None]
+            here = mine & (begin >= 0)
+            longest = np.zeros((len(rows), 256))
+            longest[begin[here], byte[here]] = n[here]
+            bits = code_lengths([short.value.anywhere(first + j), short.value.after(first + j, pair & 255), both, longest])
+            out[:, j] = bits[at, grams & 255]
+        lists = pa.ListArray.from_arrays(np.arange(len(grams) + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
+        return pa.table({"block": pa.array(np.full(len(grams), key[0].as_py()), pa.int32()), "gram": pa.array(grams, pa.int64()), "bits": lists})
+
+    return run
+
+
+def gram_costs(counts: DataFrame, wanted: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(block, gram, bits): code length of each wanted string's last byte under the block's languages, from (lang, gram, n)."""
+    spark = counts.sparkSession
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(languages)), "k int, lang string"))  # one row per language
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    known = counts.join(numbers, "lang").select("k", F.floor(F.col("k") / LANGUAGES).cast("int").alias("block"), pair.alias("pair"), "gram", "n")
+    # at most 65,536 numbers per language
+    short = known.groupBy("k", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    blocks = (len(languages) + LANGUAGES - 1) // LANGUAGES
+    asked = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), pair.alias("pair"), "gram")
+    run = _costs(spark.sparkContext.broadcast(Short(short)), len(languages))
+    met = asked.groupBy("block", "pair").cogroup(known.groupBy("block", "pair"))
+    return met.applyInArrow(lambda key, a, b: _some(run, key, a, b), "block int, gram long, bits array<float>")
+
+
+def _some(run, key, wanted: pa.Table, known: pa.Table) -> pa.Table:
+    """Contexts that no document asks for are passed over."""
+    if not wanted.num_rows:
+        return pa.table({"block": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "bits": pa.array([], pa.list_(pa.float32()))})
+    return run(key, wanted, known)
 
 
 def _has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def _predict(model):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+def _parts(part_bytes: int):
+    """Each document's part (about part_bytes of one task's texts; none for texts without a letter) and its number there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size, number = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
-            texts = b.column("text").to_pylist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            use = [i for i, t in enumerate(texts) if t and m.languages and _has_letter(t)]
-            while use:
-                part, size = [], 0
-                while use and (not part or size < CHUNK_BYTES):
-                    i = use.pop()
-                    part.append((i, texts[i].encode()))
-                    size += len(part[-1][1])
-                bits = m.code_lengths([t for _, t in part])
-                best = bits.argmin(1)
-                odds = np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000.0))
-                for (i, _), k, p in zip(part, best.tolist(), (1 / odds.sum(1)).tolist(), strict=True):
-                    lang[i], score[i] = m.languages[k], p
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(lang), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
-            )
+            parts, numbers = [], []
+            for text in b.column("text").to_pylist():
+                if not text or not _has_letter(text):
+                    parts.append(None)
+                    numbers.append(None)
+                    continue
+                if size > part_bytes:
+                    part, size, number = part + 1, 0, 0
+                parts.append(part)
+                numbers.append(number)
+                size, number = size + len(text), number + 1
+            columns = [b.column(c) for c in ("doc_id", "held_out", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.int64()), pa.array(numbers, pa.int64())], ["doc_id", "held_out", "text", "part", "number"])
+
+    return run
+
+
+def _chunks(texts: Sequence[str]) -> Iterator[list[bytes]]:
+    chunk, size = [], 0
+    for t in texts:
+        chunk.append(t.encode())
+        size += len(chunk[-1])
+        if size > CHUNK_BYTES:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct strings of the documents of each part, as far as they follow each other."""
+    part, found = None, np.empty(0, np.uint32)
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part), pa.int64()), pa.array(found.astype(np.int64))], ["part", "gram"])
 
-    return predict
+    for b in batches:
+        parts, texts = b.column("part").to_numpy(), b.column("text").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if part is not None and part != parts[begin]:
+                yield rows()
+                found = np.empty(0, np.uint32)
+            part = int(parts[begin])
+            for chunk in _chunks(texts[begin:end]):
+                found = np.union1d(found, _strings(chunk))
+    if part is not None:
+        yield rows()
+
+
+SCORED = "doc_id long, held_out boolean, part long, number long, lang string, bits double, mass double"
+
+
+def _score(languages: Sequence[str]):
+    """Best language of a block for each document of a part, its code length, and the block's odds relative to it."""
+
+    def run(key, docs: pa.Table, costs: pa.Table) -> pa.Table:
+        names = languages[key[1].as_py() * LANGUAGES :][:LANGUAGES]
+        gram, first = np.unique(costs["gram"].to_numpy(), return_index=True)
+        table = np.ascontiguousarray(costs["bits"].combine_chunks().flatten().to_numpy().reshape(-1, len(names))[first].T)
+        best, bits, mass = [], [], []
+        for chunk in _chunks(docs["text"].to_pylist()):
+            at = np.searchsorted(gram, _strings(chunk))
+            begins = np.concatenate([[0], np.cumsum([len(t) for t in chunk])[:-1]])
+            total = np.stack([np.add.reduceat(row[at].astype(np.float64), begins) for row in table], 1)
+            least = total.min(1)
+            best += [names[k] for k in total.argmin(1).tolist()]
+            bits.append(least)
+            mass.append(np.exp2(np.maximum(least[:, None] - total, -1000.0)).sum(1))
+        joined = lambda x: pa.array(np.concatenate(x) if x else [], pa.float64())
+        own = {c: docs[c] for c in ("doc_id", "held_out", "part", "number")}
+        return pa.table({**own, "lang": pa.array(best, pa.string()), "bits": joined(bits), "mass": joined(mass)})
+
+    return run
 
 
 def held_out(remainder: int, of: int):
@@ -205,13 +259,34 @@ def held_out(remainder: int, of: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder, F.lit(True))
 
 
-def identify(documents: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+def identify(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (the posterior with equal priors).
 
-    Learns from text and non-null lang of the rows that are not held out.  `und` with score 0 if the text is null or has
-    no letter, or if there is nothing to learn from.
+    Learns from text and non-null lang of the rows that are not held out, all of their strings.  `und` with score 0 if the text is
+    null or has no letter, or if there is nothing to learn from.  Of equally short codes the smallest name wins.  Repeated rows and ids
+    are scored each by itself.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    rows = rows.withColumn("held_out", held_out(2, 4))
-    model = documents.sparkSession.sparkContext.broadcast(fit(rows.filter("NOT held_out"), min_share))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).withColumn("held_out", held_out(2, 4))
+    counts = materialised(gram_counts(rows.filter("NOT held_out")))
+    languages = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    unknown = lambda df: df.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    if not languages:
+        return unknown(rows)
+    kinds = "doc_id long, held_out boolean, text string, part long, number long"
+    # written once, so that a part is the same documents wherever it is read
+    cut = materialised(rows.select("doc_id", "held_out", "text").mapInArrow(_parts(PART_BYTES), kinds))
+    texts = cut.filter("part IS NOT NULL")
+    present = materialised(texts.select("part", "text").mapInArrow(_present, "part long, gram long"))
+    costs = gram_costs(counts, present.select("gram").distinct(), languages)
+    blocks = (len(languages) + LANGUAGES - 1) // LANGUAGES
+    asked = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    brought = present.join(costs, "gram").select("part", "block", "gram", "bits")
+    scored = asked.groupBy("part", "block").cogroup(brought.groupBy("part", "block")).applyInArrow(_score(languages), SCORED)
+    # the best of all blocks, and the odds of every language relative to it
+    each = scored.groupBy("part", "number").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.min(F.struct("bits", "lang")).alias("best"),
+        F.collect_list(F.struct("bits", "mass")).alias("blocks"),
+    )
+    odds = F.aggregate("blocks", F.lit(0.0), lambda a, x: a + x["mass"] * F.pow(F.lit(2.0), F.greatest(F.col("best.bits") - x["bits"], F.lit(-1000.0))))
+    found = each.select("doc_id", "held_out", F.col("best.lang").alias("lang_pred"), (1.0 / odds).alias("score"))
+    return found.unionByName(unknown(cut.filter("part IS NULL")))

@@ -404,24 +404,48 @@ def brute_bits(trees, text, order=3):
     return out
 
 
-def test_code_lengths_equal_brute_force():
-    texts = {"a": [b"the cat sat on the mat", b"cats"], "b": ["le chat était là".encode(), b"chats \xff"]}
-    trees = {k: language.Tree(*language._gram_counts(v)) for k, v in texts.items()}
+def brute_counts(texts):
     counts = {}
-    for k, v in texts.items():
-        counts[k] = {}
-        for t in v:
-            d = b"\n\n\n" + t
-            for i in range(3, len(d)):
-                for o in range(4):
-                    row = counts[k].setdefault(d[i - o : i], {})
-                    row[d[i]] = row.get(d[i], 0) + 1
-    model = language.Model(trees)
-    probe = [b"the chat", b"", b"zq\x00\xff", "là".encode(), b"c"]
-    got = model.code_lengths(probe)
-    for i, t in enumerate(probe):
-        for k, lang in enumerate(model.languages):
-            assert got[i, k] == pytest.approx(brute_bits(counts[lang], t), rel=1e-5, abs=1e-4)
+    for t in texts:
+        d = b"\n\n\n" + t
+        for i in range(3, len(d)):
+            for o in range(4):
+                row = counts.setdefault(d[i - o : i], {})
+                row[d[i]] = row.get(d[i], 0) + 1
+    return counts
+
+
+def test_code_lengths_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)  # three languages are two blocks
+    texts = {"a": [b"the cat sat on the mat", b"cats"], "b": ["le chat était là".encode(), b"chats \xff"], "c": [b"zzz"]}
+    counted = [(k, int(g), int(n)) for k, v in texts.items() for g, n in zip(*language._gram_counts(v), strict=True)]
+    probe = [b"the chat", b"zq\x00\xff", "là".encode(), b"c"]
+    asked = sorted({int(g) for t in probe for g in language._strings([t])})
+    got = language.gram_costs(
+        spark.createDataFrame(counted, "lang string, gram long, n long"), spark.createDataFrame([(g,) for g in asked], "gram long"), sorted(texts)
+    ).collect()
+    bits = {(2 * r["block"] + j, r["gram"]): x for r in got for j, x in enumerate(r["bits"])}
+    for t in probe:
+        for k, v in enumerate(texts.values()):
+            assert sum(bits[k, int(g)] for g in language._strings([t])) == pytest.approx(brute_bits(brute_counts(v), t), rel=1e-5, abs=1e-4)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(language, "PART_BYTES", 2000)
+    texts = ["".join(r.choice("abcde fghé") for _ in range(r.randrange(3, 60))) for _ in range(400)]
+    rows = [(i, t, f"l{i}") for i, t in enumerate(texts)] + [(7, texts[7], "l7")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    learned = {f"l{i}": brute_counts([t.encode()] * (2 if i == 7 else 1)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2}
+    by = {g["doc_id"]: g for g in got}
+    for i in r.sample(range(400), 12):
+        if not any(c.isalpha() for c in texts[i]):
+            continue
+        bits = {k: brute_bits(t, texts[i].encode()) for k, t in learned.items()}
+        least = min(bits.values())
+        assert bits[by[i]["lang_pred"]] == pytest.approx(least, rel=1e-5)
+        assert by[i]["score"] == pytest.approx(1 / sum(2 ** max(least - b, -1000) for b in bits.values()), rel=1e-3)
 
 
 def test_language(spark, no_docs):
