@@ -170,25 +170,46 @@ def _has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+PACKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("number", pa.int64()), ("text", pa.string())])
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(docs: bytes) -> pa.Table:
+    return pa.ipc.open_stream(docs).read_all()
+
+
 def _parts(part_bytes: int):
-    """Each document's part (about part_bytes of one task's texts; none for texts without a letter) and its number there."""
+    """(part, docs): documents packed by about CHUNK_BYTES, with their numbers in their part of about part_bytes of one task's texts.
+
+    Texts without a letter become null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size, number = TaskContext.get().partitionId() << 32, 0, 0
+        part, size, held, rows, number = TaskContext.get().partitionId() << 32, 0, 0, [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["part", "docs"])
+
         for b in batches:
-            parts, numbers = [], []
-            for text in b.column("text").to_pylist():
+            for doc_id, held_out, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 if not text or not _has_letter(text):
-                    parts.append(None)
-                    numbers.append(None)
-                    continue
-                if size > part_bytes:
-                    part, size, number = part + 1, 0, 0
-                parts.append(part)
-                numbers.append(number)
-                size, number = size + len(text), number + 1
-            columns = [b.column(c) for c in ("doc_id", "held_out", "text")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.int64()), pa.array(numbers, pa.int64())], ["doc_id", "held_out", "text", "part", "number"])
+                    text = None
+                rows.append((doc_id, held_out, number, text))
+                number += 1
+                held += len(text or "") + 16
+                if held > min(CHUNK_BYTES, part_bytes):
+                    yield packed()
+                    size, held, rows = size + held, 0, []
+                    if size > part_bytes:
+                        part, size, number = part + 1, 0, 0
+        if rows:
+            yield packed()
 
     return run
 
@@ -206,26 +227,23 @@ def _chunks(texts: Sequence[str]) -> Iterator[list[bytes]]:
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct strings of the documents of each part, as far as they follow each other."""
+    """(part, grams): distinct strings of the documents of each part, as far as they follow each other."""
     part, found = None, np.empty(0, np.uint32)
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part), pa.int64()), pa.array(found.astype(np.int64))], ["part", "gram"])
+    def row():
+        grams = pa.ListArray.from_arrays(np.array([0, len(found)], np.int32), pa.array(found.view(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), grams], ["part", "grams"])
 
     for b in batches:
-        parts, texts = b.column("part").to_numpy(), b.column("text").to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-        for begin, end in zip(cuts, cuts[1:]):
-            if begin == end:
-                continue
-            if part is not None and part != parts[begin]:
-                yield rows()
+        for new, docs in zip(b.column("part").to_pylist(), b.column("docs"), strict=True):
+            if part is not None and part != new:
+                yield row()
                 found = np.empty(0, np.uint32)
-            part = int(parts[begin])
-            for chunk in _chunks(texts[begin:end]):
+            part = new
+            for chunk in _chunks([t for t in _unpacked(docs.as_buffer())["text"].to_pylist() if t]):
                 found = np.union1d(found, _strings(chunk))
     if part is not None:
-        yield rows()
+        yield row()
 
 
 SCORED = "doc_id long, held_out boolean, part long, number long, lang string, bits double, mass double"
@@ -234,22 +252,30 @@ SCORED = "doc_id long, held_out boolean, part long, number long, lang string, bi
 def _score(languages: Sequence[str]):
     """Best language of a block for each document of a part, its code length, and the block's odds relative to it."""
 
-    def run(key, docs: pa.Table, costs: pa.Table) -> pa.Table:
+    def run(key, packed: pa.Table, costs: pa.Table) -> pa.Table:
         names = languages[key[1].as_py() * LANGUAGES :][:LANGUAGES]
         gram, first = np.unique(costs["gram"].to_numpy(), return_index=True)
         table = np.ascontiguousarray(costs["bits"].combine_chunks().flatten().to_numpy().reshape(-1, len(names))[first].T)
-        best, bits, mass = [], [], []
-        for chunk in _chunks(docs["text"].to_pylist()):
-            at = np.searchsorted(gram, _strings(chunk))
-            begins = np.concatenate([[0], np.cumsum([len(t) for t in chunk])[:-1]])
-            total = np.stack([np.add.reduceat(row[at].astype(np.float64), begins) for row in table], 1)
-            least = total.min(1)
-            best += [names[k] for k in total.argmin(1).tolist()]
-            bits.append(least)
-            mass.append(np.exp2(np.maximum(least[:, None] - total, -1000.0)).sum(1))
-        joined = lambda x: pa.array(np.concatenate(x) if x else [], pa.float64())
-        own = {c: docs[c] for c in ("doc_id", "held_out", "part", "number")}
-        return pa.table({**own, "lang": pa.array(best, pa.string()), "bits": joined(bits), "mass": joined(mass)})
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "part": pa.int64(), "number": pa.int64(), "lang": pa.string(), "bits": pa.float64(), "mass": pa.float64()}
+        out = [pa.table({c: pa.array([], k) for c, k in kinds.items()})]
+        for docs in packed["docs"]:
+            rows = _unpacked(docs.as_buffer())
+            texts = rows["text"].to_pylist()
+            use = [i for i, t in enumerate(texts) if t]
+            best, bits, mass = np.full(len(texts), -1), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+            done = 0
+            for chunk in _chunks([texts[i] for i in use]):
+                mine, done = use[done : done + len(chunk)], done + len(chunk)
+                at = np.searchsorted(gram, _strings(chunk))
+                begins = np.concatenate([[0], np.cumsum([len(t) for t in chunk])[:-1]])
+                total = np.stack([np.add.reduceat(row[at].astype(np.float64), begins) for row in table], 1)
+                best[mine], bits[mine] = total.argmin(1), total.min(1)
+                mass[mine] = np.exp2(np.maximum(total.min(1)[:, None] - total, -1000.0)).sum(1)
+            found = {"lang": [names[k] if k >= 0 else "und" for k in best.tolist()], "part": np.full(len(texts), key[0].as_py())}
+            numbers = {"bits": pa.array(bits, from_pandas=True), "mass": pa.array(mass, from_pandas=True)}
+            own = {c: rows[c] for c in ("doc_id", "held_out", "number")} | numbers | {c: pa.array(v, kinds[c]) for c, v in found.items()}
+            out.append(pa.table({c: own[c] for c in kinds}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -269,17 +295,16 @@ def identify(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).withColumn("held_out", held_out(2, 4))
     counts = materialised(gram_counts(rows.filter("NOT held_out")))
     languages = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    unknown = lambda df: df.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not languages:
-        return unknown(rows)
-    kinds = "doc_id long, held_out boolean, text string, part long, number long"
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     # written once, so that a part is the same documents wherever it is read
-    cut = materialised(rows.select("doc_id", "held_out", "text").mapInArrow(_parts(PART_BYTES), kinds))
-    texts = cut.filter("part IS NOT NULL")
-    present = materialised(texts.select("part", "text").mapInArrow(_present, "part long, gram long"))
+    parts = materialised(rows.select("doc_id", "held_out", "text").mapInArrow(_parts(PART_BYTES), "part long, docs binary"))
+    present = materialised(parts.mapInArrow(_present, "part long, grams array<int>"))
+    unsigned = F.col("gram").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("gram")
+    present = present.select("part", F.explode("grams").alias("gram")).select("part", unsigned)
     costs = gram_costs(counts, present.select("gram").distinct(), languages)
     blocks = (len(languages) + LANGUAGES - 1) // LANGUAGES
-    asked = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     brought = present.join(costs, "gram").select("part", "block", "gram", "bits")
     scored = asked.groupBy("part", "block").cogroup(brought.groupBy("part", "block")).applyInArrow(_score(languages), SCORED)
     # the best of all blocks, and the odds of every language relative to it
@@ -288,5 +313,4 @@ def identify(documents: DataFrame) -> DataFrame:
         F.collect_list(F.struct("bits", "mass")).alias("blocks"),
     )
     odds = F.aggregate("blocks", F.lit(0.0), lambda a, x: a + x["mass"] * F.pow(F.lit(2.0), F.greatest(F.col("best.bits") - x["bits"], F.lit(-1000.0))))
-    found = each.select("doc_id", "held_out", F.col("best.lang").alias("lang_pred"), (1.0 / odds).alias("score"))
-    return found.unionByName(unknown(cut.filter("part IS NULL")))
+    return each.select("doc_id", "held_out", F.col("best.lang").alias("lang_pred"), F.coalesce(1.0 / odds, F.lit(0.0)).alias("score"))
