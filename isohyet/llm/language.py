@@ -23,6 +23,7 @@ ORDER = 3
 START = b"\n" * ORDER  # stands before every text
 LANGUAGES = 64  # languages that are scored at a time
 CHUNK_BYTES = 1 << 22  # texts are counted and scored in batches of about so many bytes
+LEVEL = 12  # of compression: documents are written twice
 PART_BYTES = 1 << 25  # documents that meet the code lengths of their strings in one task
 
 
@@ -175,7 +176,7 @@ PACKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("number",
 
 def _packed(rows: list[tuple]) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(out, PACKED, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
         stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED))
     return out.getvalue().to_pybytes()
 
