@@ -84,8 +84,9 @@ def _pieces(vocabulary: str, size: int, end_id: int):
         tail = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + tail
+            texts = encode.each(text or "" for text in b.column("text").to_pylist())
+            for doc, found in zip(b.column("doc_id").to_pylist(), texts, strict=True):
+                ids = found.tobytes() + tail
                 n = len(ids) // 4
                 first = n % size or size
                 for k, start in enumerate([0, *range(first, n, size)] if n > first else [0]):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from isohyet.llm.common import materialised
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 2
 SPECIAL_TEXT, SPECIAL_ID = "<|endoftext|>", 50256  # the JSON file's one added token; the file of ranks has none
-CACHED_WORDS = 200_000  # per worker; the cache starts afresh beyond it, which changes no result
+BLOCK = 1 << 23  # characters of texts whose words are looked up together; a longer text is a block of its own
 
 _THREE_SPACES = re.compile(r"\s\s\s")
 _encoders: dict[str, "Encoder"] = {}
@@ -27,7 +28,8 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Byte-level BPE over a public vocabulary of ranks (the same ids as the JSON file of that name).
 
-    SPECIAL_TEXT is one id wherever it stands, as that file has it.  Words repeat, so each word's ids are kept.  A space before a word always begins a new
+    SPECIAL_TEXT is one id wherever it stands, as that file has it.  Words repeat, so the distinct words of a block of texts are
+    encoded once.  A space before a word always begins a new
     pre-token, so a text may be cut there; only in runs of three or more white-space characters may a
     pre-token span such a cut, and those texts are encoded as a whole.
     """
@@ -40,28 +42,69 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = len(ranks)
         self._encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        encode = self._encode
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = self[word] = np.array(encode(" " + word), "<u4").tobytes()
-                return ids
-
-        self._words = Words()
+        self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._bytes[list(ranks.values())] = [len(token) for token in ranks]
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if SPECIAL_TEXT in text:
-            return np.array(SPECIAL_ID, "<u4").tobytes().join(map(self._plain, text.split(SPECIAL_TEXT)))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if _THREE_SPACES.search(text):
-            return np.array(self._encode(text), "<u4").tobytes()
-        if len(self._words) > CACHED_WORDS:
-            self._words.clear()
-        first, *rest = text.split(" ")
-        return np.array(self._encode(first), "<u4").tobytes() + b"".join(map(self._words.__getitem__, rest))
+        return next(self.each([text])).tobytes()
+
+    def each(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        block, size = [], 0
+        for text in texts:
+            if block and size + len(text) > BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+            block.append(text)
+            size += len(text)
+        if block:
+            yield from self._block(block)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._encode(text), "<u4")
+
+    def _whole(self, text: str) -> np.ndarray:
+        first, *rest = map(self._ids, text.split(SPECIAL_TEXT))
+        return np.concatenate([first, *(x for part in rest for x in (np.array([SPECIAL_ID], "<u4"), part))])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words behind a space each, one after the other, and how many each has.
+
+        Words that neither begin nor end in white space are encoded as one text and cut by their bytes, as a call costs more than a word.
+        """
+        alone = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words), words), pc.equal(words, "")).to_numpy(zero_copy_only=False)
+        count, inner = np.zeros(len(words), np.int64), words.filter(pa.array(~alone))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(inner)], inner), pa.scalar(" ", words.type))[0].as_py()
+        joined = self._ids(" " + text if text else "")
+        ends = np.cumsum(pc.binary_length(inner).to_numpy(zero_copy_only=False) + 1)
+        count[~alone] = np.diff(np.searchsorted(np.cumsum(self._bytes[joined]), ends) + 1, prepend=0)
+        single = {i: self._ids(" " + words[i].as_py()) for i in np.flatnonzero(alone).tolist()}
+        count[list(single)] = [len(x) for x in single.values()]
+        ids = np.empty(count.sum(), "<u4")
+        apart = np.repeat(alone, count)
+        ids[~apart] = joined
+        ids[apart] = np.concatenate([*single.values(), np.zeros(0, "<u4")])
+        return ids, count
+
+    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        whole = [SPECIAL_TEXT in t or _THREE_SPACES.search(t) is not None for t in texts]
+        firsts = [self._whole(t) if w else self._ids(t.partition(" ")[0]) for t, w in zip(texts, whole, strict=True)]
+        cut = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        offsets, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        ids, count = self._words(words.dictionary)
+        # the first word of a text has no space before it, so each is an entry of its own
+        codes = words.indices.to_numpy().astype(np.int64)
+        codes[offsets[:-1]] = len(count) + np.arange(len(texts))
+        ids, count = np.concatenate([ids, *firsts]), np.concatenate([count, [len(x) for x in firsts]])
+        start, own = np.cumsum(count) - count, count[codes]
+        after = np.cumsum(own)
+        at = np.repeat(start[codes] - (after - own), own)
+        at += np.arange(len(at))
+        out = ids[at]
+        borders = after[offsets[1:] - 1].tolist()
+        for a, b in zip([0, *borders], borders):
+            yield out[a:b]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -81,7 +124,7 @@ def _lengths(vocabulary: str):
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for b in batches:
-            n = np.array([len(encode(t or "")) // 4 + 1 for t in b.column("text").to_pylist()], np.int64)
+            n = np.array([len(ids) + 1 for ids in encode.each(t or "" for t in b.column("text").to_pylist())], np.int64)
             length, documents = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(documents)], ["length", "documents"])
 

@@ -605,3 +605,21 @@ def test_shared_passages_do_not_need_sentence_ends(spark, no_docs):
     assert {w[0] for w in want} >= {2, 4, 9, 11} and 3 not in {w[0] for w in want}
     assert not passages.repeated_passages(df.filter("doc_id IN (1, 2)")).count()  # sentences alone miss it
     assert passages.shared_passages(no_docs).count() == 0
+
+
+def test_words_of_a_block_are_encoded_once(reference_ids, monkeypatch):
+    """Texts of several blocks have the ids they have alone, and a word that repeats in a block is encoded once."""
+    r = random.Random(8)
+    pieces = ["word", "an other", "\n", " ", "  ", "\t", "x\n y", "it's", "'ll", "漢字", " ", " ", "12", "!?", "<|endoftext|>", "", "one  two", "\x1c"]
+    texts = ["".join(r.choice(pieces) + " " * r.randrange(2) for _ in range(r.randrange(40))) for _ in range(300)] + TRICKY
+    encode = tokens.encoder(tokens.VOCABULARY)
+    for block in (1, 500, 1 << 23):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        for text, ids in zip(texts, encode.each(texts), strict=True):
+            assert ids.tolist() == reference_ids(text), repr(text)
+    assert list(encode.each([])) == []
+    asked, plain = [], encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda text: asked.append(text) or plain(text))
+    monkeypatch.setattr(tokens, "BLOCK", 1 << 23)
+    assert len(list(encode.each([f"text{i} with some common words {i % 7}" for i in range(500)]))) == 500
+    assert "".join(asked).count("common") == 1
