@@ -37,6 +37,14 @@ def z_order(lat: Column, lon: Column) -> Column:
     return F.shiftleft(spread(lat), 1).bitwiseOR(spread(lon))
 
 
+def _changes(column: pa.Array) -> list[int]:
+    """Where a value differs from the one before."""
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return [i for i in range(1, len(values)) if values[i] != values[i - 1]]
+    return pc.run_end_encode(column).run_ends.to_pylist()
+
+
 def _cut(by: list[str], size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,7 +52,7 @@ def _cut(by: list[str], size: int):
                 continue
             cuts = {*range(0, b.num_rows, size), b.num_rows}
             for k in by:
-                cuts.update(pc.run_end_encode(b.column(k)).run_ends.to_pylist())
+                cuts.update(_changes(b.column(k)))
             borders = pa.array(sorted(cuts), pa.int32())
             firsts = borders.slice(0, len(borders) - 1)
             yield pa.RecordBatch.from_arrays(
