@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- memory of Python workers -----------------------------------------------
+
+SLICE = 1 << 20  # bytes of texts that a task turns into Python objects at once; a longer text is a slice of its own
+_kept: dict = {}
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE bytes in that column.
+
+    Spark's batches are cut by rows, so with long texts a batch, its strings and its result are many times what a task needs at once.
+    """
+    for b in batches:
+        if b.num_rows < 2:
+            yield b
+            continue
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def kept_in_worker(key, build):
+    """What build() gives, once per worker for all its tasks; only the last is kept, as workers go on to other operators."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 # --- hashed words -----------------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -73,8 +106,6 @@ def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator[list]:
 
     Memory holds one batch and one group; callers bound the groups.
     """
-    import pyarrow as pa
-
     held: list = []
     for batch in batches:
         if not batch.num_rows:

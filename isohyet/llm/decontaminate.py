@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import hash_ranges, materialised
+from isohyet.llm.common import hash_ranges, kept_in_worker, materialised, sliced
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # words of a block of items; a larger benchmark makes more blocks, each read by all documents
@@ -124,17 +124,15 @@ class Automaton:
         return self.at_window[v]
 
 
-_built: dict = {}
-
-
 def _automaton(block) -> tuple[np.ndarray, Automaton]:
     """Sorted vocabulary and automaton of a broadcast block, built once per worker."""
-    if block.id not in _built:
-        _built.clear()
+
+    def build() -> tuple[np.ndarray, Automaton]:
         items, window = block.value
         vocabulary = np.unique(np.concatenate([w for _, w in items] or [np.zeros(0, np.uint64)]))
-        _built[block.id] = vocabulary, Automaton([(n, np.searchsorted(vocabulary, w).tolist()) for n, w in items], window)
-    return _built[block.id]
+        return vocabulary, Automaton([(n, np.searchsorted(vocabulary, w).tolist()) for n, w in items], window)
+
+    return kept_in_worker(("automaton", block.id), build)
 
 
 class Block:
@@ -204,7 +202,7 @@ def blocks(items: DataFrame, window: int = WINDOW) -> list[Block]:
 
 def _find(block):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [hits(t, block) for t in b.column("text").to_pylist()]
             columns = [
                 pa.array([f[0] for f in found], pa.int64()),
@@ -257,7 +255,7 @@ def _cut(spans_of, again: bool, text_at: int, chars_at: int | None, max_share: f
     ``again`` until there are none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text_at):
             texts, keep, changed = b.column(text_at).to_pylist(), [], []
             chars = b.column(chars_at).to_pylist() if chars_at is not None else None
             for i, t in enumerate(texts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import Forest, components, materialised, mix, shingle_set, sorted_groups
+from isohyet.llm.common import Forest, components, materialised, mix, shingle_set, sliced, sorted_groups
 
 SHINGLE = 5
 POSITIONS, CHUNKS, ERRORS = 64, 11, 1
@@ -52,7 +52,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[], [], [], []]
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, SHINGLE)
@@ -303,7 +303,7 @@ def _marked(documents: DataFrame, sigs: DataFrame, percent: int, *names: str) ->
 
 def _named_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures with the digest of the raw text."""
-    for batch in batches:
+    for batch in sliced(batches):
         for out in _signatures(iter([batch])):
             yield pa.RecordBatch.from_arrays([*out.columns, batch.column("digest")], [*out.schema.names, "digest"])
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialised
+from isohyet.llm.common import materialised, sliced
 from isohyet.llm.tokens import END_ID, VOCABULARY, encoder
 
 CONTEXT = 1024
@@ -82,7 +82,7 @@ def _pieces(vocabulary: str, size: int, end_id: int):
         encode, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         tail = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in range(8)]
             texts = encode.each(text or "" for text in b.column("text").to_pylist())
             for doc, found in zip(b.column("doc_id").to_pylist(), texts, strict=True):
@@ -127,10 +127,10 @@ def _slots(bins: list[tuple[list[int], int]], size: int) -> dict[int, tuple[np.n
     return {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in rows.items()}
 
 
-def _place(slots):
+def _place(slots, ids: bool):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
-        for b in batches:
+        for b in sliced(batches, "ids") if ids else batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length).tolist():
@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, size: int = CONTEXT, keep_ids: bool = True) -> DataF
     ranked = pieces.select(*columns, "part", "nth").join(bases.select("part", "length", "base"), ["part", "length"])
     ranked = ranked.select(*columns, (F.col("nth") + F.col("base")).alias("rank"))
     kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids": "binary", "ids_crc32": "long"}
-    return ranked.mapInArrow(_place(slots), ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(_place(slots, keep_ids), ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
 
 
 def best_two_fit(documents: DataFrame, vocabulary: str = VOCABULARY, size: int = CONTEXT, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialised
+from isohyet.llm.common import kept_in_worker, materialised, sliced
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 2
@@ -22,7 +22,6 @@ SPECIAL_TEXT, SPECIAL_ID = "<|endoftext|>", 50256  # the JSON file's one added t
 BLOCK = 1 << 23  # characters of texts whose words are looked up together; a longer text is a block of its own
 
 _THREE_SPACES = re.compile(r"\s\s\s")
-_encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -115,15 +114,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file; the file is an installed one, the same on all machines."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path if os.path.isabs(path) else vocabulary_path(path))
-    return _encoders[path]
+    return kept_in_worker(("encoder", path), lambda: Encoder(path if os.path.isabs(path) else vocabulary_path(path)))
 
 
 def _lengths(vocabulary: str):
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             n = np.array([len(ids) + 1 for ids in encode.each(t or "" for t in b.column("text").to_pylist())], np.int64)
             length, documents = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(documents)], ["length", "documents"])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialised
+from isohyet.llm.common import kept_in_worker, materialised, sliced
 from isohyet.llm.language import held_out
 
 LABELLED_ROWS = 50_000  # about so many labelled rows are learned from, chosen by a hash
@@ -172,7 +172,7 @@ def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         c = list(counts.values())
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array([x[k] for x in c], pa.int64()) for k in (0, 1))], ["word", "clean", "toxic"])
 
-    for b in batches:
+    for b in sliced(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             for w in set(_WORD.findall(text.lower())):
                 counts.setdefault(w, [0, 0])[toxic] += 1
@@ -187,7 +187,7 @@ def _surroundings(candidates):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems = candidates.value
-        for b in batches:
+        for b in sliced(batches):
             found: set[tuple[str, bool, int, int]] = set()
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 w = ["", *_WORD.findall(text.lower()), ""]
@@ -279,7 +279,7 @@ class Model:
 def _sample_features(trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(trie.value)
-        for b in batches:
+        for b in sliced(batches):
             x = [features(t, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic")], ["x", "toxic"])
 
@@ -296,17 +296,11 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> M
     return Model(trie, x, got.column("toxic").to_numpy().astype(float))
 
 
-_loaded: dict = {}
-
-
 def _score(model, number: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        if number not in _loaded:
-            _loaded.clear()
-            _loaded[number] = Words(m.trie)
-        words = _loaded[number]
-        for b in batches:
+        words = kept_in_worker(("words", number), lambda: Words(m.trie))
+        for b in sliced(batches):
             x = np.array([features(t, words) for t in b.column("text").to_pylist()], float).reshape(-1, FEATURES)
             names = b.schema.names
             yield b.set_column(names.index("text"), "score", pa.array(m.score(x), pa.float64()))
@@ -335,7 +329,7 @@ def _keep(model, number: str, text_at: int):
     score = _score(model, number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text_at):
             text = pa.RecordBatch.from_arrays([b.column(text_at)], ["text"])
             (scored,) = score(iter([text]))
             yield b.filter(pa.array(scored.column("score").to_numpy() < 0.5))

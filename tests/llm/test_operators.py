@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from isohyet.llm import chat, decontaminate, language, near_dedup, packing, passages, quality, secrets, tokens, toxicity
+from isohyet.llm import chat, common, decontaminate, language, near_dedup, packing, passages, quality, secrets, tokens, toxicity
 from isohyet.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest string"
@@ -623,3 +625,45 @@ def test_words_of_a_block_are_encoded_once(reference_ids, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 1 << 23)
     assert len(list(encode.each([f"text{i} with some common words {i % 7}" for i in range(500)]))) == 500
     assert "".join(asked).count("common") == 1
+
+
+def test_workers_take_a_batch_in_slices(monkeypatch):
+    """Python workers hold about SLICE bytes of texts at once, however many rows Spark's batch has; the rows are the same."""
+    r = random.Random(9)
+    texts = [None if i % 11 == 0 else "é word " * r.randrange(60) for i in range(400)] + ["long text " * 500, "", None]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"]).slice(1)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+
+    def run(f, size, batch=whole):
+        monkeypatch.setattr(common, "SLICE", size)
+        return list(f(iter([batch, batch.slice(0, 0)])))
+
+    seen, plain = [], tokens.Encoder.each
+
+    def each(self, texts):
+        own = list(texts)
+        seen.append(sum(len(t.encode()) for t in own))
+        return plain(self, own)
+
+    monkeypatch.setattr(tokens.Encoder, "each", each)
+    pieces = packing._pieces(tokens.VOCABULARY, 1024, 2)
+    one, many = run(pieces, 1 << 40), run(pieces, 2000)
+    assert pa.Table.from_batches(one).to_pylist() == pa.Table.from_batches(many).to_pylist()
+    assert seen[0] > 50_000 and sorted(seen[2:])[-1] == 5000 and sorted(seen[2:])[-2] <= 2000  # the long text is alone
+    assert max(b.num_rows for b in many) < 400
+    raw = whole.set_column(1, "text", whole.column("text").cast(pa.binary()))
+    many, one = (run(near_dedup._signatures, size, raw) for size in (2000, 1 << 40))
+    assert len(many) > len(one) and pa.Table.from_batches(many).to_pylist() == pa.Table.from_batches(one).to_pylist()
+    monkeypatch.setattr(common, "SLICE", 2000)
+    back = pa.Table.from_batches(common.sliced(iter([whole]), 1))
+    assert back.to_pylist() == whole.to_pylist()
+
+
+def test_a_worker_keeps_one_operators_tables():
+    class Big:
+        pass
+
+    held = weakref.ref(common.kept_in_worker("toxicity", Big))
+    assert common.kept_in_worker("toxicity", lambda: None) is held() is not None
+    encode = tokens.encoder(tokens.VOCABULARY)
+    assert held() is None and tokens.encoder(tokens.VOCABULARY) is encode
